@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from spendlight.plans import anomaly_queries, graph_queries, text_queries  # noqa: F401
+from spendlight.plans.catalog import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
