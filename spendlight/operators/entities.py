@@ -14,14 +14,14 @@ from spendlight.operators.components import connected_components
 from spendlight.storage import cut
 
 
-@F.pandas_udf("string")
 def _compatible(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
 def normalize_name(name: Column) -> Column:
     """Upper-cased ASCII form with letters, digits, & , . - and single spaces. ASCII names stay in the JVM."""
-    folded = F.when(F.regexp_like(name, F.lit(r"[^\x00-\x7F]")), _compatible(name)).otherwise(name)
+    fold = F.pandas_udf(_compatible, "string")
+    folded = F.when(F.regexp_like(name, F.lit(r"[^\x00-\x7F]")), fold(name)).otherwise(name)
     return _clean(folded)
 
 

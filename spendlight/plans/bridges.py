@@ -107,13 +107,13 @@ RELEASES = (
 
 
 def claims(t) -> DataFrame:
-    """One claim per order; every fifth has no citation, every seventh cites an unknown artifact."""
+    """One claim per order; every ninth has no citation, every seventh cites an unknown artifact."""
     kinds = F.array(*(F.lit(x) for x in ("finding", "risk_signal", "hypothesis", "cannot_conclude", "factual")))
     texts = F.array(*(F.lit(x) for x in CLAIM_TEXTS))
     key = F.col("o_orderkey")
     return t("orders").select(
         F.col("o_custkey").alias("case_id"), key.alias("claim_id"), kinds[(key % 5).cast("int")].alias("claim_type"), texts[(key % 6).cast("int")].alias("statement"),
-        ((key % 10) / 10.0).alias("confidence"), F.when(key % 5 == 2, F.array().cast("array<long>")).when(key % 7 == 0, F.array(-key)).otherwise(F.array(key, key + 1)).alias("citation_ids"), (key % 11 != 0).alias("audit_passed"),
+        ((key % 10) / 10.0).alias("confidence"), F.when(key % 9 == 2, F.array().cast("array<long>")).when(key % 7 == 0, F.array(-key)).otherwise(F.array(key, key + 1)).alias("citation_ids"), (key % 11 != 0).alias("audit_passed"),
     )
 
 
@@ -129,7 +129,7 @@ CLAIMS = (
     """claims as (select o_custkey case_id, o_orderkey claim_id, (['finding','risk_signal','hypothesis','cannot_conclude','factual'])[o_orderkey%5+1] claim_type, (["""
     + ",".join(f"'{x}'" for x in CLAIM_TEXTS)
     + """])[o_orderkey%6+1] statement, (o_orderkey%10)/10.0 confidence,
- case when o_orderkey%5=2 then cast([] as bigint[]) when o_orderkey%7=0 then [-o_orderkey] else [o_orderkey, o_orderkey+1] end citation_ids, o_orderkey%11<>0 audit_passed from orders)"""
+ case when o_orderkey%9=2 then cast([] as bigint[]) when o_orderkey%7=0 then [-o_orderkey] else [o_orderkey, o_orderkey+1] end citation_ids, o_orderkey%11<>0 audit_passed from orders)"""
 )
 
 

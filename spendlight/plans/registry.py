@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendlight.plans import anomaly_queries, graph_queries, text_queries  # noqa: F401
+from spendlight.plans import anomaly_queries, case_queries, flow_queries, graph_queries, text_queries  # noqa: F401
 from spendlight.plans.catalog import QUERIES, SQL
 
 
