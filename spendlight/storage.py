@@ -20,6 +20,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint: a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a reliable checkpoint: a lost executor loses nothing.
+
+    A checkpointed frame carries the constraints of the plan that made it; over the rounds of an
+    iteration they would multiply and fill the driver, so none are derived here.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
