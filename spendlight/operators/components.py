@@ -2,7 +2,7 @@
 
 Each round rewires every edge towards the smallest neighbour (first among larger neighbours, then
 among smaller ones), so long chains shrink by a constant factor a round. The minimum of each node
-is checkpointed before it is joined back: both join sides are then plain shuffles, which adaptive
+is written out before it is joined back: both join sides are then plain shuffles, which adaptive
 execution can split when one node has very many edges.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlight.storage import cut
+from spendlight.storage import store
 
 
 def _digest(df: DataFrame) -> tuple:
@@ -30,17 +30,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .select("u", "v")
         .distinct()
     )
-    current = cut(pairs)
+    current = store(pairs)
     before = _digest(current)
     for _ in range(max_rounds if before[0] else 0):
         both = current.union(current.select(F.col("v"), F.col("u")))
-        lows = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(
+        lows = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = store(
             both.hint("merge").join(lows.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        lows = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        lows = store(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.hint("merge").join(lows.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = cut(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
+        current = store(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
         after = _digest(current)
         if after == before:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set(name, before)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, for the rounds of an iteration.
+
+    A checkpointed frame also carries its plan's size estimate, which each join multiplies: over
+    many rounds the number itself outgrows the driver. A table that is read back has its true size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
