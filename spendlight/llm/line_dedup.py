@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Every line that is not blank takes part, whole. Its character shingles are the SHINGLE characters
-from each word's start on, of the lower-cased line (a shorter line is its own shingle). Equal lines are counted as one; each distinct line gets
+from each character on, of the lower-cased line (a shorter line is its own shingle; one of white space alone has none and is like no other).
+Equal lines are counted as one; each distinct line gets
 BANDS x ROWS minima of its shingles' hashes, and lines that agree on all rows of a band are
 candidates. All pairs of a small band group are candidates; in a crowded one every line is paired
 with a few leaders, and those that turn out unlike all of them go on under longer bands, which
@@ -31,8 +32,10 @@ SMALL_GROUP, LEADERS = 32, 16
 LONGER = ((20, 6), (40, 9))
 #: Rows up to which a table of line hashes is sent to every task (24 bytes each).
 BROADCAST_ROWS = 500_000
-#: Takes a shingle at a word's start, then steps over the word; from where too few characters are left nothing matches.
-_SHINGLES = r"(?=(\S.{%d}))\S++\s*+" % (SHINGLE - 1)
+#: Characters whose shingles are cut from one piece of a line, so that the time grows with the line's length alone.
+PIECE = 64
+#: Takes a piece with what its last shingle needs beyond it; from where too few characters are left nothing matches.
+_PIECES = r"(?s)(?=(.{%d,%d})).{1,%d}" % (SHINGLE, PIECE + SHINGLE - 1, PIECE)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -42,17 +45,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return parts.where(F.trim("line") != "")
 
 
-def shingles(line):
-    """The shingles of a line, repeats included; a line that is too short for one is its own."""
+def shingle_hashes(line):
+    """The 64-bit hashes of a line's shingles, repeats included; a line that is too short for one is its own."""
     lowered = F.lower(line)
     bare = F.trim(lowered, F.lit(" \t\r\x0b\x0c"))
-    # the short line is told by its length, so that the pattern runs once
-    return F.array_compact(F.concat(F.regexp_extract_all(lowered, F.lit(_SHINGLES), F.lit(1)), F.array(F.when(F.length(bare) < SHINGLE, bare))))
-
-
-def shingle_hashes(line):
-    """The shingles' 64-bit hashes, repeats included."""
-    return F.transform(shingles(line), lambda s: F.xxhash64(s))
+    pieces = F.regexp_extract_all(lowered, F.lit(_PIECES), F.lit(1))
+    every = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE))))))
+    own = F.when(bare != "", F.array(F.xxhash64(bare))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(lowered) < SHINGLE, own).otherwise(every)
 
 
 def _minimum(hashes: str, mask: int):
@@ -74,7 +74,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     """
     distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     hashed = distinct.select(F.xxhash64("line").alias("h"), "n", shingle_hashes(F.col("line")).alias("x"))
-    keys = [F.xxhash64(F.lit(b), *(_minimum("x", _mask(b * ROWS + r)) for r in range(ROWS))).alias(f"k{b}") for b in range(BANDS)]
+    keys = [F.when(F.size("x") > 0, F.xxhash64(F.lit(b), *(_minimum("x", _mask(b * ROWS + r)) for r in range(ROWS)))).alias(f"k{b}") for b in range(BANDS)]
     return hashed.select("h", "n", *keys)
 
 
@@ -85,15 +85,20 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def _filed(signed: DataFrame) -> DataFrame:
     keys = F.array(*(f"k{b}" for b in range(BANDS)))
-    return signed.select("h", F.explode(keys).alias("key"))
+    return signed.where(F.col("k0").isNotNull()).select("h", F.explode(keys).alias("key"))
+
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets' Jaccard similarity reaches SIMILARITY; ``texts`` is (h, line).
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``alike``: whether the shingle sets' Jaccard similarity reaches SIMILARITY."""
-    one, two = sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), sets.select(F.col("h").alias("b"), F.col("s").alias("sb"))
+    Lines are sent to the pairs, not their shingle sets, which are many times as large.
+    """
+    one, two = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
     both = pairs.hint("merge").join(one.hint("merge"), "a").hint("merge").join(two.hint("merge"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("alike", common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).drop("sa", "sb")
+    distinct = lambda c: F.array_distinct(shingle_hashes(F.col(c)))
+    enough = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda n: (n > 0) & (n >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - n)))
+    # one expression, in which each set is computed once, wherever the condition is pushed
+    return both.where(F.exists(F.array(F.struct(distinct("la").alias("a"), distinct("lb").alias("b"))), enough)).select("a", "b")
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
@@ -101,13 +106,14 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     return one.hint("merge").join(two.hint("merge"), "key").where("a < b").select("a", "b").distinct()
 
 
-def _refiled(rest: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+def _refiled(rest: DataFrame, texts: DataFrame, level: int) -> DataFrame:
     """``(key, h)``: the distinct lines of ``rest`` under the bands of LONGER[level], with hash numbers of their own."""
     bands, rows = LONGER[level]
     before = BANDS * ROWS + sum(b * r for b, r in LONGER[:level])
     keys = [F.xxhash64(F.lit(b), *(_minimum("s", _mask(before + b * rows + r)) for r in range(rows))) for b in range(bands)]
     lines = store(rest.select("h").distinct())
-    return store(sets.hint("merge").join(lines.hint("merge"), "h", "left_semi").select("h", F.explode(F.array(*keys)).alias("key")).select("key", "h"))
+    sets = texts.hint("merge").join(lines.hint("merge"), "h", "left_semi").select("h", shingle_hashes(F.col("line")).alias("s"))
+    return store(sets.select("h", F.explode(F.array(*keys)).alias("key")).select("key", "h"))
 
 
 def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
@@ -119,32 +125,26 @@ def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     small = members.where(F.col("size") <= SMALL_GROUP)
     pairs = _all_pairs(small)
     wanted = store(twos.select(F.explode(F.array("a", "b")).alias("h")).union(members.select("h")).distinct())
-    sets = store(
-        lines.withColumn("h", F.xxhash64("line"))
-        .join(_sized(wanted), "h", "left_semi")
-        .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.xxhash64("line").alias("h"), F.array_distinct(shingle_hashes(F.col("line"))).alias("s"))
-    )
-    found = store(verified(twos.union(pairs).distinct(), sets).where("alike").select("a", "b"))
+    texts = store(lines.withColumn("h", F.xxhash64("line")).join(_sized(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    found = store(verified(twos.union(pairs).distinct(), texts))
     crowded = store(members.where(F.col("size") > SMALL_GROUP).select("key", "h"))
     level, leaders_now = 0, LEADERS
     while not crowded.isEmpty():
         # each round settles the leaders and all that are like one of them; what is left is filed under longer bands
         leaders = store(crowded.groupBy("key", F.pmod("h", F.lit(leaders_now)).alias("part")).agg(F.min("h").alias("b")).select("key", "b"))
         starred = crowded.hint("merge").join(leaders.hint("merge"), "key").where(F.col("h") != F.col("b")).withColumnRenamed("h", "a")
-        checked = store(verified(starred, sets))
-        found = store(found.union(checked.where("alike").select("a", "b")).distinct())
-        rest = checked.groupBy("key", F.col("a").alias("h")).agg(F.max("alike").alias("alike")).where(~F.col("alike")).select("key", "h")
-        rest = store(rest.hint("merge").join(leaders.select("key", F.col("b").alias("h")).hint("merge"), ["key", "h"], "left_anti"))
+        alike = store(verified(starred.select("a", "b").distinct(), texts))
+        found = store(found.union(alike).distinct())
+        settled = starred.hint("merge").join(alike.hint("merge"), ["a", "b"]).select("key", F.col("a").alias("h")).union(leaders.select("key", F.col("b").alias("h")))
+        rest = store(crowded.hint("merge").join(store(settled.distinct()).hint("merge"), ["key", "h"], "left_anti"))
         if level < len(LONGER):
-            rest = _refiled(rest, sets, level)
+            rest = _refiled(rest, texts, level)
             level += 1
         else:
             leaders_now *= 2  # so that a group of lines all just unlike takes few rounds
         sizes = store(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         rest = store(rest.hint("merge").join(sizes.hint("merge"), "key"))
-        found = store(found.union(verified(_all_pairs(rest.where(F.col("size") <= SMALL_GROUP)), sets).where("alike").select("a", "b")).distinct())
+        found = store(found.union(verified(_all_pairs(rest.where(F.col("size") <= SMALL_GROUP)), texts)).distinct())
         crowded = store(rest.where(F.col("size") > SMALL_GROUP).select("key", "h"))
     return found
 

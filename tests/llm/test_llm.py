@@ -217,6 +217,30 @@ def test_lines_against_brute_force(spark, monkeypatch):
     assert len(again ^ expected) <= 0.02 * len(expected)
 
 
+def all_shingles(line, n=line_dedup.SHINGLE):
+    x = line.lower()
+    return {x[i : i + n] for i in range(len(x) - n + 1)} if len(x) >= n else {x.strip()} - {""}
+
+
+def brute_links(lines):
+    sets = [all_shingles(x) for x in lines]
+    return [(a, b) for a in range(len(lines)) for b in range(a) if sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_lines_against_all_shingles(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 40))) for _ in range(60)]
+    lines = ["https://www.one.example/a", "https://www.two.example/b", "Chapter number 12", "Chapter number 13", "\t\t", "\t", "short", "  SHORT ", "\U0001f600" * 40, "\U0001f600" * 41]
+    lines += ["这是一行没有空格的中文文本它的开头都一样" + c * 30 for c in "甲乙丙"] + ["x" * 11 + "y" * 300, "x" * 11 + "z" * 300, "a b " * 5000, "A b " * 4000]
+    for _ in range(40):
+        line = rng.choices(words, k=12)
+        lines += [" ".join(line), " ".join(line[:-1]), "".join(line), "".join(line[1:]), " ".join([*line[:-1], rng.choice(words)])]
+    lines = sorted(set(lines))
+    roots = components(range(len(lines)), brute_links(lines))
+    got = {r["doc_id"] for r in line_dedup.removed_lines(docs_of(spark, enumerate(lines))).collect()}
+    assert got == {n for n, root in roots.items() if n != root}
+
+
 def test_lines_on_odd_rows(spark, odd, empty):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
