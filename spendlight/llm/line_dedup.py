@@ -4,9 +4,10 @@ Every line that is not blank takes part, whole. Its character shingles are the S
 from each character on, of the lower-cased line (a shorter line is its own shingle; one of white space alone has none and is like no other).
 Equal lines are counted as one; each distinct line gets
 BANDS x ROWS minima of its shingles' hashes, and lines that agree on all rows of a band are
-candidates. All pairs of a small band group are candidates; in a crowded one every line is paired
-with a few leaders, and those that turn out unlike all of them go on under longer bands, which
-tell merely related lines apart, and in the end among themselves.
+candidates. All pairs of a small band group are candidates. In a crowded one every line is paired
+with a few leaders; if its lines are then in one component there is nothing left to find, else all of
+them, linked or not, go on under longer bands, which tell merely related lines apart. In groups that
+are crowded to the end, all pairs of lines of different components are compared, dealt out in parts.
 Candidates are verified by the exact Jaccard similarity of their whole shingle sets (each shingle as its 64-bit hash); verified links are
 joined into components, and of each component's occurrences the first, by (doc_id, line number), stays.
 
@@ -28,8 +29,10 @@ from spendlight.storage import cut, store
 BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 12, 0.8
 #: Distinct lines under one band key up to which all pairs are compared, and lines that a larger group is compared with at a time.
 SMALL_GROUP, LEADERS = 32, 16
-#: (bands, rows) for the lines that a crowded group's leaders didn't settle: recall 0.998 and 0.997 a pair at similarity 0.8.
+#: (bands, rows) for the lines of crowded groups: recall 0.998 and 0.997 a pair at similarity 0.8.
 LONGER = ((20, 6), (40, 9))
+#: Parts that a line's partners are dealt into where a group stays crowded.
+PARTS = 16
 #: Rows up to which a table of line hashes is sent to every task (24 bytes each).
 BROADCAST_ROWS = 500_000
 #: Characters whose shingles are cut from one piece of a line, so that the time grows with the line's length alone.
@@ -116,6 +119,27 @@ def _refiled(rest: DataFrame, texts: DataFrame, level: int) -> DataFrame:
     return store(sets.select("h", F.explode(F.array(*keys)).alias("key")).select("key", "h"))
 
 
+def _of_several(filed: DataFrame) -> DataFrame:
+    """``(key, h, component, size)`` of the groups whose lines aren't all in one component: no other can join anything."""
+    sizes = store(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "size"))
+    return store(filed.hint("merge").join(sizes.hint("merge"), "key").select("key", "h", "component", "size"))
+
+
+def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups of ``crowded`` that the links ``found`` don't join into one component, whole."""
+    joined = store(connected_components(found).withColumnRenamed("id", "h"))
+    named = crowded.hint("merge").join(joined.hint("merge"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
+    return _of_several(store(named))
+
+
+def _pairs_in_parts(members: DataFrame) -> DataFrame:
+    """All pairs of a group's lines that are of different components; one side is dealt into parts, the other sent to each."""
+    part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")
+    one = members.select("key", F.col("h").alias("a"), F.col("component").alias("ca"), part.alias("part"))
+    two = members.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where("a < b and ca != cb").select("a", "b").distinct()
+
+
 def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links ``(a, b)`` between distinct lines."""
     groups = store(_filed(signed).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).where("size > 1"))
@@ -128,24 +152,21 @@ def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     texts = store(lines.withColumn("h", F.xxhash64("line")).join(_sized(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
     found = store(verified(twos.union(pairs).distinct(), texts))
     crowded = store(members.where(F.col("size") > SMALL_GROUP).select("key", "h"))
-    level, leaders_now = 0, LEADERS
-    while not crowded.isEmpty():
-        # each round settles the leaders and all that are like one of them; what is left is filed under longer bands
-        leaders = store(crowded.groupBy("key", F.pmod("h", F.lit(leaders_now)).alias("part")).agg(F.min("h").alias("b")).select("key", "b"))
-        starred = crowded.hint("merge").join(leaders.hint("merge"), "key").where(F.col("h") != F.col("b")).withColumnRenamed("h", "a")
-        alike = store(verified(starred.select("a", "b").distinct(), texts))
-        found = store(found.union(alike).distinct())
-        settled = starred.hint("merge").join(alike.hint("merge"), ["a", "b"]).select("key", F.col("a").alias("h")).union(leaders.select("key", F.col("b").alias("h")))
-        rest = store(crowded.hint("merge").join(store(settled.distinct()).hint("merge"), ["key", "h"], "left_anti"))
-        if level < len(LONGER):
-            rest = _refiled(rest, texts, level)
-            level += 1
-        else:
-            leaders_now *= 2  # so that a group of lines all just unlike takes few rounds
-        sizes = store(rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        rest = store(rest.hint("merge").join(sizes.hint("merge"), "key"))
-        found = store(found.union(verified(_all_pairs(rest.where(F.col("size") <= SMALL_GROUP)), texts)).distinct())
-        crowded = store(rest.where(F.col("size") > SMALL_GROUP).select("key", "h"))
+    for level in range(len(LONGER) + 1):
+        if crowded.isEmpty():
+            return found
+        leaders = store(crowded.groupBy("key", F.pmod("h", F.lit(LEADERS)).alias("part")).agg(F.min("h").alias("b")).select("key", "b"))
+        starred = crowded.hint("merge").join(leaders.hint("merge"), "key").where(F.col("h") != F.col("b"))
+        starred = starred.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct()
+        found = store(found.union(verified(starred, texts)).distinct())
+        open_ = _open(crowded, found)
+        if level == len(LONGER):
+            return store(found.union(verified(_pairs_in_parts(open_), texts)).distinct())
+        # every line of an open group stays a candidate, also those that a leader is like
+        filed = _refiled(open_, texts, level).hint("merge").join(store(open_.select("h", "component").distinct()).hint("merge"), "h")
+        still = _of_several(filed)
+        found = store(found.union(verified(_all_pairs(still.where(F.col("size") <= SMALL_GROUP)), texts)).distinct())
+        crowded = store(still.where(F.col("size") > SMALL_GROUP).select("key", "h"))
     return found
 
 

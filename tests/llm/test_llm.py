@@ -241,6 +241,25 @@ def test_lines_against_all_shingles(spark):
     assert got == {n for n, root in roots.items() if n != root}
 
 
+def test_links_beside_leaders(spark, monkeypatch):
+    """Chains of drifting lines in crowded groups: most are like their neighbours alone, few like a leader."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 4)
+    monkeypatch.setattr(line_dedup, "LEADERS", 2)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    lines = []
+    for _ in range(4):
+        head, at = letters(200), letters(60)
+        for _ in range(40):
+            at = at[6:] + letters(6)
+            lines.append(head[:150] + at)
+    lines.sort()
+    roots = components(range(len(lines)), brute_links(lines))
+    assert len(set(roots.values())) == 4
+    got = {r["doc_id"] for r in line_dedup.removed_lines(docs_of(spark, enumerate(lines))).collect()}
+    assert got == {n for n, root in roots.items() if n != root}
+
+
 def test_lines_on_odd_rows(spark, odd, empty):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
