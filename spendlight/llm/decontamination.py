@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits of the lower-cased text, hashed into BUCKETS; their document
 frequencies are counted over all documents. The latent space comes from a randomised singular value
-decomposition of TF-IDF passages: tasks sketch the passages of a bounded sample (SAMPLE_DOCS
-documents drawn by a hash of doc_id) with a random test matrix, the partial sketches are summed,
+decomposition of TF-IDF passages: tasks sketch all passages of all documents, a document's last and
+shorter one included, with a random test matrix, the partial sketches are summed,
 the benchmark's own passages are added, and a Nystroem step gives the leading right singular
 vectors. Every document's whole text is then cut into windows of about an item's length at every
 eighth word; a window is a candidate for an item if their cosine, taken in the latent space, reaches
@@ -11,8 +11,11 @@ MIN_COSINE. A candidate counts if the longest common subsequence of item and
 window neighbourhood covers MIN_LCS of the item, and MIN_ANSWER of the item's answer
 (its rarest third of words, or the ``answer`` column if there is one) occurs there.
 
+Items with fewer than MIN_ITEM_WORDS words count where all their words occur in a row, and items in
+scripts without blanks between words where all their letters and digits do, white space and other signs set aside.
+
 Items are worked through in blocks of ITEM_BLOCK, so what a task holds is bounded. Nulls: null
-texts hold no words and never match; items with fewer than MIN_ITEM_WORDS words or a null item_id
+texts hold no words and never match; items without a letter or digit or with a null item_id
 take no part. One row per pair of document row and item: repeated documents each match. Other
 columns are ignored; an empty table on either side gives no rows.
 """
@@ -27,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlight.llm.tables import blocks, share, table
+from spendlight.llm.tables import blocks, table
 from spendlight.storage import cut
 
 BUCKETS, RANK, OVERSAMPLE = 8192, 256, 16
-SAMPLE_DOCS, SAMPLE_WORDS, PASSAGE = 4000, 4000, 32
+PASSAGE = 32
 STEP, SIZES = 8, (16, 32, 64)
 MIN_COSINE, MIN_LCS, MIN_ANSWER, MIN_ITEM_WORDS = 0.2, 0.55, 0.5, 8
 ITEM_BLOCK, SEED = 512, 5
 _OTHER = re.compile(r"[\W_]+")
+#: Scripts that are written without blanks between words: Thai to Myanmar, Khmer, kana, and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 class Words:
@@ -83,25 +88,23 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, count
 
 
-def _sketch(ids: np.ndarray, idf: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, int]:
-    """A'A times ``test`` for the passages (rows of A, of length one) cut from the bucket sequence ``ids``."""
-    starts = np.arange(0, len(ids), PASSAGE)
+def _sketch(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """A'A times ``test`` for the passages (rows of A, of length one) that begin at ``starts`` in the bucket sequence ``ids``."""
     w = idf[ids]
+    lengths = np.diff(np.append(starts, len(ids)))
     norm = np.sqrt(np.maximum(np.add.reduceat(w**2, starts), 1e-9))
     proj = np.add.reduceat(test[ids] * w[:, None], starts, axis=0) / norm[:, None] ** 2
     order = np.argsort(ids, kind="stable")
     sorted_ids = ids[order]
     heads = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
     out = np.zeros_like(test)
-    out[sorted_ids[heads]] = np.add.reduceat(proj[order // PASSAGE] * w[order][:, None], heads, axis=0)
-    return out, len(starts)
+    out[sorted_ids[heads]] = np.add.reduceat(proj[np.repeat(np.arange(len(starts)), lengths)[order]] * w[order][:, None], heads, axis=0)
+    return out
 
 
-def corpus_sketch(docs: DataFrame, count: int, idf: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, int]:
-    """The summed sketch of the sampled documents' passages: partial sketches are added in bucket ranges by tasks."""
-    wanted = share(SAMPLE_DOCS, count)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lsi")), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.where((draw < wanted) & (F.length("text") <= 8 * SAMPLE_WORDS)).select(F.col("text").cast("string").alias("text")).repartition(8)
+def corpus_sketch(docs: DataFrame, idf: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, int]:
+    """The summed sketch of all documents' passages: partial sketches are added in bucket ranges by tasks."""
+    picked = docs.select(F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((idf, test))
     width, chunks = test.shape[1], 64
 
@@ -109,12 +112,16 @@ def corpus_sketch(docs: DataFrame, count: int, idf: np.ndarray, test: np.ndarray
         idf, test = shared.value
         words, total, n = Words(), np.zeros_like(test), 0
         for batch in batches:
-            ids = [x[: len(x) // PASSAGE * PASSAGE or None] for x in (words(t) % BUCKETS for t in batch.column(0).to_pylist())]
-            ids = np.concatenate([x for x in ids if len(x) % PASSAGE == 0 and len(x)] or [np.zeros(0, np.int64)])
-            for at in range(0, len(ids), PASSAGE * 2048):
-                part, m = _sketch(ids[at : at + PASSAGE * 2048], idf, test)
-                total += part
-                n += m
+            ids = [x for x in (words(t) % BUCKETS for t in batch.column(0).to_pylist()) if len(x)]
+            if not ids:
+                continue
+            ends = np.cumsum([len(x) for x in ids])
+            starts = np.concatenate([np.arange(end - len(x), end, PASSAGE) for end, x in zip(ends, ids, strict=True)])
+            ids = np.concatenate(ids)
+            for at in range(0, len(starts), 2048):
+                first, last = starts[at], starts[at + 2048] if at + 2048 < len(starts) else len(ids)
+                total += _sketch(ids[first:last], starts[at : at + 2048] - first, idf, test)
+            n += len(starts)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks, dtype=np.int32)), pa.array([n] + [0] * (chunks - 1), pa.int64()), pa.array([c.tobytes() for c in np.split(total, chunks)], pa.binary())], ["chunk", "n", "part"])
 
@@ -216,6 +223,33 @@ class Matcher:
                 best[i] = (cosine, common, part, first)
 
 
+class Exact:
+    """The short items and those in unspaced scripts, which are met as they are."""
+
+    def __init__(self, short, unspaced):
+        self.by_first: dict[int, list] = {}
+        for key, w in short:
+            self.by_first.setdefault(int(w[0]), []).append((key, w))
+        self.firsts = np.array(sorted(self.by_first), np.int64)
+        self.unspaced = unspaced
+
+    def match(self, text: str | None, words: np.ndarray) -> list[tuple]:
+        """``(key, cosine, lcs share, answer share, first word)`` of each item that occurs, at its first place."""
+        best: dict = {}
+        for at in np.flatnonzero(np.isin(words, self.firsts)).tolist() if len(self.firsts) else ():
+            for n, (key, w) in enumerate(self.by_first[int(words[at])]):
+                where = (int(words[at]), n)
+                if where not in best and np.array_equal(words[at : at + len(w)], w):
+                    best[where] = (key, 1.0, 1.0, 1.0, at)
+        if self.unspaced and text and not text.isascii():
+            cores = [c for c in (_OTHER.sub("", t) for t in text.lower().split()) if c]
+            run, ends = "".join(cores), np.cumsum([len(c) for c in cores])
+            for n, (key, core) in enumerate(self.unspaced):
+                if (at := run.find(core)) >= 0:
+                    best[-1, n] = (key, 1.0, 1.0, 1.0, int(np.searchsorted(ends, at, "right")))
+        return list(best.values())
+
+
 def _windows(x: np.ndarray, width: int) -> np.ndarray:
     """Sums of ``width`` (a power of two) neighbouring rows from each row on (fewer at the end), by doubling."""
     out, reach = x.copy(), 1
@@ -237,28 +271,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     usable = usable.select("item_id", F.col("text").cast("string").alias("text"), answer.alias("answer"))
     n_blocks = blocks(usable.count(), ITEM_BLOCK)
     test = np.random.default_rng(SEED).standard_normal((BUCKETS, RANK + OVERSAMPLE)).astype(np.float32)
-    sketch, passages = corpus_sketch(docs, count, idf.astype(np.float32), test)
+    sketch, passages = corpus_sketch(docs, idf.astype(np.float32), test)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind, item_kind = dict(slim.dtypes)["doc_id"], dict(usable.dtypes)["item_id"]
     result = None
     for block in range(n_blocks):
         rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        items = [(r["item_id"], words(r["text"]), words(r["answer"]).tolist() if r["answer"] else None) for r in rows]
+        bare = [x for x in ((r["item_id"], _OTHER.sub("", r["text"].lower())) for r in rows if _UNSPACED.search(r["text"])) if x[1]]
+        items = [(r["item_id"], words(r["text"]), words(r["answer"]).tolist() if r["answer"] else None) for r in rows if not _UNSPACED.search(r["text"])]
+        exact = Exact([(k, w) for k, w, _ in items if 0 < len(w) < MIN_ITEM_WORDS], bare)
         items = [x for x in items if len(x[1]) >= MIN_ITEM_WORDS]
         vectors = np.zeros((len(items), BUCKETS))
         for i, (_, w, _) in enumerate(items):
             np.add.at(vectors[i], w % BUCKETS, idf[w % BUCKETS])
         basis = latent_basis(vectors, sketch, passages, test) if items else np.zeros((BUCKETS, 1))
-        shared = spark.sparkContext.broadcast(Matcher(items, idf, basis))  # at most ITEM_BLOCK columns
+        shared = spark.sparkContext.broadcast((Matcher(items, idf, basis), exact))  # at most ITEM_BLOCK columns
 
         def run(batches, shared=shared):
-            matcher, own = shared.value, Words()
+            (matcher, exact), own = shared.value, Words()
             for batch in batches:
                 at, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    for hit in matcher.match(own(text)) if matcher.keys else ():
+                    ids = own(text)
+                    hits = [(matcher.keys[hit[0]], *hit[1:]) for hit in matcher.match(ids)] if matcher.keys else []
+                    for hit in hits + exact.match(text, ids):
                         at.append(i)
-                        found.append((matcher.keys[hit[0]], *hit[1:]))
+                        found.append(hit)
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int64() if item_kind == "bigint" else None), *(pa.array(c, pa.float64()) for c in columns[1:4]), pa.array(columns[4], pa.int64())],

@@ -332,6 +332,31 @@ def test_leaks_and_paraphrases(spark):
     assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    docs = docs_of(spark, [(1, "we say The Quick, brown fox! here"), (2, "the quick red fox"), (3, "開頭。今天 天氣很好，我們去公園。"), (4, "今天天氣不好"), (5, None)])
+    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "今天天氣很好"), (3, "..."), (4, "quick brow")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 2), (3, 2, 0)}
+
+
+def test_sketch_is_of_all_passages(spark):
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate((3, 31, 32, 70, 9000))]
+    idf = np.linspace(0.1, 2, decontamination.BUCKETS).astype(np.float32)
+    test = np.random.default_rng(1).standard_normal((decontamination.BUCKETS, 4)).astype(np.float32)
+    rows = []
+    for _, t in texts:
+        ids = decontamination.Words()(t) % decontamination.BUCKETS
+        for at in range(0, len(ids), decontamination.PASSAGE):
+            row = np.zeros(decontamination.BUCKETS)
+            np.add.at(row, ids[at : at + decontamination.PASSAGE], idf[ids[at : at + decontamination.PASSAGE]])
+            # the length is that of the words one by one, as for the windows
+            rows.append(row / np.sqrt((idf[ids[at : at + decontamination.PASSAGE]] ** 2).sum()))
+    a = np.array(rows)
+    got, n = decontamination.corpus_sketch(docs_of(spark, texts), idf, test)
+    assert n == len(rows) and np.allclose(got, a.T @ (a @ test), rtol=1e-3, atol=1e-3)
+
+
 def test_common_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
