@@ -104,3 +104,17 @@ def test_ttl_rearms(spark):
 def test_retry_gives_up(spark):
     again, dead = S.retry_plan(spark.createDataFrame([("k", 2), ("j", 3)], "idempotency_key string, attempt int"))
     assert [tuple(r) for r in again.collect()] == [("k:retry:3", 3)] and [r["idempotency_key"] for r in dead.collect()] == ["j"]
+
+
+def test_whole_texts_are_normalized(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from spendlight.plans import registry
+
+    texts = ["Société  Générale " * 40 + "Ende ﬁ ½ @ Zürich", "plain\ttext, Inc. " * 30 + "last", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["canonical"] for r in registry.queries()["ent_normalize_unicode"](spark, str(tmp_path)).collect()}
+    folded = [t and unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+    kept = [t and re.sub(r"[^a-zA-Z0-9\s&,.\-]", "", t, flags=re.ASCII) for t in folded]
+    assert got == {i: t and re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ").upper() for i, t in enumerate(kept)}
