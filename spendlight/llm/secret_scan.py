@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives.
 
-One pass finds candidates in whole texts: known key formats, values assigned to a name, and long
-bare tokens. Each gets features of its length, alphabet, entropy, character transitions, coverage
+Candidates are found in whole texts and at any length: known key formats, quoted and unquoted values
+assigned to a name, and long bare tokens. Each gets features of its length, alphabet, entropy, character transitions, coverage
 by dictionary words, path (the document's source) and neighbouring words. The forest is trained on
 labelled findings: ``findings`` may be given with a 0/1 label; without them, candidates are labelled by
 distant supervision (see ``weak_label``), which leaves the doubtful ones unlabelled. At most about
@@ -37,29 +37,37 @@ FORMATS = {
     "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "jwt": r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}",
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"\b([A-Za-z_][\w.-]{1,40})\s{0,3}[=:]\s{0,3}[\"']([^\s\"']{8,200})[\"']",
-    "bare": r"(?<![\w/+-])(?=[\w/+-]{0,200}\d)(?=[\w/+-]{0,200}[A-Za-z])[0-9A-Za-z_/+-]{20,200}(?![\w/+-])",
+    "assigned": r"\b([A-Za-z_][\w.-]{1,40})\s{0,3}[=:]\s{0,3}[\"']([^\s\"']{8,}+)[\"']",
+    "bare": r"(?<![\w/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[0-9A-Za-z_/+-]{20,}+(?![\w/+-])",
 }
 SECRET_WORDS = "api auth bearer credential key passwd password private pwd secret token".split()
 DOUBT_WORDS = "checksum commit demo digest dummy example fake hash id md5 sample sha sha1 sha256 test uuid version".split()
 DICTIONARY = "abc admin change changeme default demo dummy example foo bar hello key main master name none null pass password placeholder public qwerty sample secret string test token user value version world your".split()
 
 _FIND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in FORMATS.items()))
+#: Unquoted values, looked for beside the others so that these are found inside them too.
+_UNQUOTED = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]{1,40}+)[ \t]{0,3}[=:][ \t]{0,3}(?!//)([^\s\"']{8,}+)")
 _WORD = re.compile(r"[A-Za-z0-9]+")
-KINDS = list(FORMATS)
+KINDS = [*FORMATS, "unquoted"]
 NAMES = ("kind", "length", "entropy", "digits", "upper", "lower", "other", "hex", "transitions", "runs", "dictionary", "secret_near", "doubt_near", "secret_name", "path", "vowels")
 
 
 def find(text: str | None):
     """``(start, value, kind, name)`` of every candidate."""
+    starts = set()
     for m in _FIND.finditer(text or ""):
         kind = m.lastgroup
         # named groups hold numbered ones: lastgroup is the alternative that matched
         if kind == "assigned":
             at = m.re.groupindex["assigned"]
+            starts.add(m.start(at + 2))
             yield m.start(at + 2), m[at + 2], kind, m[at + 1].lower()
         else:
+            starts.add(m.start())
             yield m.start(), m[0], kind, ""
+    for m in _UNQUOTED.finditer(text or ""):
+        if m.start(2) not in starts:
+            yield m.start(2), m[2], "unquoted", m[1].lower()
 
 
 def _kind_of(c: str) -> int:

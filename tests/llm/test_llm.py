@@ -141,6 +141,18 @@ def test_secret_scan_removes_false_positives(spark):
     assert len(turned & {i for i in range(60) if i % 2 == 0}) >= 28
 
 
+def test_candidates_of_any_length_and_unquoted():
+    rng = random.Random(3)
+    token = "".join(rng.choices("abcdefghijkXYZ0123456789", k=1000)) + "a1"
+    found = lambda text: [(v, k) for _, v, k, _ in secret_scan.find(text)]
+    for n in (208, 1000):
+        assert found(f"see {token[:n]} end") == [(token[:n], "bare")]
+        assert found(f'api_key = "{token[:n]}"') == [(token[:n], "assigned")]
+    assert found("user=bob\npassword=hunter2abc\n") == [("hunter2abc", "unquoted")]
+    assert ("AKIA" + "A" * 16, "aws_key") in found("url=https://x/?key=AKIA" + "A" * 16)
+    assert found("key=AKIA" + "A" * 16) == [("AKIA" + "A" * 16, "aws_key")]
+
+
 # ---- pages
 
 
