@@ -3,7 +3,7 @@
 Each round rewires every edge towards the smallest neighbour (first among larger neighbours, then
 among smaller ones), so long chains shrink by a constant factor a round. The minimum of each node
 is written out before it is joined back: both join sides are then plain shuffles, which adaptive
-execution can split when one node has very many edges.
+execution can split when one node has very many edges. A round's tables go when the next has read them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlight.storage import store
+from spendlight.storage import scratch, store
 
 
 def _digest(df: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def _digest(df: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every node that has an edge; component is the smallest id reachable.
 
-    Null ends and self-loops carry no link and are left out; repeated edges count once.
+    Null ends and self-loops carry no link and are left out; repeated edges count once. The result is a stored table.
     """
     pairs = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("p"), F.col(b).alias("q"))
@@ -30,24 +30,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .select("u", "v")
         .distinct()
     )
-    current = store(pairs)
-    before = _digest(current)
-    for _ in range(max_rounds if before[0] else 0):
-        both = current.union(current.select(F.col("v"), F.col("u")))
-        lows = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = store(
-            both.hint("merge").join(lows.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        lows = store(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.hint("merge").join(lows.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = store(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
-        after = _digest(current)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    with scratch(edges.sparkSession) as keep:
+        current = keep(pairs)
+        before = _digest(current)
+        for _ in range(max_rounds if before[0] else 0):
+            both = current.union(current.select(F.col("v"), F.col("u")))
+            lows = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            large = keep(
+                both.hint("merge").join(lows.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            )
+            lows = keep(large.groupBy("u").agg(F.min("v").alias("m")))
+            small = large.hint("merge").join(lows.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            current = keep(small.union(lows.select("u", F.col("m").alias("v"))).distinct())
+            after = _digest(current)
+            if after == before:
+                break
+            before = after
+        else:
+            if before[0]:
+                raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        ends = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        return store(ends.union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))

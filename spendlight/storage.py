@@ -3,47 +3,75 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a private one only where it is unset (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, a private one in local mode alone."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder:
         if not context.getCheckpointDir():
             context.setCheckpointDir(folder)
     elif not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint: a lost executor loses nothing.
+    """``df`` computed once and kept as a reliable checkpoint: a lost executor loses nothing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    A checkpointed frame carries the constraints of the plan that made it; over the rounds of an
-    iteration they would multiply and fill the driver, so none are derived here.
+
+def store(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder (or ``folder`` there) and read back.
+
+    A checkpointed frame also carries its plan's size estimate and constraints, which each join
+    multiplies: over the rounds of an iteration they outgrow the driver. A table that is read back
+    has its true size.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    path = f"{folder or ensure_checkpoint_dir(spark) + '/tables'}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``store`` whose tables are deleted at the end of the block; what outlives it must be stored elsewhere."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid4().hex}"
     try:
-        return df.checkpoint(eager=True)
+        yield lambda df: store(df, folder)
     finally:
-        spark.conf.set(name, before)
+        discard(spark, folder)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back, for the rounds of an iteration.
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of spent tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    A checkpointed frame also carries its plan's size estimate, which each join multiplies: over
-    many rounds the number itself outgrows the driver. A table that is read back has its true size.
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed by ``key``, for several joins on it without a shuffle; dropped at the end of the block.
+
+    There are as many buckets as shuffle partitions, so a shuffle by ``key`` meets them as it is.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"bucketed_{uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).format("parquet").option("path", folder).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, folder)
