@@ -1,20 +1,24 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Every line that is not blank takes part, whole. Its character shingles are the SHINGLE characters
-from each character on, of the lower-cased line (a shorter line is its own shingle; one of white space alone has none and is like no other).
-Equal lines are counted as one; each distinct line gets
-BANDS x ROWS minima of its shingles' hashes, and lines that agree on all rows of a band are
-candidates. All pairs of a small band group are candidates. In a crowded one every line is paired
-with a few leaders; if its lines are then in one component there is nothing left to find, else all of
-them, linked or not, go on under longer bands, which tell merely related lines apart. In groups that
-are crowded to the end, all pairs of lines of different components are compared, dealt out in parts.
-Candidates are verified by the exact Jaccard similarity of their whole shingle sets (each shingle as its 64-bit hash); verified links are
-joined into components, and of each component's occurrences the first, by (doc_id, line number), stays.
-
-With three rows and eight bands a pair at similarity 0.8 becomes a candidate with probability
-0.997; larger corpora take more rows and bands. Lines are named by a 64-bit hash of
-their text. Nulls: a null text has no lines; documents with a null doc_id stay as they are and take
-no part. Rows that repeat a doc_id share its decisions by line number. Other columns are kept.
+Every line that is not white space alone takes part, whole. Its character shingles are the SHINGLE
+characters from each character on, of the lower-cased line (a line shorter than that is, trimmed,
+its own shingle). Equal lines are counted as one. Distinct lines lie in a table bucketed by their
+64-bit hash, which names them, so that texts are fetched for signatures and checks without being
+shuffled again. Each gets BANDS x ROWS minima of its shingles' hashes; lines that agree on all rows
+of a band are candidates: in groups of up to SMALL lines all pairs, in larger ones each line with the
+group's pivot, its most frequent line. Candidates are verified by the exact Jaccard similarity of
+their whole shingle sets (shingles as 64-bit hashes), verified links are joined into components, and of
+each component's occurrences the first, by (doc_id, text hash, line number), stays.
+
+A larger group whose lines are then in one component has nothing left to find. All lines of any
+other, linked or not, are filed anew under the group and one of BRANCHES further minima each, which
+tells merely related lines apart, up to LEVELS times; in groups that are larger than SMALL even then,
+all pairs of lines of different components are compared, one side dealt into PARTS.
+
+A pair at similarity 0.8 shares one of eight bands of three rows with probability 0.997, and in a
+refined group one of five further rows with 0.9997. Nulls: a null text has no lines; documents with a
+null doc_id stay as they are and take no part. Rows of one doc_id and different texts are different
+documents; rows that repeat both share their decisions. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,182 +26,184 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlight.llm.tables import table
+from spendlight.llm.tables import column, fresh, table
 from spendlight.operators.components import connected_components
-from spendlight.storage import cut, store
+from spendlight.storage import bucketed, scratch, store
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 12, 0.8
-#: Distinct lines under one band key up to which all pairs are compared, and lines that a larger group is compared with at a time.
-SMALL_GROUP, LEADERS = 32, 16
-#: (bands, rows) for the lines of crowded groups: recall 0.998 and 0.997 a pair at similarity 0.8.
-LONGER = ((20, 6), (40, 9))
-#: Parts that a line's partners are dealt into where a group stays crowded.
-PARTS = 16
-#: Rows up to which a table of line hashes is sent to every task (24 bytes each).
-BROADCAST_ROWS = 500_000
-#: Characters whose shingles are cut from one piece of a line, so that the time grows with the line's length alone.
-PIECE = 64
-#: Takes a piece with what its last shingle needs beyond it; from where too few characters are left nothing matches.
-_PIECES = r"(?s)(?=(.{%d,%d})).{1,%d}" % (SHINGLE, PIECE + SHINGLE - 1, PIECE)
+#: Distinct lines of a group up to which all its pairs are compared.
+SMALL = 8
+#: Further minima for each refinement of a group, refinements, and parts that a line's partners are dealt into after them.
+BRANCHES, LEVELS, PARTS = 5, 4, 16
+WHITE = " \t\r\x0b\x0c"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place, line)`` for every line that is not blank."""
+    """``(doc_id, version, place, line)`` for every line that is not white space alone; version is the text's hash."""
+    text = F.col("text").cast("string")
     parts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    parts = parts.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("place", "line"))
-    return parts.where(F.trim("line") != "")
+    parts = parts.select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    return parts.where(F.trim("line", F.lit(WHITE)) != "")
 
 
-def shingle_hashes(line):
-    """The 64-bit hashes of a line's shingles, repeats included; a line that is too short for one is its own."""
-    lowered = F.lower(line)
-    bare = F.trim(lowered, F.lit(" \t\r\x0b\x0c"))
-    pieces = F.regexp_extract_all(lowered, F.lit(_PIECES), F.lit(1))
-    every = F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE))))))
-    own = F.when(bare != "", F.array(F.xxhash64(bare))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.length(lowered) < SHINGLE, own).otherwise(every)
+def _wide(line):
+    """A line, lower-cased, with four bytes for each character, so that any of its shingles is found at once."""
+    return F.encode(F.lower(line), "UTF-32")
 
 
-def _minimum(hashes: str, mask: int):
-    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
+def _at(wide, i):
+    return F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE))
 
 
-def _mask(i: int) -> int:
-    """A fixed 64-bit mask for hash number ``i``."""
-    x = (0x9E3779B97F4A7C15 * (i + 1)) & (1 << 64) - 1
-    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
-    x ^= x >> 27
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _last(line):
+    """Number of a line's last shingle."""
+    return F.greatest(F.length(F.lower(line)) - SHINGLE, F.lit(0))
+
 
+def _own(line):
+    return F.when(F.length(F.lower(line)) < SHINGLE, F.trim(F.lower(line), F.lit(WHITE)))
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """``(h, n, keys)``: each distinct line's hash, its number of occurrences and its band keys.
 
-    The minima are taken within each line's array of shingle hashes, so nothing is exploded or regrouped.
-    """
-    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    hashed = distinct.select(F.xxhash64("line").alias("h"), "n", shingle_hashes(F.col("line")).alias("x"))
-    keys = [F.when(F.size("x") > 0, F.xxhash64(F.lit(b), *(_minimum("x", _mask(b * ROWS + r)) for r in range(ROWS)))).alias(f"k{b}") for b in range(BANDS)]
-    return hashed.select("h", "n", *keys)
+def shingle_set(line):
+    """The distinct 64-bit hashes of a line's shingles."""
+    every = F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda i: F.xxhash64(_at(wide, i)))))
+    return F.when(_own(line).isNotNull(), F.array(F.xxhash64(_own(line)))).otherwise(every[0])
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A small checkpointed table to join with: sent to every task up to BROADCAST_ROWS rows, else shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+def _mask(k: int) -> int:
+    """Mask of the ``k``-th minimum: its top five bits tell the masks apart, the rest is mixed."""
+    low = (0x9E3779B97F4A7C15 * (k + 1)) % (1 << 59)
+    x = (k * 11 % 32) << 59 | low
+    return x - (1 << 64) if x >= 1 << 63 else x
+
 
+def minima(texts: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes under as many orders (up to 32), a row per shingle in between."""
+    one = texts.select("h", _wide("line").alias("wide"), _own("line").alias("own"), F.explode(F.sequence(F.lit(0), _last("line"))).alias("i"))
+    x = F.coalesce(F.xxhash64(F.lit(seed), "own") if seed else F.xxhash64("own"), F.lit(0))
+    every = F.xxhash64(F.lit(seed), _at(F.col("wide"), F.col("i"))) if seed else F.xxhash64(_at(F.col("wide"), F.col("i")))
+    hashed = one.select("h", F.when(F.col("own").isNull(), every).otherwise(x).alias("x"))
+    return hashed.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(count)))
 
-def _filed(signed: DataFrame) -> DataFrame:
-    keys = F.array(*(f"k{b}" for b in range(BANDS)))
-    return signed.where(F.col("k0").isNotNull()).select("h", F.explode(keys).alias("key"))
 
+def signatures(texts: DataFrame) -> DataFrame:
+    """``(h, keys)``: the band keys of each distinct line."""
+    keys = (F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS))
+    return minima(texts, BANDS * ROWS).select("h", F.array(*keys).alias("keys"))
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets' Jaccard similarity reaches SIMILARITY; ``texts`` is (h, line).
 
-    Lines are sent to the pairs, not their shingle sets, which are many times as large.
-    """
-    one, two = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    both = pairs.hint("merge").join(one.hint("merge"), "a").hint("merge").join(two.hint("merge"), "b")
-    distinct = lambda c: F.array_distinct(shingle_hashes(F.col(c)))
-    enough = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda n: (n > 0) & (n >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - n)))
+def verified(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets' Jaccard similarity reaches SIMILARITY; ``texts`` is (h, line)."""
+    pairs = keep(pairs)
+    # few lines have most pairs, always as b: their texts are a table of their own, whose join can be split
+    ends = keep(pairs.select(F.col("b").alias("h")).distinct().hint("merge").join(texts.hint("merge"), "h"))
+    both = pairs.hint("merge").join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+    both = both.hint("merge").join(ends.select(F.col("h").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
+    enough = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda n: n >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - n))
     # one expression, in which each set is computed once, wherever the condition is pushed
-    return both.where(F.exists(F.array(F.struct(distinct("la").alias("a"), distinct("lb").alias("b"))), enough)).select("a", "b")
+    return keep(both.where(F.exists(F.array(F.struct(shingle_set("la").alias("a"), shingle_set("lb").alias("b"))), enough)).select("a", "b"))
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    one, two = members.select("key", F.col("h").alias("a")), members.select("key", F.col("h").alias("b"))
-    return one.hint("merge").join(two.hint("merge"), "key").where("a < b").select("a", "b").distinct()
+def _candidates(members: DataFrame) -> DataFrame:
+    """``(a, b)``: all pairs of groups of up to SMALL lines, and each line of a larger one with the pivot; ``members`` is (key, h, n, size)."""
+    small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
+    one, two = small.select("key", F.col("h").alias("a")), small.select("key", F.col("h").alias("b"))
+    pairs = one.hint("merge").join(two.hint("merge"), "key").where("a < b").select("a", "b")
+    pivots = large.groupBy("key").agg(F.max(F.struct("n", "h")).alias("pivot")).select("key", F.col("pivot.h").alias("b"))
+    stars = large.select("key", F.col("h").alias("a")).hint("merge").join(pivots.hint("merge"), "key").where("a != b").select("a", "b")
+    return pairs.union(stars).distinct()
 
 
-def _refiled(rest: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """``(key, h)``: the distinct lines of ``rest`` under the bands of LONGER[level], with hash numbers of their own."""
-    bands, rows = LONGER[level]
-    before = BANDS * ROWS + sum(b * r for b, r in LONGER[:level])
-    keys = [F.xxhash64(F.lit(b), *(_minimum("s", _mask(before + b * rows + r)) for r in range(rows))) for b in range(bands)]
-    lines = store(rest.select("h").distinct())
-    sets = texts.hint("merge").join(lines.hint("merge"), "h", "left_semi").select("h", shingle_hashes(F.col("line")).alias("s"))
-    return store(sets.select("h", F.explode(F.array(*keys)).alias("key")).select("key", "h"))
+def _sized(filed: DataFrame, keep) -> DataFrame:
+    """``filed`` with the size of each group, without groups of one line."""
+    sizes = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    return keep(filed.hint("merge").join(sizes.hint("merge"), "key"))
 
 
-def _of_several(filed: DataFrame) -> DataFrame:
-    """``(key, h, component, size)`` of the groups whose lines aren't all in one component: no other can join anything."""
-    sizes = store(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "size"))
-    return store(filed.hint("merge").join(sizes.hint("merge"), "key").select("key", "h", "component", "size"))
+def _named(lines: DataFrame, found: DataFrame, keep) -> DataFrame:
+    """``lines`` (..., h) with the component of each under the links ``found``."""
+    joined = keep(connected_components(found).withColumnRenamed("id", "h"))
+    return lines.hint("merge").join(joined.hint("merge"), "h", "left").withColumn("component", F.coalesce("component", "h"))
 
 
-def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """The groups of ``crowded`` that the links ``found`` don't join into one component, whole."""
-    joined = store(connected_components(found).withColumnRenamed("id", "h"))
-    named = crowded.hint("merge").join(joined.hint("merge"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
-    return _of_several(store(named))
+def _open(members: DataFrame, found: DataFrame, keep) -> DataFrame:
+    """``(key, h, n, component)``: the groups of more than SMALL lines that aren't in one component, whole."""
+    named = keep(_named(members.where(F.col("size") > SMALL).select("key", "h", "n"), found, keep))
+    several = keep(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    return keep(named.hint("merge").join(several.hint("merge"), "key").select("key", "h", "n", "component"))
 
 
-def _pairs_in_parts(members: DataFrame) -> DataFrame:
+def _refined(open_: DataFrame, texts: DataFrame, level: int, keep) -> DataFrame:
+    """The lines of open groups filed under (group, branch, one further minimum)."""
+    lines = keep(open_.select("h").distinct())
+    more = keep(minima(lines.hint("merge").join(texts.hint("merge"), "h"), BRANCHES, seed=level))
+    both = open_.hint("merge").join(more.hint("merge"), "h")
+    return keep(both.select("h", "n", F.explode(F.array(*(F.xxhash64("key", F.lit(k), f"m{k}") for k in range(BRANCHES)))).alias("key")).select("key", "h", "n"))
+
+
+def _rest(open_: DataFrame) -> DataFrame:
     """All pairs of a group's lines that are of different components; one side is dealt into parts, the other sent to each."""
     part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")
-    one = members.select("key", F.col("h").alias("a"), F.col("component").alias("ca"), part.alias("part"))
-    two = members.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    one = open_.select("key", F.col("h").alias("a"), F.col("component").alias("ca"), part.alias("part"))
+    two = open_.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where("a < b and ca != cb").select("a", "b").distinct()
 
 
-def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """Verified links ``(a, b)`` between distinct lines."""
-    groups = store(_filed(signed).groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).where("size > 1"))
-    twos = groups.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    larger = store(groups.where("size > 2").select("key", "size"))
-    members = store(_filed(signed).join(_sized(larger), "key"))
-    small = members.where(F.col("size") <= SMALL_GROUP)
-    pairs = _all_pairs(small)
-    wanted = store(twos.select(F.explode(F.array("a", "b")).alias("h")).union(members.select("h")).distinct())
-    texts = store(lines.withColumn("h", F.xxhash64("line")).join(_sized(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-    found = store(verified(twos.union(pairs).distinct(), texts))
-    crowded = store(members.where(F.col("size") > SMALL_GROUP).select("key", "h"))
-    for level in range(len(LONGER) + 1):
-        if crowded.isEmpty():
+def links(texts: DataFrame, keep) -> DataFrame:
+    """Verified links ``(a, b)`` between the distinct lines ``texts`` (h, n, line)."""
+    signed = keep(signatures(texts))
+    filed = signed.select("h", F.explode("keys").alias("key"))
+    # a group of two is its least and its greatest line
+    groups = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("a"), F.max("h").alias("b")).where("size > 1"))
+    larger = filed.hint("merge").join(groups.where("size > 2").select("key", "size").hint("merge"), "key")
+    members = keep(keep(larger).hint("merge").join(texts.select("h", "n").hint("merge"), "h"))
+    texts = texts.select("h", "line")
+    found = verified(groups.where("size = 2").select("a", "b").union(_candidates(members)).distinct(), texts, keep)
+    open_ = _open(members, found, keep)
+    for level in range(1, LEVELS + 1):
+        if open_.isEmpty():
             return found
-        leaders = store(crowded.groupBy("key", F.pmod("h", F.lit(LEADERS)).alias("part")).agg(F.min("h").alias("b")).select("key", "b"))
-        starred = crowded.hint("merge").join(leaders.hint("merge"), "key").where(F.col("h") != F.col("b"))
-        starred = starred.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct()
-        found = store(found.union(verified(starred, texts)).distinct())
-        open_ = _open(crowded, found)
-        if level == len(LONGER):
-            return store(found.union(verified(_pairs_in_parts(open_), texts)).distinct())
-        # every line of an open group stays a candidate, also those that a leader is like
-        filed = _refiled(open_, texts, level).hint("merge").join(store(open_.select("h", "component").distinct()).hint("merge"), "h")
-        still = _of_several(filed)
-        found = store(found.union(verified(_all_pairs(still.where(F.col("size") <= SMALL_GROUP)), texts)).distinct())
-        crowded = store(still.where(F.col("size") > SMALL_GROUP).select("key", "h"))
-    return found
+        members = _sized(_refined(open_, texts, level, keep), keep)
+        found = keep(found.union(verified(_candidates(members), texts, keep)).distinct())
+        open_ = _open(members, found, keep)
+    return keep(found.union(verified(_rest(open_), texts, keep)).distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place)`` of every line that a near-duplicate before it makes redundant."""
-    lines = lines_of(docs)
-    signed = cut(signatures(lines))
-    joined = connected_components(links(lines.select("line"), signed))
-    repeated = signed.where("n > 1").select("h", F.col("h").alias("component"))
-    roots = store(joined.select(F.col("id").alias("h"), "component").union(repeated).groupBy("h").agg(F.min("component").alias("root")))
-    # a repeated line that also has links carries its component, which is never larger than its own hash
-    placed = lines.select("doc_id", "place", F.xxhash64("line").alias("h")).join(_sized(roots), "h").select("doc_id", "place", "root")
-    placed = store(placed.distinct())
-    first = store(placed.groupBy("root").agg(F.min(F.struct("doc_id", "place")).alias("keep")))
-    return placed.hint("merge").join(first.hint("merge"), "root").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("place") != F.col("keep.place"))).select("doc_id", "place")
+    """``(doc_id, version, places)``: the line numbers, ascending, that a near-duplicate before them makes redundant."""
+    lines = lines_of(docs).withColumn("h", F.xxhash64("line"))
+    distinct = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+    with scratch(docs.sparkSession) as keep, bucketed(distinct, "h") as texts:
+        joined = connected_components(links(texts, keep)).select(F.col("id").alias("h"), "component")
+        repeated = texts.where("n > 1").select("h", F.col("h").alias("component"))
+        # a repeated line that also has links carries its component, which is never larger than its own hash
+        roots = keep(joined.union(repeated).groupBy("h").agg(F.min("component").alias("root")))
+        return _redundant(lines, roots, keep)
+
+
+def _redundant(lines: DataFrame, roots: DataFrame, keep) -> DataFrame:
+    placed = keep(lines.select("doc_id", "version", "place", "h").hint("merge").join(roots.hint("merge"), "h").select("root", F.struct("doc_id", "version", "place").alias("at")))
+    first = keep(placed.groupBy("root").agg(F.min("at").alias("first")))
+    gone = placed.hint("merge").join(first.hint("merge"), "root").where(F.col("at") != F.col("first"))
+    return store(gone.groupBy("at.doc_id", "at.version").agg(F.sort_array(F.collect_set("at.place")).alias("places")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with each text's redundant lines taken out; no row goes."""
-    gone = cut(removed_lines(docs).groupBy("doc_id").agg(F.collect_list("place").alias("gone__places")))
-    both = docs.hint("merge").join(gone.hint("merge"), "doc_id", "left")
-    kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("gone__places", i)), "\n")
-    new = F.when(F.col("gone__places").isNull(), F.col("text")).otherwise(kept)
-    return both.select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    version, places = fresh(docs, "version"), fresh(docs, "places")
+    gone = removed_lines(docs).withColumnRenamed("version", version).withColumnRenamed("places", places)
+    text = F.col("text").cast("string")
+    both = docs.withColumn(version, F.xxhash64(text)).hint("merge").join(gone.hint("merge"), ["doc_id", version], "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+    new = F.when(F.col(places).isNull(), F.col("text")).otherwise(kept)
+    return both.select(*(new.alias(c) if c == "text" else column(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (all lines), n_removed, removed (line numbers from 0, ascending)."""
     docs = table(spark, sf_dir, "documents")
-    gone = cut(removed_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("place")).alias("removed")))
-    n_lines = F.coalesce(F.size(F.split(F.col("text"), "\n")), F.lit(0))
-    slim = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return slim.hint("merge").join(gone.hint("merge"), "doc_id", "left").select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    slim = docs.select("doc_id", F.xxhash64("text").alias("version"), n_lines.alias("n_lines"))
+    removed = F.coalesce("places", F.array().cast("array<int>"))
+    both = slim.hint("merge").join(removed_lines(docs).hint("merge"), ["doc_id", "version"], "left")
+    return both.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))

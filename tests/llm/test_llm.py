@@ -184,23 +184,34 @@ def test_style_tree_removes_what_a_host_repeats(spark):
 # ---- near-duplicate lines and documents
 
 
-def brute_lines(texts):
-    import re
+def all_shingles(line, n=line_dedup.SHINGLE):
+    x = line.lower()
+    return {x[i : i + n] for i in range(len(x) - n + 1)} if len(x) >= n else {x.strip(" \t\r\x0b\x0c")} - {""}
 
+
+def brute_links(lines):
+    """All pairs of lines whose sets of character shingles reach a Jaccard similarity of 0.8."""
+    sets = [all_shingles(x) for x in lines]
+    return [(a, b) for a in range(len(lines)) for b in range(a) if sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def brute_lines(texts):
     occurrences = {}
     for i, t in texts:
         for k, line in enumerate((t or "").split("\n") if i is not None else []):
-            if line.strip(" "):
+            if line.strip(" \t\r\x0b\x0c"):
                 occurrences.setdefault(line, []).append((i, k))
     lines = sorted(occurrences)
-    sets = [set(re.findall(r"(?<!\S)(?=(\S.{11}))", x.lower())) or {x.lower().strip(" ")} for x in lines]
-    linked = [(a, b) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     joined = {}
-    for n, root in components(range(len(lines)), linked).items():
+    for n, root in components(range(len(lines)), brute_links(lines)).items():
         joined.setdefault(root, []).extend(occurrences[lines[n]])
     return {x for places in joined.values() for x in places if x != min(places)}
 
 
+def removed_places(docs):
+    return {(r["doc_id"], place) for r in line_dedup.removed_lines(docs).collect() for place in r["places"]}
+
+
 def line_texts():
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 9))) for _ in range(400)]
@@ -220,23 +231,12 @@ def line_texts():
 def test_lines_against_brute_force(spark, monkeypatch):
     texts = line_texts()
     expected = brute_lines(texts)
-    got = {(r["doc_id"], r["place"]) for r in line_dedup.removed_lines(docs_of(spark, texts)).collect()}
-    assert got == expected
-    # the same with every group taken for a crowded one, and nothing sent to every task
-    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 2)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
-    again = {(r["doc_id"], r["place"]) for r in line_dedup.removed_lines(docs_of(spark, texts)).collect()}
-    assert len(again ^ expected) <= 0.02 * len(expected)
-
-
-def all_shingles(line, n=line_dedup.SHINGLE):
-    x = line.lower()
-    return {x[i : i + n] for i in range(len(x) - n + 1)} if len(x) >= n else {x.strip()} - {""}
-
-
-def brute_links(lines):
-    sets = [all_shingles(x) for x in lines]
-    return [(a, b) for a in range(len(lines)) for b in range(a) if sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert removed_places(docs_of(spark, texts)) == expected
+    # the same with nearly every group taken for a crowded one
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    assert removed_places(docs_of(spark, texts)) == expected
+    monkeypatch.setattr(line_dedup, "LEVELS", 0)
+    assert removed_places(docs_of(spark, texts)) == expected
 
 
 def test_lines_against_all_shingles(spark):
@@ -249,14 +249,13 @@ def test_lines_against_all_shingles(spark):
         lines += [" ".join(line), " ".join(line[:-1]), "".join(line), "".join(line[1:]), " ".join([*line[:-1], rng.choice(words)])]
     lines = sorted(set(lines))
     roots = components(range(len(lines)), brute_links(lines))
-    got = {r["doc_id"] for r in line_dedup.removed_lines(docs_of(spark, enumerate(lines))).collect()}
+    got = {i for i, _ in removed_places(docs_of(spark, enumerate(lines)))}
     assert got == {n for n, root in roots.items() if n != root}
 
 
-def test_links_beside_leaders(spark, monkeypatch):
-    """Chains of drifting lines in crowded groups: most are like their neighbours alone, few like a leader."""
-    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 4)
-    monkeypatch.setattr(line_dedup, "LEADERS", 2)
+def test_links_beside_the_pivot(spark, monkeypatch):
+    """Chains of drifting lines in crowded groups: most are like their neighbours alone, few like the pivot."""
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
     lines = []
@@ -268,7 +267,7 @@ def test_links_beside_leaders(spark, monkeypatch):
     lines.sort()
     roots = components(range(len(lines)), brute_links(lines))
     assert len(set(roots.values())) == 4
-    got = {r["doc_id"] for r in line_dedup.removed_lines(docs_of(spark, enumerate(lines))).collect()}
+    got = {i for i, _ in removed_places(docs_of(spark, enumerate(lines)))}
     assert got == {n for n, root in roots.items() if n != root}
 
 
@@ -282,7 +281,7 @@ def test_lines_on_odd_rows(spark, odd, empty):
 
 def test_native_operators_run_no_python(spark):
     docs = docs_of(spark, line_texts())
-    for df in (line_dedup.signatures(line_dedup.lines_of(docs)), sharding.shard_documents(docs)):
+    for df in (line_dedup.signatures(line_dedup.lines_of(docs).withColumn("h", F.xxhash64("line"))), sharding.shard_documents(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
