@@ -1,23 +1,28 @@
 """Benchmark decontamination by latent semantic retrieval with subsequence and answer checks.
 
-Words are runs of letters and digits of the lower-cased text, hashed into BUCKETS; their document
-frequencies are counted over all documents. The latent space comes from a randomised singular value
-decomposition of TF-IDF passages: tasks sketch all passages of all documents, a document's last and
-shorter one included, with a random test matrix, the partial sketches are summed,
-the benchmark's own passages are added, and a Nystroem step gives the leading right singular
-vectors. Every document's whole text is then cut into windows of about an item's length at every
-eighth word; a window is a candidate for an item if their cosine, taken in the latent space, reaches
-MIN_COSINE. A candidate counts if the longest common subsequence of item and
-window neighbourhood covers MIN_LCS of the item, and MIN_ANSWER of the item's answer
-(its rarest third of words, or the ``answer`` column if there is one) occurs there.
+Words are the lower-cased text's parts between white space, less all signs that are neither letters nor
+digits, hashed into BUCKETS. One pass over all documents counts the buckets' document frequencies and
+sketches all TF-IDF passages of PASSAGE words, a document's last and shorter one included: the
+randomised range finder adds each passage, with a random sign, to one of SKETCH rows. The summed
+sketch, with that of the benchmark's own items, is decomposed, and its leading right singular vectors
+span the latent space, in which every eighth word begins a window of about an item's length.
+
+A window is a candidate for an item if the cosine of the two in the latent space reaches MIN_COSINE.
+It counts if MIN_ANSWER of the item's answer (its rarest third of words, or the ``answer`` column if
+there is one) occur in the window's neighbourhood, and the longest common subsequence of item and
+neighbourhood covers MIN_LCS of the item. By the answer check only windows near a word that is among
+the rarest of an answer can count, so that only there cosines are taken: an item's answer can miss
+so many words before one of the others must occur. A second pass finds these places, whatever the
+number of items, by a table of fixed size.
 
 Items with fewer than MIN_ITEM_WORDS words count where all their words occur in a row, and items in
-scripts without blanks between words where all their letters and digits do, white space and other signs set aside.
+scripts without blanks between words where all their letters and digits do, white space and other
+signs set aside; near copies of these are not looked for.
 
 Items are worked through in blocks of ITEM_BLOCK, so what a task holds is bounded. Nulls: null
 texts hold no words and never match; items without a letter or digit or with a null item_id
-take no part. One row per pair of document row and item: repeated documents each match. Other
-columns are ignored; an empty table on either side gives no rows.
+take no part. One row per pair of document row and distinct item row: repeated documents each match,
+repeated items once. Other columns are ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +30,25 @@ from __future__ import annotations
 import re
 import zlib
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from spendlight.llm.tables import blocks, table
+from spendlight.llm.tables import blocks, columns, table
 from spendlight.storage import cut
 
-BUCKETS, RANK, OVERSAMPLE = 8192, 256, 16
+BUCKETS, SKETCH, RANK = 8192, 127, 96
 PASSAGE = 32
 STEP, SIZES = 8, (16, 32, 64)
-MIN_COSINE, MIN_LCS, MIN_ANSWER, MIN_ITEM_WORDS = 0.2, 0.55, 0.5, 8
-ITEM_BLOCK, SEED = 512, 5
+MIN_COSINE, MIN_LCS, MIN_ANSWER, MIN_ITEM_WORDS = 0.3, 0.55, 0.5, 8
+ITEM_BLOCK = 16384
+#: Entries of the table of word hashes, and of the rows that partial sketches travel in.
+PLACES, CHUNK = 1 << 22, 4096
+#: Documents that are worked through at a time.
+AT_ONCE = 256
 _OTHER = re.compile(r"[\W_]+")
 #: Scripts that are written without blanks between words: Thai to Myanmar, Khmer, kana, and Chinese characters.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -68,86 +79,84 @@ class Words:
         return ids[ids >= 0] if len(ids) and ids.min() < 0 else ids
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each bucket occurs, and the number of documents."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers for 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sketch_rows(key: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a document's words the sketch row and the sign of its passage, from the document's key and the passage's number."""
+    passages = np.arange(-(-words // PASSAGE), dtype=np.uint64) + np.uint64(zlib.crc32(key) << 24)
+    x = _mixed(passages + np.uint64(0x9E3779B97F4A7C15))
+    at = np.arange(words) // PASSAGE
+    return (x % np.uint64(SKETCH)).astype(np.int64)[at], np.where(x >> np.uint64(63), 1.0, -1.0)[at]
 
-    def run(batches):
-        total, n, words = np.zeros(BUCKETS, np.int64), 0, Words()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[np.unique(words(text) % BUCKETS)] += 1
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(BUCKETS), -1).astype(np.int32)), pa.array(np.append(total, n))], ["bucket", "n"])
-
-    out, count = np.zeros(BUCKETS, np.int64), 0
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        if r["bucket"] < 0:
-            count = r["n"]
-        else:
-            out[r["bucket"]] = r["n"]
-    return out, count
-
-
-def _sketch(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """A'A times ``test`` for the passages (rows of A, of length one) that begin at ``starts`` in the bucket sequence ``ids``."""
-    w = idf[ids]
-    lengths = np.diff(np.append(starts, len(ids)))
-    norm = np.sqrt(np.maximum(np.add.reduceat(w**2, starts), 1e-9))
-    proj = np.add.reduceat(test[ids] * w[:, None], starts, axis=0) / norm[:, None] ** 2
-    order = np.argsort(ids, kind="stable")
-    sorted_ids = ids[order]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-    out = np.zeros_like(test)
-    out[sorted_ids[heads]] = np.add.reduceat(proj[np.repeat(np.arange(len(starts)), lengths)[order]] * w[order][:, None], heads, axis=0)
-    return out
-
-
-def corpus_sketch(docs: DataFrame, idf: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, int]:
-    """The summed sketch of all documents' passages: partial sketches are added in bucket ranges by tasks."""
-    picked = docs.select(F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((idf, test))
-    width, chunks = test.shape[1], 64
+
+def corpus_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents hold each bucket, and the sketch (SKETCH x BUCKETS) of all documents' passages as word counts.
+
+    A task sums what it reads; the partial sums are added in ranges by tasks that hold one sum each.
+    """
 
     def run(batches):
-        idf, test = shared.value
-        words, total, n = Words(), np.zeros_like(test), 0
+        total, words, any_ = np.zeros((SKETCH + 1, BUCKETS), np.int64), Words(), False
         for batch in batches:
-            ids = [x for x in (words(t) % BUCKETS for t in batch.column(0).to_pylist()) if len(x)]
-            if not ids:
-                continue
-            ends = np.cumsum([len(x) for x in ids])
-            starts = np.concatenate([np.arange(end - len(x), end, PASSAGE) for end, x in zip(ends, ids, strict=True)])
-            ids = np.concatenate(ids)
-            for at in range(0, len(starts), 2048):
-                first, last = starts[at], starts[at + 2048] if at + 2048 < len(starts) else len(ids)
-                total += _sketch(ids[first:last], starts[at : at + 2048] - first, idf, test)
-            n += len(starts)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks, dtype=np.int32)), pa.array([n] + [0] * (chunks - 1), pa.int64()), pa.array([c.tobytes() for c in np.split(total, chunks)], pa.binary())], ["chunk", "n", "part"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column("part").to_pylist())
-        return pa.table({"chunk": group.column("chunk")[:1], "n": [sum(group.column("n").to_pylist())], "part": [total.astype(np.float32).tobytes()]})
-
-    parts = picked.mapInArrow(run, "chunk int, n long, part binary").groupBy("chunk").applyInArrow(add, "chunk int, n long, part binary").collect()
-    out = np.zeros((BUCKETS, width), np.float32)
-    for r in parts:
-        rows = BUCKETS // chunks
-        out[r["chunk"] * rows : (r["chunk"] + 1) * rows] = np.frombuffer(r["part"], np.float32).reshape(rows, width)
-    return out, sum(r["n"] for r in parts)
-
-
-def latent_basis(items: np.ndarray, sketch: np.ndarray, passages: int, test: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (BUCKETS x rank) of the benchmark's rows over the corpus' passages."""
-    rows = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    # both sets of passages weigh alike in total, the benchmark's four times
-    y = 4.0 * (rows.T @ (rows @ test)) / max(1, len(rows)) + sketch.astype(np.float64) / max(1, passages)
-    core = test.T.astype(np.float64) @ y
-    core = (core + core.T) / 2
-    values, vectors = np.linalg.eigh(core)
-    good = values > values.max() * 1e-7
-    u, _, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return u[:, :rank]
+            for at in range(0, batch.num_rows, AT_ONCE):
+                cells, signs, part = [], [], batch.slice(at, AT_ONCE)
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = words(text) % BUCKETS
+                    if len(ids):
+                        mark = np.zeros(BUCKETS, bool)
+                        mark[ids] = True
+                        total[SKETCH] += mark
+                        rows, sign = sketch_rows((key or "").encode("utf-8", "replace"), len(ids))
+                        cells.append(rows * BUCKETS + ids)
+                        signs.append(sign)
+                if cells:
+                    sums = np.bincount(np.concatenate(cells), np.concatenate(signs), minlength=SKETCH * BUCKETS)
+                    total[:SKETCH] += sums.astype(np.int64).reshape(SKETCH, BUCKETS)
+                    any_ = True
+        if any_:
+            yield from _parts(dict(enumerate(total.reshape(-1, CHUNK))))
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(part, np.int64)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        yield from _parts(sums)
+
+    parts = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "chunk int, part binary")
+    out = np.zeros(((SKETCH + 1) * BUCKETS // CHUNK, CHUNK), np.int64)
+    for r in parts.repartition(32, "chunk").mapInArrow(add, "chunk int, part binary").collect():  # one sketch in all
+        out[r["chunk"]] = np.frombuffer(r["part"], np.int64)
+    out = out.reshape(SKETCH + 1, BUCKETS)
+    return out[SKETCH], out[:SKETCH]
+
+
+def _parts(sums: dict[int, np.ndarray]):
+    for chunk, part in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "part"])
+
+
+def latent_basis(items: list[np.ndarray], sketch: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors (BUCKETS x rank) of the corpus' sketch over that of the items."""
+    own = np.zeros((SKETCH, BUCKETS))
+    for n, words in enumerate(items):
+        x = _mixed(np.array([n], np.uint64))[0]
+        np.add.at(own[int(x) % SKETCH], words % BUCKETS, (1.0 if int(x) >> 63 else -1.0) / np.sqrt(len(words)))
+    both = []
+    for rows in (own, sketch):
+        rows = rows * idf
+        size = np.linalg.norm(rows)
+        both.append(rows / size if size else rows)
+    # the benchmark weighs twice as much as the corpus in total
+    _, _, right = np.linalg.svd(np.vstack([2.0 * both[0], both[1]]), full_matrices=False)
+    return np.ascontiguousarray(right[:rank].T)
 
 
 def lcs(item: list[int], words) -> int:
@@ -165,62 +174,69 @@ def lcs(item: list[int], words) -> int:
 
 
 class Matcher:
-    """The items of one block in the latent space, and the checks of a candidate."""
+    """The items of one block: their answers, their places in the latent space, and the checks of a window."""
 
     def __init__(self, items, idf, basis):
-        # items of one window size lie side by side
-        nearest = [int(np.argmin([abs(np.log(size / len(w))) for size in SIZES])) for _, w, _ in items]
-        items = [items[i] for i in np.argsort(nearest, kind="stable")]
-        self.ends = np.searchsorted(np.sort(nearest), np.arange(len(SIZES) + 1))
         self.keys = [k for k, _, _ in items]
         self.words = [w.tolist() for _, w, _ in items]
-        vectors = np.zeros((len(items), BUCKETS))
-        for i, w in enumerate(self.words):
-            np.add.at(vectors[i], np.array(w) % BUCKETS, idf[np.array(w) % BUCKETS])
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        #: A word's part of the latent inner product with each item; the last row stands for no word.
-        parts = (basis @ (basis.T @ unit.T)) * idf[:, None]
-        self.parts = np.vstack([parts, np.zeros_like(parts[:1])]).astype(np.float32)
-        self.squares = np.append(idf**2, 0.0).astype(np.float32)
-        self.answers = []
-        for w, (_, _, answer) in zip(self.words, items, strict=True):
-            rare = sorted(set(w), key=lambda x: (-idf[x % BUCKETS], x))
-            self.answers.append(set(answer) if answer is not None and len(answer) else set(rare[: max(1, len(rare) // 3)]))
-
-    def match(self, words: np.ndarray) -> list[tuple[int, float, float, float, int]]:
-        """``(item, cosine, lcs share, answer share, first word)``: the best passing window of each item."""
-        n = len(words)
-        if n < MIN_ITEM_WORDS // 2:
-            return []
-        best: dict[int, tuple] = {}
-        listed = words.tolist()
-        chunk = STEP * 2048
-        for at in range(0, n, chunk):
-            ids = words[at : at + chunk + max(SIZES)] % BUCKETS
-            ids = np.append(ids, np.full(-len(ids) % STEP, BUCKETS)).reshape(-1, STEP)
-            sums, norms = self.parts[ids[:, 0]], self.squares[ids].sum(axis=1)
-            for j in range(1, STEP):
-                sums += self.parts[ids[:, j]]
-            for k, size in enumerate(SIZES):
-                low, high = self.ends[k], self.ends[k + 1]
-                if low == high:
-                    continue
-                dots, lengths = _windows(sums[:, low:high], size // STEP), np.sqrt(np.maximum(_windows(norms, size // STEP), 1e-9))
-                for a, i in zip(*np.nonzero(dots >= MIN_COSINE * lengths[:, None]), strict=True):
-                    self.check(listed, at + int(a) * STEP, size, int(low + i), min(float(dots[a, i] / lengths[a]), 1.0), best)
-        return [(i, *found) for i, found in sorted(best.items())]
-
-    def check(self, words, first, size, i, cosine, best) -> None:
-        item = self.words[i]
-        if i in best and best[i][1] >= 1.0:
-            return
-        pad = max(STEP, len(item) // 2)
-        near = words[max(0, first - pad) : first + size + pad]
-        part = len(self.answers[i].intersection(near)) / len(self.answers[i])
-        if part >= MIN_ANSWER:
+        self.sizes = [min(SIZES, key=lambda size, n=len(w): abs(np.log(size / n))) for w in self.words]
+        #: A bucket's part of a window's place in the latent space.
+        self.weights = (basis * idf[:, None]).astype(np.float32)
+        self.places = np.array([self.place(w) for _, w, _ in items]) if items else np.zeros((0, 1))
+        self.answers, pairs = [], []
+        for i, (w, (_, _, answer)) in enumerate(zip(self.words, items, strict=True)):
+            rare = sorted(set(answer or w), key=lambda x: (-idf[x % BUCKETS], x))
+            rare = rare if answer else rare[: max(1, len(rare) // 3)]
+            self.answers.append(set(rare))
+            # a window that holds MIN_ANSWER of the answer holds one of these
+            needed = max(1, int(np.ceil(MIN_ANSWER * len(rare) - 1e-9)))
+            pairs += [(x, i) for x in rare[: len(rare) - needed + 1]]
+        pairs.sort()
+        self.firsts = np.array([x for x, _ in pairs], np.int64)
+        self.owners = np.array([i for _, i in pairs], np.int64)
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """The unit vector of a run of words in the latent space (zero if nothing of it lies there)."""
+        x = self.weights[np.asarray(words) % BUCKETS].sum(axis=0)
+        return x / max(float(np.linalg.norm(x)), 1e-9)
+
+    def match(self, words: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """``(key, cosine, lcs share, answer share, first word)``: the best passing window of each item; ``at`` are places to look near."""
+        hits = words[at]
+        low, high = np.searchsorted(self.firsts, hits, "left"), np.searchsorted(self.firsts, hits, "right")
+        known = high > low
+        at, low, high = at[known], low[known], high[known]
+        near: dict[int, set[int]] = {}
+        for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+            for i in self.owners[a:b].tolist():
+                size, pad = self.sizes[i], self.pad(i)
+                # windows whose neighbourhood holds the word
+                first = max(0, (p - size - pad) // STEP + 1)
+                near.setdefault(i, set()).update(range(first, min(p + pad, len(words) - 1) // STEP + 1))
+        out = []
+        for i, steps in sorted(near.items()):
+            if found := self.best(words, i, sorted(steps)):
+                out.append((self.keys[i], *found))
+        return out
+
+    def pad(self, i: int) -> int:
+        return max(STEP, len(self.words[i]) // 2)
+
+    def best(self, words: np.ndarray, i: int, steps: list[int]) -> tuple | None:
+        item, answer, size, pad, best = self.words[i], self.answers[i], self.sizes[i], self.pad(i), None
+        for step in steps:
+            first = step * STEP
+            near = words[max(0, first - pad) : first + size + pad].tolist()
+            part = len(answer.intersection(near)) / len(answer)
+            if part < MIN_ANSWER:
+                continue
+            cosine = min(1.0, float(self.place(words[first : first + size]) @ self.places[i]))
+            if cosine < MIN_COSINE:
+                continue
             common = lcs(item, near) / len(item)
-            if common >= MIN_LCS and (i not in best or (common, cosine) > (best[i][1], best[i][0])):
-                best[i] = (cosine, common, part, first)
+            if common >= MIN_LCS and (best is None or (common, cosine) > (best[1], best[0])):
+                best = (cosine, common, part, first)
+        return best
 
 
 class Exact:
@@ -230,80 +246,84 @@ class Exact:
         self.by_first: dict[int, list] = {}
         for key, w in short:
             self.by_first.setdefault(int(w[0]), []).append((key, w))
-        self.firsts = np.array(sorted(self.by_first), np.int64)
-        self.unspaced = unspaced
-
-    def match(self, text: str | None, words: np.ndarray) -> list[tuple]:
-        """``(key, cosine, lcs share, answer share, first word)`` of each item that occurs, at its first place."""
+        self.by_core: dict[str, list] = {}
+        for key, core in unspaced:
+            self.by_core.setdefault(core, []).append(key)
+
+    def automaton(self):
+        """Finds all unspaced items in one pass over a text."""
+        if not self.by_core:
+            return None
+        found = ahocorasick.Automaton()
+        for core, keys in self.by_core.items():
+            found.add_word(core, (len(core), keys))
+        found.make_automaton()
+        return found
+
+    def short(self, words: np.ndarray, at: np.ndarray) -> list[tuple]:
+        """``(key, 1, 1, 1, first word)`` of each short item that occurs, at its first place; ``at`` are places to look at."""
         best: dict = {}
-        for at in np.flatnonzero(np.isin(words, self.firsts)).tolist() if len(self.firsts) else ():
-            for n, (key, w) in enumerate(self.by_first[int(words[at])]):
-                where = (int(words[at]), n)
-                if where not in best and np.array_equal(words[at : at + len(w)], w):
-                    best[where] = (key, 1.0, 1.0, 1.0, at)
-        if self.unspaced and text and not text.isascii():
-            cores = [c for c in (_OTHER.sub("", t) for t in text.lower().split()) if c]
-            run, ends = "".join(cores), np.cumsum([len(c) for c in cores])
-            for n, (key, core) in enumerate(self.unspaced):
-                if (at := run.find(core)) >= 0:
-                    best[-1, n] = (key, 1.0, 1.0, 1.0, int(np.searchsorted(ends, at, "right")))
+        for p in at.tolist():
+            for n, (key, w) in enumerate(self.by_first.get(int(words[p]), ())):
+                if (where := (int(words[p]), n)) not in best and np.array_equal(words[p : p + len(w)], w):
+                    best[where] = (key, 1.0, 1.0, 1.0, p)
         return list(best.values())
 
-
-def _windows(x: np.ndarray, width: int) -> np.ndarray:
-    """Sums of ``width`` (a power of two) neighbouring rows from each row on (fewer at the end), by doubling."""
-    out, reach = x.copy(), 1
-    while reach < width:
-        # a new array each time: the right side must not see rows that were already widened
-        wider = out.copy()
-        wider[:-reach] += out[reach:]
-        out, reach = wider, 2 * reach
-    return out
+    @staticmethod
+    def unspaced(automaton, text: str | None) -> list[tuple]:
+        if automaton is None or not text or text.isascii():
+            return []
+        cores = [c for c in (_OTHER.sub("", t) for t in text.lower().split()) if c]
+        ends, best = np.cumsum([len(c) for c in cores]), {}
+        for end, (length, keys) in automaton.iter("".join(cores)):
+            for n, key in enumerate(keys):
+                if (length, keys[0], n) not in best:
+                    best[length, keys[0], n] = (key, 1.0, 1.0, 1.0, int(np.searchsorted(ends, end - length + 1, "right")))
+        return list(best.values())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, cosine, lcs_share, answer_share, first_word)`` for each document that holds an item."""
     spark, words = docs.sparkSession, Words()
-    frequency, count = document_frequencies(docs)
-    idf = np.log((count + 1) / (frequency + 0.5)).clip(0.05)
+    frequency, sketch = corpus_sketch(docs)
+    idf = np.log((docs.count() + 1) / (frequency + 0.5)).clip(0.05)
     usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    usable = usable.select("item_id", F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    usable = usable.select("item_id", F.col("text").cast("string").alias("text"), answer.alias("answer")).distinct()
     n_blocks = blocks(usable.count(), ITEM_BLOCK)
-    test = np.random.default_rng(SEED).standard_normal((BUCKETS, RANK + OVERSAMPLE)).astype(np.float32)
-    sketch, passages = corpus_sketch(docs, idf.astype(np.float32), test)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind, item_kind = dict(slim.dtypes)["doc_id"], dict(usable.dtypes)["item_id"]
+    kind, item_type = dict(slim.dtypes)["doc_id"], usable.schema["item_id"].dataType
     result = None
     for block in range(n_blocks):
-        rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(n_blocks)) == block).orderBy("item_id", "text", "answer").collect()
         bare = [x for x in ((r["item_id"], _OTHER.sub("", r["text"].lower())) for r in rows if _UNSPACED.search(r["text"])) if x[1]]
         items = [(r["item_id"], words(r["text"]), words(r["answer"]).tolist() if r["answer"] else None) for r in rows if not _UNSPACED.search(r["text"])]
         exact = Exact([(k, w) for k, w, _ in items if 0 < len(w) < MIN_ITEM_WORDS], bare)
         items = [x for x in items if len(x[1]) >= MIN_ITEM_WORDS]
-        vectors = np.zeros((len(items), BUCKETS))
-        for i, (_, w, _) in enumerate(items):
-            np.add.at(vectors[i], w % BUCKETS, idf[w % BUCKETS])
-        basis = latent_basis(vectors, sketch, passages, test) if items else np.zeros((BUCKETS, 1))
-        shared = spark.sparkContext.broadcast((Matcher(items, idf, basis), exact))  # at most ITEM_BLOCK columns
+        matcher = Matcher(items, idf, latent_basis([w for _, w, _ in items], sketch, idf))
+        places = np.zeros(PLACES, bool)
+        places[np.concatenate([matcher.firsts, np.array(list(exact.by_first), np.int64)]) % PLACES] = True
+        shared = spark.sparkContext.broadcast((matcher, exact, places))  # at most ITEM_BLOCK items and a table of fixed size
 
         def run(batches, shared=shared):
-            (matcher, exact), own = shared.value, Words()
+            (matcher, exact, places), own = shared.value, Words()
+            automaton = exact.automaton()
             for batch in batches:
                 at, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     ids = own(text)
-                    hits = [(matcher.keys[hit[0]], *hit[1:]) for hit in matcher.match(ids)] if matcher.keys else []
-                    for hit in hits + exact.match(text, ids):
+                    near = np.flatnonzero(places[ids % PLACES])
+                    hits = matcher.match(ids, near) + exact.short(ids, near) if len(near) else []
+                    for hit in hits + exact.unspaced(automaton, text):
                         at.append(i)
                         found.append(hit)
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int64() if item_kind == "bigint" else None), *(pa.array(c, pa.float64()) for c in columns[1:4]), pa.array(columns[4], pa.int64())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0], to_arrow_type(item_type)), *(pa.array(c, pa.float64()) for c in columns[1:4]), pa.array(columns[4], pa.int64())],
                     ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"],
                 )
 
-        part = slim.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double, first_word long")
+        part = slim.mapInArrow(run, f"doc_id {kind}, item_id {item_type.simpleString()}, cosine double, lcs_share double, answer_share double, first_word long")
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -311,7 +331,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = cut(contaminated(docs, benchmark).select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.hint("merge").join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.hint("merge").join(found.hint("merge"), "doc_id", "left_anti").select(columns(docs))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

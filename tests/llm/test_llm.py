@@ -352,20 +352,61 @@ def test_short_and_unspaced_items(spark):
 
 def test_sketch_is_of_all_passages(spark):
     rng = random.Random(7)
-    texts = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate((3, 31, 32, 70, 9000))]
-    idf = np.linspace(0.1, 2, decontamination.BUCKETS).astype(np.float32)
-    test = np.random.default_rng(1).standard_normal((decontamination.BUCKETS, 4)).astype(np.float32)
-    rows = []
-    for _, t in texts:
+    texts = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate((3, 31, 32, 70, 9000))] + [(9, None), (10, "")]
+    frequency, expected = np.zeros(decontamination.BUCKETS), np.zeros((decontamination.SKETCH, decontamination.BUCKETS))
+    for i, t in texts[:5]:
         ids = decontamination.Words()(t) % decontamination.BUCKETS
-        for at in range(0, len(ids), decontamination.PASSAGE):
-            row = np.zeros(decontamination.BUCKETS)
-            np.add.at(row, ids[at : at + decontamination.PASSAGE], idf[ids[at : at + decontamination.PASSAGE]])
-            # the length is that of the words one by one, as for the windows
-            rows.append(row / np.sqrt((idf[ids[at : at + decontamination.PASSAGE]] ** 2).sum()))
-    a = np.array(rows)
-    got, n = decontamination.corpus_sketch(docs_of(spark, texts), idf, test)
-    assert n == len(rows) and np.allclose(got, a.T @ (a @ test), rtol=1e-3, atol=1e-3)
+        frequency[np.unique(ids)] += 1
+        rows, signs = decontamination.sketch_rows(str(i).encode(), len(ids))
+        assert all(len({*zip(rows[at : at + decontamination.PASSAGE], signs[at : at + decontamination.PASSAGE])}) == 1 for at in range(0, len(ids), decontamination.PASSAGE))
+        np.add.at(expected, (rows, ids), signs)
+    got, sketch = decontamination.corpus_sketch(docs_of(spark, texts).repartition(3))
+    assert (got == frequency).all() and (sketch == expected).all() and np.abs(expected).sum() > 5000
+
+
+def test_windows_against_brute_force(spark):
+    """Every window of every document against every item, without looking for rare words first."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 6))) for _ in range(120)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(8, 60)))) for i in range(25)]
+    texts = []
+    for i in range(60):
+        ws = rng.choices(words, k=rng.randrange(1, 200))
+        if i % 2:
+            part = rng.choice(items)[1].split()
+            part = [w if rng.random() < 0.75 else rng.choice(words) for w in part]
+            at = rng.randrange(len(ws))
+            ws[at:at] = part
+        texts.append((i, " ".join(ws)))
+    docs = docs_of(spark, texts)
+    frequency, sketch = decontamination.corpus_sketch(docs)
+    idf = np.log((len(texts) + 1) / (frequency + 0.5)).clip(0.05)
+    hashed = decontamination.Words()
+    arrays = [(k, hashed(t), None) for k, t in sorted(items)]
+    m = decontamination.Matcher(arrays, idf, decontamination.latent_basis([w for _, w, _ in arrays], sketch, idf))
+    expected = set()
+    for i, t in texts:
+        ws = hashed(t)
+        for n, (key, w, _) in enumerate(arrays):
+            pad, rare = max(8, len(w) // 2), sorted(set(w.tolist()), key=lambda x: (-idf[x % decontamination.BUCKETS], x))
+            answer = set(rare[: max(1, len(rare) // 3)])
+            for first in range(0, len(ws), 8):
+                near = ws[max(0, first - pad) : first + m.sizes[n] + pad].tolist()
+                cosine = float(m.place(ws[first : first + m.sizes[n]]) @ m.places[n])
+                if cosine >= 0.3 and len(answer & set(near)) >= 0.5 * len(answer) and decontamination.lcs(w.tolist(), near) >= 0.55 * len(w):
+                    expected.add((i, key))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == expected and 20 <= len(expected) < 25 * 60 / 2
+
+
+def test_items_of_other_types_and_repeats(spark):
+    text = "one rather uncommon sentence with quite enough different words to be met again"
+    docs = spark.createDataFrame([("a", f"x y z {text} and more"), ("a", f"x y z {text} and more"), (None, text), ("b", "word " * 300000)], "doc_id string, text string").withColumn("first_word", F.lit(1)).withColumn("item_id", F.lit("x"))
+    for kind, key in (("int", 7), ("string", "q7"), ("smallint", 7)):
+        items = spark.createDataFrame([(key, text), (key, text), (key, "france paris")], f"item_id {kind}, text string")
+        got = sorted(((r["doc_id"], r["item_id"], r["cosine"] > 0.5) for r in decontamination.contaminated(docs, items).collect()), key=repr)
+        assert got == [("a", key, True), ("a", key, True), (None, key, True)]
+        assert sorted(r["doc_id"] or "" for r in decontamination.drop_contaminated(docs, items).collect()) == ["", "b"]
 
 
 def test_common_subsequence():
