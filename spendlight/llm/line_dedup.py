@@ -11,12 +11,11 @@ their whole shingle sets (shingles as 64-bit hashes), verified links are joined
 each component's occurrences the first, by (doc_id, text hash, line number), stays.
 
 A larger group whose lines are then in one component has nothing left to find. All lines of any
-other, linked or not, are filed anew under the group and one of BRANCHES further minima each, which
-tells merely related lines apart, up to LEVELS times; in groups that are larger than SMALL even then,
-all pairs of lines of different components are compared, one side dealt into PARTS.
+other, linked or not, are also filed under the group and each of BRANCHES further minima, which joins
+more of them; then those lines of different components are compared that can be alike by the number
+of shingles that no other component has. So no partner of a crowded group is left out.
 
-A pair at similarity 0.8 shares one of eight bands of three rows with probability 0.997, and in a
-refined group one of five further rows with 0.9997. Nulls: a null text has no lines; documents with a
+A pair at similarity 0.8 shares one of eight bands of three rows with probability 0.997. Nulls: a null text has no lines; documents with a
 null doc_id stay as they are and take no part. Rows of one doc_id and different texts are different
 documents; rows that repeat both share their decisions. Other columns are kept.
 """
@@ -34,7 +33,7 @@ BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 12, 0.8
 #: Distinct lines of a group up to which all its pairs are compared.
 SMALL = 8
 #: Further minima for each refinement of a group, refinements, and parts that a line's partners are dealt into after them.
-BRANCHES, LEVELS, PARTS = 5, 4, 16
+BRANCHES, LEVELS, PARTS = 5, 1, 16
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -79,7 +78,9 @@ def _mask(k: int) -> int:
 
 def minima(texts: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes under as many orders (up to 32), a row per shingle in between."""
-    one = texts.select("h", _wide("line").alias("wide"), _own("line").alias("own"), F.explode(F.sequence(F.lit(0), _last("line"))).alias("i"))
+    # in two steps: beside an explode, expressions are evaluated once for each row it makes
+    one = texts.select("h", _wide("line").alias("wide"), _own("line").alias("own"), F.sequence(F.lit(0), _last("line")).alias("every"))
+    one = one.select("h", "wide", "own", F.explode("every").alias("i"))
     x = F.coalesce(F.xxhash64(F.lit(seed), "own") if seed else F.xxhash64("own"), F.lit(0))
     every = F.xxhash64(F.lit(seed), _at(F.col("wide"), F.col("i"))) if seed else F.xxhash64(_at(F.col("wide"), F.col("i")))
     hashed = one.select("h", F.when(F.col("own").isNull(), every).otherwise(x).alias("x"))
@@ -141,12 +142,25 @@ def _refined(open_: DataFrame, texts: DataFrame, level: int, keep) -> DataFrame:
     return keep(both.select("h", "n", F.explode(F.array(*(F.xxhash64("key", F.lit(k), f"m{k}") for k in range(BRANCHES)))).alias("key")).select("key", "h", "n"))
 
 
-def _rest(open_: DataFrame) -> DataFrame:
-    """All pairs of a group's lines that are of different components; one side is dealt into parts, the other sent to each."""
+def _rest(open_: DataFrame, texts: DataFrame, keep) -> DataFrame:
+    """The pairs of a group's lines of different components that can be alike; one side is dealt into parts, the other sent to each.
+
+    Shingles that no other component has can't be shared across components: with ``own`` of ``all``
+    shingles of that kind, a line's overlap with any other is at most ``all - own``.
+    """
+    lines = keep(open_.select("h", "component").distinct())
+    sets = keep(lines.hint("merge").join(texts.hint("merge"), "h").select("h", "component", shingle_set("line").alias("set")))
+    sets = sets.select("h", "component", F.explode("set").alias("x"))
+    spread = keep(sets.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high").select("x"))
+    shared = sets.hint("merge").join(spread.hint("merge").withColumn("own", F.lit(1)), "x", "left")
+    bounds = keep(shared.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.count("own").alias("own")).where(f"all - own >= {SIMILARITY} * all"))
+    members = keep(open_.select("key", "h", "component").hint("merge").join(bounds.hint("merge"), "h"))
     part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")
-    one = open_.select("key", F.col("h").alias("a"), F.col("component").alias("ca"), part.alias("part"))
-    two = open_.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where("a < b and ca != cb").select("a", "b").distinct()
+    one = members.select("key", F.col("h").alias("a"), F.col("component").alias("ca"), F.col("all").alias("na"), (F.col("all") - F.col("own")).alias("sa"), part.alias("part"))
+    two = members.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.col("all").alias("nb"), (F.col("all") - F.col("own")).alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    most = F.least("sa", "sb")
+    alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (most >= SIMILARITY * (F.col("na") + F.col("nb") - most))
+    return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where(alike).select("a", "b").distinct()
 
 
 def links(texts: DataFrame, keep) -> DataFrame:
@@ -163,10 +177,11 @@ def links(texts: DataFrame, keep) -> DataFrame:
     for level in range(1, LEVELS + 1):
         if open_.isEmpty():
             return found
-        members = _sized(_refined(open_, texts, level, keep), keep)
-        found = keep(found.union(verified(_candidates(members), texts, keep)).distinct())
+        # stars of refined groups join most of a group's lines before the rest is compared
+        refined = _sized(_refined(open_, texts, level, keep), keep)
+        found = keep(found.union(verified(_candidates(refined), texts, keep)).distinct())
         open_ = _open(members, found, keep)
-    return keep(found.union(verified(_rest(open_), texts, keep)).distinct())
+    return keep(found.union(verified(_rest(open_, texts, keep), texts, keep)).distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
