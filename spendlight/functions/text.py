@@ -1,6 +1,6 @@
 """Text operators as column expressions; the pattern tables are data.
 
-Patterns that meet text outside English use Unicode classes, as the source texts' own rules do.
+District names use Unicode classes, as the source texts' own rules do; the other patterns hold ASCII words alone.
 """
 
 from __future__ import annotations
@@ -116,7 +116,8 @@ def case_numbers_raw(text) -> Column:
 
 
 def districts(text, raw: bool = False) -> Column:
-    return _all(text, DISTRICT_RAW, 0) if raw else F.array_sort(F.array_distinct(_all(text, DISTRICT, 1)))
+    # (?U): a name's letters and blanks are those of any script
+    return _all(text, "(?U)" + DISTRICT_RAW, 0) if raw else F.array_sort(F.array_distinct(_all(text, "(?U)" + DISTRICT, 1)))
 
 
 def statutes(text) -> Column:

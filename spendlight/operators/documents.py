@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from spendlight.functions import text as X
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out before many patterns are run over it if it comes in fewer partitions than there are cores."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def extract_facts(docs: DataFrame) -> DataFrame:
     """``(doc_id, source, fact_type, value, value_usd)``: every fact of every document (title and body)."""
     whole = F.concat_ws(" ", "title", "body")
-    base = docs.select("doc_id", "source", "title", whole.alias("whole"))
+    base = spread(docs).select("doc_id", "source", "title", whole.alias("whole"))
     texts = {
         "docket": X.case_numbers(F.col("whole")),
         "district": X.districts(F.col("whole")),

@@ -19,20 +19,21 @@ def _compatible(names: pd.Series) -> pd.Series:
 
 
 def normalize_name(name: Column) -> Column:
-    """Upper-cased ASCII form with letters, digits, & , . - and single spaces. ASCII names stay in the JVM."""
-    fold = F.pandas_udf(_compatible, "string")
-    folded = F.when(F.regexp_like(name, F.lit(r"[^\x00-\x7F]")), fold(name)).otherwise(name)
-    return _clean(folded)
+    """Upper-cased ASCII form with letters, digits, & , . - and single spaces in place of all else; a Python stage for every row."""
+    return normalize_ascii(F.pandas_udf(_compatible, "string")(name))
 
 
 def normalize_ascii(name: Column) -> Column:
     """``normalize_name`` for names known to be ASCII: no Python stage in the plan."""
-    return _clean(name)
+    kept = F.regexp_replace(name, r"[^a-zA-Z0-9\s&,.\-]", " ")
+    return F.upper(F.trim(F.regexp_replace(kept, r"\s+", " ")))
 
 
-def _clean(folded: Column) -> Column:
-    kept = F.regexp_replace(folded, r"[^a-zA-Z0-9\s&,.\-]", "")
-    return F.upper(F.trim(F.regexp_replace(kept, r"\s+", " ")))
+def with_normalized(df: DataFrame, source: str, target: str) -> DataFrame:
+    """``df`` with ``target``, the normal form of ``source``; only rows with other than ASCII signs go through Python."""
+    other = F.coalesce(F.regexp_like(F.col(source), F.lit(r"[^\x00-\x7F]")), F.lit(False))
+    plain = df.where(~other).withColumn(target, normalize_ascii(F.col(source)))
+    return plain.unionByName(df.where(other).withColumn(target, normalize_name(F.col(source))))
 
 
 def vendor_names(df: DataFrame, fields: list[str], key: str) -> DataFrame:
@@ -52,7 +53,7 @@ def upsert_entities(names: DataFrame) -> DataFrame:
     Members of a component become one entity: canonical name of its smallest name_id, the others'
     names as aliases, the smallest identifiers.
     """
-    rows = names.withColumn("canonical", normalize_name(F.col("name"))).where(F.coalesce("canonical", F.lit("")) != "")
+    rows = with_normalized(names, "name", "canonical").where(F.coalesce("canonical", F.lit("")) != "")
     rows = cut(rows)
     heads = lambda c: rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("name_id").alias("b"))
     edges = rows.join(heads("canonical"), "canonical").select(F.col("name_id").alias("a"), "b")
@@ -76,46 +77,48 @@ def resolve_exact(seeds: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def resolve_name(seeds: DataFrame, entities: DataFrame) -> DataFrame:
-    own = seeds.select("seed_id", normalize_ascii(F.col("name")).alias("canonical_name"))
+    own = with_normalized(seeds.select("seed_id", "name"), "name", "canonical_name").select("seed_id", "canonical_name").where("canonical_name <> ''")
     met = own.join(entities.select("canonical_name", "entity_id"), "canonical_name")
     return met.groupBy("seed_id").agg(F.min("entity_id").alias("entity_id")).select("seed_id", "entity_id", F.lit(0.95).alias("confidence"), F.lit("canonical_name").alias("method"), F.lit(2).alias("tier"))
 
 
 def resolve_partial(seeds: DataFrame, entities: DataFrame) -> DataFrame:
-    """The shortest entity name that contains the seed's name, met by the word that the seed ends inside or equals.
+    """The shortest entity name that contains the seed's name.
 
-    A seed of several words must hold its inner words whole, so seeds and names meet on such a word
-    first; seeds without inner words meet on every run of letters that starts a word.
+    A seed of three words or more must hold its inner words whole, so seeds and names meet on such a
+    word first; other seeds meet on their first three letters at any place of a name. For seeds of one
+    or two letters the best name is found for each such run of letters before they meet.
     """
-    own = seeds.select("seed_id", normalize_ascii(F.col("name")).alias("part")).where(F.length("part") > 0)
+    own = with_normalized(seeds.select("seed_id", "name"), "name", "part").select("seed_id", "part").where(F.length("part") > 0)
     words = lambda c: F.split(c, " ")
     inner = F.when(F.size(words("part")) > 2, F.element_at(words("part"), 2))
-    long = own.withColumn("key", inner).where(F.col("key").isNotNull())
     names = entities.select("entity_id", "canonical_name")
-    tokens = names.select("entity_id", "canonical_name", F.explode(F.array_distinct(words("canonical_name"))).alias("key"))
-    by_word = long.join(tokens, "key").where(F.contains("canonical_name", "part")).select("seed_id", "entity_id", "canonical_name")
-    # short seeds meet on their first three letters at any place of a name
-    grams = names.select("entity_id", "canonical_name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("canonical_name") - 2, F.lit(1))), lambda i: F.substring("canonical_name", i, F.lit(3))))).alias("key"))
-    short = own.where(inner.isNull() & (F.length("part") >= 3)).withColumn("key", F.substring("part", 1, 3))
-    by_gram = short.join(grams, "key").where(F.contains("canonical_name", "part")).select("seed_id", "entity_id", "canonical_name")
-    order = Window.partitionBy("seed_id").orderBy(F.length("canonical_name"), "canonical_name", "entity_id")
-    best = by_word.unionByName(by_gram).withColumn("rn", F.row_number().over(order)).where("rn = 1")
-    return best.select("seed_id", "entity_id", F.lit(0.75).alias("confidence"), F.lit("partial_name").alias("method"), F.lit(3).alias("tier"))
+    best = F.min(F.struct(F.length("canonical_name").alias("n"), "canonical_name", "entity_id")).alias("best")
+    met = lambda few, many: few.hint("merge").join(many.hint("merge"), "key").where(F.contains("canonical_name", "part")).groupBy("seed_id").agg(best)
+    runs = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("canonical_name") - (n - 1), F.lit(1))), lambda i: F.substring("canonical_name", i, F.lit(n)))))
+    by_word = met(own.withColumn("key", inner).where(F.col("key").isNotNull()), names.withColumn("key", F.explode(F.array_distinct(words("canonical_name")))))
+    rest = own.where(inner.isNull())
+    by_run = met(rest.where(F.length("part") >= 3).withColumn("key", F.substring("part", 1, 3)), names.withColumn("key", runs(3)))
+    brief = names.withColumn("part", runs(1)).unionByName(names.withColumn("part", runs(2))).groupBy("part").agg(best)
+    by_letters = rest.where(F.length("part") < 3).hint("merge").join(brief.hint("merge"), "part").select("seed_id", "best")
+    found = by_word.unionByName(by_run).unionByName(by_letters)
+    return found.select("seed_id", "best.entity_id", F.lit(0.75).alias("confidence"), F.lit("partial_name").alias("method"), F.lit(3).alias("tier"))
 
 
 def resolve(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     """Each seed's best tier: exact, name, partial, or a new entity at 0.5 whose id hashes the name."""
     tiers = resolve_exact(seeds, entities).unionByName(resolve_name(seeds, entities)).unionByName(resolve_partial(seeds, entities))
     best = tiers.groupBy("seed_id").agg(F.min_by(F.struct("entity_id", "confidence", "method"), "tier").alias("r"))
-    return seeds.join(best, "seed_id", "left").select(
-        "seed_id", F.coalesce("r.entity_id", F.substring(F.sha2(F.concat(F.lit("vendor|"), normalize_ascii(F.col("name"))), 256), 1, 32)).alias("entity_id"), F.coalesce("r.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("r.method", F.lit("new_entity")).alias("method")
+    named = with_normalized(seeds.select("seed_id", "name"), "name", "canonical")
+    return named.join(best, "seed_id", "left").select(
+        "seed_id", F.coalesce("r.entity_id", F.substring(F.sha2(F.concat(F.lit("vendor|"), "canonical"), 256), 1, 32)).alias("entity_id"), F.coalesce("r.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("r.method", F.lit("new_entity")).alias("method")
     )
 
 
 def create_entities(resolved: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows of the new entities; the raw name is an alias where it differs from the canonical one."""
-    new = resolved.where("method = 'new_entity'").select("seed_id", "entity_id").join(seeds.select("seed_id", "name"), "seed_id")
-    canonical = F.coalesce(F.nullif(normalize_ascii(F.col("name")), F.lit("")), F.upper("name"))
+    new = resolved.where("method = 'new_entity'").select("seed_id", "entity_id").join(with_normalized(seeds.select("seed_id", "name"), "name", "normal"), "seed_id")
+    canonical = F.coalesce(F.nullif("normal", F.lit("")), F.upper("name"))
     return new.select("entity_id", F.lit("vendor").alias("entity_type"), canonical.alias("canonical_name"), F.when(canonical != F.col("name"), F.array("name")).otherwise(F.array().cast("array<string>")).alias("aliases"))
 
 

@@ -140,17 +140,23 @@ def claim_graph(claims: DataFrame, phrases) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ownership_chain(parents: DataFrame, max_levels: int = 8) -> DataFrame:
-    """``(child, root, depth)`` over ``(child, parent)``: the end of each chain, its length, cycles cut at ``max_levels``."""
-    chain = cut(parents.select("child", F.col("parent").alias("root"), F.lit(1).alias("depth")))
-    done = None
-    for _ in range(max_levels):
-        step = chain.join(parents.select(F.col("child").alias("root"), "parent"), "root", "left")
-        ended = step.where("parent is null").select("child", "root", "depth")
-        done = ended if done is None else done.unionByName(ended)
-        chain = cut(step.where("parent is not null").select("child", F.col("parent").alias("root"), (F.col("depth") + 1).alias("depth")))
-        done = cut(done)
-    return done
+def ownership_chain(parents: DataFrame) -> DataFrame:
+    """``(child, root, depth)`` over ``(child, parent)``: the end of each chain and its length; null for both where it runs into a circle.
+
+    Every round doubles the length of the chains that go on, so that their number of rounds is the logarithm of the longest.
+    """
+    parents = parents.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
+    chain = cut(parents.select("child", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")))
+    children = cut(chain.select(F.col("child").alias("root")).distinct())
+    goes_on = lambda: chain.hint("merge").join(children.hint("merge"), "root", "left_semi")
+    for _ in range(children.count().bit_length()):
+        if goes_on().isEmpty():
+            break
+        further = chain.select(F.col("child").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        step = chain.hint("merge").join(further.hint("merge"), "root", "left")
+        chain = cut(step.select("child", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")).distinct())
+    ends = chain.hint("merge").join(children.hint("merge"), "root", "left_anti").select("child", "root", "depth")
+    return ends.union(goes_on().select("child", F.lit(None).alias("root"), F.lit(None).alias("depth")).distinct())
 
 
 def common_owner(owns: DataFrame, least: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,10 +34,10 @@ def verify_hash(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def new_artifacts(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """The first of each (source, content_hash) that isn't stored yet."""
-    order = Window.partitionBy("source", "content_hash").orderBy("retrieved_at", "artifact_id")
-    first = batch.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
-    return first.join(stored.select("source", "content_hash"), ["source", "content_hash"], "left_anti").select(*batch.columns)
+    """The first of each (source, content_hash) that isn't stored yet; copies are reduced before they are shuffled."""
+    first = batch.groupBy("source", "content_hash").agg(F.min_by(F.struct(*batch.columns), F.struct("retrieved_at", "artifact_id")).alias("first"))
+    kept = first.join(stored.select("source", "content_hash"), ["source", "content_hash"], "left_anti")
+    return kept.select("first.*")
 
 
 def storage_path(source: Column, digest: Column) -> Column:
@@ -48,14 +49,24 @@ def json_path(source: Column, digest: Column) -> Column:
 
 
 def first_in_ttl(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """The events whose key wasn't accepted within the ttl before; each key's times are walked once in order."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    times = events.groupBy("idempotency_key").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("event_id").alias("id")))).alias("all"))
-    keep = F.aggregate(
-        "all", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids")),
-        lambda s, x: F.when(s["last"].isNull() | (x["at"] >= s["last"] + ttl_seconds * 1_000_000), F.struct(x["at"].alias("last"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s),
-    )
-    return times.select("idempotency_key", F.explode(keep["ids"]).alias("event_id"))
+    """The events whose key wasn't accepted within the ttl before; a task walks its keys' sorted times and holds one at a time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    times = events.select("idempotency_key", at, "event_id").repartition("idempotency_key").sortWithinPartitions("idempotency_key", "at", "event_id")
+
+    def run(batches):
+        key, last = object(), None
+        for batch in batches:
+            kept = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if k != key:
+                    key, last = k, None
+                if last is None or (t is not None and t >= last + ttl_seconds * 1_000_000):
+                    kept.append(i)
+                    last = t
+            yield batch.take(pa.array(kept, pa.int64())).select(["idempotency_key", "event_id"])
+
+    kinds = dict(times.dtypes)
+    return times.mapInArrow(run, f"idempotency_key {kinds['idempotency_key']}, event_id {kinds['event_id']}")
 
 
 def _walk(value, depth: int = 0) -> list[str]:
@@ -84,9 +95,11 @@ def _flatten(contents: pd.Series) -> pd.Series:
 
 def extract_text(docs: DataFrame, json_types: tuple[str, ...], cap: int = 1_000_000) -> DataFrame:
     """``docs`` with text: JSON contents flattened, others as they are, cut at ``cap`` characters."""
-    flat = F.pandas_udf(_flatten, "string")
-    is_json = F.col("doc_type").isin(*json_types) | F.startswith(F.ltrim("content"), F.lit("{"))
-    return docs.withColumn("text", F.substring(F.when(is_json, flat(F.col("content"))).otherwise(F.col("content")), 1, cap))
+    is_json = F.coalesce(F.col("doc_type").isin(*json_types), F.lit(False)) | F.coalesce(F.startswith(F.ltrim("content"), F.lit("{")), F.lit(False))
+    # by filter and union: beside a Python function, when() would send every row to Python
+    as_is = docs.where(~is_json).withColumn("text", F.substring("content", 1, cap))
+    flat = docs.where(is_json).withColumn("text", F.substring(F.pandas_udf(_flatten, "string")(F.col("content")), 1, cap))
+    return as_is.unionByName(flat)
 
 
 def new_docs(parsed: DataFrame, stored: DataFrame) -> DataFrame:

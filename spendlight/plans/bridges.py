@@ -157,13 +157,13 @@ PACKS = "packs as (select l_orderkey case_id, l_partkey pack_id, l_shipdate gene
 
 
 def entities(t) -> DataFrame:
-    s = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.lit("vendor").alias("entity_type"), F.upper(F.replace(F.col("s_name"), F.lit("#"), F.lit(""))).alias("canonical_name"), F.lpad(F.col("s_suppkey").cast("string"), 12, "A").alias("uei"), F.lpad(F.col("s_suppkey").cast("string"), 5, "C").alias("cage_code"))
-    c = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), F.lit("individual").alias("entity_type"), F.upper(F.replace(F.col("c_name"), F.lit("#"), F.lit(""))).alias("canonical_name"), F.lit(None).cast("string").alias("uei"), F.lit(None).cast("string").alias("cage_code"))
+    s = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.lit("vendor").alias("entity_type"), F.upper(F.replace(F.col("s_name"), F.lit("#"), F.lit(" "))).alias("canonical_name"), F.lpad(F.col("s_suppkey").cast("string"), 12, "A").alias("uei"), F.lpad(F.col("s_suppkey").cast("string"), 5, "C").alias("cage_code"))
+    c = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), F.lit("individual").alias("entity_type"), F.upper(F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))).alias("canonical_name"), F.lit(None).cast("string").alias("uei"), F.lit(None).cast("string").alias("cage_code"))
     return s.unionByName(c)
 
 
-ENTITIES = """entities as (select concat('s',s_suppkey) entity_id, 'vendor' entity_type, upper(replace(s_name,'#','')) canonical_name, lpad(cast(s_suppkey as varchar),12,'A') uei, lpad(cast(s_suppkey as varchar),5,'C') cage_code from supplier
- union all select concat('c',c_custkey), 'individual', upper(replace(c_name,'#','')), null, null from customer)"""
+ENTITIES = """entities as (select concat('s',s_suppkey) entity_id, 'vendor' entity_type, upper(replace(s_name,'#',' ')) canonical_name, lpad(cast(s_suppkey as varchar),12,'A') uei, lpad(cast(s_suppkey as varchar),5,'C') cage_code from supplier
+ union all select concat('c',c_custkey), 'individual', upper(replace(c_name,'#',' ')), null, null from customer)"""
 
 
 def usage(t) -> DataFrame:

@@ -15,7 +15,7 @@ from spendlight.plans.catalog import query
 # ---- entities
 
 
-@query("ent_normalize", r"select c_custkey, upper(trim(regexp_replace(regexp_replace(concat('  ', c_name, ' @ & Co., ', c_mktsegment), '[^a-zA-Z0-9\s&,.\-]', '', 'g'), '\s+', ' ', 'g'))) canonical from customer")
+@query("ent_normalize", r"select c_custkey, upper(trim(regexp_replace(regexp_replace(concat('  ', c_name, ' @ & Co., ', c_mktsegment), '[^a-zA-Z0-9\s&,.\-]', ' ', 'g'), '\s+', ' ', 'g'))) canonical from customer")
 def _(t):
     return t("customer").select("c_custkey", N.normalize_ascii(F.concat(F.lit("  "), "c_name", F.lit(" @ & Co., "), "c_mktsegment")).alias("canonical"))
 
@@ -57,9 +57,11 @@ def _seeds(t):
 
 
 _SEEDS = f"{B.ENTITIES}, seeds as (select s_suppkey seed_id, case s_suppkey%4 when 1 then lower(s_name) when 2 then left(s_name,17) else concat('Nobody ', s_suppkey) end as name, case when s_suppkey%4=0 then lpad(cast(s_suppkey as varchar),12,'A') end uei from supplier)"
+#: The rule of the normal form: other signs become a space, runs of spaces one, in capitals.
+_NORM = r"upper(trim(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9\s&,.\-]', ' ', 'g'), '\s+', ' ', 'g')))"
 _EXACT = "exact as (select seed_id, min(entity_id) entity_id from seeds join entities using (uei) group by 1)"
-_NAME = "named as (select seed_id, min(entity_id) entity_id from seeds join entities on canonical_name = upper(regexp_replace(name, '[^a-zA-Z0-9 &,.\\-]', '', 'g')) group by 1)"
-_PART = "part as (select seed_id, arg_min(entity_id, (len(canonical_name), canonical_name, entity_id)) entity_id from seeds join entities on contains(canonical_name, upper(regexp_replace(name, '[^a-zA-Z0-9 &,.\\-]', '', 'g'))) group by 1)"
+_NAME = f"named as (select seed_id, min(entity_id) entity_id from seeds join entities on canonical_name = {_NORM} group by 1)"
+_PART = f"part as (select seed_id, arg_min(entity_id, (len(canonical_name), canonical_name, entity_id)) entity_id from seeds join entities on contains(canonical_name, {_NORM}) group by 1)"
 
 
 @query("ent_resolve_exact", f"with {_SEEDS}, {_EXACT} select seed_id, entity_id, 1.0 confidence, 'exact' as method, 1 tier from exact")
@@ -77,7 +79,7 @@ def _(t):
     return N.resolve_partial(_seeds(t), B.entities(t))
 
 
-_RESOLVED = f"with {_SEEDS}, {_EXACT}, {_NAME}, {_PART}, resolved as (select s.seed_id, s.name, coalesce(e.entity_id, n.entity_id, p.entity_id, left(sha256(concat('vendor|', upper(replace(s.name,'#','')))),32)) entity_id, case when e.entity_id is not null then 1.0 when n.entity_id is not null then 0.95 when p.entity_id is not null then 0.75 else 0.5 end confidence, case when e.entity_id is not null then 'exact' when n.entity_id is not null then 'canonical_name' when p.entity_id is not null then 'partial_name' else 'new_entity' end as method from seeds s left join exact e using (seed_id) left join named n using (seed_id) left join part p using (seed_id))"
+_RESOLVED = f"with {_SEEDS}, {_EXACT}, {_NAME}, {_PART}, resolved as (select s.seed_id, s.name, coalesce(e.entity_id, n.entity_id, p.entity_id, left(sha256(concat('vendor|', {_NORM})),32)) entity_id, case when e.entity_id is not null then 1.0 when n.entity_id is not null then 0.95 when p.entity_id is not null then 0.75 else 0.5 end confidence, case when e.entity_id is not null then 'exact' when n.entity_id is not null then 'canonical_name' when p.entity_id is not null then 'partial_name' else 'new_entity' end as method from seeds s left join exact e using (seed_id) left join named n using (seed_id) left join part p using (seed_id))"
 
 
 @query("ent_resolve", f"{_RESOLVED} select seed_id, entity_id, confidence, method from resolved")
@@ -85,7 +87,7 @@ def _(t):
     return N.resolve(_seeds(t), B.entities(t))
 
 
-@query("ent_create", f"{_RESOLVED} select entity_id, 'vendor' entity_type, upper(replace(name,'#','')) canonical_name, [name] aliases from resolved where method='new_entity'")
+@query("ent_create", f"{_RESOLVED} select entity_id, 'vendor' entity_type, {_NORM} canonical_name, [name] aliases from resolved where method='new_entity'")
 def _(t):
     return N.create_entities(N.resolve(_seeds(t), B.entities(t)), _seeds(t))
 
@@ -277,9 +279,9 @@ def _(t):
     return G.common_owner(_employment(t).select(F.col("source").alias("owner"), F.col("target").alias("owned")))
 
 
-@query("gra_case_edges", f"with {_EMPLOY}, {B.ENTITIES}, n as (select source, target, a.canonical_name source_name, b.canonical_name target_name from employ join entities a on a.entity_id=source join entities b on b.entity_id=target), m as (select distinct s_suppkey case_id, source, target, 'owns' rel_type, source_name, target_name from supplier join n on upper(replace(s_name,'#','')) in (source_name, target_name)) select case_id, source, target, rel_type, source_name, target_name from (select *, row_number() over (partition by case_id order by source, target, rel_type) rn from m) where rn<=100")
+@query("gra_case_edges", f"with {_EMPLOY}, {B.ENTITIES}, n as (select source, target, a.canonical_name source_name, b.canonical_name target_name from employ join entities a on a.entity_id=source join entities b on b.entity_id=target), m as (select distinct s_suppkey case_id, source, target, 'owns' rel_type, source_name, target_name from supplier join n on upper(replace(s_name,'#',' ')) in (source_name, target_name)) select case_id, source, target, rel_type, source_name, target_name from (select *, row_number() over (partition by case_id order by source, target, rel_type) rn from m) where rn<=100")
 def _(t):
-    cases = t("supplier").select(F.col("s_suppkey").alias("case_id"), F.upper(F.replace(F.col("s_name"), F.lit("#"), F.lit(""))).alias("vendor_name"))
+    cases = t("supplier").select(F.col("s_suppkey").alias("case_id"), F.upper(F.replace(F.col("s_name"), F.lit("#"), F.lit(" "))).alias("vendor_name"))
     return G.case_edges(cases, _employment(t), B.entities(t))
 
 

@@ -55,6 +55,28 @@ def test_officer_overlap_counts_supersets(spark):
     assert got == {"1|2": 2}
 
 
+def test_one_normal_form_of_names(spark):
+    entities = spark.createDataFrame([("e1", "SOCIETE GENERALE"), ("e2", "A B CO"), ("e3", "3M COMPANY"), ("e4", "3M"), ("e5", "BIG 3M HOLDINGS")], "entity_id string, canonical_name string")
+    entities = entities.withColumn("uei", F.lit(None).cast("string")).withColumn("cage_code", F.lit(None).cast("string"))
+    rows = [(1, "Société Générale"), (2, "A/B Co"), (3, "3m"), (4, "M"), (5, "général"), (6, "neue Straße — Bau"), (7, None), (8, "***"), (9, "3m comp")]
+    seeds = spark.createDataFrame(rows, "seed_id int, name string").withColumn("uei", F.lit(None).cast("string")).withColumn("cage_code", F.lit(None).cast("string"))
+    got = {r["seed_id"]: (r["entity_id"], r["method"]) for r in N.resolve(seeds, entities).collect()}
+    assert [got[k] for k in (1, 2, 3, 4, 5, 9)] == [("e1", "canonical_name"), ("e2", "canonical_name"), ("e4", "canonical_name"), ("e4", "partial_name"), ("e1", "partial_name"), ("e3", "partial_name")]
+    assert got[6][1] == got[7][1] == got[8][1] == "new_entity"
+    made = {r["canonical_name"] for r in N.create_entities(N.resolve(seeds, entities), seeds).collect()}
+    assert {"NEUE STRAE BAU", "***"} <= made
+
+
+def test_long_chains_and_circles_of_owners(spark):
+    rows = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 102), (102, 100), (99, 100), (200, 200), (None, 1), (7, None)]
+    got = {r["child"]: (r["root"], r["depth"]) for r in G.ownership_chain(spark.createDataFrame(rows, "child int, parent int")).collect()}
+    assert got == {i: (12, 12 - i) for i in range(12)} | dict.fromkeys((99, 100, 101, 102, 200), (None, None))
+
+
+def test_districts_of_any_script(spark):
+    assert one(spark, X.districts(F.lit("Southern District of Qu\u00e9bec, Northern\u00a0District of Ohio."))) == ["Northern\u00a0District of Ohio", "Southern District of Qu\u00e9bec"]
+
+
 def test_empty_inputs(spark):
     assert A.address_ring(spark.createDataFrame([], "address_key string")).count() == 0
     assert A.officer_overlap(spark.createDataFrame([], "officer string, entity_id string")).count() == 0
