@@ -2,8 +2,8 @@
 
 Every page is parsed once into blocks; a block's style node is the path of its block elements with
 their classes. The nodes of all pages of a host are merged by counting: a node's importance is the
-larger of two entropies over the host's different pages, that of its content and that of its presentation
-(which block elements it held, how often), each as a share of the largest entropy possible. Nodes met
+larger of two entropies over the host's different pages, that of its content (its texts) and that of its
+presentation (which child elements it held, in which order), each as a share of the largest entropy possible. Nodes met
 on at least LEAST_PAGES different pages with an importance under LEAST_IMPORTANCE are
 removed from each page of the host. Pages that are equal copies count once, so that a mirrored
 page doesn't make its own text unimportant.
@@ -13,8 +13,10 @@ navigation, site headers and footers, asides, hidden elements, and elements whos
 menu, sidebar, notice, advert or reader comments. Where a page has an article (or main) element, only what is inside counts.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
-by one line feed. Nulls: a null html gives an empty text; a null url is a host of its own. Broken
-markup never fails: unclosed elements end with their parent. Repeated pages give repeated rows.
+by one line feed. Nulls: a null html gives an empty text; the pages of a null or blank url
+have no host and keep all nodes; a url without a scheme begins with its host. Broken
+markup never fails and takes time in proportion to its length: unclosed elements end with their parent, a
+tag that never ends makes the page's later quotes plain signs. Repeated pages give repeated rows.
 Other columns are ignored; an empty table gives no rows.
 """
 
@@ -29,11 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlight.llm.tables import table
-from spendlight.storage import cut
+from spendlight.storage import scratch, store
 
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.15
-#: Hosts with removed nodes up to which their list is sent to every task.
-BROADCAST_HOSTS, SALTS = 20_000, 32
 
 # fixed values: element names by their part on a page
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -50,7 +50,8 @@ ARTICLE_NAMES = frozenset("article post entry content story main".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "legend", "summary"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -77,52 +78,96 @@ def _look(name: str, rest: str) -> tuple[bool, str]:
     return noise, style
 
 
-def parse(page: str | None) -> list[tuple[str, str]]:
-    """``(style node, text)`` of the blocks that may be main text, in page order."""
+def tags(page: str):
+    """``(text before, closing, name, attributes)`` of each tag in page order, and at last the text after all; name is empty for comments and the like.
+
+    Every place is looked at a bounded number of times, whatever the markup.
+    """
+    at = scan = 0
+    quotes, close = True, page.find(">")
+    while True:
+        start = page.find("<", scan)
+        if 0 <= close < start:
+            close = page.find(">", start)
+        if start < 0 or close < 0:
+            # no later tag can end; a comment may still hide the rest
+            hidden = page.find("<!--", scan) if start >= 0 else -1
+            yield page[at : hidden if hidden >= 0 else len(page)], "", "", ""
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            yield page[at:start], "", "", ""
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = close + 1
+            yield page[at:start], "", "", ""
+        elif m := _NAME.match(page, start + 1):
+            end, quotes = _tag_end(page, m.end(), quotes)
+            yield page[at:start], m[1], m[2].lower(), page[m.end() : end - 1]
+            if not m[1] and m[2].lower() in RAW:
+                over = re.compile(rf"</{m[2]}[\s>/]", re.I).search(page, end)
+                end = over.start() if over else len(page)
+        else:
+            scan = start + 1
+            continue
+        at = scan = end
+
+
+def _tag_end(page: str, at: int, quotes: bool) -> tuple[int, bool]:
+    """The place after the tag's end, which isn't within quotes, and whether quotes still mean anything."""
+    first = page.find(">", at) + 1
+    while quotes:
+        stop = _STOP.search(page, at)
+        if stop is None:
+            return first, False
+        if stop[0] == ">":
+            return stop.end(), True
+        close = page.find(stop[0], stop.end())
+        if close < 0:
+            return first, False
+        at = close + 1
+    return first, False
+
+
+def parse(page: str | None) -> list[tuple[int, str, int]]:
+    """``(style node, text, presentation)`` of the blocks that may be main text, in page order.
+
+    Presentation is a hash of the child elements met in the block's element so far.
+    """
     if not page:
         return []
-    # an open element: name, style path, inside noise, inside an article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    blocks: list[tuple[str, str, bool]] = []
+    # an open element: name, style node, inside noise, inside an article, its child elements
+    stack: list[list] = [["", 0, False, False, 0]]
+    named: dict[str, int] = {}
+    blocks: list[tuple[int, str, int, bool]] = []
     text: list[str] = []
     any_article = False
 
     def end_block() -> None:
         if text:
-            _, path, _, inside = stack[-1]
+            _, node, _, inside, children = stack[-1]
             joined = " ".join(markup.unescape("".join(text)).split())
             text.clear()
             if joined:
-                blocks.append((path, joined, inside))
+                blocks.append((node, joined, children, inside))
 
     def pop_to(index: int) -> None:
         end_block()
+        for gone in stack[index:]:
+            named[gone[0]] -= 1
         del stack[index:]
 
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        chunk = page[at : m.start() if m else len(page)]
+    for chunk, closing, name, rest in tags(page):
         if chunk and not stack[-1][2]:
             text.append(chunk)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+        if not name or name in RAW:
             continue
-        if name in RAW:
-            close = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
-            at = close.start() if close else len(page)
+        if closing:
+            if named.get(name):
+                pop_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             continue
         if name in VOID:
+            stack[-1][4] = _hash(f"{stack[-1][4]},{name}")
             if name in ("br", "hr") and not stack[-1][2]:
                 if name == "hr":
                     end_block()
@@ -130,27 +175,27 @@ def parse(page: str | None) -> list[tuple[str, str]]:
                     text.append(" ")
             continue
         block = name in BLOCKS
-        noise, style = _look(name, m[3])
+        noise, style = _look(name, rest)
         if not block and not noise:
+            stack[-1][4] = _hash(f"{stack[-1][4]},{name}")
             continue
         if name in CLOSES_P and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
         while stack[-1][0] in SIBLINGS.get(name, ()):
             pop_to(len(stack) - 1)
         end_block() if block else None
-        _, path, in_noise, inside = stack[-1]
+        _, node, in_noise, inside, children = stack[-1]
+        stack[-1][4] = _hash(f"{children},{name}{style}")
         if name == "header" and not inside:
             noise = True
         inside = inside or (name in ("article", "main") and not noise and not in_noise)
         any_article = any_article or (inside and name in ("article", "main"))
-        if not m[3].endswith("/") or block:
-            if not block:
-                # an inline element left out: the text before it goes on after it
-                stack.append((name, path, True, inside))
-            else:
-                stack.append((name, f"{path}>{name}{style}", in_noise or noise, inside))
+        if not rest.endswith("/") or block:
+            # an inline element left out: the text before it goes on after it
+            stack.append([name, _hash(f"{node}>{name}{style}") if block else node, in_noise or noise or not block, inside, 0])
+            named[name] = named.get(name, 0) + 1
     end_block()
-    return [(path, body) for path, body, inside in blocks if inside or not any_article]
+    return [(node, body, shape) for node, body, shape, inside in blocks if inside or not any_article]
 
 
 def _hash(x: str) -> int:
@@ -159,58 +204,51 @@ def _hash(x: str) -> int:
 
 
 def _host():
-    return F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    host = F.regexp_extract(F.lower("url"), r"^\s*(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?#]*)", 1)
+    return F.when(host != "", host)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, host, blocks array<struct<node, text>>)``, one row per page."""
+    """``(page_id, url, host, body, blocks array<struct<node, text, shape>>)``, one row per page; body is a hash of all its texts."""
     slim = pages.select("page_id", F.col("url").cast("string").alias("url"), _host().alias("host"), F.col("html").cast("string").alias("html"))
-    item = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())]))
-
-    def run(batches):
-        for batch in batches:
-            found = [[{"node": _hash(path), "text": body} for path, body in parse(page)] for page in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, item)], ["page_id", "url", "host", "blocks"])
-
-    return slim.mapInArrow(run, f"page_id {dict(slim.dtypes)['page_id']}, url string, host string, blocks array<struct<node: long, text: string>>")
-
-
-def node_importance(pages: DataFrame) -> DataFrame:
-    """``(host, node, pages, importance)`` of each style node of the merged trees."""
-    slim = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html"))
+    item = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("shape", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = parse(page)
-                body = _hash("\n".join(t for _, t in found))
-                nodes: dict[str, list[str]] = {}
-                for path, text in found:
-                    nodes.setdefault(path, []).append(text)
-                out += [(host, _hash(path), body, _hash("\n".join(texts)), len(texts)) for path, texts in nodes.items()]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "node", "body", "content", "shape"])
-
-    seen = slim.mapInArrow(run, "host string, node long, body long, content long, shape long").distinct()
-    by_content = seen.groupBy("host", "node", "content", "shape").agg(F.count(F.lit(1)).alias("n"))
-    by_shape = by_content.groupBy("host", "node", "shape").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("content_nlogn"))
-    nodes = by_shape.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum("content_nlogn").alias("c"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    share = lambda x: F.when(F.col("pages") > 1, (F.log("pages") - F.col(x) / F.col("pages")) / F.log("pages")).otherwise(1.0)
-    return nodes.select("host", "node", "pages", F.greatest(share("c"), share("s")).alias("importance"))
+            found = [parse(page) for page in batch.column(3).to_pylist()]
+            bodies = [_hash("\n".join(t for _, t, _ in blocks)) for blocks in found]
+            rows = [[{"node": node, "text": body, "shape": shape} for node, body, shape in blocks] for blocks in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(bodies, pa.int64()), pa.array(rows, item)], ["page_id", "url", "host", "body", "blocks"])
+
+    return slim.mapInArrow(run, f"page_id {dict(slim.dtypes)['page_id']}, url string, host string, body long, blocks array<struct<node: long, text: string, shape: long>>")
+
+
+def node_importance(parsed: DataFrame) -> DataFrame:
+    """``(host, node, pages, importance)`` of each style node of the merged trees of ``page_blocks``."""
+    block = parsed.where(F.col("host").isNotNull()).select("host", "body", F.posexplode("blocks").alias("at", "b"))
+    # a page's texts under one node, in page order, as one hash
+    texts = F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", F.xxhash64("b.text").alias("t"), "b.shape"))), lambda x: x["t"]))
+    shapes = F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", F.xxhash64("b.text").alias("t"), "b.shape"))), lambda x: x["shape"]))
+    # equal pages have the same blocks, of which one copy counts
+    one = block.groupBy("host", "body", F.col("b.node").alias("node"), "at").agg(F.first("b").alias("b"))
+    seen = one.groupBy("host", "node", "body").agg(texts.alias("content"), shapes.alias("shape"))
+    entropies = []
+    for kind in ("content", "shape"):
+        by = seen.groupBy("host", "node", kind).agg(F.count(F.lit(1)).alias("n"))
+        by = by.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+        share = F.when(F.col("pages") > 1, (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages")).otherwise(1.0)
+        entropies.append(by.select("host", "node", "pages", share.alias("importance")))
+    return entropies[0].union(entropies[1]).groupBy("host", "node", "pages").agg(F.max("importance").alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page."""
-    low = node_importance(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = cut(low.groupBy("host").agg(F.collect_list("node").alias("low")))
-    parsed = page_blocks(pages)
-    if low.count() <= BROADCAST_HOSTS:
-        joined = parsed.join(F.broadcast(low), "host", "left")
-    else:
-        # the pages of a large host are dealt over SALTS copies of its list
-        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).hint("merge").join(salted.hint("merge"), ["host", "salt"], "left")
+    with scratch(pages.sparkSession) as keep:
+        parsed = store(page_blocks(pages).withColumn("row", F.monotonically_increasing_id()))
+        low = keep(node_importance(parsed).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "node"))
+        nodes = parsed.where(F.col("host").isNotNull()).select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["node"]))).alias("node"))
+        marked = store(nodes.hint("merge").join(low.hint("merge"), ["host", "node"]).groupBy("row").agg(F.collect_list("node").alias("low")))
+    joined = parsed.hint("merge").join(marked.hint("merge"), "row", "left")
     kept = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("low", b["node"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
