@@ -1,12 +1,15 @@
 """Packing documents into training sequences by lexical retrieval over a sharded BM25 index.
 
 A document's ids are those of the byte-level BPE vocabulary plus id 0 at the end. Every full window
-of a document is a sequence of its own; what is left of it is packed with its neighbours: the left
-pieces are dealt evenly into shards, a task builds the BM25 inverted index of one shard (document
-frequencies and the mean length come from all pieces of the corpus), and seeds, longest first, call up the
-unused pieces that score best and take those that fit whole, then cut the best remaining one to
-fill the window. A shard's last, short sequence is cut into lengths that are powers of two, which
-need no padding.
+of a document is a sequence of its own; what is left of it is packed with its neighbours. A left
+piece's two leading terms are the ids that weigh most in it by BM25 among those that other pieces
+have too. The left pieces are ordered by their leading terms and cut into shards of neighbours along
+that order, so that pieces with the same rare terms meet, however large the corpus is, and a term that
+very many pieces have is spread over many shards. A task builds the BM25 inverted index of one shard
+(document frequencies and the mean length come from all pieces of the corpus), and seeds, longest first,
+call up the unused pieces that score best and take those that fit whole, then cut the best remaining one to
+fill the window. A seed doesn't see the pieces of other shards. A shard's last, short sequence is cut
+into lengths that are powers of two, which need no padding.
 
 Ids are computed with the rank file of the same vocabulary, which gives the same ids at an eighth of the time
 (tests compare the two). Nulls: a null text counts as empty, which is the single id 0; a null
@@ -21,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +32,8 @@ from spendlight.llm.tables import blocks, table
 from spendlight.storage import cut
 
 WINDOW, END_ID, VOCABULARY = 1024, 0, 50257
-SHARD_PIECES = 768
+#: Pieces of a shard, and of a task, which works through several shards one by one.
+SHARD_PIECES, TASK_PIECES = 768, 6144
 K1, B = 1.2, 0.75
 
 
@@ -84,6 +89,26 @@ def document_frequencies(left: DataFrame) -> np.ndarray:
     return out
 
 
+def leading_terms(left: DataFrame, shared) -> DataFrame:
+    """``left`` with ``first`` and ``second``, a piece's ids of most BM25 weight among those of two pieces at least (-1: none)."""
+    kind = dict(left.dtypes)["doc_id"]
+
+    def run(batches):
+        idf, mean, common = shared.value
+        for batch in batches:
+            tops = np.full((batch.num_rows, 2), -1, np.int32)
+            for i, ids in enumerate(batch.column("ids").to_pylist()):
+                token, tf = np.unique(np.frombuffer(ids, np.uint16), return_counts=True)
+                known = common[token]
+                token, tf = token[known], tf[known]
+                weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / 2 / mean))
+                best = np.argsort(-weight, kind="stable")[:2]
+                tops[i, : len(best)] = token[best]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops[:, 0]), pa.array(tops[:, 1])], [*batch.schema.names, "first", "second"])
+
+    return left.mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, ids binary, row long, first int, second int")
+
+
 def pack_shard(arrays: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """``(piece, from, length, sequence, offset)`` for the pieces of one shard."""
     n = len(arrays)
@@ -155,25 +180,40 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
     size = left.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     df = document_frequencies(left)
     idf = np.log1p((size["n"] - df + 0.5) / (df + 0.5))
-    shared = docs.sparkSession.sparkContext.broadcast((idf, float(size["mean"] or 1)))  # one value for each id of the vocabulary
-    shards = blocks(size["n"], SHARD_PIECES)
-    dealt = left.select("doc_id", "start", "doc_tokens", "ids", F.monotonically_increasing_id().alias("row")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    shared = docs.sparkSession.sparkContext.broadcast((idf, float(size["mean"] or 1), df >= 2))  # two values for each id of the vocabulary
+    marked = leading_terms(left.select("doc_id", "start", "doc_tokens", "ids", F.monotonically_increasing_id().alias("row")), shared)
+    # the last part of the order splits terms that very many pieces have
+    order = ["first", "second", "spread"]
+    dealt = marked.withColumn("spread", F.xxhash64("row")).repartitionByRange(blocks(size["n"], TASK_PIECES), *order).sortWithinPartitions(*order)
     kind = dict(docs.dtypes)["doc_id"]
 
-    def run(group: pa.Table) -> pa.Table:
-        idf, mean = shared.value
-        group = group.sort_by("row")
-        arrays = [np.frombuffer(x, np.uint16) for x in group.column("ids").to_pylist()]
-        shard = group.column("shard")[0].as_py()
-        start, total = group.column("start").to_numpy(), group.column("doc_tokens").to_numpy()
-        found = pack_shard(arrays, idf, mean, window)
-        piece, at, length, sequence, offset = (np.array(c, np.int64) for c in zip(*found, strict=True))
-        crcs = np.array([crc(arrays[p][a : a + k]) for p, a, k in zip(piece, at, length, strict=True)], np.int64)
-        return pa.table({"doc_id": group.column("doc_id").take(pa.array(piece)), "start": start[piece] + at, "length": length, "ids_crc32": crcs, "doc_tokens": total[piece], "sequence_id": ((shard << 32) + sequence) * 2, "offset": offset})
-
-    packed = dealt.groupBy("shard").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    def run(batches):
+        idf, mean, _ = shared.value
+        base, held = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            while held.num_rows >= 2 * SHARD_PIECES:
+                out, base = packed_shard(held.slice(0, SHARD_PIECES), idf, mean, window, base)
+                held = held.slice(SHARD_PIECES)
+                yield from out.to_batches()
+        if held is not None and held.num_rows:
+            yield from packed_shard(held, idf, mean, window, base)[0].to_batches()
+
+    packed = dealt.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return full.unionByName(packed)
 
 
+def packed_shard(group: pa.Table, idf: np.ndarray, mean: float, window: int, base: int) -> tuple[pa.Table, int]:
+    """The rows of one shard's pieces, with sequence ids from ``base`` on, and the next id."""
+    arrays = [np.frombuffer(x, np.uint16) for x in group.column("ids").to_pylist()]
+    start, total = group.column("start").to_numpy(), group.column("doc_tokens").to_numpy()
+    piece, at, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_shard(arrays, idf, mean, window), strict=True))
+    crcs = np.array([crc(arrays[p][a : a + k]) for p, a, k in zip(piece, at, length, strict=True)], np.int64)
+    doc_ids = group.column("doc_id").combine_chunks().take(pa.array(piece))
+    out = pa.table({"doc_id": doc_ids, "start": start[piece] + at, "length": length, "ids_crc32": crcs, "doc_tokens": total[piece], "sequence_id": (base + sequence) * 2, "offset": offset})
+    return out, base + int(sequence.max()) + 1
+
+
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
