@@ -6,14 +6,16 @@ by virtual rehashing (radius times ``growth`` a round); a vector met in at least
 the windows is verified by its exact distance. A query ends once ``k`` verified vectors lie within
 the radius, or when every vector was met. No candidate is capped.
 
-The rows are dealt into blocks by a hash of vec_id and the queries into blocks likewise; a task
+The rows are dealt into blocks by a hash of the vector and up to QUERIES queries make a block; a task
 indexes one vector block and answers one query block, so neither side is ever held whole, and the
-blocks' lists are merged by rank. The directions depend on the dimension and a seed alone: nothing
+blocks' lists are merged by rank. Vectors are sent once for every QUERIES queries, queries once for
+every vector block. The directions depend on the dimension and a seed alone: nothing
 is fitted, and every row is indexed.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors
 meet only those of their own dimension. Repeated vec_ids are separate candidates, but a query
-never meets rows of its own id. An empty table gives no rows.
+never meets rows of its own id; a repeated query id asks once, with its least vector of each dimension,
+and takes the nearest of all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ PROJECTIONS = 40
 THRESHOLD, WIDTH = 24, 2.8
 GROWTH = 1.25
 SEED = 20240
+#: Vectors of a block (fewer in small tables, for parallel work) and queries of a block.
+VECTORS, LEAST_VECTORS, QUERIES = 131072, 8192, 4096
 
 
 def directions(dim: int, projections: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
@@ -98,11 +102,12 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    n_blocks = blocks(count["n"], min(131072, max(8192, count["n"] // 24)))
-    q_blocks = blocks(count["q"], min(4096, max(256, count["q"] // 4)))
-    cell = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    left = rows.withColumn("vb", cell(n_blocks, "v")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = rows.where("asks").withColumn("qb", cell(q_blocks, "q")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    n_blocks = blocks(count["n"], min(VECTORS, max(LEAST_VECTORS, count["n"] // 24)))
+    q_blocks = blocks(count["q"], QUERIES)
+    cell = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    left = rows.withColumn("vb", cell(n_blocks, "id", "v")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked = rows.where("asks").groupBy("id", "dim").agg(F.min("v").alias("v"))
+    right = asked.withColumn("qb", cell(q_blocks, "id", F.lit("q"))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def matrix(t: pa.Table) -> np.ndarray:
         values = t.column("v").combine_chunks()
