@@ -36,7 +36,7 @@ FORMATS = {
     "github": r"\bgh[pousr]_[0-9A-Za-z]{36,}\b",
     "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "jwt": r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----)?",
     "assigned": r"\b([A-Za-z_][\w.-]{1,40})\s{0,3}[=:]\s{0,3}[\"']([^\s\"']{8,}+)[\"']",
     "bare": r"(?<![\w/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[0-9A-Za-z_/+-]{20,}+(?![\w/+-])",
 }
@@ -194,7 +194,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     keep = F.lit(False)
     for label, n in sizes.items():
         keep = keep | ((F.col("label") == label) & (draw < share(TRAIN_FINDINGS, n)))
-    sample = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["start"], r["label"], r["x"]) for r in labelled.where(keep).select("doc_id", "start", "label", "x").collect())
+    sample = sorted((str(r["doc_id"]), r["start"], r["label"], r["x"]) for r in labelled.where(keep).select("doc_id", "start", "label", "x").collect())
     forest = Forest(np.array([r[3] for r in sample]).reshape(-1, len(NAMES)), np.array([r[2] for r in sample], float))
 
     def run(batches):
