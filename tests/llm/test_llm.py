@@ -74,6 +74,14 @@ def test_classifiers_on_odd_rows(spark, odd, empty, module):
     assert module.classify(empty, labels).count() == 0
 
 
+def test_toxic_labels_on_held_out_rows(spark):
+    """Recall and precision of label 1, which a constant answer doesn't have."""
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    known = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in table(spark, "/root/testdata/sf0.1", "labels").collect() if got[r["doc_id"]]["held_out"]]
+    hits = sum(p and y for p, y in known)
+    assert hits >= 0.85 * sum(y for _, y in known) and hits >= 0.9 * sum(p for p, _ in known) > 20
+
+
 def test_folds_follow_crc(spark):
     rows = quality.op1_quality_classifier(spark, "/root/testdata/sf0.001").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
@@ -115,6 +123,28 @@ def test_recall_against_brute_force(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_recall_over_several_blocks(spark, monkeypatch):
+    for name, n in (("VECTORS", 300), ("LEAST_VECTORS", 300), ("QUERIES", 20)):
+        monkeypatch.setattr(ann, name, n)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((30, 24)).repeat(40, axis=0) + 0.4 * rng.standard_normal((1200, 24)), rng.standard_normal((300, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[700].tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 25 == 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == 60
+    recall = []
+    for q, mine in got.items():
+        if q == 5:
+            continue
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        recall.append(len({m[1] for m in mine} & set(np.lexsort((np.arange(len(x)), d))[:10].tolist())) / 10)
+    assert np.mean(recall) >= 0.9
+    # the repeated query id asks once
+    assert sorted(m[0] for m in got[5]) == list(range(1, 11)) and 5 not in {m[1] for m in got[5]}
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
@@ -153,6 +183,15 @@ def test_candidates_of_any_length_and_unquoted():
     assert found("key=AKIA" + "A" * 16) == [("AKIA" + "A" * 16, "aws_key")]
 
 
+def test_secrets_on_odd_rows(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIE" * 40 + "\n-----END RSA PRIVATE KEY-----"
+    assert [v for _, v, k, _ in secret_scan.find(f"a {key} b") if k == "pem"] == [key]
+    rows = [(None, f"x {key}"), ("a", None), ("a", ""), ("b", "token = 'abcdefgh12345678ijkl'"), ("b", "token = 'abcdefgh12345678ijkl'"), ("c", "word " * 200000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("label", F.lit(1)).withColumn("x", F.lit(2)).withColumn("start", F.lit(3))
+    got = secret_scan.scan(docs).collect()
+    assert sorted((r["doc_id"] or "", r["kind"]) for r in got if r["kind"] != "bare") == [("", "pem"), ("b", "assigned"), ("b", "assigned")]
+
+
 # ---- pages
 
 
@@ -181,6 +220,44 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert {r["text"] for r in html_text.extract(copies).collect()} == {"All rights kept.\nStory number 1 of 1."}
 
 
+def test_importance_against_brute_force(spark):
+    """Entropies of contents and of child elements of a small site, by the formula."""
+    import math
+    from collections import Counter
+
+    pages = []
+    for i in range(12):
+        inner = "<b>x</b>" if i % 3 == 0 else "<i>x</i><i>y</i>" if i % 3 == 1 else "x"
+        pages.append((i, f"http://h/{i}", f"<body><div class='same'><p>All rights kept.</p></div><div class='few'><p>{i % 2}{inner}</p></div><div class='own'><p>Number {i}</p></div></body>"))
+    parsed = html_text.page_blocks(spark.createDataFrame([*pages, pages[0]], "page_id long, url string, html string"))
+    got = sorted(round(r["importance"], 9) for r in html_text.node_importance(parsed).collect())
+
+    def entropy(values):
+        n = len(values)
+        return -sum(k / n * math.log(k / n) for k in Counter(values).values()) / math.log(n)
+
+    few = max(entropy([(i % 2, len("x" if i % 3 != 1 else "xy")) for i in range(12)]), entropy([i % 3 for i in range(12)]))
+    assert got == sorted(round(x, 9) for x in (0.0, few, 1.0))
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for bad in ('<a <b ' * 170000, '"' + '<a "' * 250000 + ">", '<a ">" ' * 140000, "<div>" * 200000 + "</x>" * 200000, "<!x" * 330000, "<p class='" * 100000, "<" * 1000000, "< " * 500000 + ">", "<div>" * 100000 + "t"):
+        start = time.process_time()
+        html_text.parse(bad)
+        html_text.parse("<p>before</p>" + bad)
+        assert time.process_time() - start < 8
+    assert [t for _, t, _ in html_text.parse("<p>a > b <!-- c > --> d<p title='x > y'>e</p>f < g <br/> h")] == ["a > b d", "e", "f < g h"]
+
+
+def test_pages_without_a_host_keep_their_text(spark):
+    page = "<body><p>Same words.</p><p>Number {0}</p></body>"
+    rows = [(i, None, page.format(i)) for i in range(9)] + [(10 + i, "", page.format(i)) for i in range(9)] + [(20 + i, f"plain.example/{i}", page.format(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Same words.\nNumber 3" == got[13] and got[23] == "Same words.\nNumber 3"
+
+
 # ---- near-duplicate lines and documents
 
 
@@ -478,6 +555,39 @@ def test_packing_prefers_neighbours():
     assert alike >= 15
 
 
+def test_neighbours_reach_one_shard(spark, monkeypatch):
+    """Pieces that share rare words lie in the same sequences although a shard holds a few of many pieces."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", 32)
+    monkeypatch.setattr(packing, "TASK_PIECES", 64)
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("red", "blue", "stone", "river", "cloud") for b in ("ish", "like", "ward", "fold", "ling")]
+    rare = ["zephyr", "quartz", "marzipan", "walrus", "tungsten", "harpsichord", "pomegranate", "yacht", "obelisk", "kumquat"]
+    texts = [(i, " ".join(rng.choices(words, k=60) + [rare[i % 10]] * 4)) for i in range(600)]
+    sequences = {}
+    for r in packing.pack(docs_of(spark, texts)).collect():
+        sequences.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 10)
+    assert np.mean([len(s) for s in sequences.values()]) < 3
+
+
+def test_scores_are_those_of_bm25():
+    """The first piece that a seed takes is the one of the highest BM25 score by the formula."""
+    rng = np.random.default_rng(4)
+    arrays = [np.append(rng.integers(1, 60, 100), 0).astype(np.uint16) for _ in range(30)] + [np.append(rng.integers(1, 60, 500), 0).astype(np.uint16)]
+    df = np.zeros(packing.VOCABULARY)
+    for a in arrays:
+        df[np.unique(a)] += 1
+    idf, mean = np.log1p((31 - df + 0.5) / (df + 0.5)), float(np.mean([len(a) for a in arrays]))
+    scores = []
+    for a in arrays[:30]:
+        score = 0.0
+        for t in set(arrays[30].tolist()):
+            tf = int((a == t).sum())
+            score += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(a) / mean))
+        scores.append(score)
+    taken = [piece for piece, _, _, sequence, _ in packing.pack_shard(arrays, idf, mean) if sequence == 0]
+    assert taken[0] == 30 and taken[1:6] == np.argsort(-np.array(scores), kind="stable")[:5].tolist()
+
+
 def test_packing_on_odd_rows(spark, odd, empty):
     got = packing.pack(odd)
     assert got.groupBy("doc_id", "start").count().where("count > 1").count() == 1 and got.where("doc_id is null").count() >= 1
