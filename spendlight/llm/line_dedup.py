@@ -10,10 +10,9 @@ group's pivot, its most frequent line. Candidates are verified by the exact Jacc
 their whole shingle sets (shingles as 64-bit hashes), verified links are joined into components, and of
 each component's occurrences the first, by (doc_id, text hash, line number), stays.
 
-A larger group whose lines are then in one component has nothing left to find. All lines of any
-other, linked or not, are also filed under the group and each of BRANCHES further minima, which joins
-more of them; then those lines of different components are compared that can be alike by the number
-of shingles that no other component has. So no partner of a crowded group is left out.
+A larger group whose lines are then in one component has nothing left to find. In any other, those
+lines of different components are compared that can be alike by the number of shingles that no other
+component has. So no partner in a crowded group is left out.
 
 A pair at similarity 0.8 shares one of eight bands of three rows with probability 0.997. Nulls: a null text has no lines; documents with a
 null doc_id stay as they are and take no part. Rows of one doc_id and different texts are different
@@ -32,8 +31,8 @@ from spendlight.storage import bucketed, scratch, store
 BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 12, 0.8
 #: Distinct lines of a group up to which all its pairs are compared.
 SMALL = 8
-#: Further minima for each refinement of a group, refinements, and parts that a line's partners are dealt into after them.
-BRANCHES, LEVELS, PARTS = 5, 1, 16
+#: Parts that a line's partners in a crowded group are dealt into.
+PARTS = 16
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -76,14 +75,13 @@ def _mask(k: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def minima(texts: DataFrame, count: int, seed: int = 0) -> DataFrame:
+def minima(texts: DataFrame, count: int) -> DataFrame:
     """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes under as many orders (up to 32), a row per shingle in between."""
     # in two steps: beside an explode, expressions are evaluated once for each row it makes
     one = texts.select("h", _wide("line").alias("wide"), _own("line").alias("own"), F.sequence(F.lit(0), _last("line")).alias("every"))
     one = one.select("h", "wide", "own", F.explode("every").alias("i"))
-    x = F.coalesce(F.xxhash64(F.lit(seed), "own") if seed else F.xxhash64("own"), F.lit(0))
-    every = F.xxhash64(F.lit(seed), _at(F.col("wide"), F.col("i"))) if seed else F.xxhash64(_at(F.col("wide"), F.col("i")))
-    hashed = one.select("h", F.when(F.col("own").isNull(), every).otherwise(x).alias("x"))
+    x = F.when(F.col("own").isNull(), F.xxhash64(_at(F.col("wide"), F.col("i")))).otherwise(F.xxhash64("own"))
+    hashed = one.select("h", x.alias("x"))
     return hashed.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(count)))
 
 
@@ -115,31 +113,12 @@ def _candidates(members: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def _sized(filed: DataFrame, keep) -> DataFrame:
-    """``filed`` with the size of each group, without groups of one line."""
-    sizes = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    return keep(filed.hint("merge").join(sizes.hint("merge"), "key"))
-
-
-def _named(lines: DataFrame, found: DataFrame, keep) -> DataFrame:
-    """``lines`` (..., h) with the component of each under the links ``found``."""
-    joined = keep(connected_components(found).withColumnRenamed("id", "h"))
-    return lines.hint("merge").join(joined.hint("merge"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-
-
-def _open(members: DataFrame, found: DataFrame, keep) -> DataFrame:
-    """``(key, h, n, component)``: the groups of more than SMALL lines that aren't in one component, whole."""
-    named = keep(_named(members.where(F.col("size") > SMALL).select("key", "h", "n"), found, keep))
+def _open(members: DataFrame, joined: DataFrame, keep) -> DataFrame:
+    """``(key, h, component)``: the groups of more than SMALL lines that aren't in one component, whole."""
+    large = members.where(F.col("size") > SMALL).select("key", "h")
+    named = keep(large.hint("merge").join(joined.hint("merge"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component")))
     several = keep(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    return keep(named.hint("merge").join(several.hint("merge"), "key").select("key", "h", "n", "component"))
-
-
-def _refined(open_: DataFrame, texts: DataFrame, level: int, keep) -> DataFrame:
-    """The lines of open groups filed under (group, branch, one further minimum)."""
-    lines = keep(open_.select("h").distinct())
-    more = keep(minima(lines.hint("merge").join(texts.hint("merge"), "h"), BRANCHES, seed=level))
-    both = open_.hint("merge").join(more.hint("merge"), "h")
-    return keep(both.select("h", "n", F.explode(F.array(*(F.xxhash64("key", F.lit(k), f"m{k}") for k in range(BRANCHES)))).alias("key")).select("key", "h", "n"))
+    return keep(named.hint("merge").join(several.hint("merge"), "key"))
 
 
 def _rest(open_: DataFrame, texts: DataFrame, keep) -> DataFrame:
@@ -163,25 +142,33 @@ def _rest(open_: DataFrame, texts: DataFrame, keep) -> DataFrame:
     return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where(alike).select("a", "b").distinct()
 
 
-def links(texts: DataFrame, keep) -> DataFrame:
-    """Verified links ``(a, b)`` between the distinct lines ``texts`` (h, n, line)."""
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("id").alias("h"), "component")
+
+
+def _joined_further(joined: DataFrame, found: DataFrame, keep) -> DataFrame:
+    """``joined`` (h, component) with the further links ``found``, which join components or single lines."""
+    ends = keep(joined.union(found.select(F.explode(F.array("a", "b")).alias("h")).select("h", F.col("h").alias("component"))).groupBy("h").agg(F.min("component").alias("component")))
+    one, two = ends.select(F.col("h").alias("a"), F.col("component").alias("ca")), ends.select(F.col("h").alias("b"), F.col("component").alias("cb"))
+    between = found.hint("merge").join(one.hint("merge"), "a").hint("merge").join(two.hint("merge"), "b").select("ca", "cb")
+    more = connected_components(between, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return keep(ends.hint("merge").join(more.hint("merge"), "component", "left").select("h", F.coalesce("root", "component").alias("component")))
+
+
+def components_of(texts: DataFrame, keep) -> DataFrame:
+    """``(h, component)`` for each of the distinct lines ``texts`` (h, n, line) that is linked to another; component is the least h."""
     signed = keep(signatures(texts))
     filed = signed.select("h", F.explode("keys").alias("key"))
     # a group of two is its least and its greatest line
     groups = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("a"), F.max("h").alias("b")).where("size > 1"))
-    larger = filed.hint("merge").join(groups.where("size > 2").select("key", "size").hint("merge"), "key")
-    members = keep(keep(larger).hint("merge").join(texts.select("h", "n").hint("merge"), "h"))
+    larger = keep(filed.hint("merge").join(groups.where("size > 2").select("key", "size").hint("merge"), "key"))
+    members = keep(larger.hint("merge").join(texts.select("h", "n").hint("merge"), "h"))
     texts = texts.select("h", "line")
-    found = verified(groups.where("size = 2").select("a", "b").union(_candidates(members)).distinct(), texts, keep)
-    open_ = _open(members, found, keep)
-    for level in range(1, LEVELS + 1):
-        if open_.isEmpty():
-            return found
-        # stars of refined groups join most of a group's lines before the rest is compared
-        refined = _sized(_refined(open_, texts, level, keep), keep)
-        found = keep(found.union(verified(_candidates(refined), texts, keep)).distinct())
-        open_ = _open(members, found, keep)
-    return keep(found.union(verified(_rest(open_, texts, keep), texts, keep)).distinct())
+    joined = _components(verified(groups.where("size = 2").select("a", "b").union(_candidates(members)).distinct(), texts, keep))
+    open_ = _open(members, joined, keep)
+    if open_.isEmpty():
+        return joined
+    return _joined_further(joined, verified(_rest(open_, texts, keep), texts, keep), keep)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -189,7 +176,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs).withColumn("h", F.xxhash64("line"))
     distinct = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     with scratch(docs.sparkSession) as keep, bucketed(distinct, "h") as texts:
-        joined = connected_components(links(texts, keep)).select(F.col("id").alias("h"), "component")
+        joined = components_of(texts, keep)
         repeated = texts.where("n > 1").select("h", F.col("h").alias("component"))
         # a repeated line that also has links carries its component, which is never larger than its own hash
         roots = keep(joined.union(repeated).groupBy("h").agg(F.min("component").alias("root")))
