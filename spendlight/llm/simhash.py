@@ -11,7 +11,7 @@ members are filed under themselves and their 64 one-bit neighbours instead, wher
 meet exactly if they differ in two bits or fewer, and each is linked to the smallest one it meets.
 
 Nulls: a null text counts as empty; rows with a null doc_id keep a fingerprint, get a null
-component and link nothing. Repeated doc_ids are one node. Other columns are ignored.
+component and link nothing. Rows that repeat a doc_id are documents of their own, which share its name. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlight.llm.tables import table
+from spendlight.llm.tables import columns, fresh, table
 from spendlight.operators.components import connected_components
 from spendlight.storage import cut
 
@@ -53,16 +53,17 @@ def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long, one row per document."""
+    """``(doc_id, version, fp)`` with the text's hash and the fingerprint as signed longs, one row per document."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "version", "fp"])
 
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, fp long")
+    text = F.col("text").cast("string")
+    slim = docs.select("doc_id", F.xxhash64(text).alias("version"), text.alias("text"))
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, version long, fp long")
 
 
 def _choices(fp):
@@ -104,16 +105,20 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _rooted(marked: DataFrame) -> DataFrame:
+    """``(fp, root)``: each distinct fingerprint of ``marked`` and the least one reachable from it."""
+    classes = cut(marked.where(F.col("doc_id").isNotNull()).select("fp").distinct())
+    joined = connected_components(links(classes.withColumn("rep", F.col("fp"))))
+    return classes.hint("merge").join(joined.withColumnRenamed("id", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``."""
     marked = cut(fingerprints(docs))
-    classes = cut(marked.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = connected_components(links(classes))
-    named = cut(
-        classes.hint("merge")
-        .join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
+    rooted = cut(_rooted(marked))
+    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    firsts = cut(rooted.hint("merge").join(least.hint("merge"), "fp").groupBy("root").agg(F.min("least").alias("component_id")))
+    named = cut(rooted.hint("merge").join(firsts.hint("merge"), "root").select("fp", "component_id"))
     return (
         marked.hint("merge")
         .join(named.hint("merge"), "fp", "left")
@@ -126,16 +131,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id (null ids stay)."""
-    found = near_duplicates(docs)
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    # a repeated doc_id is one document: rows beyond its first copy go as well
-    ids = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    kept = docs.hint("merge").join(gone.hint("merge"), "doc_id", "left_anti")
-    if ids.isEmpty():
-        return kept.select(docs.columns)
-    repeated = kept.hint("merge").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.hint("merge").join(ids.hint("merge"), "doc_id", "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    """``docs`` with one document of each component: the one of the smallest doc_id, then of the smallest text hash.
+
+    Rows with a null doc_id stay. Of rows that repeat both doc_id and text one stays, by the least hash of the row.
+    """
+    version, first = fresh(docs, "version"), fresh(docs, "first")
+    marked = cut(fingerprints(docs).where(F.col("doc_id").isNotNull()))
+    keys = marked.groupBy("fp", "doc_id", "version").agg(F.count(F.lit(1)).alias("n"))
+    keys = cut(keys.hint("merge").join(cut(_rooted(marked)).hint("merge"), "fp"))
+    kept = cut(keys.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("keep")).select("keep.doc_id", "keep.version"))
+    gone = cut(keys.select("doc_id", "version").distinct().hint("merge").join(kept.hint("merge"), ["doc_id", "version"], "left_anti"))
+    repeated = cut(keys.where("n > 1").select("doc_id", "version").distinct())
+    named = lambda df: df.withColumnRenamed("version", version).hint("merge")
+    left = docs.withColumn(version, F.xxhash64(F.col("text").cast("string"))).hint("merge").join(named(gone), ["doc_id", version], "left_anti")
+    if repeated.isEmpty():
+        return left.select(columns(docs))
+    once = left.hint("merge").join(named(repeated), ["doc_id", version], "left_anti").select(columns(docs))
+    several = left.hint("merge").join(named(repeated), ["doc_id", version], "left_semi")
+    one = several.groupBy("doc_id", version).agg(F.min_by(F.struct(*columns(docs)), F.xxhash64(*columns(docs))).alias(first))
+    return once.unionByName(one.select(f"{first}.*"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
