@@ -312,8 +312,6 @@ def test_lines_against_brute_force(spark, monkeypatch):
     # the same with nearly every group taken for a crowded one
     monkeypatch.setattr(line_dedup, "SMALL", 2)
     assert removed_places(docs_of(spark, texts)) == expected
-    monkeypatch.setattr(line_dedup, "LEVELS", 0)
-    assert removed_places(docs_of(spark, texts)) == expected
 
 
 def test_lines_against_all_shingles(spark):
@@ -394,6 +392,15 @@ def test_simhash_on_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    rows = [(1, "alpha beta gamma delta", "x"), (1, "one two three four five six", "x"), (1, "alpha beta gamma delta", "y"), (2, "ALPHA beta gamma delta", "z"), (3, "one two three four five six", "z"), (4, None, "n"), (5, "", "n"), (None, "alpha beta gamma delta", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string").withColumn("a.b", F.lit(1)).withColumn("root", F.lit(2))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=repr)
+    assert got == [(0, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "one two three four five six"), (4, None)]
+
+
 # ---- decontamination
 
 
