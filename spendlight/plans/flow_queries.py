@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spendlight.functions import text as X
 from spendlight.operators import ingest as I
+from spendlight.operators import parsing as P
 from spendlight.plans import bridges as B
 from spendlight.plans.catalog import query
 from spendlight.sources import landing as L
@@ -14,81 +15,114 @@ from spendlight.streaming import events as S
 # ---- sources: landed responses are derived from the given tables as JSON text and parsed back with the declared schemas
 
 
-def _json(df, key, schema, record, wrap):
-    """One response per ``key`` with its records under ``wrap``, as landed text parsed by ``schema``."""
-    body = df.groupBy(key).agg(F.to_json(wrap(F.collect_list(record))).alias("value"))
-    return body.select(F.from_json("value", schema).alias("j")).select("j.*")
+#: Records of a landed response.
+PAGE = 100
+
+
+def _pages(df, record):
+    """Landed responses of up to PAGE records each, in the order in which they come: ``(r array)``."""
+    numbered = df.select(record.alias("record"), F.monotonically_increasing_id().alias("n"))
+    return numbered.groupBy(F.floor(F.col("n") / PAGE).alias("page")).agg(F.collect_list("record").alias("r"))
+
+
+def _landed(t, df, schema, record, wrap):
+    """``df`` landed as files of JSON responses in the shared folder, read back with ``schema``."""
+    from uuid import uuid4
+
+    from spendlight.storage import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(t.spark)}/landed/{uuid4().hex}"
+    _pages(df, record).select(F.to_json(wrap(F.col("r"))).alias("value")).write.text(path)
+    return L.read_json(t.spark, path, schema, lines=True)
 
 
 def _usaspending(t):
-    rec = F.struct(F.col("award_id").alias("Award ID"), F.col("vendor_id").alias("Recipient Name"), F.col("award_amount").cast("string").alias("Award Amount"), F.col("awarding_agency").alias("Awarding Agency"), F.element_at(F.array(*(F.lit(x) for x in "ABCDE")), (F.col("order_id") % 5 + 1).cast("int")).alias("Award Type"), F.col("extent_competed").alias("Extent Competed"))
-    return L.flatten_usaspending(_json(B.awards(t), "vendor_id", L.USASPENDING_SCHEMA, rec, lambda r: F.struct(r.alias("results"))))
+    kinds = F.array(*(F.lit(x) for x in "ABCDE"))
+    day = F.date_format("start_ts", "yyyy-MM-dd")
+    rec = F.struct(
+        F.col("award_id").alias("Award ID"), F.col("vendor_id").alias("Recipient Name"), F.col("award_amount").cast("string").alias("Award Amount"), F.col("awarding_agency").alias("Awarding Agency"),
+        kinds[(F.col("order_id") % 5).cast("int")].alias("Award Type"), day.alias("Start Date"), F.when(F.col("order_id") % 2 == 0, day).alias("End Date"), F.concat(F.lit("U"), "vendor_id").alias("Recipient UEI"),
+        F.col("extent_competed").alias("Extent Competed"), F.lit("336411").alias("NAICS Code"), F.col("order_id").cast("string").alias("internal_id"), F.concat(F.lit("CONT_"), "award_id").alias("generated_internal_id"),
+    )
+    return L.flatten_usaspending(_landed(t, B.awards(t), L.USASPENDING_SCHEMA, rec, lambda r: F.struct(r.alias("results"))))
 
 
-_USA = f"with {B.AWARDS} select award_id, vendor_id recipient_name, awarding_agency, (['A','B','C','D','E'])[order_id%5+1] award_type, extent_competed from awards"
+_USA = f"with {B.AWARDS} select 'usaspending' source, award_id, vendor_id recipient_name, cast(award_amount as double) award_amount, awarding_agency, (['A','B','C','D','E'])[order_id%5+1] award_type, strftime(start_ts,'%Y-%m-%d') start_date, case when order_id%2=0 then strftime(start_ts,'%Y-%m-%d') end end_date, concat('U',vendor_id) recipient_uei, extent_competed, '336411' naics_code, cast(order_id as varchar) internal_id, concat('CONT_',award_id) generated_internal_id from awards"
 
 
 @query("src_usaspending", _USA)
 def _(t):
-    return _usaspending(t).select("award_id", "recipient_name", "awarding_agency", "award_type", "extent_competed")
+    return _usaspending(t).withColumn("award_amount", F.col("award_amount").cast("double"))
 
 
 @query("src_award_filter", f"select * from ({_USA}) where award_type in ('A','B','C','D') and contains(lower(recipient_name), '1')")
 def _(t):
-    return L.award_filter(_usaspending(t), recipient="1").select("award_id", "recipient_name", "awarding_agency", "award_type", "extent_competed")
+    return L.award_filter(_usaspending(t), recipient="1").withColumn("award_amount", F.col("award_amount").cast("double"))
 
 
-@query("src_sam", "select cast(p_partkey as varchar) notice_id, p_name title, p_brand agency, p_type as type, 1 contacts from part")
+@query("src_sam", "select cast(p_partkey as varchar) notice_id, p_name title, concat('S-',p_partkey) solicitation_number, p_brand agency, '541' naics_code, concat('C',p_size) classification_code, '2024-01-02' posted_date, case when p_partkey%2=0 then '2024-02-02' end response_deadline, p_type as type, 'base' base_type, 'SBA' set_aside, 'Small business' set_aside_description, concat('{\"city\":\"',p_brand,'\"}') office_address, case when p_partkey%3=0 then concat('{\"amount\":',p_size,'}') end award, concat('https://sam.gov/opp/',p_partkey) ui_link, 1 contacts from part")
 def _(t):
-    rec = F.struct(F.col("p_partkey").cast("string").alias("noticeId"), F.col("p_name").alias("title"), F.col("p_brand").alias("fullParentPathName"), F.col("p_type").alias("type"), F.array(F.struct(F.lit("A").alias("fullName"))).alias("pointOfContact"))
-    raw = _json(t("part"), "p_brand", L.SAM_SCHEMA, rec, lambda r: F.struct(r.alias("opportunitiesData")))
-    return L.flatten_sam(raw).select("notice_id", "title", "agency", "type", F.size("point_of_contact").alias("contacts"))
+    k = F.col("p_partkey")
+    rec = F.struct(
+        k.cast("string").alias("noticeId"), F.col("p_name").alias("title"), F.concat(F.lit("S-"), k).alias("solicitationNumber"), F.col("p_brand").alias("fullParentPathName"), F.lit("541").alias("naicsCode"), F.concat(F.lit("C"), "p_size").alias("classificationCode"),
+        F.lit("2024-01-02").alias("postedDate"), F.when(k % 2 == 0, "2024-02-02").alias("responseDeadLine"), F.col("p_type").alias("type"), F.lit("base").alias("baseType"), F.lit("SBA").alias("typeOfSetAside"), F.lit("Small business").alias("typeOfSetAsideDescription"),
+        F.struct(F.col("p_brand").alias("city")).alias("officeAddress"), F.when(k % 3 == 0, F.struct(F.col("p_size").alias("amount"))).alias("award"), F.concat(F.lit("https://sam.gov/opp/"), k).alias("uiLink"), F.array(F.struct(F.lit("A").alias("fullName"))).alias("pointOfContact"),
+    )
+    raw = _landed(t, t("part"), L.SAM_SCHEMA, rec, lambda r: F.struct(r.alias("opportunitiesData")))
+    return L.flatten_sam(raw).withColumn("contacts", F.size("point_of_contact")).drop("point_of_contact")
 
 
 def _sec(t):
     k = F.col("o_orderkey")
     forms = F.array(*(F.lit(x) for x in ("10-K", "8-K", "S-1", "4")))
-    src = F.struct(F.concat_ws("-", F.lit("0001"), k.cast("string")).alias("accession_no"), F.col("o_custkey").cast("string").alias("cik"), F.lit("Firm").alias("entity_name"), forms[(k % 4).cast("int")].alias("form_type"), F.when(k % 3 != 0, F.concat(F.lit("f"), k, F.lit(".htm"))).alias("file_name"))
-    return L.flatten_sec(_json(t("orders"), "o_orderpriority", L.SEC_SCHEMA, F.struct(src.alias("_source")), lambda r: F.struct(F.struct(r.alias("hits")).alias("hits"))))
+    src = F.struct(
+        F.concat_ws("-", F.lit("0001"), k.cast("string")).alias("accession_no"), F.col("o_custkey").cast("string").alias("cik"), F.concat(F.lit("Firm "), "o_custkey").alias("entity_name"), forms[(k % 4).cast("int")].alias("form_type"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("file_date"), F.lit("2023").alias("period_of_report"), F.concat(F.lit("f-"), k).alias("file_num"), F.when(k % 3 != 0, F.concat(F.lit("f"), k, F.lit(".htm"))).alias("file_name"), F.concat(F.lit("procurement report of "), "o_orderpriority").alias("display_name"),
+    )
+    return L.flatten_sec(_landed(t, t("orders"), L.SEC_SCHEMA, F.struct(src.alias("_source")), lambda r: F.struct(F.struct(r.alias("hits")).alias("hits"))))
 
 
-_SEC = "select concat('0001-',o_orderkey) accession_number, (['10-K','8-K','S-1','4'])[o_orderkey%4+1] form_type, case when o_orderkey%3<>0 then concat('https://www.sec.gov/Archives/edgar/data/',o_custkey,'/0001',o_orderkey,'/f',o_orderkey,'.htm') else '' end document_url from orders"
+_SEC = "select concat('0001-',o_orderkey) accession_number, cast(o_custkey as varchar) cik, concat('Firm ',o_custkey) entity_name, (['10-K','8-K','S-1','4'])[o_orderkey%4+1] form_type, strftime(o_orderdate,'%Y-%m-%d') file_date, '2023' period_of_report, concat('f-',o_orderkey) file_number, case when o_orderkey%3<>0 then concat('f',o_orderkey,'.htm') end file_name, concat('procurement report of ',o_orderpriority) description, case when o_orderkey%3<>0 then concat('https://www.sec.gov/Archives/edgar/data/',o_custkey,'/0001',o_orderkey,'/f',o_orderkey,'.htm') else '' end document_url from orders"
 
 
 @query("src_sec", _SEC)
 def _(t):
-    return _sec(t).select("accession_number", "form_type", "document_url")
+    return _sec(t)
 
 
 @query("src_form_filter", f"select * from ({_SEC}) where form_type<>'4'")
 def _(t):
-    return L.form_filter(_sec(t)).select("accession_number", "form_type", "document_url")
+    return L.form_filter(_sec(t))
 
 
 @query("src_doj", f"with {B.RELEASES} select cast(doc_id as varchar) uuid, title, source component, len(regexp_extract_all(concat(title,' ',body), '{X.AMOUNT_RAW}')) amounts, len(regexp_extract_all(concat(title,' ',body), '{X.DISTRICT_RAW}')) districts from releases")
 def _(t):
     rec = F.struct(F.col("doc_id").cast("string").alias("uuid"), "title", "body", F.struct(F.col("source").alias("name")).alias("component"), F.array(F.struct(F.lit("Fraud").alias("name"))).alias("topic"))
-    raw = _json(B.releases(t), "source", L.DOJ_SCHEMA, rec, lambda r: F.struct(r.alias("results")))
+    raw = _landed(t, B.releases(t), L.DOJ_SCHEMA, rec, lambda r: F.struct(r.alias("results")))
     return L.flatten_doj(raw).select("uuid", "title", "component", F.size("amounts").alias("amounts"), F.size("districts").alias("districts"))
 
 
 @query("src_oversight", "select cast(p_partkey as varchar) report_id, p_name title, p_size::bigint monetary_findings from part")
 def _(t):
     rec = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("monetary_findings"))
-    bodies = t("part").groupBy("p_brand").agg(F.collect_list(rec).alias("r"))
-    value = F.when(F.substring("p_brand", -1, 1) == "1", F.to_json("r")).otherwise(F.to_json(F.struct(F.col("r").alias("results"), F.size("r").alias("total"))))
+    bodies = _pages(t("part"), rec)
+    value = F.when(F.col("page") % 3 == 1, F.to_json("r")).otherwise(F.to_json(F.struct(F.col("r").alias("results"), F.size("r").alias("total"))))
     return L.flatten_oversight(bodies.select(value.alias("value"))).select("report_id", "title", "monetary_findings")
 
 
-@query("src_fec_committee", "select cast(s_suppkey as varchar) committee_id, s_name as name, cast(s_nationkey as varchar) state from supplier")
+@query("src_fec_committee", "select cast(s_suppkey as varchar) committee_id, s_name as name, 'N' committee_type, 'U' designation, null::varchar organization_type, cast(s_nationkey as varchar) state, 'P' party, concat('T ',s_name) treasurer_name, '2001-02-03' first_file_date, [2020, 2022] cycles, case when s_suppkey%2=0 then [concat('P',s_suppkey)] end sponsor_candidate_ids from supplier")
 def _(t):
-    rec = F.struct(F.col("s_suppkey").cast("string").alias("committee_id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("state"))
-    return L.flatten_fec_committee(_json(t("supplier"), "s_nationkey", L.FEC_SCHEMA["committee"], rec, lambda r: F.struct(r.alias("results")))).select("committee_id", "name", "state")
+    k = F.col("s_suppkey")
+    rec = F.struct(
+        k.cast("string").alias("committee_id"), F.col("s_name").alias("name"), F.lit("N").alias("committee_type"), F.lit("U").alias("designation"), F.col("s_nationkey").cast("string").alias("state"), F.lit("P").alias("party"), F.concat(F.lit("T "), "s_name").alias("treasurer_name"),
+        F.lit("2001-02-03").alias("first_file_date"), F.array(F.lit(2020), F.lit(2022)).alias("cycles"), F.when(k % 2 == 0, F.array(F.concat(F.lit("P"), k))).alias("sponsor_candidate_ids"),
+    )
+    return L.flatten_fec_committee(_landed(t, t("supplier"), L.FEC_SCHEMA["committee"], rec, lambda r: F.struct(r.alias("results"))))
 
 
 def _receipts(t):
     rec = F.struct(F.col("o_orderkey").cast("string").alias("sub_id"), F.concat(F.lit("Donor "), "o_custkey").alias("contributor_name"), F.round("o_totalprice").cast("long").cast("string").alias("contribution_receipt_amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("contribution_receipt_date"), F.struct(F.col("o_orderpriority").alias("name")).alias("committee"))
-    return L.flatten_fec_receipt(_json(t("orders"), "o_orderpriority", L.FEC_SCHEMA["receipt"], rec, lambda r: F.struct(r.alias("results"))))
+    return L.flatten_fec_receipt(_landed(t, t("orders"), L.FEC_SCHEMA["receipt"], rec, lambda r: F.struct(r.alias("results"))))
 
 
 _REC = "select cast(o_orderkey as varchar) sub_id, concat('Donor ',o_custkey) contributor_name, strftime(o_orderdate,'%Y-%m-%d') contribution_receipt_date, o_orderpriority committee_name from orders"
@@ -288,29 +322,45 @@ def _(t):
 @query("par_usaspending", f"select o_orderkey award_id, concat(case when o_orderkey%2=0 then 'Firm ' else 'FIRM ' end, o_custkey) recipient_name, o_orderpriority awarding_agency, o_orderkey%4 in (0,2) is_sole_source, case when o_orderkey%7=0 then 'CAN' else 'USA' end country from orders")
 def _(t):
     docs = _award_docs(t)
-    parsed = I.recipient(docs).join(I.award_detail(docs), "award_id").join(I.competition(docs), "award_id").join(I.place(docs), "award_id")
-    return parsed.select("award_id", F.col("recipient.name").alias("recipient_name"), "awarding_agency", "is_sole_source", "country")
+    return I.parse_awards(docs).select("award_id", F.col("recipient.name").alias("recipient_name"), "awarding_agency", "is_sole_source", "country")
+
+
+def _found(patterns):
+    return "list_filter([" + ", ".join(f"case when regexp_matches(w, '(?i){p}') then '{n}' end" for n, p in patterns.items()) + "], lambda x: x is not null)"
 
 
-@query("par_doj", f"with {B.RELEASES} select doc_id, len(list_distinct(regexp_extract_all(body, '{X.CASE_NUMBER}', 1))) dockets, {' or '.join(f'regexp_matches(body, {chr(39)}(?i){p}{chr(39)})' for p in [*X.STATUTES.values(), *X.ACTIONS.values()])} fraud_relevant from releases")
+_VALUES = f"list_transform(list_zip(regexp_extract_all(w, '{X.AMOUNT}', 1), regexp_extract_all(w, '{X.AMOUNT}', 2)), lambda z: try_cast(replace(z[1], ',', '') as double) * case lower(z[2]) when 'billion' then 1e9 when 'million' then 1e6 when 'thousand' then 1e3 else 1 end)"
+_DOJ = f"""with {B.RELEASES}, p as (select *, concat(title, chr(10), chr(10), body) w from releases)
+select doc_id, 'press_release' doc_type, 'doj' source, title, '2024-01-02' date, source component, ['fraud'] topics, list_sort(list_distinct({_VALUES}), 'DESC') settlement_amounts,
+ list_sort(list_distinct(regexp_extract_all(w, '{X.CASE_NUMBER}', 1))) case_numbers, list_sort(list_distinct(regexp_extract_all(w, '{X.DISTRICT}', 1))) districts,
+ {_found(X.STATUTES)} statutes_cited, {_found(X.ACTIONS)} enforcement_actions, len({_found(X.STATUTES)}) + len({_found(X.ACTIONS)}) > 0 fraud_relevant from p"""
+
+
+@query("par_doj", _DOJ)
 def _(t):
-    b = F.col("body")
-    return B.releases(t).select("doc_id", F.size(X.case_numbers(b)).alias("dockets"), ((F.size(X.statutes(b)) > 0) | (F.size(X.actions(b)) > 0)).alias("fraud_relevant"))
+    docs = B.releases(t).select("doc_id", "title", "body", F.lit("2024-01-02").alias("date"), F.col("source").alias("component"), F.array(F.lit("fraud")).alias("topics"))
+    return P.parse_releases(docs)
 
 
-def _filing_sql(words):
-    found = "[" + ",".join(f"'{w}'" for w in words) + "]"
-    return f"with {B.RELEASES} select doc_id, title as name, least(len(list_filter({found}, lambda p: contains(lower(concat(title, ' ', body)), p)))/3, 1.0) score from releases"
+def _relevance_sql(words, text):
+    found = "list_filter([" + ",".join(f"'{w}'" for w in words) + f"], lambda p: contains(lower({text}), p))"
+    return f"{found} matches, len({found}) > 0 relevant, least(len({found})/3, 1.0) score"
 
 
-@query("par_sec", _filing_sql(X.GOVERNMENT_KEYWORDS))
+@query("par_sec", f"select o_orderkey doc_id, 'sec_filing' doc_type, 'sec_edgar' source, entity_name as name, cik, accession_number, form_type, file_date, document_url, description, 1 mentions, {_relevance_sql(X.GOVERNMENT_KEYWORDS, 'concat(entity_name, chr(32), description)')} from (select *, cast(replace(accession_number, '0001-', '') as bigint) o_orderkey from ({_SEC}))")
 def _(t):
-    return B.releases(t).select("doc_id", F.col("title").alias("name"), X.relevance(F.concat_ws(" ", "title", "body"), X.GOVERNMENT_KEYWORDS)["score"].alias("score"))
+    docs = _sec(t).withColumn("doc_id", F.replace("accession_number", F.lit("0001-"), F.lit("")).cast("long"))
+    r = P.parse_filings(docs)
+    return r.select("doc_id", "doc_type", "source", "entity.name", "entity.cik", *(f"filing_details.{c}" for c in ("accession_number", "form_type", "file_date", "document_url", "description")), F.size("entities_found").alias("mentions"), "gov_contract_relevance.*")
 
 
-@query("par_ig", _filing_sql(X.PROCUREMENT_KEYWORDS))
+@query("par_ig", f"with {B.RELEASES}, p as (select *, concat(title, chr(10), body) w from releases) select doc_id, 'ig_report' doc_type, 'oversight_gov' source, title, source agency, cast(doc_id as varchar) report_number, body summary, 0 monetary_findings, {_VALUES} amounts, 1 mentions, {_relevance_sql(X.PROCUREMENT_KEYWORDS, 'w')} from p")
 def _(t):
-    return B.releases(t).select("doc_id", F.col("title").alias("name"), X.relevance(F.concat_ws(" ", "title", "body"), X.PROCUREMENT_KEYWORDS)["score"].alias("score"))
+    blank = F.lit(None).cast("string")
+    docs = B.releases(t).select("doc_id", "title", F.col("source").alias("agency"), F.col("body").alias("summary"), F.col("doc_id").cast("string").alias("report_number"), blank.alias("report_id"), blank.alias("report_type"), blank.alias("published_date"), blank.alias("url"), F.lit(None).cast("long").alias("recommendations_count"), F.lit(None).cast("long").alias("monetary_findings"))
+    r = P.parse_reports(docs)
+    amounts = F.transform("findings.extracted_amounts", lambda x: x["value_usd"])
+    return r.select("doc_id", "doc_type", "source", "report.title", "report.agency", "report.report_number", "findings.summary", "findings.monetary_findings", amounts.alias("amounts"), F.size("entities_found").alias("mentions"), "procurement_relevance.*")
 
 
 # ---- streaming
@@ -323,14 +373,26 @@ def _envelopes(t):
     return t("events").select(F.when(k % 13 == 0, "{broken").otherwise(good).alias("value"))
 
 
+def _source(t, df, files=None):
+    """``df`` landed as parquet files for a stream to read."""
+    from uuid import uuid4
+
+    from spendlight.storage import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(t.spark)}/stream-source-{uuid4().hex}"
+    (df.repartition(files) if files else df).write.parquet(path)
+    return path
+
+
 @query("str_envelope", "select case when event_id%13=0 then 'malformed' when event_id%11=0 then 'blank key' else 'unknown type' end reason, count(*) n from events where event_id%13=0 or event_id%11=0 or event_id%7=0 group by 1")
 def _(t):
-    return S.parse_envelopes(_envelopes(t))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    dead = S.replay(t.spark, _source(t, _envelopes(t)), lambda s: S.parse_envelopes(s)[1], "envelope")
+    return dead.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_route", "select cast(event_id as varchar) event_id from events where event_id%13<>0 and event_id%11<>0 and event_id%7<>0 and event_id%4=3")
 def _(t):
-    return S.route(S.parse_envelopes(_envelopes(t))[0], "case.created").select("event_id")
+    return S.replay(t.spark, _source(t, _envelopes(t)), lambda s: S.route(S.parse_envelopes(s)[0], "case.created"), "route").select("event_id")
 
 
 @query("str_dedup", "select event_type, count(*) n from events group by 1")
@@ -348,23 +410,20 @@ def _(t):
 @query("str_retry", "select concat('k', event_id, ':retry:', event_id%5+1) idempotency_key, event_id%5+1 attempt from events where event_id%5<3")
 def _(t):
     failures = t("events").select(F.concat(F.lit("k"), "event_id").alias("idempotency_key"), (F.col("event_id") % 5).alias("attempt"))
-    return S.retry_plan(failures)[0].select("idempotency_key", "attempt")
+    return S.replay(t.spark, _source(t, failures), lambda s: S.retry_plan(s)[0], "retry").select("idempotency_key", "attempt")
 
 
 @query("str_chain", "select 'artifact.parse_requested' event_type, doc_id artifact_id, concat('parse:', doc_id) idempotency_key from documents union all select 'artifact.normalize_requested', doc_id, concat('normalize:', doc_id) from documents")
 def _(t):
-    done = t("documents").select(F.col("doc_id").alias("artifact_id"))
-    return S.next_events(done, "ingest").unionByName(S.next_events(done, "parse"))
+    source = _source(t, t("documents").select(F.col("doc_id").alias("artifact_id")))
+    return S.replay(t.spark, source, lambda s: S.next_events(s, "ingest").unionByName(S.next_events(s, "parse")), "chain")
 
 
-@query("str_ingest", "select min(doc_id) artifact_id, sha256(text) content_hash from documents group by text")
+@query("str_ingest", "select sha256(text) content_hash, count(distinct text) stored from documents group by text")
 def _(t):
-    half = _batch(t).where("artifact_id % 2 = 0")
-    first = I.new_artifacts(half, half.where("false"))
-    # the second micro-batch meets what the first one stored; the earlier artifact of each text is reported
-    second = I.new_artifacts(_batch(t).where("artifact_id % 2 = 1"), first)
-    stored = first.unionByName(second)
-    return stored.join(_batch(t).select("content_hash", F.col("artifact_id").alias("other")), "content_hash").groupBy("content_hash").agg(F.min("other").alias("artifact_id"))
+    # several micro-batches, of which each meets what those before it stored
+    stored = S.ingest_stream(t.spark, _source(t, _batch(t), files=3), I.new_artifacts, files=1)
+    return stored.groupBy("content_hash").agg(F.count(F.lit(1)).alias("stored"))
 
 
 def _stream(t, build, name):

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from spendlight.functions import text as X
 
 # fixed values: field names of the responses and what they are called here
-USASPENDING = {"Award ID": "award_id", "Recipient Name": "recipient_name", "Award Amount": "award_amount", "Awarding Agency": "awarding_agency", "Award Type": "award_type", "Start Date": "start_date", "End Date": "end_date", "Recipient UEI": "recipient_uei", "Extent Competed": "extent_competed", "NAICS Code": "naics_code"}
-SAM = {"noticeId": "notice_id", "title": "title", "solicitationNumber": "solicitation_number", "fullParentPathName": "agency", "naicsCode": "naics_code", "classificationCode": "classification_code", "postedDate": "posted_date", "responseDeadLine": "response_deadline", "type": "type", "baseType": "base_type", "typeOfSetAside": "set_aside", "uiLink": "ui_link"}
-SEC = {"accession_no": "accession_number", "cik": "cik", "entity_name": "entity_name", "form_type": "form_type", "file_date": "file_date", "period_of_report": "period_of_report", "file_num": "file_number", "file_name": "file_name"}
+USASPENDING = {"Award ID": "award_id", "Recipient Name": "recipient_name", "Award Amount": "award_amount", "Awarding Agency": "awarding_agency", "Award Type": "award_type", "Start Date": "start_date", "End Date": "end_date", "Recipient UEI": "recipient_uei", "Extent Competed": "extent_competed", "NAICS Code": "naics_code", "internal_id": "internal_id", "generated_internal_id": "generated_internal_id"}
+SAM = {"noticeId": "notice_id", "title": "title", "solicitationNumber": "solicitation_number", "fullParentPathName": "agency", "naicsCode": "naics_code", "classificationCode": "classification_code", "postedDate": "posted_date", "responseDeadLine": "response_deadline", "type": "type", "baseType": "base_type", "typeOfSetAside": "set_aside", "typeOfSetAsideDescription": "set_aside_description", "officeAddress": "office_address", "award": "award", "uiLink": "ui_link"}
+SEC = {"accession_no": "accession_number", "cik": "cik", "entity_name": "entity_name", "form_type": "form_type", "file_date": "file_date", "period_of_report": "period_of_report", "file_num": "file_number", "file_name": "file_name", "display_name": "description"}
 COMMITTEE = ["committee_id", "name", "committee_type", "designation", "organization_type", "state", "party", "treasurer_name", "first_file_date"]
 RECEIPT = ["sub_id", "committee_id", "contributor_name", "contributor_employer", "contributor_occupation", "contributor_city", "contributor_state", "contribution_receipt_amount", "contribution_receipt_date", "memo_text", "line_number"]
 DOC_TYPES = {"usaspending": "contract_award", "doj": "press_release", "sec_edgar": "financial_filing", "oversight": "ig_report", "openfec": "fec_record", "sam_gov": "contract_opportunity"}
@@ -22,8 +22,9 @@ def _struct(names) -> str:
     return "struct<" + ",".join(f"`{n}`:string" for n in names) + ">"
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Landed responses: one JSON document a file, or with ``lines`` one a line, which Spark can split."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def _flat(raw: DataFrame, path: str, names: dict[str, str]) -> DataFrame:
@@ -35,11 +36,12 @@ SAM_SCHEMA = f"opportunitiesData array<struct<{','.join(f'`{n}`:string' for n in
 SEC_SCHEMA = f"hits struct<hits:array<struct<_source:{_struct(SEC)}>>>"
 DOJ_SCHEMA = "results array<struct<uuid:string,title:string,date:string,body:string,url:string,component:struct<name:string>,topic:array<struct<name:string>>>>"
 OVERSIGHT_RECORD = "struct<id:string,title:string,agency:string,report_type:string,published_date:string,url:string,summary:string,report_number:string,recommendations_count:bigint,monetary_findings:bigint>"
-FEC_SCHEMA = {"committee": f"results array<{_struct(COMMITTEE)}>", "receipt": f"results array<struct<{','.join(f'`{n}`:string' for n in RECEIPT)},committee:struct<name:string>>>"}
+COMMITTEE_LISTS = {"cycles": "array<int>", "sponsor_candidate_ids": "array<string>"}
+FEC_SCHEMA = {"committee": f"results array<struct<{','.join([*(f'`{n}`:string' for n in COMMITTEE), *(f'`{n}`:{k}' for n, k in COMMITTEE_LISTS.items())])}>>", "receipt": f"results array<struct<{','.join(f'`{n}`:string' for n in RECEIPT)},committee:struct<name:string>>>"}
 
 
 def flatten_usaspending(raw: DataFrame) -> DataFrame:
-    return _flat(raw, "results", USASPENDING)
+    return _flat(raw, "results", USASPENDING).withColumn("source", F.lit("usaspending"))
 
 
 def flatten_sam(raw: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def flatten_oversight(raw_text: DataFrame) -> DataFrame:
 
 
 def flatten_fec_committee(raw: DataFrame) -> DataFrame:
-    return _flat(raw, "results", {n: n for n in COMMITTEE})
+    return _flat(raw, "results", {n: n for n in [*COMMITTEE, *COMMITTEE_LISTS]})
 
 
 def flatten_fec_receipt(raw: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # fixed values: event types and the envelope
 TYPES = ("artifact.ingested", "artifact.parse_requested", "artifact.normalize_requested", "case.created")
@@ -49,23 +50,37 @@ def window_counts(events: DataFrame, width: str, slide: str | None = None, keys:
     return events.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def replay(spark, source, build, name: str, mode: str = "append", schema=None) -> DataFrame:
-    """Runs ``build`` over the parquet files under ``source`` as a stream to its end and returns the result.
+def late_counts(events: DataFrame, delay: str, width: str, keys: tuple[str, ...] = ("scope",)) -> DataFrame:
+    """Counts by window for streams that run on: rows later than ``delay`` are left out, finished windows leave the state."""
+    return window_counts(events.withWatermark("ts", delay), width, keys=keys)
 
-    The result goes to a table in the shared checkpoint folder, so it survives lost executors.
-    """
+
+def _home(spark, name: str) -> str:
     from uuid import uuid4
 
     from spendlight.storage import ensure_checkpoint_dir
 
-    home = f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid4().hex}"
-    schema = schema or spark.read.parquet(source).schema
+    return f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid4().hex}"
+
+
+def _opened(spark, source: str, schema, files: int | None) -> DataFrame:
+    """The parquet files under ``source`` (a folder or one file) as a stream, ``files`` a micro-batch."""
     folder, names = source, "*.parquet"
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
         # a stream reads folders: a single file is the only one of its name in its folder
         folder, names = str(path.getParent()), path.getName()
-    stream = build(spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(folder))
+    reader = spark.readStream.schema(schema or spark.read.parquet(source).schema).option("pathGlobFilter", names)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
+
+
+def replay(spark, source: str, build, name: str, mode: str = "append", schema=None, files: int | None = None) -> DataFrame:
+    """Runs ``build`` over the parquet files under ``source`` as a stream to its end and returns the result.
+
+    The result goes to a table in the shared checkpoint folder, so it survives lost executors.
+    """
+    home = _home(spark, name)
+    stream = build(_opened(spark, source, schema, files))
     writer = stream.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{home}/out").outputMode("append").start()
@@ -73,4 +88,23 @@ def replay(spark, source, build, name: str, mode: str = "append", schema=None) -
         # a full result replaces the last one; readers see the newest batch
         query = writer.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/out")).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{home}/out")
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+
+def ingest_stream(spark, source: str, new_rows, name: str = "ingest", files: int | None = None) -> DataFrame:
+    """Stores of each micro-batch what ``new_rows(batch, stored)`` takes as new beside what the batches before it stored.
+
+    A batch that is run again after a failure replaces its own folder, so nothing is stored twice.
+    """
+    home = _home(spark, name)
+    stream = _opened(spark, source, None, files)
+
+    def step(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        stored = session.createDataFrame([], batch.schema)
+        if n:
+            stored = session.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(f"{home}/out").where(F.col("batch") < n).drop("batch")
+        new_rows(batch, stored).write.mode("overwrite").parquet(f"{home}/out/batch={n}")
+
+    stream.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").drop("batch")

@@ -140,3 +140,38 @@ def test_whole_texts_are_normalized(spark, tmp_path):
     folded = [t and unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
     kept = [t and re.sub(r"[^a-zA-Z0-9\s&,.\-]", "", t, flags=re.ASCII) for t in folded]
     assert got == {i: t and re.sub(r"\s+", " ", t, flags=re.ASCII).strip(" ").upper() for i, t in enumerate(kept)}
+
+
+def test_late_rows_and_micro_batches(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    # 0 comes again while its window is open, 2 when it is long closed
+    for minutes in ([0, 1, 61], [0, 62, 300], [301], [2, 900]):
+        spark.createDataFrame([(at(m), "a") for m in minutes], "ts timestamp, scope string").coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    got = {r["start"].hour: r["n"] for r in S.replay(spark, str(tmp_path / "late"), lambda s: S.late_counts(s, "30 minutes", "1 hour"), "late", files=1).collect()}
+    assert got == {0: 3, 1: 2, 5: 2}  # the last window is open still
+    artifacts = "artifact_id long, source string, content_hash string, retrieved_at timestamp"
+    for rows in ([(1, "h1"), (2, "h1")], [(3, "h1"), (4, "h2")], [(5, "h2"), (6, None)]):
+        spark.createDataFrame([(i, "s", h, at(i)) for i, h in rows], artifacts).coalesce(1).write.mode("append").parquet(str(tmp_path / "batches"))
+    stored = S.ingest_stream(spark, str(tmp_path / "batches"), I.new_artifacts, files=1)
+    assert sorted((r["content_hash"] or "", r["artifact_id"]) for r in stored.collect()) == [("", 6), ("h1", 1), ("h2", 4)]
+
+
+def test_landed_files_and_parsers(spark, tmp_path):
+    import json
+
+    from spendlight.operators import parsing as P
+    from spendlight.sources import landing as L
+
+    (tmp_path / "a.json").write_text(json.dumps({"results": [{"Award ID": "A1", "Award Amount": 12.5, "generated_internal_id": "G"}, {"Award ID": None, "Award Amount": "7"}]}, indent=1))
+    got = L.flatten_usaspending(L.read_json(spark, str(tmp_path / "a.json"), L.USASPENDING_SCHEMA)).collect()
+    assert [(r["award_id"], r["award_amount"], r["generated_internal_id"], r["source"]) for r in got] == [("A1", "12.5", "G", "usaspending"), (None, "7", None, "usaspending")]
+    release = [(1, "Acme Agrees to Pay $2.5 million", "Under the False Claims Act.", None, "USAO", None), (2, None, None, None, None, None)]
+    rows = {r["doc_id"]: r for r in P.parse_releases(spark.createDataFrame(release, "doc_id int, title string, body string, date string, component string, topics array<string>")).collect()}
+    assert rows[1]["settlement_amounts"] == [2500000.0] and rows[1]["statutes_cited"] == ["false_claims_act"] and rows[1]["fraud_relevant"] and not rows[2]["fraud_relevant"]
+    filing = spark.createDataFrame([(1, "Acme", "Federal contract and DFARS"), (2, None, None)], "doc_id int, entity_name string, description string")
+    for c in ("cik", "file_number", "accession_number", "form_type", "file_date", "period_of_report", "document_url"):
+        filing = filing.withColumn(c, F.lit(None).cast("string"))
+    rows = {r["doc_id"]: r for r in P.parse_filings(filing).collect()}
+    assert rows[1]["gov_contract_relevance"]["matches"] == ["federal contract", "dfars"] and rows[1]["entities_found"][0]["role"] == "filer" and rows[2]["entities_found"] == []
