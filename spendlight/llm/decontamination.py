@@ -43,7 +43,7 @@ from spendlight.storage import cut
 BUCKETS, SKETCH, RANK = 8192, 127, 96
 PASSAGE = 32
 STEP, SIZES = 8, (16, 32, 64)
-MIN_COSINE, MIN_LCS, MIN_ANSWER, MIN_ITEM_WORDS = 0.3, 0.55, 0.5, 8
+MIN_COSINE, MIN_LCS, MIN_ANSWER, MIN_ITEM_WORDS = 0.2, 0.55, 0.5, 8
 ITEM_BLOCK = 16384
 #: Entries of the table of word hashes, and of the rows that partial sketches travel in.
 PLACES, CHUNK = 1 << 22, 4096
@@ -183,13 +183,14 @@ class Matcher:
         #: A bucket's part of a window's place in the latent space.
         self.weights = (basis * idf[:, None]).astype(np.float32)
         self.places = np.array([self.place(w) for _, w, _ in items]) if items else np.zeros((0, 1))
-        self.answers, pairs = [], []
+        self.answers, self.needed, pairs = [], [], []
         for i, (w, (_, _, answer)) in enumerate(zip(self.words, items, strict=True)):
             rare = sorted(set(answer or w), key=lambda x: (-idf[x % BUCKETS], x))
             rare = rare if answer else rare[: max(1, len(rare) // 3)]
             self.answers.append(set(rare))
             # a window that holds MIN_ANSWER of the answer holds one of these
             needed = max(1, int(np.ceil(MIN_ANSWER * len(rare) - 1e-9)))
+            self.needed.append(needed)
             pairs += [(x, i) for x in rare[: len(rare) - needed + 1]]
         pairs.sort()
         self.firsts = np.array([x for x, _ in pairs], np.int64)
@@ -206,13 +207,22 @@ class Matcher:
         low, high = np.searchsorted(self.firsts, hits, "left"), np.searchsorted(self.firsts, hits, "right")
         known = high > low
         at, low, high = at[known], low[known], high[known]
-        near: dict[int, set[int]] = {}
+        owners: dict[int, list[int]] = {}
         for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
             for i in self.owners[a:b].tolist():
+                owners.setdefault(i, []).append(p)
+        if not owners:
+            return []
+        # what the whole document doesn't hold no window of it does
+        present = set(words.tolist())
+        near: dict[int, set[int]] = {}
+        for i, places in owners.items():
+            if len(self.answers[i] & present) >= self.needed[i]:
                 size, pad = self.sizes[i], self.pad(i)
-                # windows whose neighbourhood holds the word
-                first = max(0, (p - size - pad) // STEP + 1)
-                near.setdefault(i, set()).update(range(first, min(p + pad, len(words) - 1) // STEP + 1))
+                for p in places:
+                    # windows whose neighbourhood holds the word
+                    first = max(0, (p - size - pad) // STEP + 1)
+                    near.setdefault(i, set()).update(range(first, min(p + pad, len(words) - 1) // STEP + 1))
         out = []
         for i, steps in sorted(near.items()):
             if found := self.best(words, i, sorted(steps)):
