@@ -477,7 +477,7 @@ def test_windows_against_brute_force(spark):
             for first in range(0, len(ws), 8):
                 near = ws[max(0, first - pad) : first + m.sizes[n] + pad].tolist()
                 cosine = float(m.place(ws[first : first + m.sizes[n]]) @ m.places[n])
-                if cosine >= 0.3 and len(answer & set(near)) >= 0.5 * len(answer) and decontamination.lcs(w.tolist(), near) >= 0.55 * len(w):
+                if cosine >= decontamination.MIN_COSINE and len(answer & set(near)) >= 0.5 * len(answer) and decontamination.lcs(w.tolist(), near) >= 0.55 * len(w):
                     expected.add((i, key))
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == expected and 20 <= len(expected) < 25 * 60 / 2
