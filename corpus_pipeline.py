@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlight.llm import decontamination, line_dedup, packing, quality, simhash
-from spendlight.llm.tables import table
+from spendlight.llm.tables import columns, table
 from spendlight.storage import cut
 
 
@@ -14,23 +14,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier doesn't reject (a null doc_id has no score to go by and stays)."""
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     rejected = cut(scored.where("predicted = 0").select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.hint("merge").join(rejected.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.hint("merge").join(rejected.hint("merge"), "doc_id", "left_anti").select(columns(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their redundant lines taken out and ``n_chars`` counted anew; none goes."""
     kept = line_dedup.dedup_lines(docs)
-    return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    return kept.select(*(F.length("text").cast("long").alias("n_chars") if name == "n_chars" else column for name, column in zip(docs.columns, columns(docs), strict=True)))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the least doc_id (null ids stay)."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark`` (null ids stay)."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; see ``packing.pack``."""
     return packing.pack(docs)
 
 
