@@ -3,9 +3,9 @@
 A document's ids are those of the byte-level BPE vocabulary plus id 0 at the end. Every full window
 of a document is a sequence of its own; what is left of it is packed with its neighbours. A left
 piece's two leading terms are the ids that weigh most in it by BM25 among those that other pieces
-have too. The left pieces are ordered by their leading terms and cut into shards of neighbours along
-that order, so that pieces with the same rare terms meet, however large the corpus is, and a term that
-very many pieces have is spread over many shards. A task builds the BM25 inverted index of one shard
+have too. The left pieces are dealt out by the first, ordered by both and cut into shards of neighbours along
+that order, so that pieces with the same rare terms meet, however large the corpus is; a term that
+more pieces have than a task takes is dealt into as many parts as these need. A task builds the BM25 inverted index of one shard
 (document frequencies and the mean length come from all pieces of the corpus), and seeds, longest first,
 call up the unused pieces that score best and take those that fit whole, then cut the best remaining one to
 fill the window. A seed doesn't see the pieces of other shards. A shard's last, short sequence is cut
@@ -90,23 +90,24 @@ def document_frequencies(left: DataFrame) -> np.ndarray:
 
 
 def leading_terms(left: DataFrame, shared) -> DataFrame:
-    """``left`` with ``first`` and ``second``, a piece's ids of most BM25 weight among those of two pieces at least (-1: none)."""
+    """``left`` with ``first`` and ``second``, a piece's ids of most BM25 weight among those of two pieces at least (-1: none), and the ``parts`` of the first."""
     kind = dict(left.dtypes)["doc_id"]
 
     def run(batches):
-        idf, mean, common = shared.value
+        idf, mean, parts = shared.value
         for batch in batches:
             tops = np.full((batch.num_rows, 2), -1, np.int32)
             for i, ids in enumerate(batch.column("ids").to_pylist()):
                 token, tf = np.unique(np.frombuffer(ids, np.uint16), return_counts=True)
-                known = common[token]
+                known = parts[token] > 0
                 token, tf = token[known], tf[known]
                 weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / 2 / mean))
                 best = np.argsort(-weight, kind="stable")[:2]
                 tops[i, : len(best)] = token[best]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops[:, 0]), pa.array(tops[:, 1])], [*batch.schema.names, "first", "second"])
+            split = np.where(tops[:, 0] >= 0, parts[tops[:, 0]], parts.max(initial=1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops[:, 0]), pa.array(tops[:, 1]), pa.array(split)], [*batch.schema.names, "first", "second", "parts"])
 
-    return left.mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, ids binary, row long, first int, second int")
+    return left.mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, ids binary, row long, first int, second int, parts int")
 
 
 def pack_shard(arrays: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -180,11 +181,12 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
     size = left.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     df = document_frequencies(left)
     idf = np.log1p((size["n"] - df + 0.5) / (df + 0.5))
-    shared = docs.sparkSession.sparkContext.broadcast((idf, float(size["mean"] or 1), df >= 2))  # two values for each id of the vocabulary
+    # no more pieces can begin with a term than hold it; terms of one piece lead nowhere
+    parts = np.where(df >= 2, np.ceil(df / TASK_PIECES), 0).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((idf, float(size["mean"] or 1), parts))  # two values for each id of the vocabulary
     marked = leading_terms(left.select("doc_id", "start", "doc_tokens", "ids", F.monotonically_increasing_id().alias("row")), shared)
-    # the last part of the order splits terms that very many pieces have
-    order = ["first", "second", "spread"]
-    dealt = marked.withColumn("spread", F.xxhash64("row")).repartitionByRange(blocks(size["n"], TASK_PIECES), *order).sortWithinPartitions(*order)
+    dealt = marked.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).repartition(blocks(size["n"], TASK_PIECES), "first", "part")
+    dealt = dealt.sortWithinPartitions("first", "part", "second", "row")
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
