@@ -68,21 +68,27 @@ def shingle_set(line):
     return F.when(_own(line).isNotNull(), F.array(F.xxhash64(_own(line)))).otherwise(every[0])
 
 
-def _mask(k: int) -> int:
-    """Mask of the ``k``-th minimum: its top five bits tell the masks apart, the rest is mixed."""
-    low = (0x9E3779B97F4A7C15 * (k + 1)) % (1 << 59)
-    x = (k * 11 % 32) << 59 | low
+def _top(x: int, shift: int) -> int:
+    """``x`` as the top bits of a signed 64-bit number."""
+    x <<= shift
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def minima(texts: DataFrame, count: int) -> DataFrame:
-    """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes under as many orders (up to 32), a row per shingle in between."""
+    """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes, a row per shingle in between.
+
+    The orders differ by a mask of the hash's top five bits (up to 32 masks), so that each finds the hash
+    nearest to another place. The minima are taken under three of the bits in each quarter of
+    the hashes first: a row for every shingle has eight of them to update and not ``count``.
+    """
     # in two steps: beside an explode, expressions are evaluated once for each row it makes
     one = texts.select("h", _wide("line").alias("wide"), _own("line").alias("own"), F.sequence(F.lit(0), _last("line")).alias("every"))
     one = one.select("h", "wide", "own", F.explode("every").alias("i"))
     x = F.when(F.col("own").isNull(), F.xxhash64(_at(F.col("wide"), F.col("i")))).otherwise(F.xxhash64("own"))
     hashed = one.select("h", x.alias("x"))
-    return hashed.groupBy("h").agg(*(F.min(F.col("x").bitwiseXOR(F.lit(_mask(k)))).alias(f"m{k}") for k in range(count)))
+    quarters = hashed.groupBy("h", F.shiftright("x", 62).alias("quarter")).agg(*(F.min(F.col("x").bitwiseXOR(F.lit(_top(k, 59)))).alias(f"q{k}") for k in range(8)))
+    masks = [k * 11 % 32 for k in range(count)]
+    return quarters.groupBy("h").agg(*(F.min(F.col(f"q{mask % 8}").bitwiseXOR(F.lit(_top(mask // 8, 62)))).alias(f"m{k}") for k, mask in enumerate(masks)))
 
 
 def signatures(texts: DataFrame) -> DataFrame:

@@ -328,6 +328,20 @@ def test_lines_against_all_shingles(spark):
     assert got == {n for n, root in roots.items() if n != root}
 
 
+def test_minima_in_two_steps(spark):
+    """The minima of quarters give those of all hashes under each mask."""
+    rows = [(1, "a short line of text"), (2, "another line, " * 40), (3, "tiny"), (4, "\u00e9\u00e8" * 30 + "\U0001f600")]
+    texts = spark.createDataFrame(rows, "h long, line string")
+    hashes = {}
+    for h, line in rows:
+        x = line.lower()
+        parts = [x[i : i + 12].encode("utf-32-be") for i in range(len(x) - 11)] if len(x) >= 12 else [x.encode()]
+        hashes[h] = np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], np.uint64).view(np.int64)
+    for r in line_dedup.minima(texts, 24).collect():
+        for k in range(24):
+            assert r[f"m{k}"] == (hashes[r["h"]] ^ np.uint64((k * 11 % 32) << 59).astype(np.int64)).min()
+
+
 def test_links_beside_the_pivot(spark, monkeypatch):
     """Chains of drifting lines in crowded groups: most are like their neighbours alone, few like the pivot."""
     monkeypatch.setattr(line_dedup, "SMALL", 4)
