@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlight.llm.tables import table
-from spendlight.storage import scratch, store
+from spendlight.storage import store
 
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.15
+#: Unimportant nodes up to which their list is sent to every task (about 50 bytes each); more are joined.
+BROADCAST_NODES = 200_000
 
 # fixed values: element names by their part on a page
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -225,13 +227,12 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 def node_importance(parsed: DataFrame) -> DataFrame:
     """``(host, node, pages, importance)`` of each style node of the merged trees of ``page_blocks``."""
-    block = parsed.where(F.col("host").isNotNull()).select("host", "body", F.posexplode("blocks").alias("at", "b"))
-    # a page's texts under one node, in page order, as one hash
-    texts = F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", F.xxhash64("b.text").alias("t"), "b.shape"))), lambda x: x["t"]))
-    shapes = F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", F.xxhash64("b.text").alias("t"), "b.shape"))), lambda x: x["shape"]))
+    block = parsed.where(F.col("host").isNotNull()).select("host", "body", F.posexplode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("text"), b["shape"].alias("shape")))).alias("at", "b"))
     # equal pages have the same blocks, of which one copy counts
-    one = block.groupBy("host", "body", F.col("b.node").alias("node"), "at").agg(F.first("b").alias("b"))
-    seen = one.groupBy("host", "node", "body").agg(texts.alias("content"), shapes.alias("shape"))
+    one = block.select("host", "body", "b.node", "at", "b.text", "b.shape").distinct()
+    # what a page holds under a node, in page order
+    placed = F.sort_array(F.collect_list(F.struct("at", "text", "shape")))
+    seen = one.groupBy("host", "node", "body").agg(placed.alias("all")).select("host", "node", F.xxhash64(F.transform("all", lambda x: x["text"])).alias("content"), F.xxhash64(F.transform("all", lambda x: x["shape"])).alias("shape"))
     entropies = []
     for kind in ("content", "shape"):
         by = seen.groupBy("host", "node", kind).agg(F.count(F.lit(1)).alias("n"))
@@ -243,12 +244,15 @@ def node_importance(parsed: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page."""
-    with scratch(pages.sparkSession) as keep:
-        parsed = store(page_blocks(pages).withColumn("row", F.monotonically_increasing_id()))
-        low = keep(node_importance(parsed).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "node"))
+    parsed = store(page_blocks(pages).withColumn("row", F.monotonically_increasing_id()))
+    low = store(node_importance(parsed).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "node"))
+    if low.count() <= BROADCAST_NODES:
+        joined = parsed.join(F.broadcast(low.groupBy("host").agg(F.collect_list("node").alias("low"))), "host", "left")
+    else:
+        # nodes meet pages without their texts, and each page its own few
         nodes = parsed.where(F.col("host").isNotNull()).select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["node"]))).alias("node"))
         marked = store(nodes.hint("merge").join(low.hint("merge"), ["host", "node"]).groupBy("row").agg(F.collect_list("node").alias("low")))
-    joined = parsed.hint("merge").join(marked.hint("merge"), "row", "left")
+        joined = parsed.hint("merge").join(marked.hint("merge"), "row", "left")
     kept = F.when(F.col("low").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("low", b["node"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -210,7 +210,9 @@ def test_main_text_of_a_page(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_style_tree_removes_what_a_host_repeats(spark):
+@pytest.mark.parametrize("most", [html_text.BROADCAST_NODES, -1])
+def test_style_tree_removes_what_a_host_repeats(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "BROADCAST_NODES", most)
     page = "<body><div class='legal'><p>All rights kept.</p></div><div class='text'><p>Story number {0} of {1}.</p></div></body>"
     rows = [(i, f"http://h/{i}", page.format(i, i * 7)) for i in range(30)] + [(99, "http://other/1", page.format(1, 2))]
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
