@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spendlight.functions import text as X
+from spendlight.operators.ranking import ranked
 
 # fixed values: release gates
 GATES = [("grounding_rate", ">=", 0.95), ("citation_validity", ">=", 1.0), ("hallucination_block_rate", ">=", 0.95), ("retrieval_recall_at_10", ">=", 0.80), ("replay_determinism", "==", 1.0), ("cost_per_case_usd", "<=", 1.0), ("coverage_percent", ">=", 80.0)]
@@ -31,8 +31,7 @@ def retrieval(runs: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """Recall and precision at ``k``, average precision and F1 of each case (runs: case_id, rank from 1, artifact_id)."""
     wanted = relevant.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     hits = runs.join(relevant.withColumn("hit", F.lit(1)), ["case_id", "artifact_id"], "left")
-    so_far = Window.partitionBy("case_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = hits.withColumn("seen", F.sum(F.coalesce("hit", F.lit(0))).over(so_far))
+    at = ranked(hits.withColumnRenamed("rank", "place"), "case_id", [F.col("place"), F.col("artifact_id")], "hit").drop("rank").withColumnsRenamed({"place": "rank", "so_far": "seen"})
     early = (F.col("rank") <= k) & F.col("hit").isNotNull()
     by = at.groupBy("case_id").agg(F.countDistinct(F.when(early, F.col("artifact_id"))).alias("found"), F.count_if(early).alias("hits"), F.sum(F.when(F.col("hit").isNotNull(), F.col("seen") / F.col("rank"))).alias("gain"))
     out = wanted.join(by, "case_id", "left")

@@ -9,6 +9,7 @@ from spendlight.operators import audit as U
 from spendlight.operators import cases as C
 from spendlight.operators import evals as E
 from spendlight.operators import serving as S
+from spendlight.operators.ranking import ranked
 from spendlight.plans import bridges as B
 from spendlight.plans.catalog import query
 
@@ -200,11 +201,8 @@ def _(t):
 
 
 def _runs(t, k):
-    from pyspark.sql.window import Window
-
     labelled = t("documents").join(t("labels"), "doc_id").select(F.col("source").alias("case_id"), F.col("doc_id").alias("artifact_id"), "n_chars", "quality")
-    order = Window.partitionBy("case_id").orderBy(F.desc("n_chars"), "artifact_id")
-    runs = labelled.withColumn("rank", F.row_number().over(order)).select("case_id", "rank", "artifact_id")
+    runs = ranked(labelled, "case_id", [F.desc("n_chars"), F.col("artifact_id")]).select("case_id", "rank", "artifact_id")
     return E.retrieval(runs, labelled.where("quality = 1").select("case_id", "artifact_id"), k)
 
 

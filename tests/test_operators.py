@@ -175,3 +175,20 @@ def test_landed_files_and_parsers(spark, tmp_path):
         filing = filing.withColumn(c, F.lit(None).cast("string"))
     rows = {r["doc_id"]: r for r in P.parse_filings(filing).collect()}
     assert rows[1]["gov_contract_relevance"]["matches"] == ["federal contract", "dfars"] and rows[1]["entities_found"][0]["role"] == "filer" and rows[2]["entities_found"] == []
+
+
+def test_ranks_of_a_key_over_several_partitions(spark):
+    from spendlight.operators.ranking import ranked
+
+    df = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "x").alias("k"), (F.col("id") * 7919 % 3001).alias("v"), (F.col("id") % 2).alias("one"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranked(df, "k", [F.desc("v")], "one").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted(((r["k"], -r["v"], r["one"]) for r in df.collect() if r["k"]))
+    want, n = {}, {}
+    for k, v, one in rows:
+        n[k] = (n.get(k, (0, 0))[0] + 1, n.get(k, (0, 0))[1] + one)
+        want[k, -v] = n[k]
+    assert {(r["k"], r["v"]): (r["rank"], r["so_far"]) for r in got} == want
