@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlight.functions import text as X
+from spendlight.operators.matching import contained
 
 # fixed values: field names of the responses and what they are called here
 USASPENDING = {"Award ID": "award_id", "Recipient Name": "recipient_name", "Award Amount": "award_amount", "Awarding Agency": "awarding_agency", "Award Type": "award_type", "Start Date": "start_date", "End Date": "end_date", "Recipient UEI": "recipient_uei", "Extent Competed": "extent_competed", "NAICS Code": "naics_code", "internal_id": "internal_id", "generated_internal_id": "generated_internal_id"}
@@ -129,11 +130,9 @@ def fraud_topic(text: Column) -> Column:
 
 
 def mentions_entity(releases: DataFrame, names: DataFrame) -> DataFrame:
-    """``(doc_id, name)``: names of one or more words met in title and body; the name's first word is joined on, then verified."""
-    body = F.lower(F.concat_ws(" ", "title", "body"))
-    words = releases.select("doc_id", body.alias("body"), F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("key"))
-    own = names.select("name", F.lower("name").alias("lowered")).withColumn("key", F.get(F.split("lowered", r"\s+"), F.lit(0)))
-    return own.join(words, "key").where(F.contains("body", "lowered")).select("doc_id", "name").distinct()
+    """``(doc_id, name)``: names that title and body contain, in any case."""
+    texts = releases.select("doc_id", F.lower(F.concat_ws(" ", "title", "body")).alias("body"))
+    return contained(texts, "body", names.select("name", F.lower("name").alias("lowered")), "lowered").select("doc_id", "name").distinct()
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None, mode: str = "append") -> None:

@@ -192,3 +192,16 @@ def test_ranks_of_a_key_over_several_partitions(spark):
         n[k] = (n.get(k, (0, 0))[0] + 1, n.get(k, (0, 0))[1] + one)
         want[k, -v] = n[k]
     assert {(r["k"], r["v"]): (r["rank"], r["so_far"]) for r in got} == want
+
+
+def test_names_anywhere_in_a_text(spark):
+    from spendlight.operators.evidence import match_artifacts
+    from spendlight.sources.landing import mentions_entity
+
+    texts = [(1, "The firm", 'said ("Acme Holdings") and 3M.'), (2, None, "preacme holdingsx"), (3, "x", None), (4, "nothing", "here a"), (5, "ab cd", "efg")]
+    releases = spark.createDataFrame(texts, "doc_id int, title string, body string")
+    names = ["Acme Holdings", "3m", "firm", "nothing here", "z", "", None, "d e"]
+    got = {(r["doc_id"], r["name"]) for r in mentions_entity(releases, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {(i, n) for i, t, b in texts for n in names if n and n.lower() in " ".join(x for x in (t, b) if x is not None).lower()}
+    urls = spark.createDataFrame([("a", "s", 1, "https://x.gov/the-acme-co/1"), ("b", "s", 2, "https://x.gov/other"), ("c", "s", 3, None)], "artifact_id string, source string, retrieved_at int, source_url string")
+    assert [r["artifact_id"] for r in match_artifacts(spark.createDataFrame([("e", "ACME"), ("f", "acme-c"), ("g", "zz")], "entity_id string, name string"), urls).collect()] == ["a", "a"]
