@@ -13,8 +13,10 @@ RUNS = ((8, None, 8), (3, 7, 3), (1, 2, 1))
 BROADCAST_RUNS = 500_000
 
 
-def _runs(text: str, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+def _runs(df: DataFrame, text: str, n: int) -> DataFrame:
+    """``df`` with a row for every run of ``n`` letters of ``text``, as ``run__``, from place ``at__``."""
+    each = df.withColumn("at__", F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))))
+    return each.withColumn("run__", F.substring(text, F.col("at__"), F.lit(n)))
 
 
 def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -23,19 +25,25 @@ def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataF
     A name meets the texts that hold that run of its letters which the fewest names have. Null and
     empty names meet nothing.
     """
-    result = None
-    for least, most, n in RUNS:
-        own = names.where(F.length(name) >= least)
-        own = own if most is None else own.where(F.length(name) <= most)
-        each = store(own.select(name).distinct().select(name, F.explode(_runs(name, n)).alias("run__")))
-        if result is not None and each.isEmpty():
-            continue
-        shared = each.groupBy("run__").agg(F.count(F.lit(1)).alias("n__"))
-        rarest = store(each.hint("merge").join(shared.hint("merge"), "run__").groupBy(name).agg(F.min(F.struct("n__", "run__")).alias("r__")).select(name, F.col("r__.run__").alias("run__")))
-        wanted = store(rarest.select("run__").distinct())
-        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_RUNS else wanted.hint("merge")
-        placed = texts.select("*", F.explode(_runs(text, n)).alias("run__")).join(few, "run__", "left_semi")
-        keyed = own.hint("merge").join(rarest.hint("merge"), name)
-        met = placed.hint("merge").join(keyed.hint("merge"), "run__").where(F.contains(text, name)).drop("run__")
-        result = met if result is None else result.unionByName(met)
+    within = lambda least, most: F.length(name) >= least if most is None else F.length(name).between(least, most)
+    counts = names.agg(*(F.count_if(within(least, most)) for least, most, _ in RUNS)).first()
+    parts = []
+    for (least, most, n), count in zip(RUNS, counts, strict=True):
+        if count or (n == 1 and not parts):
+            parts.append(_met(texts, text, names.where(within(least, most)), name, n))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
     return result
+
+
+def _met(texts: DataFrame, text: str, names: DataFrame, name: str, n: int) -> DataFrame:
+    each = store(_runs(names.select(name).distinct(), name, n).select(name, "run__").distinct())
+    shared = each.groupBy("run__").agg(F.count(F.lit(1)).alias("n__"))
+    rarest = store(each.hint("merge").join(shared.hint("merge"), "run__").groupBy(name).agg(F.min(F.struct("n__", "run__")).alias("r__")).select(name, F.col("r__.run__").alias("run__")))
+    wanted = rarest.select("run__").distinct()
+    few = F.broadcast(wanted) if rarest.count() <= BROADCAST_RUNS else wanted.hint("merge")
+    # a run that a text holds several times counts at its first place
+    placed = _runs(texts, text, n).join(few, "run__", "left_semi").where(F.col("at__") == F.instr(F.col(text), F.col("run__"))).drop("at__")
+    keyed = names.hint("merge").join(rarest.hint("merge"), name)
+    return placed.hint("merge").join(keyed.hint("merge"), "run__").where(F.contains(text, name)).drop("run__")
