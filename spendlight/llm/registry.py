@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spendlight.llm.ann import op3_collision_counting_ann
+from spendlight.llm.conversations import op13_conversation_repair
 from spendlight.llm.decontamination import op7_benchmark_decontamination
 from spendlight.llm.html_text import op5_site_style_tree
 from spendlight.llm.line_dedup import op6_line_dedup
@@ -28,6 +29,7 @@ def queries() -> dict:
             op8_bm25_packing,
             op9_rendezvous_sharding,
             op10_simhash_near_dedup,
+            op13_conversation_repair,
         )
     }
 
