@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spendlight.llm.alignment import op11_cross_tokenizer_alignment
 from spendlight.llm.ann import op3_collision_counting_ann
 from spendlight.llm.conversations import op13_conversation_repair
 from spendlight.llm.decontamination import op7_benchmark_decontamination
@@ -29,6 +30,7 @@ def queries() -> dict:
             op8_bm25_packing,
             op9_rendezvous_sharding,
             op10_simhash_near_dedup,
+            op11_cross_tokenizer_alignment,
             op13_conversation_repair,
         )
     }
