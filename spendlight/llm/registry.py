@@ -9,6 +9,7 @@ from spendlight.llm.decontamination import op7_benchmark_decontamination
 from spendlight.llm.html_text import op5_site_style_tree
 from spendlight.llm.line_dedup import op6_line_dedup
 from spendlight.llm.packing import op8_bm25_packing
+from spendlight.llm.personal_data import op12_personal_data
 from spendlight.llm.quality import op1_quality_classifier
 from spendlight.llm.secret_scan import op4_secret_scan
 from spendlight.llm.sharding import op9_rendezvous_sharding
@@ -31,6 +32,7 @@ def queries() -> dict:
             op9_rendezvous_sharding,
             op10_simhash_near_dedup,
             op11_cross_tokenizer_alignment,
+            op12_personal_data,
             op13_conversation_repair,
         )
     }
