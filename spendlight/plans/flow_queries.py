@@ -10,7 +10,11 @@ from spendlight.operators import parsing as P
 from spendlight.plans import bridges as B
 from spendlight.plans.catalog import query
 from spendlight.sources import landing as L
+from spendlight.sources.tables import KeyedTable
+from spendlight.storage import place_for
+from spendlight.streaming import chain as C
 from spendlight.streaming import events as S
+from spendlight.streaming.state import first_in_ttl, timed_state
 
 # ---- sources: landed responses are derived from the given tables as JSON text and parsed back with the declared schemas
 
@@ -200,13 +204,21 @@ def _(t):
     return I.upsert_sources(old, new)
 
 
-@query("sink_tables", "select o_orderkey, o_orderpriority from orders")
+@query("sink_tables", "select o_orderkey, o_orderpriority, 1 as change from orders where o_orderkey%3<>0 union all select o_orderkey, o_orderstatus, 2 from orders where o_orderkey%3=0 union all select -o_orderkey-1, 'added', 2 from orders where o_orderkey%5=0")
 def _(t):
-    from uuid import uuid4
+    orders = t("orders")
+    sink = KeyedTable(t.spark, place_for(t.spark, "sinks"), "o_orderkey long, o_orderpriority string, change int", ("o_orderkey",), parts=16)
+    sink.upsert(orders.select("o_orderkey", "o_orderpriority", F.lit(1).alias("change")))
+    # a third of the keys anew, each of them twice, and further ones
+    replaced = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.explode(F.array(F.col("o_orderstatus"), F.lit("-"))).alias("o_orderpriority"), F.lit(2).alias("change"))
+    added = orders.where("o_orderkey % 5 = 0").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.lit("added").alias("o_orderpriority"), F.lit(2).alias("change"))
+    sink.upsert(replaced.unionByName(added), order="o_orderpriority")
+    return sink.read()
 
-    from spendlight.storage import ensure_checkpoint_dir
 
-    path = f"{ensure_checkpoint_dir(t.spark)}/sink-{uuid4().hex}"
+@query("sink_append", "select o_orderkey, o_orderpriority from orders")
+def _(t):
+    path = place_for(t.spark, "sinks")
     L.write_table(t("orders").select("o_orderkey", "o_orderpriority"), path, "o_orderpriority")
     return t.spark.read.schema("o_orderkey long, o_orderpriority string").parquet(path)
 
@@ -245,16 +257,19 @@ def _(t):
     return t("documents").select("doc_id", I.storage_path(F.col("source"), h).alias("path"), I.json_path(F.col("source"), h).alias("json_path"))
 
 
-def _doubled(t):
-    """Events, and a tenth of them again ten minutes later."""
-    e = t("events").select("event_id", F.col("event_id").cast("string").alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    again = e.where("event_id % 10 = 0").select((F.col("event_id") + 10_000_000).alias("event_id"), "idempotency_key", (F.col("ts") + F.expr("interval 10 minutes")).alias("ts"), "event_type")
-    return e.unionByName(again)
+_TTL_SQL = """with recursive e as (select concat('u', user_id) k, ts, event_id from events),
+ taken(k, ts) as (select k, min(ts) from e group by 1 union all select t.k, min(e.ts) from taken t join e on e.k=t.k and e.ts >= t.ts + interval 1 hour group by t.k, t.ts)
+select k idempotency_key, min(event_id) event_id from taken join e using (k, ts) group by k, ts"""
+
+
+def _repeats(t):
+    """Events whose key is their user: many come again within the hour, and after it."""
+    return t("events").select("event_id", F.concat(F.lit("u"), "user_id").alias("idempotency_key"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("ing_idempotent", "select cast(event_id as varchar) idempotency_key, event_id from events")
+@query("ing_idempotent", _TTL_SQL)
 def _(t):
-    return I.first_in_ttl(_doubled(t))
+    return I.first_in_ttl(_repeats(t))
 
 
 @query("par_text", "select event_id, regexp_extract(props, ':\\s*([0-9]+)', 1) as text from events")
@@ -395,28 +410,53 @@ def _(t):
     return S.replay(t.spark, _source(t, _envelopes(t)), lambda s: S.route(S.parse_envelopes(s)[0], "case.created"), "route").select("event_id")
 
 
-@query("str_dedup", "select event_type, count(*) n from events group by 1")
+@query("str_dedup", _TTL_SQL)
 def _(t):
-    from uuid import uuid4
+    days = [_repeats(t).where(F.dayofmonth("ts").between(low, high)) for low, high in ((1, 10), (11, 20), (21, 31))]
+    with timed_state(t.spark):
+        return S.replay(t.spark, place_for(t.spark, "stream-source"), lambda s: first_in_ttl(s), "dedup", schema="event_id long, idempotency_key string, ts timestamp", slices=days)
 
-    from spendlight.storage import ensure_checkpoint_dir
 
-    source = f"{ensure_checkpoint_dir(t.spark)}/stream-source-{uuid4().hex}"
-    _doubled(t).write.parquet(source)
-    out = S.replay(t.spark, source, lambda s: S.dedup(s), "dedup")
-    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+def _sent(df, key, event_type):
+    """Events of ``df`` on their way, at their first attempt."""
+    key = F.col(key).cast("string")
+    return df.select(F.concat(F.lit("e"), key).alias("event_id"), F.lit(event_type).alias("event_type"), key.alias("artifact_id"), F.concat(F.lit("k"), key).alias("idempotency_key"), F.lit(0).alias("attempt"))
 
 
-@query("str_retry", "select concat('k', event_id, ':retry:', event_id%5+1) idempotency_key, event_id%5+1 attempt from events where event_id%5<3")
+@query("str_retry", """select case when event_id%5=0 then 'dead' else 'kept' end sink, concat('e', event_id) event_id, n attempt, concat('k', event_id, case when n>0 then concat(':retry:', n) else '' end) idempotency_key
+ from (select event_id, case event_id%5 when 0 then 3 when 1 then 2 else 0 end n from events)""")
 def _(t):
-    failures = t("events").select(F.concat(F.lit("k"), "event_id").alias("idempotency_key"), (F.col("event_id") % 5).alias("attempt"))
-    return S.replay(t.spark, _source(t, failures), lambda s: S.retry_plan(s)[0], "retry").select("idempotency_key", "attempt")
+    number = F.col("artifact_id").cast("long")
+    # every fifth event never succeeds, the next at its third attempt
+    fails = (number % 5 == 0) | ((number % 5 == 1) & (F.col("attempt") < 2))
+
+    def handle(batch):
+        return batch.where(~fails), batch.where("false"), batch.where(fails)
+
+    home = place_for(t.spark, "streams")
+    C.run_stage(t.spark, home, "work", _source(t, _sent(t("events"), "event_id", "artifact.ingested")), handle)
+    sinks = [C.read_sink(t.spark, home, "work", sink).withColumn("sink", F.lit(sink)) for sink in ("kept", "dead")]
+    return sinks[0].unionByName(sinks[1]).select("sink", "event_id", "attempt", "idempotency_key")
 
 
-@query("str_chain", "select 'artifact.parse_requested' event_type, doc_id artifact_id, concat('parse:', doc_id) idempotency_key from documents union all select 'artifact.normalize_requested', doc_id, concat('normalize:', doc_id) from documents")
+@query("str_chain", "select stage, concat(pre, 'e', doc_id) event_id, cast(doc_id as varchar) artifact_id, length(text) text_length from documents, (values ('ingest', ''), ('parse', 'parse:'), ('normalize', 'normalize:parse:')) s(stage, pre)")
 def _(t):
-    source = _source(t, t("documents").select(F.col("doc_id").alias("artifact_id")))
-    return S.replay(t.spark, source, lambda s: S.next_events(s, "ingest").unionByName(S.next_events(s, "parse")), "chain")
+    nothing = lambda batch: batch.where("false")
+    late = (F.col("artifact_id").cast("long") % 10 == 0) & (F.col("attempt") == 0)
+    stages = {
+        # a tenth of the artifacts is taken in at the second attempt only
+        "ingest": lambda b: (b.where(~late), C.follow(b.where(~late), "artifact.parse_requested", "parse:"), b.where(late)),
+        "parse": lambda b: (b, C.follow(b, "artifact.normalize_requested", "normalize:"), nothing(b)),
+        "normalize": lambda b: (b, nothing(b), nothing(b)),
+    }
+    home = place_for(t.spark, "streams")
+    C.run_chain(t.spark, home, _source(t, _sent(t("documents"), "doc_id", "artifact.ingested")), stages)
+    out = None
+    for stage in stages:
+        part = C.read_sink(t.spark, home, stage, "kept").withColumn("stage", F.lit(stage))
+        out = part if out is None else out.unionByName(part)
+    lengths = t("documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.length("text").alias("text_length"))
+    return out.join(lengths, "artifact_id").select("stage", "event_id", "artifact_id", "text_length")
 
 
 @query("str_ingest", "select sha256(text) content_hash, count(distinct text) stored from documents group by text")
@@ -426,23 +466,27 @@ def _(t):
     return stored.groupBy("content_hash").agg(F.count(F.lit(1)).alias("stored"))
 
 
-def _stream(t, build, name):
-    return S.replay(t.spark, f"{t.sf_dir}/events.parquet", build, name, mode="complete")
+def _stream(t, build, name, keys, order=None):
+    return S.replay(t.spark, f"{t.sf_dir}/events.parquet", build, name, keys, order)
 
 
 @query("str_case_status", "select user_id case_id, arg_max(event_type, (ts, event_id)) status, max(ts) ts from events group by 1")
 def _(t):
-    out = _stream(t, lambda s: S.latest_status(s.select(F.col("user_id").alias("case_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("status"))), "status")
+    # no state in the stream: a change gives way to a later one in the table
+    changes = lambda s: s.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    events = t("events")
+    days = [events.where(F.dayofmonth("ts").between(low, high)) for low, high in ((11, 20), (1, 10), (21, 31))]
+    out = S.replay(t.spark, place_for(t.spark, "stream-source"), lambda s: changes(s).withColumn("at", F.struct("ts", "event_id")).drop("event_id"), "status", ("case_id",), "at", schema=events.schema, slices=days)
     return out.select("case_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("str_minute_counts", "select date_trunc('minute', ts) as start, event_type as scope, count(*) n from events group by 1,2")
 def _(t):
-    out = _stream(t, lambda s: S.window_counts(s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("scope")), "1 minute"), "minutes")
+    out = _stream(t, lambda s: S.late_counts(s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("scope")), "1 hour", "1 minute"), "minutes", ("start", "scope"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "scope", "n")
 
 
 @query("str_last_24h", "select date_trunc('hour', ts) - to_hours(i) as start, count(*) n from events, generate_series(0, 23) g(i) group by 1")
 def _(t):
-    out = _stream(t, lambda s: S.window_counts(s.select(F.col("ts").cast("timestamp").alias("ts")), "1 day", "1 hour", ()), "day")
+    out = _stream(t, lambda s: S.window_counts(s.select(F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour"), "1 day", "1 hour", ()), "day", ("start",))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")

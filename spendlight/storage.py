@@ -53,10 +53,31 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         discard(spark, folder)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of spent tables."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, path_: str) -> bool:
+    path, files = _file_system(spark, path_)
+    return files.exists(path)
+
+
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in ``folder``, none where it doesn't exist."""
+    path, files = _file_system(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()] if files.exists(path) else []
+
+
+def place_for(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}/{uuid4().hex}"
 
 
 @contextmanager

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from spendlight.sources.tables import KeyedTable
+
 # fixed values: event types and the envelope
 TYPES = ("artifact.ingested", "artifact.parse_requested", "artifact.normalize_requested", "case.created")
 ENVELOPE = "event_id string, event_type string, source string, timestamp timestamp, payload string, idempotency_key string"
@@ -28,19 +30,8 @@ def dedup(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def retry_plan(failures: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Failed events (idempotency_key, attempt) to be sent again with a derived key, and those given up."""
-    again = failures.where(F.col("attempt") < most).withColumn("attempt", F.col("attempt") + 1)
-    return again.withColumn("idempotency_key", F.concat("idempotency_key", F.lit(":retry:"), "attempt")), failures.where(F.col("attempt") >= most)
-
-
-def next_events(done: DataFrame, stage: str) -> DataFrame:
-    """What follows a finished stage: ingest asks for parsing, parsing for normalization."""
-    follow = {"ingest": ("artifact.parse_requested", "parse:"), "parse": ("artifact.normalize_requested", "normalize:")}[stage]
-    return done.select(F.lit(follow[0]).alias("event_type"), F.col("artifact_id"), F.concat(F.lit(follow[1]), F.col("artifact_id")).alias("idempotency_key"))
-
-
 def latest_status(changes: DataFrame) -> DataFrame:
+    """The last change of each case."""
     return changes.groupBy("case_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("m")).select("case_id", "m.status", "m.ts")
 
 
@@ -74,21 +65,36 @@ def _opened(spark, source: str, schema, files: int | None) -> DataFrame:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
-def replay(spark, source: str, build, name: str, mode: str = "append", schema=None, files: int | None = None) -> DataFrame:
+def replay(spark, source: str, build, name: str, keys: tuple[str, ...] = (), order: str | None = None, schema=None, files: int | None = None, slices=()) -> DataFrame:
     """Runs ``build`` over the parquet files under ``source`` as a stream to its end and returns the result.
 
-    The result goes to a table in the shared checkpoint folder, so it survives lost executors.
+    The result goes to a table in the shared checkpoint folder, so it survives lost executors. With ``keys`` the stream
+    runs in update mode, and each micro-batch replaces the rows of its keys in a keyed table (with ``order``: those
+    that aren't newer); nothing else is written again. ``slices`` are landed one after the other, with a run of the stream after each.
     """
     home = _home(spark, name)
-    stream = build(_opened(spark, source, schema, files))
-    writer = stream.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{home}/out").outputMode("append").start()
-    else:
-        # a full result replaces the last one; readers see the newest batch
-        query = writer.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/out")).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/out")
+
+    def run() -> StructType:
+        stream = build(_opened(spark, source, schema, files))
+        writer = stream.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+        if keys:
+            table = _keyed(stream.schema)
+            query = writer.outputMode("update").foreachBatch(lambda df, n: table.upsert(df, order, keep_newer=order is not None)).start()
+        else:
+            query = writer.format("parquet").option("path", f"{home}/out").outputMode("append").start()
+        query.awaitTermination()
+        return stream.schema
+
+    def _keyed(shape: StructType) -> KeyedTable:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
+        return KeyedTable(spark, f"{home}/out", fields, keys, parts=16)
+
+    for part in slices:
+        part.write.mode("append").parquet(source)
+        shape = run()
+    if not slices:
+        shape = run()
+    return _keyed(shape).read() if keys else spark.read.schema(shape).parquet(f"{home}/out")
 
 
 def ingest_stream(spark, source: str, new_rows, name: str = "ingest", files: int | None = None) -> DataFrame:

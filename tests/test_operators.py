@@ -123,11 +123,6 @@ def test_ttl_rearms(spark):
     assert sorted(r["event_id"] for r in I.first_in_ttl(df).collect()) == [1, 3, 4]
 
 
-def test_retry_gives_up(spark):
-    again, dead = S.retry_plan(spark.createDataFrame([("k", 2), ("j", 3)], "idempotency_key string, attempt int"))
-    assert [tuple(r) for r in again.collect()] == [("k:retry:3", 3)] and [r["idempotency_key"] for r in dead.collect()] == ["j"]
-
-
 def test_whole_texts_are_normalized(spark, tmp_path):
     import re
     import unicodedata
