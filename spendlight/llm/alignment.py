@@ -17,7 +17,6 @@ repeated rows are aligned and counted once each, other columns are ignored, an e
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlight.llm.byte_tokens import ByteTokenizer
 from spendlight.llm.tables import table
 from spendlight.storage import scratch, store
 
@@ -44,16 +44,14 @@ class Tokenizers:
     b_path: str | None = None
 
     def __post_init__(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(self.a_path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.a.encode_special_tokens = True
+        self.a = ByteTokenizer(vocabulary_path=self.a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=self.b_path or public_tokenizers.path("piece_bpe_32k.model"))
         byte_of = _byte_letters()
-        names = (self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size()))
+        vocabulary = self.a.vocabulary
+        names = (vocabulary.id_to_token(i) or "" for i in range(vocabulary.get_vocab_size()))
         self.a_bytes = [bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode() for name in names]
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces]
@@ -79,7 +77,7 @@ class Tokenizers:
         """``(A ids, B ids)`` of each text with a blank before it; none of either where bytes are not given back."""
         parts = [cut for text in texts for cut in _cut(" " + text, part)]
         many = [len(_cut(" " + text, part)) for text in texts] if len(parts) > len(texts) else [1] * len(texts)
-        one = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        one = [self.a.encode(x) for x in parts]
         # each part begins with a blank, which the other tokenizer adds by itself
         two = self.b.encode([x[1:] for x in parts], num_threads=1)
         out, at = [], 0

@@ -19,7 +19,6 @@ no rows.
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlight.llm.byte_tokens import ByteTokenizer
 from spendlight.llm.tables import blocks, table
 from spendlight.storage import cut
 
@@ -37,15 +37,6 @@ SHARD_PIECES, TASK_PIECES = 768, 6144
 K1, B = 1.2, 0.75
 
 
-def encoder(path: str | None = None):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -55,7 +46,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
 
     def run(batches):
-        encode = encoder(tokenizer).encode_ordinary
+        encode = ByteTokenizer(tokenizer).encode
         for batch in batches:
             rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

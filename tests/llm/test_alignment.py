@@ -19,7 +19,7 @@ from spendlight.llm.tables import table
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
     (1, None), (2, ""), (3, "One line <|endoftext|> here"), (3, "One line <|endoftext|> here"), (None, "no id </s>"), (4, " "), (5, "\n\n \t\n"), (6, "=" * 501 + "▁x"),
-    (7, "中文 日本語 ไทย עברית 😀😀 é ﬁ ½"), (8, "\x00\x01 \x85   <0x41> <unk>"), (9, "word " * 100000 + "x" * 5000), (10, "a  b   c    d "),
+    (7, "中文 日本語 ไทย עברית 😀😀 é ﬁ ½"), (8, "\x00\x01 \x85   <0x41> <unk>"), (9, "word " * 100000 + "x" * 5000), (10, "a  b   c    d "), (11, "x" + " " * 1_200_000 + "y" + "\n " * 30_000),
 ]
 
 

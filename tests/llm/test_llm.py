@@ -535,12 +535,12 @@ def test_ids_are_those_of_the_vocabulary(spark):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     reference.encode_special_tokens = True
     texts = [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").collect()] + ["", " ", "a <|endoftext|> b", " 　 x", "😀 é́ 12345 don't  \n\n x"]
-    encode = packing.encoder().encode_ordinary
+    encode = packing.ByteTokenizer().encode
     assert [encode(t) for t in texts] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing_loses_nothing(spark):
-    encode = packing.encoder().encode_ordinary
+    encode = packing.ByteTokenizer().encode
     documents = {r["doc_id"]: [*encode(r["text"]), 0] for r in table(spark, DATA, "documents").collect()}
     rows = packing.op8_bm25_packing(spark, DATA).collect()
     by_doc, by_sequence = {}, {}
