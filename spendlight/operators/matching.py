@@ -8,42 +8,42 @@ from pyspark.sql import functions as F
 from spendlight.storage import store
 
 #: Least and greatest length of names, and the length of the run of letters on which they meet texts.
-RUNS = ((8, None, 8), (3, 7, 3), (1, 2, 1))
+RUNS = ((8, None, 8), (3, 7, 3), (2, 2, 2), (1, 1, 1))
 #: Runs of letters up to which their list is sent to every task; more are joined.
 BROADCAST_RUNS = 500_000
 
 
-def _runs(df: DataFrame, text: str, n: int) -> DataFrame:
-    """``df`` with a row for every run of ``n`` letters of ``text``, as ``run__``, from place ``at__``."""
-    each = df.withColumn("at__", F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))))
-    return each.withColumn("run__", F.substring(text, F.col("at__"), F.lit(n)))
+def _runs(text: str, n: int) -> Column:
+    """The distinct hashes of all runs of ``n`` letters of a text; each is found at once in a form of four bytes a letter."""
+    last = F.length(text) - n
+    at = lambda wide, i: F.xxhash64(F.lit(n), F.substring(wide, i * 4 + 1, F.lit(4 * n)))
+    every = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: at(wide, i))))
+    return F.when(last >= 0, every[0]).otherwise(F.array().cast("array<bigint>"))
 
 
 def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
     """The rows of ``texts`` and ``names`` side by side where the text contains the name, letter for letter.
 
-    A name meets the texts that hold that run of its letters which the fewest names have. Null and
-    empty names meet nothing.
+    Texts and names are known by hash while they are met: a name meets the texts that hold that run of its
+    letters which the fewest names have. The texts themselves are joined to the names they may contain once,
+    at the end. Null and empty names meet nothing.
     """
-    within = lambda least, most: F.length(name) >= least if most is None else F.length(name).between(least, most)
-    counts = names.agg(*(F.count_if(within(least, most)) for least, most, _ in RUNS)).first()
-    parts = []
-    for (least, most, n), count in zip(RUNS, counts, strict=True):
-        if count or (n == 1 and not parts):
-            parts.append(_met(texts, text, names.where(within(least, most)), name, n))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _met(texts: DataFrame, text: str, names: DataFrame, name: str, n: int) -> DataFrame:
-    each = store(_runs(names.select(name).distinct(), name, n).select(name, "run__").distinct())
+    size = F.length(name)
+    own, kinds = F.when(F.lit(False), F.array().cast("array<bigint>")), []
+    for least, most, n in RUNS:
+        within = size >= least if most is None else size.between(least, most)
+        own = own.when(within, _runs(name, n))
+        kinds.append(F.max(F.when(within, n)))
+    hashed = names.where(size > 0).select(F.xxhash64(name).alias("name_hash__"), own.alias("runs__")).distinct()
+    each = store(hashed.select("name_hash__", F.explode("runs__").alias("run__")))
+    present = [n for n in names.agg(*(k.alias(f"n{i}") for i, k in enumerate(kinds))).first() if n]
     shared = each.groupBy("run__").agg(F.count(F.lit(1)).alias("n__"))
-    rarest = store(each.hint("merge").join(shared.hint("merge"), "run__").groupBy(name).agg(F.min(F.struct("n__", "run__")).alias("r__")).select(name, F.col("r__.run__").alias("run__")))
+    rarest = store(each.hint("merge").join(shared.hint("merge"), "run__").groupBy("name_hash__").agg(F.min(F.struct("n__", "run__")).alias("r__")).select("name_hash__", F.col("r__.run__").alias("run__")))
     wanted = rarest.select("run__").distinct()
     few = F.broadcast(wanted) if rarest.count() <= BROADCAST_RUNS else wanted.hint("merge")
-    # a run that a text holds several times counts at its first place
-    placed = _runs(texts, text, n).join(few, "run__", "left_semi").where(F.col("at__") == F.instr(F.col(text), F.col("run__"))).drop("at__")
-    keyed = names.hint("merge").join(rarest.hint("merge"), name)
-    return placed.hint("merge").join(keyed.hint("merge"), "run__").where(F.contains(text, name)).drop("run__")
+    every = F.concat(*(_runs(text, n) for n in present)) if present else F.array().cast("array<bigint>")
+    placed = texts.where(F.length(text) > 0).select(F.xxhash64(text).alias("text_hash__"), F.explode(every).alias("run__")).join(few, "run__", "left_semi")
+    met = store(placed.hint("merge").join(rarest.hint("merge"), "run__").select("text_hash__", "name_hash__").distinct())
+    keyed = texts.withColumn("text_hash__", F.xxhash64(text)).hint("merge").join(met.hint("merge"), "text_hash__")
+    both = keyed.hint("merge").join(names.withColumn("name_hash__", F.xxhash64(name)).hint("merge"), "name_hash__")
+    return both.where(F.contains(text, name)).drop("text_hash__", "name_hash__")
