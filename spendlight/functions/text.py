@@ -75,7 +75,10 @@ PERSONAL_EMAIL = r"(?i)\b[A-Za-z0-9._%+-]+@(?:gmail|yahoo|hotmail|outlook|aol|ic
 UEI, CAGE = r"\b[A-Z0-9]{12}\b", r"\b[0-9A-Z]{5}\b"
 DEFENDANT = [r"(?i)^(.+?)\s+(?:Agrees?|Pays?|Pleads?|Settles?|Convicted)", r"(?i)^(.+?)\s+(?:and\s+.+?\s+)?(?:to\s+Pay|Charged|Indicted)"]
 NAME_PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
-PHRASE_STOP = "The This That These Those However Although While During Between Within Through Federal Contract Award Government".split()
+PHRASE_STOP = (
+    "The", "This", "That", "These", "Those", "However", "Although", "While", "During", "Between",
+    "Within", "Through", "Federal", "Contract", "Award", "Government",
+)
 
 
 def _all(text, pattern: str, group: int) -> Column:

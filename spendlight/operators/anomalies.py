@@ -10,29 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendlight.functions.columns import haversine_miles, number, severity
+from spendlight.operators.ranking import ranked
+from spendlight.storage import store
 
 # fixed values: codes and texts of awards without competition, as the detector reads them
 SOLE_SOURCE_DETECTOR = ("NOT COMPETED", "SOLE SOURCE", "A", "B", "C", "D", "E")
 
 # fixed values: rough state centres (latitude, longitude)
-STATE_CENTRES = """
-AL 32.7 -86.7, AK 64.0 -153.0, AZ 34.3 -111.7, AR 34.8 -92.2, CA 37.2 -119.7, CO 38.9 -105.5, CT 41.6 -72.7, DE 38.9 -75.5,
-FL 28.6 -82.4, GA 32.7 -83.4, HI 20.5 -157.5, ID 44.4 -114.6, IL 40.0 -89.2, IN 39.9 -86.3, IA 42.0 -93.5, KS 38.5 -98.3,
-KY 37.5 -85.3, LA 31.0 -91.9, ME 45.4 -69.2, MD 39.0 -76.7, MA 42.2 -71.8, MI 44.3 -84.5, MN 46.3 -94.3, MS 32.7 -89.7,
-MO 38.6 -92.6, MT 47.0 -109.6, NE 41.5 -99.8, NV 39.3 -116.6, NH 43.7 -71.6, NJ 40.1 -74.7, NM 34.4 -106.1, NY 42.9 -75.5,
-NC 35.5 -79.8, ND 47.5 -100.5, OH 40.4 -82.7, OK 35.6 -97.5, OR 43.9 -120.6, PA 40.9 -77.8, RI 41.7 -71.5, SC 33.9 -80.9,
-SD 44.4 -100.2, TN 35.8 -86.3, TX 31.5 -99.3, UT 39.3 -111.7, VT 44.1 -72.6, VA 37.5 -78.8, WA 47.4 -120.7, WV 38.6 -80.6,
-WI 44.6 -89.8, WY 43.0 -107.6, DC 38.9 -77.0
-"""
+STATE_CENTRES = {
+    "AL": (32.7, -86.7), "AK": (64.0, -153.0), "AZ": (34.3, -111.7), "AR": (34.8, -92.2), "CA": (37.2, -119.7), "CO": (38.9, -105.5),
+    "CT": (41.6, -72.7), "DE": (38.9, -75.5), "FL": (28.6, -82.4), "GA": (32.7, -83.4), "HI": (20.5, -157.5), "ID": (44.4, -114.6),
+    "IL": (40.0, -89.2), "IN": (39.9, -86.3), "IA": (42.0, -93.5), "KS": (38.5, -98.3), "KY": (37.5, -85.3), "LA": (31.0, -91.9),
+    "ME": (45.4, -69.2), "MD": (39.0, -76.7), "MA": (42.2, -71.8), "MI": (44.3, -84.5), "MN": (46.3, -94.3), "MS": (32.7, -89.7),
+    "MO": (38.6, -92.6), "MT": (47.0, -109.6), "NE": (41.5, -99.8), "NV": (39.3, -116.6), "NH": (43.7, -71.6), "NJ": (40.1, -74.7),
+    "NM": (34.4, -106.1), "NY": (42.9, -75.5), "NC": (35.5, -79.8), "ND": (47.5, -100.5), "OH": (40.4, -82.7), "OK": (35.6, -97.5),
+    "OR": (43.9, -120.6), "PA": (40.9, -77.8), "RI": (41.7, -71.5), "SC": (33.9, -80.9), "SD": (44.4, -100.2), "TN": (35.8, -86.3),
+    "TX": (31.5, -99.3), "UT": (39.3, -111.7), "VT": (44.1, -72.6), "VA": (37.5, -78.8), "WA": (47.4, -120.7), "WV": (38.6, -80.6),
+    "WI": (44.6, -89.8), "WY": (43.0, -107.6), "DC": (38.9, -77.0),
+}
 WEIGHTS = {"low": 0.2, "medium": 0.5, "high": 0.8, "critical": 1.0}
 
 
-def state_centres() -> dict[str, tuple[float, float]]:
-    return {s: (float(a), float(b)) for s, a, b in (x.split() for x in STATE_CENTRES.replace("\n", " ").split(","))}
-
-
 def _centre(state: Column, axis: int) -> Column:
-    pairs = [F.lit(x) for s, c in state_centres().items() for x in (s, c[axis])]
+    pairs = [F.lit(x) for s, c in STATE_CENTRES.items() for x in (s, c[axis])]
     return F.try_element_at(F.create_map(*pairs), state)
 
 
@@ -81,13 +81,20 @@ def geo_mismatch(pairs: DataFrame, miles: float = 1000.0) -> DataFrame:
 def rapid_award(awards: DataFrame, days: int = 30, min_awards: int = 3) -> DataFrame:
     """Per vendor the window of ``days`` days, both ends included, that starts with an award and holds most of them.
 
-    Awards of equal time are counted first, so a busy vendor's window is sorted by its distinct times only.
+    Awards without a vendor or a time take no part.
     """
     dated = awards.where(F.col("start_ts").isNotNull()).withColumn("at", F.unix_micros(F.col("start_ts").cast("timestamp")))
     by_time = dated.groupBy("vendor_id", "at").agg(F.count(F.lit(1)).alias("n"))
-    span = Window.partitionBy("vendor_id").orderBy("at").rangeBetween(0, days * 86_400_000_000)
-    first = Window.partitionBy("vendor_id").orderBy(F.desc("in_window"), "at")
-    best = by_time.withColumn("in_window", F.sum("n").over(span)).withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    # each time asks, at the end of its window, how many awards there were by then; running sums go over range cells, so that
+    # no task holds a whole vendor
+    asks = by_time.select("vendor_id", (F.col("at") + days * 86_400_000_000).alias("at"), F.lit(0).cast("long").alias("n"), F.col("at").alias("of"))
+    events = by_time.select("vendor_id", "at", "n", F.lit(None).cast("long").alias("of"))
+    summed = ranked(events.unionByName(asks), "vendor_id", [F.col("at"), F.col("of").asc_nulls_first()], "n")
+    start = F.coalesce("of", "at")
+    inside = F.sum(F.when(F.col("of").isNotNull(), F.col("so_far")).otherwise(F.col("n") - F.col("so_far")))
+    windows = summed.groupBy("vendor_id", start.alias("at")).agg(inside.alias("in_window"))
+    best = windows.groupBy("vendor_id").agg(F.max(F.struct(F.col("in_window").alias("n"), (-F.col("at")).alias("back"))).alias("m"))
+    best = best.select("vendor_id", F.col("m.n").alias("in_window"), (-F.col("m.back")).alias("at"))
     hit = F.col("in_window") >= min_awards
     level = F.when(hit, severity(F.col("in_window"), (8, "high"), (5, "medium"), otherwise="low")).otherwise("none")
     return best.select(F.lit("rapid_award").alias("anomaly_type"), F.col("vendor_id").alias("subject"), hit.alias("detected"), level.alias("severity"), F.least(F.col("in_window") / 10, F.lit(1.0)).alias("score"), "in_window", F.timestamp_micros("at").alias("window_start"))
@@ -101,13 +108,22 @@ def address_ring(entities: DataFrame, min_entities: int = 3) -> DataFrame:
 
 
 def officer_overlap(officers: DataFrame, min_overlap: int = 2) -> DataFrame:
-    """Entity sets of two or more that several officers serve: for each distinct set, officers whose own set contains it."""
-    own = officers.select(F.upper(F.trim("officer")).alias("officer"), "entity_id").where(F.coalesce("officer", F.lit("")) != "").distinct()
-    sets = own.groupBy("officer").agg(F.array_sort(F.collect_list("entity_id")).alias("members")).where(F.size("members") >= 2).select("members").distinct()
-    sets = sets.withColumn("set_key", F.array_join("members", "|"))
-    wanted = sets.select("set_key", F.size("members").alias("size"), F.explode("members").alias("entity_id"))
-    covers = wanted.join(own, "entity_id").groupBy("set_key", "size", "officer").agg(F.count(F.lit(1)).alias("k")).where("k = size")
-    counted = covers.groupBy("set_key", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_overlap)
+    """Entity sets of two or more that several officers serve: for each distinct set, officers whose own set contains it.
+
+    A set meets only the officers of that member of it which the fewest officers have, and is compared whole there.
+    """
+    own = store(officers.select(F.upper(F.trim("officer")).alias("officer"), "entity_id").where((F.coalesce("officer", F.lit("")) != "") & F.col("entity_id").isNotNull()).distinct())
+    served = store(own.groupBy("officer").agg(F.array_sort(F.collect_list("entity_id")).alias("members")).where(F.size("members") >= 2))
+    sets = store(served.groupBy(F.array_join("members", "|").alias("set_key")).agg(F.first("members").alias("wanted")))
+    # officers of one entity alone contain no set
+    placed = store(own.hint("merge").join(served.select("officer").hint("merge"), "officer"))
+    rarity = placed.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    each = sets.select("set_key", F.explode("wanted").alias("entity_id"))
+    rarest = store(each.hint("merge").join(rarity.hint("merge"), "entity_id").groupBy("set_key").agg(F.min(F.struct("n", "entity_id")).alias("r")).select("set_key", F.col("r.entity_id").alias("entity_id")))
+    met = store(rarest.hint("merge").join(placed.hint("merge"), "entity_id").select("set_key", "officer"))
+    both = met.hint("merge").join(sets.hint("merge"), "set_key").hint("merge").join(served.hint("merge"), "officer")
+    contains = F.size(F.array_except("wanted", "members")) == 0
+    counted = both.where(contains).groupBy("set_key").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("wanted")).alias("size")).where(F.col("n") >= min_overlap)
     return counted.select(F.lit("officer_overlap").alias("anomaly_type"), F.col("set_key").alias("subject"), F.lit(True).alias("detected"), severity(F.col("n"), (3, "high"), otherwise="medium").alias("severity"), F.least(F.col("n") / 3, F.lit(1.0)).alias("score"), "n", "size")
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from spendlight.functions import text as X
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs``, dealt out before many patterns are run over it if it comes in fewer partitions than there are cores."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+def spread(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """``docs`` dealt out by doc_id before many patterns are run over it, into as many partitions as shuffles have or ``parts``."""
+    return docs.repartition(parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def extract_facts(docs: DataFrame) -> DataFrame:

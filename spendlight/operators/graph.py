@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendlight.functions.text import mask_mention
-from spendlight.storage import cut
+from spendlight.operators.ranking import ranked
+from spendlight.storage import cut, store
 
 
 def cooccurrence(mentions: DataFrame, max_entities: int | None = None) -> DataFrame:
@@ -63,16 +64,36 @@ def count_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 100) -> DataFrame:
-    """``(seed, node, depth)``: nodes at most ``depth`` hops away, the first ``max_nodes`` of each seed by depth, then id."""
-    both = undirected(edges).select("x", "y").distinct()
+    """``(seed, node, depth)``: nodes at most ``depth`` hops away, the first ``max_nodes`` of each seed by depth, then id.
+
+    A seed's budget is spent level by level: what no longer fits is never opened. Of a node's neighbours the least
+    ``2 * max_nodes`` are kept, since no more than ``max_nodes`` of them can be known already; a hub's list is cut over several partitions.
+    """
+    both = undirected(edges).select("x", "y").where("x is not null and y is not null and x <> y").distinct()
+    near = cut(ranked(both, "x", [F.col("y")]).where(F.col("rank") <= 2 * max_nodes).select("x", "y"))
     seen = cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier = seen
+    # at most max_nodes rows a seed from here on, and max_nodes times as many while a level is opened
+    order = Window.partitionBy("seed").orderBy("node")
     for hop in range(1, depth + 1):
-        step = frontier.join(both, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        step = frontier.hint("merge").join(near.hint("merge"), F.col("node") == F.col("x")).select("seed", F.col("y").alias("node")).distinct()
+        new = step.hint("merge").join(seen.hint("merge"), ["seed", "node"], "left_anti")
+        spent = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("spent"))
+        fits = new.withColumn("rn", F.row_number().over(order)).hint("merge").join(spent.hint("merge"), "seed").where(F.col("rn") + F.col("spent") <= max_nodes)
+        frontier = cut(fits.select("seed", "node", F.lit(hop).alias("depth")))
         seen = cut(seen.unionByName(frontier))
-    order = Window.partitionBy("seed").orderBy("depth", "node")
-    return seen.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_nodes).select("seed", "node", "depth")
+    return seen
+
+
+def neighborhood_edges(nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """``(seed, node, source, target, ...)``: the edges of each node of a neighbourhood that lies before its border.
+
+    An edge between two such nodes is returned twice, once for each that sees it; a self-loop once.
+    """
+    opened = nodes.where(F.col("depth") < depth).select("seed", "node")
+    ends = F.when(F.col("source").eqNullSafe(F.col("target")), F.array("source")).otherwise(F.array("source", "target"))
+    by_end = edges.withColumn("node", F.explode(ends)).where(F.col("node").isNotNull())
+    return opened.hint("merge").join(by_end.hint("merge"), "node").select("seed", "node", *edges.columns)
 
 
 def shortest_path(seeds: DataFrame, edges: DataFrame, max_hops: int = 5) -> DataFrame:
@@ -96,10 +117,16 @@ def shortest_path(seeds: DataFrame, edges: DataFrame, max_hops: int = 5) -> Data
 
 def shared_connections(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """``(a, b, node)``: nodes next to both of a pair, other than the pair itself."""
-    both = undirected(edges).select("x", "y").distinct()
-    left = pairs.join(both, F.col("a") == F.col("x")).select("a", "b", F.col("y").alias("node"))
-    right = both.select(F.col("x").alias("b"), F.col("y").alias("node"))
-    return left.join(right, ["b", "node"]).where("node <> a and node <> b").select("a", "b", "node")
+    both = store(undirected(edges).select("x", "y").distinct())
+    # a pair asks for the neighbours of the end that has fewer, and looks them up at the other
+    sizes = store(both.groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    asked = store(pairs.where("a is not null and b is not null").distinct())
+    for end in ("a", "b"):
+        asked = asked.hint("merge").join(sizes.select(F.col("x").alias(end), F.col("n").alias(f"n_{end}")).hint("merge"), end)
+    few, many = F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")), F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a"))
+    left = asked.withColumn("x", few).withColumn("other", many).hint("merge").join(both.hint("merge"), "x").select("a", "b", "other", F.col("y").alias("node"))
+    met = left.hint("merge").join(both.select(F.col("x").alias("other"), F.col("y").alias("node")).hint("merge"), ["other", "node"])
+    return met.where("node <> a and node <> b").select("a", "b", "node")
 
 
 def motif_address(entities: DataFrame, least: int = 3) -> DataFrame:
@@ -159,5 +186,29 @@ def ownership_chain(parents: DataFrame) -> DataFrame:
     return ends.union(goes_on().select("child", F.lit(None).alias("root"), F.lit(None).alias("depth")).distinct())
 
 
-def common_owner(owns: DataFrame, least: int = 2) -> DataFrame:
-    return owns.groupBy("owner").agg(F.countDistinct("owned").alias("n")).where(F.col("n") >= least)
+def common_owner(bids: DataFrame, owns: DataFrame, least: int = 2) -> DataFrame:
+    """``(award_id, owner, n)``: owners of ``least`` or more of the firms that compete for one award.
+
+    ``bids`` is (award_id, firm), ``owns`` (owner, firm). A bid meets the owners of its firm and is counted under
+    award and owner, reduced before it is shuffled; firms of an award are never paired.
+    """
+    known = lambda df: df.where(" and ".join(f"{c} is not null" for c in df.columns)).distinct()
+    met = known(bids.select("award_id", "firm")).hint("merge").join(known(owns.select("owner", "firm")).hint("merge"), "firm")
+    return met.groupBy("award_id", "owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def owner_awards(parents: DataFrame, awards: DataFrame) -> DataFrame:
+    """``(root, leaves, layers, awards, cents)``: what the last owners of each chain win through the leaves under them.
+
+    ``parents`` is (child, parent), ``awards`` (vendor_id, cents). A leaf is a child that owns nobody; its awards are summed
+    before they are carried up to its roots. Leaves without awards count; those that run into a circle are
+    reported under the root null, each circle's leaves together.
+    """
+    chain = cut(ownership_chain(parents))
+    owners = parents.where("child is not null and parent is not null").select(F.col("parent").alias("child")).distinct()
+    leaves = chain.hint("merge").join(owners.hint("merge"), "child", "left_anti")
+    sums = awards.where("vendor_id is not null").groupBy(F.col("vendor_id").alias("child")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    # a leaf that reaches a root by several ways wins its awards once
+    carried = leaves.groupBy("child", "root").agg(F.max("depth").alias("depth")).hint("merge").join(sums.hint("merge"), "child", "left")
+    zero = F.lit(0).cast("long")
+    return carried.groupBy("root").agg(F.count(F.lit(1)).alias("leaves"), F.max("depth").alias("layers"), F.coalesce(F.sum("n"), zero).alias("awards"), F.coalesce(F.sum("cents"), zero).alias("cents"))

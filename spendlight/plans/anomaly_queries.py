@@ -33,7 +33,7 @@ def _(t):
     return A.mod_inflation(B.growing_awards(t))
 
 
-_CENTRES = "s(state, lat, lon) as (values " + ",".join(f"('{k}',{a},{b})" for k, (a, b) in A.state_centres().items()) + ")"
+_CENTRES = "s(state, lat, lon) as (values " + ",".join(f"('{k}',{a},{b})" for k, (a, b) in A.STATE_CENTRES.items()) + ")"
 _PLACES = "p as (select distinct concat(s_nationkey,'-',c_nationkey) pair_id, ([" + ",".join(f"'{x}'" for x in B.PLACES) + "])[s_nationkey+1] a, ([" + ",".join(f"'{x}'" for x in B.PLACES) + "])[c_nationkey+1] b from lineitem join supplier on l_suppkey=s_suppkey join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey)"
 _MILES = "3959*2*asin(sqrt(pow(sin(radians(y.lat-x.lat)/2),2)+cos(radians(x.lat))*cos(radians(y.lat))*pow(sin(radians(y.lon-x.lon)/2),2)))"
 _GEO = f"""with {_CENTRES}, {_PLACES}, d as (select pair_id, case when a='' or b='' then null when a=b then 0 else coalesce({_MILES}, 500.0) end distance from p left join s x on x.state=a left join s y on y.state=b)
@@ -69,7 +69,7 @@ def _(t):
 
 
 _OVERLAP = f"""with {B.OFFICERS}, s as (select officer, list_sort(list(entity_id)) m from officers group by 1), d as (select distinct m from s where len(m)>=2)
-select 'officer_overlap' anomaly_type, array_to_string(d.m,'|') subject, true detected, case when count(*)>=3 then 'high' else 'medium' end severity, least(count(*)/3,1.0) score, count(*) n, len(d.m) size from d join s on list_has_all(s.m,d.m) group by d.m having count(*)>=2"""
+select 'officer_overlap' anomaly_type, array_to_string(d.m,'|') subject, true detected, case when count(*)>=3 then 'high' else 'medium' end severity, least(count(*)/3,1.0) score, count(*) n, len(d.m) size from (select m, unnest(m) entity_id from d) d join officers o using (entity_id) join s using (officer) where d.entity_id=d.m[1] and list_has_all(s.m,d.m) group by d.m having count(*)>=2"""
 
 
 @query("ano_officer_overlap", _OVERLAP)

@@ -37,10 +37,11 @@ def ordered_awards(t) -> DataFrame:
 
 
 def officers(t) -> DataFrame:
-    return t("lineitem").where("l_quantity = 50").select(F.concat(F.lit(" p"), "l_partkey").alias("officer"), (F.col("l_suppkey") % 40).cast("string").alias("entity_id"))
+    """Orders as officers, and the parts of their lines as what they serve."""
+    return t("lineitem").select(F.concat(F.lit(" o"), "l_orderkey").alias("officer"), F.col("l_partkey").cast("string").alias("entity_id"))
 
 
-OFFICERS = "officers as (select distinct concat('P', l_partkey) officer, cast(l_suppkey % 40 as varchar) entity_id from lineitem where l_quantity=50)"
+OFFICERS = "officers as (select distinct concat('O', l_orderkey) officer, cast(l_partkey as varchar) entity_id from lineitem)"
 
 
 def addressed(t) -> DataFrame:

@@ -238,10 +238,15 @@ def _(t):
     return G.neighborhood(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), B.edges(t))
 
 
-@query("gra_shortest_path", f"with recursive {B.EDGES}, b as (select x, y, min(w) w from (select source x, target y, 1-coalesce(nullif(confidence,0),0.5) w from edges where source not like 'c%' union all select target, source, 1-coalesce(nullif(confidence,0),0.5) from edges where source not like 'c%') group by 1,2), walk(seed, node, weight, path, hops) as (select 'r0', 'r0', 0.0::double, ['r0'], 0 union all select seed, y, weight+w, list_append(path, y), hops+1 from walk join b on node=x where hops<5 and not list_contains(path, y)) select seed, node, round(min(weight), 9) weight from walk group by 1,2")
+@query("gra_neighborhood_edges", f"{_WALK}, kept as (select seed, node, depth from (select *, row_number() over (partition by seed order by depth, node) rn from near) where rn<=100) select seed, node, source, target, rel_type, confidence from kept join edges on node=source or node=target where depth<2")
 def _(t):
-    small = B.edges(t).where("source not like 'c%'")
-    return G.shortest_path(t("region").where("r_regionkey = 0").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), small).select("seed", "node", F.round("weight", 9).alias("weight"))
+    nodes = G.neighborhood(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), B.edges(t))
+    return G.neighborhood_edges(nodes, B.edges(t))
+
+
+@query("gra_shortest_path", f"with recursive {B.EDGES}, b as (select x, y, min(w) w from (select source x, target y, 1-coalesce(nullif(confidence,0),0.5) w from edges union all select target, source, 1-coalesce(nullif(confidence,0),0.5) from edges) group by 1,2), walk(seed, node, weight, path, hops) as (select concat('r', r_regionkey), concat('r', r_regionkey), 0.0::double, [concat('r', r_regionkey)], 0 from region union all select seed, y, weight+w, list_append(path, y), hops+1 from walk join b on node=x where hops<5 and not list_contains(path, y)) select seed, node, round(min(weight), 9) weight from walk group by 1,2")
+def _(t):
+    return G.shortest_path(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), B.edges(t)).select("seed", "node", F.round("weight", 9).alias("weight"))
 
 
 @query("gra_shared", f"with {_BOTH}, p as (select concat('c',c_custkey) a, concat('c',c_custkey+i) b from customer, generate_series(1,3) g(i)) select distinct p.a, p.b, l.y as node from p join both_ends l on l.x=p.a join both_ends r on r.x=p.b and r.y=l.y where l.y<>p.a and l.y<>p.b")
@@ -274,9 +279,10 @@ def _(t):
     return G.motif_hub(_employment(t))
 
 
-@query("gra_common_owner", f"with {_EMPLOY} select source as owner, count(*) n from employ group by 1 having count(*)>=2")
+@query("gra_common_owner", f"with {_EMPLOY} select l_orderkey award_id, source as owner, count(distinct l_suppkey) n from lineitem join employ on target=concat('s', l_suppkey) group by 1,2 having count(distinct l_suppkey)>=2")
 def _(t):
-    return G.common_owner(_employment(t).select(F.col("source").alias("owner"), F.col("target").alias("owned")))
+    bids = t("lineitem").select(F.col("l_orderkey").alias("award_id"), F.concat(F.lit("s"), "l_suppkey").alias("firm"))
+    return G.common_owner(bids, _employment(t).select(F.col("source").alias("owner"), F.col("target").alias("firm")))
 
 
 @query("gra_case_edges", f"with {_EMPLOY}, {B.ENTITIES}, n as (select source, target, a.canonical_name source_name, b.canonical_name target_name from employ join entities a on a.entity_id=source join entities b on b.entity_id=target), m as (select distinct s_suppkey case_id, source, target, 'owns' rel_type, source_name, target_name from supplier join n on upper(replace(s_name,'#',' ')) in (source_name, target_name)) select case_id, source, target, rel_type, source_name, target_name from (select *, row_number() over (partition by case_id order by source, target, rel_type) rn from m) where rn<=100")
@@ -299,3 +305,13 @@ def _(t):
 def _(t):
     parents = t("supplier").select(F.col("s_suppkey").alias("child"), F.floor(F.col("s_suppkey") / 3).cast("long").alias("parent")).where("parent > 0")
     return G.ownership_chain(parents)
+
+
+_OWNERS = "p as (select s_suppkey child, s_suppkey//3 parent from supplier where s_suppkey//3>0), w(child, root, depth) as (select child, parent, 1 from p union all select w.child, p.parent, depth+1 from w join p on p.child=w.root), c as (select child, min(root) root, max(depth) depth from w group by 1 having child not in (select parent from p))"
+
+
+@query("gra_owner_awards", f"with recursive {_OWNERS}, a as (select l_suppkey child, count(*) n, sum(cast(round(l_extendedprice*100) as bigint))::bigint cents from lineitem group by 1) select root, count(*) leaves, max(depth) layers, coalesce(sum(n), 0)::bigint awards, coalesce(sum(cents), 0)::bigint cents from c left join a using (child) group by 1")
+def _(t):
+    parents = t("supplier").select(F.col("s_suppkey").alias("child"), F.floor(F.col("s_suppkey") / 3).cast("long").alias("parent")).where("parent > 0")
+    awards = t("lineitem").select(F.col("l_suppkey").alias("vendor_id"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    return G.owner_awards(parents, awards)
