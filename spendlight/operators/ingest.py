@@ -10,11 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendlight.functions.columns import first_text, number
-
-# fixed values: codes of awards without competition, as the parser reads them
-SOLE_SOURCE_PARSER = ("NOT COMPETED", "NOT AVAILABLE FOR COMPETITION", "SOLE SOURCE", "A", "B", "C", "D", "E", "CDO")
-
 
 def content_hash(content) -> Column:
     return F.sha2(content, 256)
@@ -106,66 +101,6 @@ def new_docs(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     return parsed.dropDuplicates(["artifact_id"]).join(stored.select("artifact_id"), "artifact_id", "left_anti").select(*parsed.columns)
 
 
-def _recipient() -> list[Column]:
-    return [F.struct(first_text("recipient_name", "Recipient Name").alias("name"), first_text("recipient_uei", "Recipient UEI").alias("uei"), first_text("parent_name").alias("parent")).alias("recipient")]
-
-
-def _detail() -> list[Column]:
-    return [number("amount").alias("award_amount"), first_text("agency", "Awarding Agency").alias("awarding_agency"), first_text("start_date", "Start Date").alias("start_date")]
-
-
-def _place() -> list[Column]:
-    return [first_text("city").alias("city"), first_text("state", "State Code").alias("state"), F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("USA")).alias("country")]
-
-
-def _competition() -> list[Column]:
-    extent = first_text("extent_competed", "Extent Competed")
-    return [extent.alias("extent"), F.upper(F.trim(extent)).isin(*SOLE_SOURCE_PARSER).alias("is_sole_source")]
-
-
-def _indicators() -> Column:
-    sole = F.upper(F.trim(F.coalesce("extent_competed", F.lit("")))).isin(*SOLE_SOURCE_PARSER)
-    pricing = F.lower(F.coalesce("pricing", F.lit("")))
-    one = lambda hit, name, level: F.when(hit, F.struct(F.lit(name).alias("indicator"), F.lit(level).alias("severity")))
-    return F.array_compact(F.array(one(sole, "sole_source", "medium"), one(number("amount") > 10_000_000, "high_value", "low"), one(F.contains(pricing, F.lit("cost")) & F.contains(pricing, F.lit("plus")), "cost_plus", "low")))
-
-
-def _mentions() -> Column:
-    one = lambda name, kind, role, also=F.lit(True): F.when((F.coalesce(name, F.lit("")) != "") & also, F.struct(name.alias("name"), F.lit(kind).alias("type"), F.lit(role).alias("role")))
-    sub = F.col("sub_agency")
-    return F.array_compact(F.array(one(F.col("recipient_name"), "vendor", "recipient"), one(F.col("agency"), "agency", "awarding_agency"), one(sub, "agency", "awarding_sub_agency", ~sub.eqNullSafe(F.col("agency")))))
-
-
-def parse_awards(df: DataFrame) -> DataFrame:
-    """One row per award record: recipient, details, competition, place, indicators and mentions, in one pass."""
-    return df.select("award_id", *_recipient(), *_detail(), *_competition(), *_place(), _indicators().alias("indicators"), _mentions().alias("mentions"))
-
-
-def recipient(df: DataFrame) -> DataFrame:
-    return df.select("award_id", *_recipient())
-
-
-def award_detail(df: DataFrame) -> DataFrame:
-    return df.select("award_id", *_detail())
-
-
-def place(df: DataFrame) -> DataFrame:
-    return df.select("award_id", *_place())
-
-
-def competition(df: DataFrame) -> DataFrame:
-    return df.select("award_id", *_competition())
-
-
-def award_indicators(df: DataFrame) -> DataFrame:
-    """``(award_id, indicator, severity)`` of sole-source, high-value and cost-plus awards."""
-    return df.select("award_id", F.explode(_indicators()).alias("h")).select("award_id", "h.indicator", "h.severity")
-
-
-def award_mentions(df: DataFrame) -> DataFrame:
-    return df.select("award_id", F.explode(_mentions()).alias("m")).select("award_id", "m.name", "m.type", "m.role")
-
-
 def run_summary(fetched: DataFrame) -> DataFrame:
     """Per run: fetched, stored, deduplicated, errors and status."""
     by = fetched.groupBy("run_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("outcome") == "stored").alias("stored"), F.count_if(F.col("outcome") == "duplicate").alias("deduplicated"), F.count_if(F.col("outcome") == "error").alias("errors"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spendlight.functions import text as X
+from spendlight.operators import awards as W
 from spendlight.operators import ingest as I
 from spendlight.operators import parsing as P
 from spendlight.plans import bridges as B
@@ -290,54 +291,104 @@ def _(t):
 
 
 def _award_docs(t):
-    """Awards with either spelling of their keys."""
-    k, two = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
-    extents = F.array(*(F.lit(x) for x in (" c ", "FULL AND OPEN", "cdo", "")))
-    extent = extents[(k % 4).cast("int")]
-    return t("orders").select(
-        k.alias("award_id"), F.when(two, F.concat(F.lit("Firm "), "o_custkey")).otherwise("").alias("recipient_name"), F.concat(F.lit("FIRM "), "o_custkey").alias("Recipient Name"), F.lit("").alias("recipient_uei"), F.when(k % 3 == 0, "UEI").alias("Recipient UEI"), F.lit(None).cast("string").alias("parent_name"),
-        F.when(k % 5 == 0, "n/a").otherwise((k * 10007).cast("string")).alias("amount"), F.when(two, F.col("o_orderpriority")).alias("agency"), F.col("o_orderpriority").alias("Awarding Agency"), F.lit("").alias("start_date"), F.lit("2020-01-01").alias("Start Date"), F.lit("Reston").alias("city"), F.lit("").alias("state"), F.lit("VA").alias("State Code"),
-        F.when(k % 7 == 0, "CAN").alias("country"), F.when(two, extent).otherwise("").alias("extent_competed"), extent.alias("Extent Competed"), F.when(k % 6 == 0, "Cost Plus Fixed Fee").otherwise("Firm Fixed").alias("pricing"), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise("Sub").alias("sub_agency"),
-    )
+    """Orders as award records of three shapes (flat, titled keys, nested), landed as JSON texts and read back."""
+    k, lit = F.col("o_orderkey"), F.lit
+    extent = F.array(*(lit(x) for x in EXTENTS))[(k % 4).cast("int")]
+    key, cust, pri = k.cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority")
+    amount = k * 10007
+    flat = {
+        "recipient_name": F.concat(lit("Firm "), cust), "recipient_uei": F.concat(lit("U"), key), "recipient_duns": F.concat(lit("D"), key), "award_id": F.concat(lit("A"), key), "generated_internal_id": F.concat(lit("G"), key),
+        "award_amount": amount, "total_outlays": lit("n/a"), "award_type": lit("C"), "contract_award_type": lit("DELIVERY"), "awarding_agency": pri, "awarding_sub_agency": pri, "funding_agency": lit("Fund"),
+        "start_date": lit("2020-01-01"), "end_date": lit("2021-01-01"), "naics_code": lit("5415"), "naics_description": lit("Systems"), "psc_code": lit("R4"), "place_of_performance": lit("Reston"), "pop_city_code": lit("C1"),
+        "pop_state_code": lit("VA"), "extent_competed": extent, "set_aside_type": lit("SBA"), "pricing_type": lit("Cost Plus Fixed Fee"), "number_of_offers_received": k % 5,
+    }
+    titled = {
+        "recipient_name": lit(""), "Recipient Name": F.concat(lit("FIRM "), cust), "Recipient UEI": F.concat(lit("u"), key), "Recipient DUNS": F.concat(lit("d"), key), "Award ID": F.concat(lit("a"), key), "Award Amount": amount.cast("string"),
+        "Total Outlays": k * 0.5, "Award Type": lit("D"), "Contract Award Type": lit("BPA"), "Awarding Agency": pri, "Awarding Sub Agency": lit("Sub"), "Start Date": lit("2019-01-01"), "End Date": lit("2022-01-01"),
+        "NAICS Code": lit("23"), "PSC Code": lit("Y1"), "Extent Competed": extent, "Set Aside Type": lit("8A"), "Pricing Type": lit("Firm Fixed"), "recipient": lit("no record"),
+    }
+    location = F.struct(F.concat(key, lit(" Main St")).alias("address_line1"), lit("Reston").alias("city_name"), lit("VA").alias("state_code"), lit("20190").alias("zip5"), lit("CAN").alias("country_code"))
+    inner = F.struct(F.concat(lit("Nested "), cust).alias("recipient_name"), lit("NU").alias("recipient_uei"), lit("ND").alias("recipient_duns"), F.concat(lit("Parent "), pri).alias("parent_recipient_name"), lit("PU").alias("parent_recipient_uei"), F.array(lit("small"), lit("veteran")).alias("business_types"), location.alias("location"))
+    nested = {"award_id": key, "award_amount": lit(None).cast("long"), "recipient": inner, "place_of_performance": F.struct(lit("Denver").alias("city_name"), lit("CO").alias("state_code"), lit("80202").alias("zip5"), lit("01").alias("congressional_code"))}
+    shape = lambda fields: F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+    record = F.when(k % 3 == 0, shape(flat)).when(k % 3 == 1, shape(titled)).otherwise(shape(nested))
+    path = place_for(t.spark, "landed")
+    t("orders").select(F.to_json(F.struct(k.alias("doc_id"), record.alias("content"))).alias("value")).write.text(path)
+    return t.spark.read.schema("doc_id long, content string").json(path)
+
+
+EXTENTS = (" c ", "FULL AND OPEN", "cdo", "")
+
+
+def _award_sql(**columns):
+    """SQL over orders of the given columns, each as its value for flat, titled and nested records."""
+    one = lambda v: v if isinstance(v, str) else f"case o_orderkey%3 when 0 then {v[0]} when 1 then {v[1]} else {v[2]} end"
+    return "select o_orderkey doc_id, " + ", ".join(f"{one(v)} as {n}" for n, v in columns.items()) + " from orders"
+
+
+_KEY = "cast(o_orderkey as varchar)"
+_RECIPIENT_SQL = {
+    "name": ("concat('Firm ', o_custkey)", "concat('FIRM ', o_custkey)", "concat('Nested ', o_custkey)"), "uei": (f"concat('U', {_KEY})", f"concat('u', {_KEY})", "'NU'"), "duns": (f"concat('D', {_KEY})", f"concat('d', {_KEY})", "'ND'"),
+    "parent_name": ("''", "''", "concat('Parent ', o_orderpriority)"), "parent_uei": ("''", "''", "'PU'"), "business_types": ("cast([] as varchar[])", "cast([] as varchar[])", "['small','veteran']"),
+    "address_line1": ("''", "''", f"concat({_KEY}, ' Main St')"), "city": ("''", "''", "'Reston'"), "state": ("''", "''", "'VA'"), "zip": ("''", "''", "'20190'"), "country": ("'USA'", "'USA'", "'CAN'"),
+}
+_DETAIL_SQL = {
+    "award_id": (f"concat('A', {_KEY})", f"concat('a', {_KEY})", _KEY), "generated_internal_id": (f"concat('G', {_KEY})", "''", "''"), "award_amount": ("o_orderkey*10007.0::double", "o_orderkey*10007.0::double", "0.0::double"), "total_outlays": ("0.0::double", "o_orderkey*0.5::double", "0.0::double"),
+    "award_type": ("'C'", "'D'", "''"), "contract_award_type": ("'DELIVERY'", "'BPA'", "''"), "awarding_agency": ("o_orderpriority", "o_orderpriority", "''"), "awarding_sub_agency": ("o_orderpriority", "'Sub'", "''"), "funding_agency": ("'Fund'", "''", "''"),
+    "start_date": ("'2020-01-01'", "'2019-01-01'", "''"), "end_date": ("'2021-01-01'", "'2022-01-01'", "''"), "naics_code": ("'5415'", "'23'", "''"), "naics_description": ("'Systems'", "''", "''"), "psc_code": ("'R4'", "'Y1'", "''"),
+}
+_PLACE_SQL = {"city": ("'C1'", "''", "'Denver'"), "state": ("'VA'", "''", "'CO'"), "zip": ("''", "''", "'80202'"), "country": "'USA'", "congressional_district": ("''", "''", "'01'")}
+_EXT = "([' c ','FULL AND OPEN','cdo',''])[o_orderkey%4+1]"
+_COMPETITION_SQL = {"extent_competed": (_EXT, _EXT, "''"), "set_aside_type": ("'SBA'", "'8A'", "''"), "pricing_type": ("'Cost Plus Fixed Fee'", "'Firm Fixed'", "''"), "number_of_offers": ("(o_orderkey%5)::int", "null", "null"), "is_sole_source": ("o_orderkey%4 in (0,2)", "o_orderkey%4 in (0,2)", "false")}
+_INDICATORS_SQL = """select o_orderkey doc_id, 'sole_source' as type, 'Award was not competed (sole source)' description, 'medium' severity from orders where o_orderkey%3<2 and o_orderkey%4 in (0,2)
+ union all select o_orderkey, 'high_value', concat('Award value exceeds $10M: $', format('{:,}', o_orderkey*10007), '.00'), 'low' from orders where o_orderkey%3<2 and o_orderkey*10007>10000000
+ union all select o_orderkey, 'cost_plus_pricing', 'Cost-plus pricing type may warrant closer review', 'low' from orders where o_orderkey%3=0"""
+_MENTIONS_SQL = """select o_orderkey doc_id, concat(case o_orderkey%3 when 0 then 'Firm ' else 'FIRM ' end, o_custkey) as name, 'vendor' as type, 'recipient' as role from orders where o_orderkey%3<2
+ union all select o_orderkey, o_orderpriority, 'government_agency', 'awarding_agency' from orders where o_orderkey%3<2 union all select o_orderkey, 'Sub', 'government_agency', 'awarding_sub_agency' from orders where o_orderkey%3=1"""
 
 
-@query("par_recipient", "select o_orderkey award_id, concat(case when o_orderkey%2=0 then 'Firm ' else 'FIRM ' end, o_custkey) as name, case when o_orderkey%3=0 then 'UEI' else '' end uei, '' parent from orders")
+@query("par_recipient", _award_sql(**_RECIPIENT_SQL))
 def _(t):
-    return I.recipient(_award_docs(t)).select("award_id", "recipient.*")
+    return W.recipient(_award_docs(t)).select("*", "location.*").drop("location")
 
 
-@query("par_award_detail", "select o_orderkey award_id, case when o_orderkey%5=0 then 0.0 else o_orderkey*10007.0 end award_amount, o_orderpriority awarding_agency, '2020-01-01' start_date from orders")
+@query("par_award_detail", _award_sql(**_DETAIL_SQL))
 def _(t):
-    return I.award_detail(_award_docs(t))
+    return W.award_detail(_award_docs(t))
 
 
-@query("par_pop", "select o_orderkey award_id, 'Reston' city, 'VA' state, case when o_orderkey%7=0 then 'CAN' else 'USA' end country from orders")
+@query("par_pop", _award_sql(**_PLACE_SQL))
 def _(t):
-    return I.place(_award_docs(t))
+    return W.place(_award_docs(t))
 
 
-_EXT = "([' c ','FULL AND OPEN','cdo',''])[o_orderkey%4+1]"
+@query("par_competition", _award_sql(**_COMPETITION_SQL))
+def _(t):
+    return W.competition(_award_docs(t))
 
 
-@query("par_competition", f"select o_orderkey award_id, {_EXT} extent, o_orderkey%4 in (0,2) is_sole_source from orders")
+@query("par_risk_indicators", _INDICATORS_SQL)
 def _(t):
-    return I.competition(_award_docs(t))
+    return W.award_indicators(_award_docs(t))
 
 
-@query("par_risk_indicators", "select o_orderkey award_id, 'sole_source' indicator, 'medium' severity from orders where o_orderkey%4 in (0,2) union all select o_orderkey, 'high_value', 'low' from orders where o_orderkey%5<>0 and o_orderkey*10007>10000000 union all select o_orderkey, 'cost_plus', 'low' from orders where o_orderkey%6=0")
+@query("par_award_mentions", _MENTIONS_SQL)
 def _(t):
-    return I.award_indicators(_award_docs(t))
+    return W.award_mentions(_award_docs(t))
 
 
-@query("par_award_mentions", "select o_orderkey award_id, concat('Firm ', o_custkey) as name, 'vendor' as type, 'recipient' as role from orders where o_orderkey%2=0 union all select o_orderkey, o_orderpriority, 'agency', 'awarding_agency' from orders where o_orderkey%2=0 union all select o_orderkey, 'Sub', 'agency', 'awarding_sub_agency' from orders where o_orderkey%2=1")
-def _(t):
-    return I.award_mentions(_award_docs(t))
+_PARSED_SQL = {"doc_type": "'contract_award'", "source": "'usaspending'"} | {f"{part}_{n}": v for part, names in (("r", _RECIPIENT_SQL), ("d", _DETAIL_SQL), ("p", _PLACE_SQL), ("c", _COMPETITION_SQL)) for n, v in names.items()}
 
 
-@query("par_usaspending", f"select o_orderkey award_id, concat(case when o_orderkey%2=0 then 'Firm ' else 'FIRM ' end, o_custkey) recipient_name, o_orderpriority awarding_agency, o_orderkey%4 in (0,2) is_sole_source, case when o_orderkey%7=0 then 'CAN' else 'USA' end country from orders")
+@query("par_usaspending", f"""select a.*, coalesce(i.risks, []) risks, coalesce(m.found, []) found from ({_award_sql(**_PARSED_SQL)}) a
+ left join (select doc_id, list(concat(type, ':', severity) order by type) risks from ({_INDICATORS_SQL}) group by 1) i using (doc_id) left join (select doc_id, list(concat(role, ':', name) order by role) found from ({_MENTIONS_SQL}) group by 1) m using (doc_id)""")
 def _(t):
-    docs = _award_docs(t)
-    return I.parse_awards(docs).select("award_id", F.col("recipient.name").alias("recipient_name"), "awarding_agency", "is_sole_source", "country")
+    parsed = W.parse_awards(_award_docs(t))
+    fields = [F.col(f"recipient.{n}").alias(f"r_{n}") if n in ("name", "uei", "duns", "parent_name", "parent_uei", "business_types") else F.col(f"recipient.location.{n}").alias(f"r_{n}") for n in _RECIPIENT_SQL]
+    for part, struct, names in (("d", "award_details", _DETAIL_SQL), ("p", "place_of_performance", _PLACE_SQL), ("c", "competition", _COMPETITION_SQL)):
+        fields += [F.col(f"{struct}.{n}").alias(f"{part}_{n}") for n in names]
+    joined = lambda arr, a, b: F.array_sort(F.transform(arr, lambda x: F.concat_ws(":", x[a], x[b])))
+    return parsed.select("doc_id", "doc_type", "source", *fields, joined("risk_indicators", "type", "severity").alias("risks"), joined("entities_found", "role", "name").alias("found"))
 
 
 def _found(patterns):
