@@ -113,6 +113,12 @@ def upsert_sources(current: DataFrame, new: DataFrame) -> DataFrame:
     return current.join(n, "name", "full").select("name", F.coalesce("new_url", "base_url").alias("base_url"), F.coalesce("new_active", "is_active").alias("is_active"))
 
 
+def active_sources(registry: DataFrame, name: str | None = None) -> DataFrame:
+    """The sources that may be fetched, or the one of a name if it may."""
+    active = registry.where(F.coalesce("is_active", F.lit(False)))
+    return active if name is None else active.where(F.col("name") == name)
+
+
 def canonical_json(df: DataFrame) -> Column:
     """Record text with sorted keys, nulls and private keys left out."""
     keys = sorted(c for c in df.columns if not c.startswith("_"))

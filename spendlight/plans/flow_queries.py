@@ -32,11 +32,7 @@ def _pages(df, record):
 
 def _landed(t, df, schema, record, wrap):
     """``df`` landed as files of JSON responses in the shared folder, read back with ``schema``."""
-    from uuid import uuid4
-
-    from spendlight.storage import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(t.spark)}/landed/{uuid4().hex}"
+    path = place_for(t.spark, "landed")
     _pages(df, record).select(F.to_json(wrap(F.col("r"))).alias("value")).write.text(path)
     return L.read_json(t.spark, path, schema, lines=True)
 
@@ -107,12 +103,18 @@ def _(t):
     return L.flatten_doj(raw).select("uuid", "title", "component", F.size("amounts").alias("amounts"), F.size("districts").alias("districts"))
 
 
-@query("src_oversight", "select cast(p_partkey as varchar) report_id, p_name title, p_size::bigint monetary_findings from part")
+@query("src_oversight", "select cast(p_partkey as varchar) report_id, p_name title, p_brand agency, p_type report_type, '2024-02-03' published_date, concat('/r/', p_partkey) url, concat('audit of ', p_name) summary, concat('R-', p_partkey) report_number, p_partkey%7 recommendations_count, p_size::bigint monetary_findings from part")
 def _(t):
-    rec = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_size").alias("monetary_findings"))
+    k = F.col("p_partkey")
+    rec = F.struct(
+        k.cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("agency"), F.col("p_type").alias("report_type"), F.lit("2024-02-03").alias("published_date"), F.concat(F.lit("/r/"), k).alias("url"),
+        F.concat(F.lit("audit of "), "p_name").alias("summary"), F.concat(F.lit("R-"), k).alias("report_number"), (k % 7).alias("recommendations_count"), F.col("p_size").alias("monetary_findings"),
+    )
     bodies = _pages(t("part"), rec)
     value = F.when(F.col("page") % 3 == 1, F.to_json("r")).otherwise(F.to_json(F.struct(F.col("r").alias("results"), F.size("r").alias("total"))))
-    return L.flatten_oversight(bodies.select(value.alias("value"))).select("report_id", "title", "monetary_findings")
+    path = place_for(t.spark, "landed")
+    bodies.select(value.alias("value")).write.text(path)
+    return L.flatten_oversight(t.spark.read.text(path))
 
 
 @query("src_fec_committee", "select cast(s_suppkey as varchar) committee_id, s_name as name, 'N' committee_type, 'U' designation, null::varchar organization_type, cast(s_nationkey as varchar) state, 'P' party, concat('T ',s_name) treasurer_name, '2001-02-03' first_file_date, [2020, 2022] cycles, case when s_suppkey%2=0 then [concat('P',s_suppkey)] end sponsor_candidate_ids from supplier")
@@ -126,26 +128,56 @@ def _(t):
 
 
 def _receipts(t):
-    rec = F.struct(F.col("o_orderkey").cast("string").alias("sub_id"), F.concat(F.lit("Donor "), "o_custkey").alias("contributor_name"), F.round("o_totalprice").cast("long").cast("string").alias("contribution_receipt_amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("contribution_receipt_date"), F.struct(F.col("o_orderpriority").alias("name")).alias("committee"))
+    k = F.col("o_orderkey")
+    rec = F.struct(
+        k.cast("string").alias("sub_id"), F.concat(F.lit("C"), k % 13).alias("committee_id"), F.concat(F.lit("Donor "), "o_custkey").alias("contributor_name"), F.when(k % 3 != 0, F.concat(F.lit("Works "), k % 5)).alias("contributor_employer"), F.lit("clerk").alias("contributor_occupation"),
+        F.lit("Reston").alias("contributor_city"), F.lit("VA").alias("contributor_state"), F.round("o_totalprice").cast("long").cast("string").alias("contribution_receipt_amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("contribution_receipt_date"),
+        F.col("o_orderstatus").alias("memo_text"), F.lit("11AI").alias("line_number"), F.struct(F.col("o_orderpriority").alias("name")).alias("committee"),
+    )
     return L.flatten_fec_receipt(_landed(t, t("orders"), L.FEC_SCHEMA["receipt"], rec, lambda r: F.struct(r.alias("results"))))
 
 
-_REC = "select cast(o_orderkey as varchar) sub_id, concat('Donor ',o_custkey) contributor_name, strftime(o_orderdate,'%Y-%m-%d') contribution_receipt_date, o_orderpriority committee_name from orders"
+_REC = """select cast(o_orderkey as varchar) sub_id, concat('C', o_orderkey%13) committee_id, concat('Donor ',o_custkey) contributor_name, case when o_orderkey%3<>0 then concat('Works ', o_orderkey%5) end contributor_employer, 'clerk' contributor_occupation, 'Reston' contributor_city, 'VA' contributor_state,
+ cast(cast(round(o_totalprice) as bigint) as varchar) contribution_receipt_amount, strftime(o_orderdate,'%Y-%m-%d') contribution_receipt_date, o_orderstatus memo_text, '11AI' line_number, o_orderpriority committee_name from orders"""
 
 
 @query("src_fec_receipt", _REC)
 def _(t):
-    return _receipts(t).select("sub_id", "contributor_name", "contribution_receipt_date", "committee_name")
+    return _receipts(t)
 
 
-@query("src_fec_filter", f"{_REC} where o_totalprice >= 200000 and o_orderdate >= timestamp '1995-01-01' and contains(lower(concat('Donor ',o_custkey)), 'donor 1')")
+@query("src_fec_filter", f"{_REC} where o_totalprice >= 200000 and o_orderdate >= timestamp '1995-01-01' and contains(lower(concat('Donor ',o_custkey)), 'donor 1') and o_orderkey%3<>0 and o_orderkey%5=2")
 def _(t):
-    return L.fec_filter(_receipts(t), contributor="DONOR 1", least=200000.0, since="1995-01-01").select("sub_id", "contributor_name", "contribution_receipt_date", "committee_name")
+    return L.fec_filter(_receipts(t), contributor="DONOR 1", employer="works 2", least=200000.0, since="1995-01-01")
+
+
+@query("src_fec_committees_filter", "select cast(s_suppkey as varchar) committee_id, concat('T', s_suppkey%4) committee_type, concat(2000+s_suppkey%9, '-01-01') first_file_date from supplier where s_suppkey%4=1 and 2000+s_suppkey%9>=2004")
+def _(t):
+    k = F.col("s_suppkey")
+    committees = t("supplier").select(k.cast("string").alias("committee_id"), F.concat(F.lit("T"), k % 4).alias("committee_type"), F.concat(2000 + k % 9, F.lit("-01-01")).alias("first_file_date"))
+    return L.fec_filter(committees, committee_type="T1", since="2004-01-01", until="2005-01-01")
 
 
 @query("src_fec_generic", "select event_id, props as record from events")
 def _(t):
-    return t("events").select("event_id", F.col("props").alias("record"))
+    return L.pass_through(t("events").select("event_id", "props"), "event_id")
+
+
+@query("src_landed_stream", "select 'award' kind, l_returnflag code, count(*) n from lineitem group by 1,2 union all select 'corrupt', left(o_orderstatus, 1), count(*) from orders where o_orderkey%10=3 group by 1,2")
+def _(t):
+    # responses of one record each, and lines that were cut off, which are kept beside them
+    rec = F.struct(F.col("l_returnflag").alias("Award Type"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("Award ID"))
+    lines = t("lineitem").select(F.to_json(F.struct(F.array(rec).alias("results"))).alias("value"))
+    cut_off = t("orders").where("o_orderkey % 10 = 3").select(F.concat("o_orderstatus", F.lit('{"results": [{"Award')).alias("value"))
+    path = place_for(t.spark, "landed")
+    lines.unionByName(cut_off).write.text(path)
+
+    def build(raw):
+        good = L.flatten_usaspending(raw.where(F.col(L.CORRUPT).isNull())).select(F.lit("award").alias("kind"), F.col("award_type").alias("code"))
+        return good.unionByName(raw.where(F.col(L.CORRUPT).isNotNull()).select(F.lit("corrupt").alias("kind"), F.substring(L.CORRUPT, 1, 1).alias("code")))
+
+    out = S.replay(t.spark, path, build, "landed", opened=lambda spark, source: L.open_landed(spark, source, L.USASPENDING_SCHEMA))
+    return out.groupBy("kind", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_canonical_url", "select o_orderkey, case o_orderkey%4 when 0 then concat('https://x.gov/api/v2/awards/',o_orderkey,'/') when 1 then concat('https://x.gov/press-release/',o_orderkey) when 2 then 'https://x.gov/n/1' else 'http://y/2' end url from orders")
@@ -205,6 +237,13 @@ def _(t):
     return I.upsert_sources(old, new)
 
 
+@query("src_registry_active", "select n_name as name, 'https://' || n_nationkey base_url, true is_active from nation where n_nationkey%2=0 and n_nationkey%5<>0")
+def _(t):
+    k = F.col("n_nationkey")
+    registry = t("nation").select(F.col("n_name").alias("name"), F.concat(F.lit("https://"), k).alias("base_url"), F.when(k % 5 != 0, k % 2 == 0).alias("is_active"))
+    return I.active_sources(registry)
+
+
 @query("sink_tables", "select o_orderkey, o_orderpriority, 1 as change from orders where o_orderkey%3<>0 union all select o_orderkey, o_orderstatus, 2 from orders where o_orderkey%3=0 union all select -o_orderkey-1, 'added', 2 from orders where o_orderkey%5=0")
 def _(t):
     orders = t("orders")
@@ -397,15 +436,18 @@ def _found(patterns):
 
 _VALUES = f"list_transform(list_zip(regexp_extract_all(w, '{X.AMOUNT}', 1), regexp_extract_all(w, '{X.AMOUNT}', 2)), lambda z: try_cast(replace(z[1], ',', '') as double) * case lower(z[2]) when 'billion' then 1e9 when 'million' then 1e6 when 'thousand' then 1e3 else 1 end)"
 _DOJ = f"""with {B.RELEASES}, p as (select *, concat(title, chr(10), chr(10), body) w from releases)
-select doc_id, 'press_release' doc_type, 'doj' source, title, '2024-01-02' date, source component, ['fraud'] topics, list_sort(list_distinct({_VALUES}), 'DESC') settlement_amounts,
+select doc_id, 'press_release' doc_type, 'doj' source, title, '2024-01-02' date, source component, ['<b>procurement</b> fraud', 'tax'] topics, list_sort(list_distinct({_VALUES}), 'DESC') settlement_amounts,
  list_sort(list_distinct(regexp_extract_all(w, '{X.CASE_NUMBER}', 1))) case_numbers, list_sort(list_distinct(regexp_extract_all(w, '{X.DISTRICT}', 1))) districts,
- {_found(X.STATUTES)} statutes_cited, {_found(X.ACTIONS)} enforcement_actions, len({_found(X.STATUTES)}) + len({_found(X.ACTIONS)}) > 0 fraud_relevant from p"""
+ {_found(X.STATUTES)} statutes_cited, {_found(X.ACTIONS)} enforcement_actions, len({_found(X.STATUTES)}) + len({_found(X.ACTIONS)}) > 0 fraud_relevant,
+ concat('topic:procurement fraud;doj_component:', source, ';defendant:', regexp_extract(title, '^(.+?) Agrees', 1)) mentions from p"""
 
 
 @query("par_doj", _DOJ)
 def _(t):
-    docs = B.releases(t).select("doc_id", "title", "body", F.lit("2024-01-02").alias("date"), F.col("source").alias("component"), F.array(F.lit("fraud")).alias("topics"))
-    return P.parse_releases(docs)
+    topics = F.array(F.lit("<b>procurement</b> fraud"), F.lit("tax"))
+    docs = B.releases(t).select("doc_id", "title", "body", F.lit("2024-01-02").alias("date"), F.col("source").alias("component"), topics.alias("topics"))
+    parsed = P.parse_releases(docs)
+    return parsed.withColumn("mentions", F.array_join(F.transform("entities_found", lambda x: F.concat_ws(":", x["role"], x["name"])), ";")).drop("entities_found")
 
 
 def _relevance_sql(words, text):
@@ -413,11 +455,12 @@ def _relevance_sql(words, text):
     return f"{found} matches, len({found}) > 0 relevant, least(len({found})/3, 1.0) score"
 
 
-@query("par_sec", f"select o_orderkey doc_id, 'sec_filing' doc_type, 'sec_edgar' source, entity_name as name, cik, accession_number, form_type, file_date, document_url, description, 1 mentions, {_relevance_sql(X.GOVERNMENT_KEYWORDS, 'concat(entity_name, chr(32), description)')} from (select *, cast(replace(accession_number, '0001-', '') as bigint) o_orderkey from ({_SEC}))")
+@query("par_sec", f"select o_orderkey doc_id, 'sec_filing' doc_type, 'sec_edgar' source, entity_name as name, cik, concat('sic', o_orderkey%9) sic_code, file_number, accession_number, form_type, file_date, period_of_report, document_url, description, 1 mentions, {_relevance_sql(X.GOVERNMENT_KEYWORDS, 'concat(entity_name, chr(32), description)')} from (select *, cast(replace(accession_number, '0001-', '') as bigint) o_orderkey from ({_SEC}))")
 def _(t):
     docs = _sec(t).withColumn("doc_id", F.replace("accession_number", F.lit("0001-"), F.lit("")).cast("long"))
+    docs = docs.withColumn("sic_code", F.concat(F.lit("sic"), F.col("doc_id") % 9))
     r = P.parse_filings(docs)
-    return r.select("doc_id", "doc_type", "source", "entity.name", "entity.cik", *(f"filing_details.{c}" for c in ("accession_number", "form_type", "file_date", "document_url", "description")), F.size("entities_found").alias("mentions"), "gov_contract_relevance.*")
+    return r.select("doc_id", "doc_type", "source", "entity.name", "entity.cik", "entity.sic_code", "entity.file_number", *(f"filing_details.{c}" for c in ("accession_number", "form_type", "file_date", "period_of_report", "document_url", "description")), F.size("entities_found").alias("mentions"), "gov_contract_relevance.*")
 
 
 @query("par_ig", f"with {B.RELEASES}, p as (select *, concat(title, chr(10), body) w from releases) select doc_id, 'ig_report' doc_type, 'oversight_gov' source, title, source agency, cast(doc_id as varchar) report_number, body summary, 0 monetary_findings, {_VALUES} amounts, 1 mentions, {_relevance_sql(X.PROCUREMENT_KEYWORDS, 'w')} from p")
@@ -441,11 +484,7 @@ def _envelopes(t):
 
 def _source(t, df, files=None):
     """``df`` landed as parquet files for a stream to read."""
-    from uuid import uuid4
-
-    from spendlight.storage import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(t.spark)}/stream-source-{uuid4().hex}"
+    path = place_for(t.spark, "stream-source")
     (df.repartition(files) if files else df).write.parquet(path)
     return path
 

@@ -176,7 +176,7 @@ def _(t):
 
 @query("evi_awards", f"with {B.AWARDS} select award_id, vendor_id, awarding_agency, extent_competed, award_amount from awards where extent_competed='C'")
 def _(t):
-    return B.awards(t).where("extent_competed = 'C'").select("award_id", "vendor_id", "awarding_agency", "extent_competed", "award_amount")
+    return V.awards_of(B.awards(t), "C")
 
 
 @query("evi_hash_map", f"with {B.ARTIFACTS} select artifact_id, content_hash from artifacts where artifact_id%5<>0")

@@ -114,11 +114,39 @@ def form_filter(df: DataFrame, forms=FORMS) -> DataFrame:
     return df.where(F.col("form_type").isin(*forms))
 
 
-def fec_filter(df: DataFrame, contributor: str | None = None, least: float | None = None, since=None, until=None) -> DataFrame:
-    out = df if contributor is None else df.where(F.contains(F.lower("contributor_name"), F.lit(contributor.lower())))
-    out = out if least is None else out.where(F.col("contribution_receipt_amount").try_cast("double") >= least)
-    out = out if since is None else out.where(F.col("contribution_receipt_date") >= since)
-    return out if until is None else out.where(F.col("contribution_receipt_date") <= until)
+def fec_filter(df: DataFrame, committee_type: str | None = None, contributor: str | None = None, employer: str | None = None, least: float | None = None, since=None, until=None) -> DataFrame:
+    """Committees of one type from a first filing on, or receipts by contributor, employer, amount and dates; names match in part and in any case."""
+    part = lambda name, value: F.contains(F.lower(name), F.lit(value.lower()))
+    date = "contribution_receipt_date" if "contribution_receipt_date" in df.columns else "first_file_date"
+    given = [
+        committee_type and (F.col("committee_type") == committee_type),
+        contributor and part("contributor_name", contributor),
+        employer and part("contributor_employer", employer),
+        None if least is None else F.col("contribution_receipt_amount").try_cast("double") >= least,
+        None if since is None else F.col(date) >= since,
+        # committees have a first date only
+        None if until is None or date == "first_file_date" else F.col(date) <= until,
+    ]
+    for condition in given:
+        df = df if condition is None else df.where(condition)
+    return df
+
+
+def pass_through(df: DataFrame, *keys: str) -> DataFrame:
+    """Records of an endpoint that has no flattener: their keys, and the record as it is, as JSON text."""
+    others = [c for c in df.columns if c not in keys]
+    return df.select(*keys, (F.col(others[0]) if len(others) == 1 and dict(df.dtypes)[others[0]] == "string" else F.to_json(F.struct(*others))).alias("record"))
+
+
+CORRUPT = "corrupt__"
+
+
+def open_landed(spark: SparkSession, folder: str, schema: str, files: int | None = None) -> DataFrame:
+    """New files of landed responses (one a line) as a stream; a line that is no JSON is kept in CORRUPT, its fields null."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files) if files else spark.readStream
+    # as text first: a stream of JSON files can't be asked for its corrupt lines alone
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return reader.text(folder).select(F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("r")).select("r.*")
 
 
 def fraud_topic(text: Column) -> Column:

@@ -65,17 +65,17 @@ def _opened(spark, source: str, schema, files: int | None) -> DataFrame:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
-def replay(spark, source: str, build, name: str, keys: tuple[str, ...] = (), order: str | None = None, schema=None, files: int | None = None, slices=()) -> DataFrame:
+def replay(spark, source: str, build, name: str, keys: tuple[str, ...] = (), order: str | None = None, schema=None, files: int | None = None, slices=(), opened=None) -> DataFrame:
     """Runs ``build`` over the parquet files under ``source`` as a stream to its end and returns the result.
 
     The result goes to a table in the shared checkpoint folder, so it survives lost executors. With ``keys`` the stream
     runs in update mode, and each micro-batch replaces the rows of its keys in a keyed table (with ``order``: those
-    that aren't newer); nothing else is written again. ``slices`` are landed one after the other, with a run of the stream after each.
+    that aren't newer); nothing else is written again. ``opened(spark, source)`` opens other files. ``slices`` are landed one after the other, with a run of the stream after each.
     """
     home = _home(spark, name)
 
     def run() -> StructType:
-        stream = build(_opened(spark, source, schema, files))
+        stream = build(opened(spark, source) if opened else _opened(spark, source, schema, files))
         writer = stream.writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
         if keys:
             table = _keyed(stream.schema)
