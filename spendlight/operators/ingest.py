@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections import deque
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from spendlight.storage import store
 
 
 def content_hash(content) -> Column:
@@ -44,24 +47,111 @@ def json_path(source: Column, digest: Column) -> Column:
 
 
 def first_in_ttl(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """The events whose key wasn't accepted within the ttl before; a task walks its keys' sorted times and holds one at a time."""
+    """``(idempotency_key, event_id)`` of the events whose key wasn't accepted within the ttl before; each one accepted arms the ttl anew.
+
+    Events without a time are all accepted; a null key is a key. Events lie in range cells of key and time, so
+    a key with very many of them lies in several. For each cell of such a key it is worked out when it is left after
+    being entered with any last accepted time; these steps are chained over the key's cells, and then every cell is walked by itself.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    times = events.select("idempotency_key", at, "event_id").repartition("idempotency_key").sortWithinPartitions("idempotency_key", "at", "event_id")
+    key = F.concat(F.when(F.col("idempotency_key").isNull(), "-").otherwise("+"), F.coalesce(F.col("idempotency_key").cast("string"), F.lit(""))).alias("key")
+    slim = events.select(key, at, "idempotency_key", "event_id")
+    dealt = store(slim.repartitionByRange("key", "at", "event_id").withColumn("cell", F.spark_partition_id()))
+    timed, ttl = dealt.where("at is not null"), ttl_seconds * 1_000_000
+    # a border between two cells is crossed by one key at most: this table has fewer rows than there are cells
+    split = timed.groupBy("key").agg(F.min("cell").alias("low"), F.max("cell").alias("high")).where("low < high").select("key")
+    entered = _entries(_steps(timed.join(F.broadcast(split), "key", "left_semi"), ttl))
+    rows = timed.join(F.broadcast(entered), ["key", "cell"], "left").repartition("key", "cell").sortWithinPartitions("key", "cell", "at", "event_id")
 
     def run(batches):
-        key, last = object(), None
+        cell, last = None, None
         for batch in batches:
             kept = []
-            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if k != key:
-                    key, last = k, None
-                if last is None or (t is not None and t >= last + ttl_seconds * 1_000_000):
+            for i, (k, c, t, entry) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True)):
+                if (k, c) != cell:
+                    cell, last = (k, c), entry
+                if last is None or t >= last + ttl:
                     kept.append(i)
                     last = t
             yield batch.take(pa.array(kept, pa.int64())).select(["idempotency_key", "event_id"])
 
-    kinds = dict(times.dtypes)
-    return times.mapInArrow(run, f"idempotency_key {kinds['idempotency_key']}, event_id {kinds['event_id']}")
+    kinds = dict(slim.dtypes)
+    taken = rows.select("key", "cell", "at", "entry", "idempotency_key", "event_id").mapInArrow(run, f"idempotency_key {kinds['idempotency_key']}, event_id {kinds['event_id']}")
+    return taken.unionByName(dealt.where("at is null").select("idempotency_key", "event_id"))
+
+
+class TtlSteps:
+    """The last accepted time that a cell is left with, as a step function of that it is entered with."""
+
+    def __init__(self, first: int, ttl: int):
+        self.first, self.ttl, self.bound = first, ttl, None
+        # open ways through the cell: their last accepted time, ascending, and the entries that lead to it
+        self.ways: deque[tuple[int, list[int]]] = deque()
+
+    def add(self, t: int) -> None:
+        joined: list[int] = []
+        while self.ways and self.ways[0][0] <= t - self.ttl:
+            more = self.ways.popleft()[1]
+            joined, more = (joined, more) if len(joined) >= len(more) else (more, joined)
+            joined += more
+        # entries up to here haven't met an event that they let in yet; none is later than the cell's first event
+        if self.bound is None or self.bound < min(t - self.ttl, self.first):
+            self.bound = t - self.ttl
+            joined.append(self.bound)
+        if joined:
+            self.ways.append((t, joined))
+
+    def steps(self) -> list[tuple[int, int]]:
+        """``(entry, exit)``: entries up to the first and above the one before leave with the second; entries above the last leave as they came."""
+        out: list[tuple[int, int]] = []
+        for entry, left in sorted((entry, last) for last, entries in self.ways for entry in entries):
+            if out and out[-1][1] == left:
+                out.pop()
+            out.append((entry, left))
+        return out
+
+
+def _steps(timed: DataFrame, ttl: int) -> DataFrame:
+    """``(key, cell, steps)`` for each cell of ``timed``."""
+    kind = pa.list_(pa.struct([("entry", pa.int64()), ("left", pa.int64())]))
+
+    def run(batches):
+        cell, steps = None, None
+
+        def row():
+            found = [{"entry": entry, "left": left} for entry, left in steps.steps()]
+            return pa.RecordBatch.from_arrays([pa.array([cell[0]]), pa.array([cell[1]], pa.int32()), pa.array([found], kind)], ["key", "cell", "steps"])
+
+        for batch in batches:
+            for k, c, t in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                if (k, c) != cell:
+                    if cell is not None:
+                        yield row()
+                    cell, steps = (k, c), TtlSteps(t, ttl)
+                steps.add(t)
+        if cell is not None:
+            yield row()
+
+    sorted_ = timed.select("key", "cell", "at").distinct().repartition("key", "cell").sortWithinPartitions("key", "cell", "at")
+    return sorted_.mapInArrow(run, "key string, cell int, steps array<struct<entry: long, left: long>>")
+
+
+def _entries(steps: DataFrame) -> DataFrame:
+    """``(key, cell, entry)``: the last accepted time that each cell is entered with, null in a key's first cell."""
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            entries = []
+            for k, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, None
+                entries.append(last)
+                at = 0 if last is None else bisect_left(found, last, key=lambda s: s["entry"])
+                last = found[at]["left"] if at < len(found) else last
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.int64())], ["key", "cell", "entry"])
+
+    return store(steps.repartition("key").sortWithinPartitions("key", "cell").mapInArrow(run, "key string, cell int, entry long"))
 
 
 def _walk(value, depth: int = 0) -> list[str]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spendlight.operators.ranking import median
+
 # fixed values: price per thousand tokens by provider, per token by model
 PROVIDER_RATES = {"vertex": 0.000125, "openrouter": 0.0002, "vllm": 0.0}
 OTHER_RATE = 0.0002
@@ -68,7 +70,8 @@ def block_rate(events: DataFrame) -> DataFrame:
 def median_latency(cases: DataFrame, packs: DataFrame) -> DataFrame:
     """Median seconds from case to pack; negative ones are left out."""
     seconds = F.unix_seconds(F.col("generated_at").cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
-    return cases.join(packs, "case_id").select(seconds.alias("s")).where("s >= 0").agg(F.median("s").alias("median_seconds"))
+    waited = cases.join(packs, "case_id").select(seconds.alias("s")).where("s >= 0")
+    return cases.sparkSession.createDataFrame([(median(waited, "s"),)], "median_seconds double")
 
 
 def totals(cases: DataFrame, artifacts: DataFrame, sources: DataFrame) -> DataFrame:

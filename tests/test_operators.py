@@ -123,6 +123,81 @@ def test_ttl_rearms(spark):
     assert sorted(r["event_id"] for r in I.first_in_ttl(df).collect()) == [1, 3, 4]
 
 
+def test_ttl_of_a_key_over_many_cells(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, at = [], {}
+    for i in range(4000):
+        key = rng.choice(["hot"] * 8 + ["a", "b", None])
+        at[key] = at.get(key, 0) + rng.choice((0, 1, 5, 40, 400))
+        rows.append((i, key, None if rng.random() < 0.01 else at[key]))
+    df = spark.createDataFrame(rows, "event_id long, idempotency_key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want, last = set(), {}
+    for i, key, t in sorted(rows, key=lambda r: (r[1] or "", r[2] is not None, r[2] or 0, r[0])):
+        if t is None:
+            want.add((key, i))
+        elif key not in last or t >= last[key] + 300:
+            want.add((key, i))
+            last[key] = t
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {tuple(r) for r in I.first_in_ttl(df, 300).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert I.first_in_ttl(df.where("false")).collect() == []
+
+
+def test_steps_through_a_cell():
+    import random
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        times = sorted(rng.randrange(1000, 1200) for _ in range(rng.randrange(1, 60)))
+        ttl = rng.choice((3, 10, 50))
+        cell = I.TtlSteps(times[0], ttl)
+        for t in times:
+            cell.add(t)
+        steps = cell.steps()
+        for entry in range(times[0] - 2 * ttl, times[0] + 1):
+            last = entry
+            for t in times:
+                last = t if t >= last + ttl else last
+            assert next((left for bound, left in steps if entry <= bound), entry) == last
+
+
+def test_median_by_narrowing(spark):
+    import statistics
+
+    from spendlight.operators import ranking
+
+    for values in ([5], [1, 2], [7, 7, 7, 9], [3, 3, 4, 4], [0, 10**15], [-5, 8, 100, 10**12, 3], list(range(-3000, 9000, 7)), [None, 4, None, 6]):
+        df = spark.createDataFrame([(v,) for v in values], "x long")
+        assert ranking.median(df, "x") == statistics.median(v for v in values if v is not None)
+    assert ranking.median(spark.createDataFrame([], "x long"), "x") is None
+
+
+def test_hubs_circles_and_budgets(spark):
+    edges = [("hub", f"n{i:04d}") for i in range(3000)] + [("seed", "hub"), ("hub", "hub"), ("n0001", "far"), ("seed", "z"), ("z", "w")]
+    df = spark.createDataFrame([(a, b, "r", 1.0) for a, b in edges], "source string, target string, rel_type string, confidence double")
+    seeds = spark.createDataFrame([("seed",), ("alone",)], "id string")
+    nodes = G.neighborhood(seeds, df, depth=2, max_nodes=50)
+    got = sorted((r["seed"], r["depth"], r["node"]) for r in nodes.collect())
+    want = [("alone", 0, "alone"), ("seed", 0, "seed"), ("seed", 1, "hub"), ("seed", 1, "z")] + [("seed", 2, f"n{i:04d}") for i in range(47)]
+    assert got == sorted(want)
+    seen = G.neighborhood_edges(nodes, df, depth=2)
+    assert seen.groupBy("node").count().orderBy("node").collect() == [("hub", 3002), ("seed", 2), ("z", 2)]
+    parents = spark.createDataFrame([("a", "top"), ("b", "a"), ("b", "c"), ("c", "top"), ("x", "y"), ("y", "x"), ("leaf", "x"), ("d", "c")], "child string, parent string")
+    awards = spark.createDataFrame([("b", 5), ("b", 7), ("leaf", 100), ("top", 1000), (None, 3)], "vendor_id string, cents long")
+    assert {r["root"]: tuple(r)[1:] for r in G.owner_awards(parents, awards).collect()} == {"top": (2, 2, 2, 12), None: (1, None, 1, 100)}
+    bids = spark.createDataFrame([("w1", "f1"), ("w1", "f2"), ("w1", "f2"), ("w2", "f1"), ("w3", "f1"), ("w3", "f3"), (None, "f1")], "award_id string, firm string")
+    owns = spark.createDataFrame([("o", "f1"), ("o", "f2"), ("p", "f1"), ("p", "f3"), ("q", "f9"), (None, "f1")], "owner string, firm string")
+    assert sorted(tuple(r) for r in G.common_owner(bids, owns).collect()) == [("w1", "o", 2), ("w3", "p", 2)]
+
+
 def test_whole_texts_are_normalized(spark, tmp_path):
     import re
     import unicodedata
