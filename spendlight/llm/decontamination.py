@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spendlight.llm.tables import blocks, columns, table
+from spendlight.llm.tables import blocks, table, text_key, without_texts
 from spendlight.storage import cut
 
 BUCKETS, SKETCH, RANK = 8192, 127, 96
@@ -339,10 +339,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = cut(contaminated(docs, benchmark).select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.hint("merge").join(found.hint("merge"), "doc_id", "left_anti").select(columns(docs))
+    """``docs`` without the rows whose text holds a benchmark item, each row by its own text."""
+    named = docs.select(text_key().alias("doc_id"), "text")
+    return without_texts(docs, cut(contaminated(named, benchmark).select("doc_id").distinct()), "doc_id")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and benchmark item that it holds: doc_id, item_id, cosine, lcs_share, answer_share, first_word."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,8 +9,8 @@ removed from each page of the host. Pages that are equal copies count once, so t
 page doesn't make its own text unimportant.
 
 Elements that never hold main text are left out whatever their importance: scripts, styles, forms,
-navigation, site headers and footers, asides, hidden elements, and elements whose class, id or role names a
-menu, sidebar, notice, advert or reader comments. Where a page has an article (or main) element, only what is inside counts.
+navigation, site headers and footers, asides, hidden elements, and elements whose class, id or role is the name of a
+menu, sidebar, notice, advert or reader comments (outside an article also as part of a hyphenated name, for names that mean nothing else). Where a page has an article (or main) element, only what is inside counts.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by one line feed. Nulls: a null html gives an empty text; the pages of a null or blank url
@@ -47,6 +47,8 @@ NOISE_NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar rail widget footer masthead share sharing social related recommended comment comments disqus reply replies "
     "subscribe subscription newsletter login signup search pagination pager toolbar skip hidden".split()
 )
+# of these, names that also mean it as a part of a longer name, such as site-footer (overflow-hidden isn't hidden)
+NOISE_PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies newsletter pagination pager".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ARTICLE_NAMES = frozenset("article post entry content story main".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "legend", "summary"}
@@ -54,28 +56,34 @@ SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# one attribute after another, each with its whole name and value
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _look(name: str, rest: str) -> tuple[bool, str]:
-    """Whether an element is noise by itself, and its class as part of a style node."""
+def _look(name: str, rest: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is noise by itself, and its class as part of a style node.
+
+    Inside an article only whole names count, outside also the parts of hyphenated ones.
+    """
     noise, style = name in NOISE, ""
     if rest and ("=" in rest or "hidden" in rest):
         names: set[str] = set()
         for key, value in _ATTRIBUTE.findall(rest):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names.update(_PARTS.split(value))
+                names.update(value.split())
                 if key == "class":
                     style = "." + ".".join(sorted(value.split()))
             elif key == "role":
                 noise = noise or value in NOISE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 noise = True
-        if names & NOISE_NAMES and name not in ("body", "html", "article", "main") or (name == "article" and names & {"comment", "reply"}):
+        parts = {part for n in names for part in _PARTS.split(n)}
+        named = names & NOISE_NAMES or (not inside and parts & NOISE_PARTS)
+        if named and name not in ("body", "html", "article", "main") or (name == "article" and parts & {"comment", "reply"}):
             noise = True
-        if "header" in names and not names & ARTICLE_NAMES and name in ("div", "section"):
+        if "header" in parts and not inside and not parts & ARTICLE_NAMES and name in ("div", "section"):
             noise = True
     return noise, style
 
@@ -177,7 +185,7 @@ def parse(page: str | None) -> list[tuple[int, str, int]]:
                     text.append(" ")
             continue
         block = name in BLOCKS
-        noise, style = _look(name, rest)
+        noise, style = _look(name, rest, stack[-1][3])
         if not block and not noise:
             stack[-1][4] = _hash(f"{stack[-1][4]},{name}")
             continue

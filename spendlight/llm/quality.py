@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlight.llm.tables import held_out, table
+from spendlight.llm.tables import held_out, table, text_key, without_texts
 from spendlight.storage import cut
 
 NAMES = (
@@ -72,17 +72,17 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """``(doc_id, x array<float>)``, one row per document."""
+    """``(doc_id, key, x array<float>)``, one row per document; key names its text."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             x = np.array([statistics(t) for t in texts], np.float32).reshape(-1)
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(x))], ["doc_id", "key", "x"])
 
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, x array<float>")
+    slim = docs.select("doc_id", text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, key string, x array<float>")
 
 
 def class_sums(labelled: DataFrame) -> DataFrame:
@@ -144,19 +144,29 @@ def with_labels(marked: DataFrame, labels: DataFrame, column: str, fold: int, fo
     return marked.hint("merge").join(own.hint("merge"), "doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every document."""
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, key, score)`` for every document; key names its text."""
     marked = cut(document_statistics(docs))
     model = fit(with_labels(marked, labels, "quality", 1, 3))
 
     def run(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(x, model))], ["doc_id", "score"])
+            x = batch.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(x, model))], ["doc_id", "key", "score"])
+
+    return marked.mapInArrow(run, f"doc_id {dict(marked.dtypes)['doc_id']}, key string, score double")
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every document."""
+    return scores(docs, labels).select("doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
 
-    scored = marked.mapInArrow(run, f"doc_id {dict(marked.dtypes)['doc_id']}, score double")
-    return scored.select("doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text scores under 0.5, each row by its own text."""
+    return without_texts(docs, cut(scores(docs, labels).where("score < 0.5").select("key").distinct()), "key")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score (0 to 1, higher is better), predicted (1 if score >= 0.5)."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -29,6 +29,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key() -> Column:
+    """A digest that names a text; a null text is an empty one."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
+def without_texts(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose text isn't among ``keys``, whatever their doc_id is."""
+    own = fresh(docs, key)
+    found = keys.select(F.col(key).alias(own)).distinct()
+    return docs.withColumn(own, text_key()).hint("merge").join(found.hint("merge"), own, "left_anti").select(columns(docs))
+
+
 def held_out(fold: int, folds: int):
     """Whether crc32 of doc_id as text leaves ``fold`` when divided by ``folds`` (null ids: not held out)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
