@@ -11,10 +11,8 @@ from spendlight.storage import cut
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (a null doc_id has no score to go by and stays)."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = cut(scored.where("predicted = 0").select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.hint("merge").join(rejected.hint("merge"), "doc_id", "left_anti").select(columns(docs))
+    """Documents that the quality classifier doesn't reject, each row by its own text."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +27,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark`` (null ids stay)."""
+    """Documents that hold no item of ``benchmark``, each row by its own text."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
