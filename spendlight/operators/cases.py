@@ -82,7 +82,16 @@ def summary(profiles: DataFrame, signals: DataFrame) -> DataFrame:
     return joined.select("case_id", F.concat(F.lit("Investigative Case Pack: "), name).alias("title"), F.concat_ws(" ", F.concat(F.lit("Investigation of "), name, F.lit(".")), found, F.lit(CLOSING)).alias("summary"))
 
 
-def evidence_summary(claims: DataFrame) -> DataFrame:
+def evidence_summary(claims: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Per case the claims by kind, their citations, and the distinct artifacts and sources that they cite."""
+    cited = claims.select("case_id", F.explode("citation_ids").alias("artifact_id")).distinct()
+    known = cited.hint("merge").join(artifacts.select("artifact_id", "source").hint("merge"), "artifact_id", "left")
+    met = known.groupBy("case_id").agg(F.count(F.lit(1)).alias("artifacts"), F.countDistinct("source").alias("sources"))
+    zero = F.lit(0).cast("long")
+    return _by_kind(claims).hint("merge").join(met.hint("merge"), "case_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("artifacts", "sources")})
+
+
+def _by_kind(claims: DataFrame) -> DataFrame:
     kinds = ("finding", "risk_signal", "hypothesis")
     return claims.groupBy("case_id").agg(F.count(F.lit(1)).alias("claims"), *(F.count_if(F.col("claim_type") == k).alias(k) for k in kinds), F.sum(F.size("citation_ids")).alias("citations"))
 

@@ -48,6 +48,11 @@ def privacy_report(docs: DataFrame) -> DataFrame:
     return long.groupBy("source", F.col("h.kind").alias("kind")).agg(F.count(F.lit(1)).alias("docs"), F.sum("h.n").alias("hits"))
 
 
+def masked_copy(docs: DataFrame) -> DataFrame:
+    """``docs`` with numbers and personal addresses masked in title and body."""
+    return docs.select(*(X.mask_mention(F.col(c)).alias(c) if c in ("title", "body") else F.col(c) for c in docs.columns))
+
+
 def screen(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents that may pass, and ``(doc_id, reason)`` of those that may not."""
     reasons = F.array_compact(F.concat(X.screen_input(F.col("body"))["reasons"], F.array(F.when(X.banned_phrase(F.col("body")).isNotNull(), "banned_phrase"), F.when(F.size(X.certainty(F.col("body"))) > 0, "certainty"))))

@@ -78,7 +78,7 @@ def resolve_exact(seeds: DataFrame, entities: DataFrame) -> DataFrame:
 
 def resolve_name(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     own = with_normalized(seeds.select("seed_id", "name"), "name", "canonical_name").select("seed_id", "canonical_name").where("canonical_name <> ''")
-    met = own.join(entities.select("canonical_name", "entity_id"), "canonical_name")
+    met = own.hint("merge").join(entities.select("canonical_name", "entity_id").hint("merge"), "canonical_name")
     return met.groupBy("seed_id").agg(F.min("entity_id").alias("entity_id")).select("seed_id", "entity_id", F.lit(0.95).alias("confidence"), F.lit("canonical_name").alias("method"), F.lit(2).alias("tier"))
 
 
@@ -110,23 +110,26 @@ def resolve(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     tiers = resolve_exact(seeds, entities).unionByName(resolve_name(seeds, entities)).unionByName(resolve_partial(seeds, entities))
     best = tiers.groupBy("seed_id").agg(F.min_by(F.struct("entity_id", "confidence", "method"), "tier").alias("r"))
     named = with_normalized(seeds.select("seed_id", "name"), "name", "canonical")
-    return named.join(best, "seed_id", "left").select(
+    return named.hint("merge").join(best.hint("merge"), "seed_id", "left").select(
         "seed_id", F.coalesce("r.entity_id", F.substring(F.sha2(F.concat(F.lit("vendor|"), "canonical"), 256), 1, 32)).alias("entity_id"), F.coalesce("r.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("r.method", F.lit("new_entity")).alias("method")
     )
 
 
 def create_entities(resolved: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows of the new entities; the raw name is an alias where it differs from the canonical one."""
-    new = resolved.where("method = 'new_entity'").select("seed_id", "entity_id").join(with_normalized(seeds.select("seed_id", "name"), "name", "normal"), "seed_id")
+    new = resolved.where("method = 'new_entity'").select("seed_id", "entity_id").hint("merge").join(with_normalized(seeds.select("seed_id", "name"), "name", "normal").hint("merge"), "seed_id")
     canonical = F.coalesce(F.nullif("normal", F.lit("")), F.upper("name"))
     return new.select("entity_id", F.lit("vendor").alias("entity_type"), canonical.alias("canonical_name"), F.when(canonical != F.col("name"), F.array("name")).otherwise(F.array().cast("array<string>")).alias("aliases"))
 
 
 def apply_hints(resolved: DataFrame, hints: DataFrame) -> DataFrame:
-    """Raises the confidence to that of a better hint, 0.9 at most."""
-    joined = resolved.join(hints.select("seed_id", F.col("confidence").alias("hint")), "seed_id", "left")
+    """Raises the confidence to that of a better hint (seed_id, confidence, aliases), 0.9 at most, and adds its aliases to the seed's own."""
+    none = F.array().cast("array<string>")
+    own = F.coalesce("aliases", none) if "aliases" in resolved.columns else none
+    joined = resolved.withColumn("own", own).join(hints.select("seed_id", F.col("confidence").alias("hint"), F.col("aliases").alias("more")), "seed_id", "left")
     better = F.col("hint") > F.col("confidence")
-    return joined.select("seed_id", "entity_id", F.when(better, F.least("hint", F.lit(0.9))).otherwise(F.col("confidence")).alias("confidence"), "method")
+    aliases = F.when(better, F.array_union("own", F.coalesce("more", none))).otherwise(F.col("own"))
+    return joined.select("seed_id", "entity_id", F.when(better, F.least("hint", F.lit(0.9))).otherwise(F.col("confidence")).alias("confidence"), "method", F.array_sort(aliases).alias("aliases"))
 
 
 def related(primaries: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:

@@ -12,10 +12,13 @@ from spendlight.operators.ranking import ranked
 GATES = [("grounding_rate", ">=", 0.95), ("citation_validity", ">=", 1.0), ("hallucination_block_rate", ">=", 0.95), ("retrieval_recall_at_10", ">=", 0.80), ("replay_determinism", "==", 1.0), ("cost_per_case_usd", "<=", 1.0), ("coverage_percent", ">=", 80.0)]
 
 
-def grounding(claims: DataFrame, citations: DataFrame, artifacts: DataFrame) -> DataFrame:
+def grounding(claims: DataFrame, citations: DataFrame, artifacts: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Share of a case's claims that are cited; it passes where all are and no cited artifact is unknown. Of ``cases`` those without claims score 1."""
     cited = citations.groupBy("case_id", "claim_id").agg(F.lit(True).alias("cited"))
-    invalid = citations.join(artifacts.select("artifact_id"), "artifact_id", "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("invalid"))
-    by = claims.join(cited, ["case_id", "claim_id"], "left").groupBy("case_id").agg((F.countDistinct(F.when(F.col("cited"), F.col("claim_id"))) / F.countDistinct("claim_id")).alias("score"), F.count_if(F.col("claim_type") == "cannot_conclude").alias("cannot_conclude"))
+    invalid = citations.hint("merge").join(artifacts.select("artifact_id").hint("merge"), "artifact_id", "left_anti").groupBy("case_id").agg(F.count(F.lit(1)).alias("invalid"))
+    by = claims.hint("merge").join(cited.hint("merge"), ["case_id", "claim_id"], "left").groupBy("case_id").agg((F.countDistinct(F.when(F.col("cited"), F.col("claim_id"))) / F.countDistinct("claim_id")).alias("score"), F.count_if(F.col("claim_type") == "cannot_conclude").alias("cannot_conclude"))
+    if cases is not None:
+        by = cases.select("case_id").distinct().hint("merge").join(by.hint("merge"), "case_id", "left").select("case_id", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("cannot_conclude", F.lit(0)).cast("long").alias("cannot_conclude"))
     return by.join(invalid, "case_id", "left").select("case_id", "score", "cannot_conclude", ((F.col("score") == 1) & F.col("invalid").isNull()).alias("passed"))
 
 
@@ -56,3 +59,9 @@ def check_gates(metrics: DataFrame, gates: list = GATES) -> DataFrame:
     joined = table.join(metrics, "name", "left")
     ok = F.when(F.col("op") == ">=", F.col("actual") >= F.col("limit")).when(F.col("op") == "<=", F.col("actual") <= F.col("limit")).otherwise(F.col("actual") == F.col("limit"))
     return joined.select("name", "actual", F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
+def gate_summary(checked: DataFrame) -> DataFrame:
+    """One row: whether every gate passes, and the names of those that don't."""
+    failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name"))))  # one row a gate
+    return checked.agg(F.bool_and("passed").alias("all_passed"), F.array_join(failed, ",").alias("failed"))

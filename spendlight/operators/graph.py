@@ -162,7 +162,7 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 def claim_graph(claims: DataFrame, phrases) -> DataFrame:
     """``(a, b, n)``: pairs of phrases of one claim, and in how many claims they meet."""
-    placed = claims.select("claim_id", F.posexplode(phrases).alias("i", "phrase"))
+    placed = store(claims.select("claim_id", F.posexplode(phrases).alias("i", "phrase")))
     pairs = placed.select("claim_id", "i", F.col("phrase").alias("a")).join(placed.select("claim_id", F.col("i").alias("j"), F.col("phrase").alias("b")), "claim_id").where("i < j")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 

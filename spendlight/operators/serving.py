@@ -14,8 +14,9 @@ OTHER_RATE = 0.0002
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """Page ``number`` (from 1) of ``size`` rows, each with the ``total`` of all pages."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
 
 
 def list_cases(cases: DataFrame, status: str | None, number: int = 1, size: int = 20) -> DataFrame:
@@ -30,11 +31,20 @@ def dedupe_cases(requests: DataFrame, cases: DataFrame) -> DataFrame:
     return requests.withColumn("key", key).join(first, "key", "left").select("request_id", "existing")
 
 
-def case_pack(cases: DataFrame, claims: DataFrame, packs: DataFrame) -> DataFrame:
-    """Complete or auditing cases with their newest pack and number of claims."""
-    newest = packs.groupBy("case_id").agg(F.max_by("pack_id", F.struct("generated_at", "pack_id")).alias("pack_id"))
-    n = claims.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_claims"))
-    return cases.where(F.col("status").isin("complete", "auditing")).join(newest, "case_id").join(n, "case_id", "left").select("case_id", "pack_id", F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
+def case_pack(cases: DataFrame, claims: DataFrame, citations: DataFrame, events: DataFrame, packs: DataFrame) -> DataFrame:
+    """Complete or auditing cases with their newest pack, if any, and its claims, citations and audit events as lists.
+
+    A case's lists are its pack, as it is served; each is gathered and sorted by itself.
+    """
+    ready = cases.where(F.col("status").isin("complete", "auditing")).select("case_id")
+    newest = packs.groupBy("case_id").agg(F.max(F.struct("generated_at", "pack_id")).alias("m")).select("case_id", "m.pack_id", "m.generated_at")
+    out = ready.hint("merge").join(newest.hint("merge"), "case_id", "left")
+    for name, rows in (("claims", claims), ("citations", citations), ("audit_events", events)):
+        fields = [c for c in rows.columns if c != "case_id"]
+        part = rows.hint("merge").join(ready.hint("merge"), "case_id", "left_semi").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        kind = dict(part.dtypes)[name]
+        out = out.hint("merge").join(part.hint("merge"), "case_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out
 
 
 def search_entities(entities: DataFrame, q: str, kind: str | None = None, number: int = 1, size: int = 20, wildcards: bool = False) -> DataFrame:
@@ -87,7 +97,27 @@ def last_24h(tables: dict[str, tuple[DataFrame, str]], as_of: Column) -> DataFra
     return out
 
 
-def pack_report(claims: DataFrame) -> DataFrame:
+def pack_report(claims: DataFrame, events: DataFrame) -> DataFrame:
+    """Per case its findings, risk signals, the share of claims that passed the audit, and the distinct stages of its audit events."""
+    stages = events.groupBy("case_id").agg(F.countDistinct("stage").alias("stages"))
+    return _pack_counts(claims).join(stages, "case_id", "left").withColumn("stages", F.coalesce("stages", F.lit(0)).cast("long"))
+
+
+def public_kpis(packs: DataFrame, audit_events: DataFrame, cases: DataFrame, artifacts: DataFrame, sources: DataFrame, mentions: DataFrame, as_of: Column) -> DataFrame:
+    """One row: pass and block rates and resolution coverage to four places, median latency to two, totals and those of the last day; no rows count as 0."""
+    one = lambda df, name, places: df.select(F.round(F.coalesce(name, F.lit(0.0)), places).alias(name))
+    coverage = mentions.agg((F.count("resolved_entity_id") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("entity_coverage"))
+    blocked = audit_events.where("decision = 'blocked'")
+    out = one(pass_rate(packs), "pass_rate", 4)
+    for df in (
+        one(block_rate(audit_events), "block_rate", 4), one(median_latency(cases, packs), "median_seconds", 2), one(coverage, "entity_coverage", 4), totals(cases, artifacts, sources),
+        last_24h({"cases_24h": (cases, "created_at"), "artifacts_24h": (artifacts, "retrieved_at"), "blocks_24h": (blocked, "ts")}, as_of),
+    ):
+        out = out.crossJoin(F.broadcast(df))  # one row each
+    return out
+
+
+def _pack_counts(claims: DataFrame) -> DataFrame:
     return claims.groupBy("case_id").agg(F.count_if(F.col("claim_type").isin("finding", "factual")).alias("findings"), F.count_if(F.col("claim_type") == "risk_signal").alias("risk_signals"), (F.count_if("audit_passed") / F.count(F.lit(1))).alias("audited_share"))
 
 

@@ -81,10 +81,10 @@ _COMMON = "anomaly_type, subject, detected, severity, score"
 
 
 def _signals(t):
-    return A.all_signals(A.sole_source(B.awards(t)), A.mod_inflation(B.growing_awards(t)), A.address_ring(B.addressed(t)), A.rapid_award(B.ordered_awards(t)), A.officer_overlap(B.officers(t)))
+    return A.all_signals(A.sole_source(B.awards(t)), A.mod_inflation(B.growing_awards(t)), A.address_ring(B.addressed(t)), A.rapid_award(B.ordered_awards(t)), A.officer_overlap(B.officers(t)), A.geo_mismatch(B.places(t)))
 
 
-_ALL = " union all ".join(f"select {_COMMON} from ({q}) where detected" for q in (f"with {B.AWARDS}, {_AGENCY}, {_SOLE} {_SOLE_OUT}", _INFLATION, _RING, _rapid(30), _OVERLAP))
+_ALL = " union all ".join(f"select {_COMMON} from ({q}) where detected" for q in (f"with {B.AWARDS}, {_AGENCY}, {_SOLE} {_SOLE_OUT}", _INFLATION, _RING, _rapid(30), _OVERLAP, _GEO))
 
 
 @query("ano_all", _ALL)

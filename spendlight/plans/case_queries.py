@@ -12,6 +12,7 @@ from spendlight.operators import serving as S
 from spendlight.operators.ranking import ranked
 from spendlight.plans import bridges as B
 from spendlight.plans.catalog import query
+from spendlight.storage import store
 
 
 def _case_awards(t):
@@ -98,9 +99,9 @@ def _(t):
     return C.summary(_profiles(t), _case_signals(t))
 
 
-@query("cas_evidence_summary", f"with {B.CLAIMS} select case_id, count(*) claims, count(*) filter (claim_type='finding') finding, count(*) filter (claim_type='risk_signal') risk_signal, count(*) filter (claim_type='hypothesis') hypothesis, sum(len(citation_ids))::bigint citations from claims group by 1")
+@query("cas_evidence_summary", f"with {B.CLAIMS}, {B.ARTIFACTS} select case_id, count(*) claims, count(*) filter (claim_type='finding') finding, count(*) filter (claim_type='risk_signal') risk_signal, count(*) filter (claim_type='hypothesis') hypothesis, sum(len(citation_ids))::bigint citations, len(list_distinct(flatten(list(citation_ids)))) artifacts, coalesce(any_value(n), 0) sources from claims left join (select case_id, count(distinct source) n from (select case_id, unnest(citation_ids) artifact_id from claims) join artifacts using (artifact_id) group by 1) using (case_id) group by 1")
 def _(t):
-    return C.evidence_summary(B.claims(t))
+    return C.evidence_summary(B.claims(t), B.artifacts(t))
 
 
 @query("cas_pack_rollup", f"with {B.CLAIMS} select case_id, count(*) claim_count, sum(len(citation_ids))::bigint citation_count, bool_and(audit_passed) all_audited, concat('packs/', case_id, '.json') storage_path from claims group by 1")
@@ -115,11 +116,11 @@ _BANNED = " or ".join(f"contains(lower(statement), '{w}')" for w in X.BANNED)
 _RULES = {
     "citation_required": "select case_id, claim_id, 'citation_required' as rule from claims where claim_type in ('finding','factual') and len(citation_ids)=0",
     "citation_valid": "select case_id, claim_id, 'citation_valid' as rule from cit where artifact_id not in (select artifact_id from artifacts)",
-    "hash_match": "select case_id, claim_id, 'hash_match' as rule from cit join artifacts using (artifact_id) where claim_id%13=0",
+    "hash_match": "select case_id, claim_id, 'hash_match' as rule from cit join artifacts using (artifact_id) where claim_id%13=0 and artifact_id%3=0 union all select case_id, null, 'hash_match' from cit left join artifacts using (artifact_id) group by case_id having count(content_hash) filter (artifact_id%3=0)=0",
     "language": f"select case_id, claim_id, 'language' as rule from claims where {_BANNED}",
     "hypothesis_label": "select case_id, claim_id, 'hypothesis_label' as rule from claims where len(citation_ids)=0 and claim_type not in ('hypothesis','risk_signal','cannot_conclude')",
     "min_sources": "select c_custkey case_id, null::bigint claim_id, 'min_sources' as rule from customer where c_custkey%4=0",
-    "pii": f"select case_id, claim_id, 'pii' as rule from claims where regexp_matches(statement, '{X.SSN}')",
+    "pii": f"select case_id, claim_id, 'pii' as rule from claims where regexp_matches(statement, '{X.SSN}') union all select c_custkey, null, 'pii' from customer where c_custkey%6=1 union all select c_custkey, null, 'pii' from customer where c_custkey%9=1",
 }
 
 
@@ -134,16 +135,21 @@ def _case_sources(t):
 
 def _rules(t):
     claims, artifacts = _claims(t), B.artifacts(t)
-    citations = U.citation_index(claims)
+    citations = store(U.citation_index(claims))
+    # two thirds of the artifacts have no stored hash
+    hashes = artifacts.withColumn("content_hash", F.when(F.col("artifact_id") % 3 == 0, F.col("content_hash")))
+    case = F.col("c_custkey")
+    title, summary = F.when(case % 6 == 1, "On 123-45-6789").otherwise("Plain"), F.when(case % 9 == 1, "Write to jo.doe@gmail.com.")
+    packs = t("customer").select(case.alias("case_id"), title.alias("title"), summary.alias("summary"))
     hashed = citations.withColumn("content_hash", F.when(F.col("claim_id") % 13 == 0, "0").otherwise(""))
     return {
         "citation_required": U.citation_required(claims, citations),
         "citation_valid": U.citation_valid(citations, artifacts),
-        "hash_match": U.hash_match(hashed, artifacts),
+        "hash_match": U.hash_match(hashed, hashes),
         "language": U.language(claims),
         "hypothesis_label": U.hypothesis_label(claims, citations),
         "min_sources": U.min_sources(_case_sources(t)),
-        "pii": U.pii(claims),
+        "pii": U.pii(claims, packs),
     }
 
 
@@ -169,7 +175,7 @@ def _verdicts(t):
     return U.verdicts(t("customer").select(F.col("c_custkey").alias("case_id")), every)
 
 
-_VERDICT = f"with {_CIT}, v as ({' union all '.join(_RULES.values())}), g as (select case_id, count(*) n, array_to_string(list_sort(list(distinct rule)), ',') rules from v group by 1), ver as (select c_custkey case_id, n is null approved, coalesce(n,0) n_violations, coalesce(rules,'') rules from customer left join g on g.case_id=c_custkey)"
+_VERDICT = f"with {_CIT}, v as ({' union all '.join(_RULES.values())}), g as (select case_id, sum(n)::bigint n, array_to_string(list_sort(list(concat(rule, ':', n))), ',') rules from (select case_id, rule, count(*) n from v group by 1,2) group by 1), ver as (select c_custkey case_id, n is null approved, coalesce(n,0) n_violations, coalesce(rules,'') rules from customer left join g on g.case_id=c_custkey)"
 
 
 @query("aud_verdict", f"{_VERDICT} select * from ver")
@@ -185,10 +191,10 @@ def _(t):
 # ---- evaluation
 
 
-@query("evl_grounding", f"with {_CIT}, bad as (select case_id, count(*) n from cit where artifact_id not in (select artifact_id from artifacts) group by 1), s as (select case_id, (count(*) filter (len(citation_ids)>0))/count(*) score, count(*) filter (claim_type='cannot_conclude') cannot_conclude from claims group by 1) select s.case_id, score, cannot_conclude, score=1 and n is null passed from s left join bad on bad.case_id=s.case_id")
+@query("evl_grounding", f"with {_CIT}, bad as (select case_id, count(*) n from cit where artifact_id not in (select artifact_id from artifacts) group by 1), s as (select case_id, (count(*) filter (len(citation_ids)>0))/count(*) score, count(*) filter (claim_type='cannot_conclude') cannot_conclude from claims group by 1) select c_custkey case_id, coalesce(score, 1.0) score, coalesce(cannot_conclude, 0) cannot_conclude, coalesce(score, 1.0)=1 and n is null passed from customer left join s on s.case_id=c_custkey left join bad on bad.case_id=c_custkey")
 def _(t):
     claims = B.claims(t)
-    return E.grounding(claims, U.citation_index(claims), B.artifacts(t))
+    return E.grounding(claims, U.citation_index(claims), B.artifacts(t), t("customer").select(F.col("c_custkey").alias("case_id")))
 
 
 _CERTAIN = " or ".join(f"regexp_matches(statement, '{p}')" for p in X.CERTAINTY)
@@ -234,18 +240,30 @@ def _(t):
     return E.report(t("orders").select(F.col("o_orderpriority").alias("suite"), (F.col("o_orderstatus") == "F").alias("passed")))
 
 
-@query("evl_gates", "with g(name, op, lim) as (values " + ",".join(f"('{a}','{b}',{c})" for a, b, c in E.GATES) + "), m as (select 'grounding_rate' as name, (count(*) filter (o_orderstatus='F'))/count(*) actual from orders union all select 'cost_per_case_usd', avg(o_orderkey%2) from orders union all select 'replay_determinism', 1.0) select g.name, actual, coalesce(case op when '>=' then actual>=lim when '<=' then actual<=lim else actual=lim end, false) passed from g left join m on m.name=g.name")
-def _(t):
+_GATES = "with g(name, op, lim) as (values " + ",".join(f"('{a}','{b}',{c})" for a, b, c in E.GATES) + "), m as (select 'grounding_rate' as name, (count(*) filter (o_orderstatus='F'))/count(*) actual from orders union all select 'cost_per_case_usd', avg(o_orderkey%2) from orders union all select 'replay_determinism', 1.0) select g.name, actual, coalesce(case op when '>=' then actual>=lim when '<=' then actual<=lim else actual=lim end, false) passed from g left join m on m.name=g.name"
+
+
+def _gate_metrics(t):
     o = t("orders")
     one = lambda name, value: o.agg(value.alias("actual")).select(F.lit(name).alias("name"), F.col("actual").cast("double"))
     m = one("grounding_rate", F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).union(one("cost_per_case_usd", F.avg(F.col("o_orderkey") % 2))).union(one("replay_determinism", F.max(F.lit(1.0))))
-    return E.check_gates(m)
+    return m
+
+
+@query("evl_gates", _GATES)
+def _(t):
+    return E.check_gates(_gate_metrics(t))
+
+
+@query("evl_gate_summary", f"select bool_and(passed) all_passed, array_to_string(list_sort(list(name) filter (not passed)), ',') failed from ({_GATES})")
+def _(t):
+    return E.gate_summary(E.check_gates(_gate_metrics(t)))
 
 
 # ---- serving and indicators
 
 
-@query("qry_list_cases", f"with {B.CASES} select * from cases where status='complete' order by created_at desc, case_id limit 20 offset 20")
+@query("qry_list_cases", f"with {B.CASES} select *, (select count(*) from cases where status='complete') total from cases where status='complete' order by created_at desc, case_id limit 20 offset 20")
 def _(t):
     return S.list_cases(B.cases(t), "complete", 2)
 
@@ -261,17 +279,29 @@ def _(t):
     return B.cases(t).where("case_id = 7")
 
 
-@query("qry_pack", f"with {B.CASES}, {B.PACKS}, {B.CLAIMS}, p as (select case_id, arg_max(pack_id, (generated_at, pack_id)) pack_id from packs group by 1), n as (select claim_id case_id, count(*) n_claims from claims group by 1) select c.case_id, pack_id, coalesce(n_claims,0) n_claims from cases c join p on p.case_id=c.case_id left join n on n.case_id=c.case_id where status in ('complete','auditing')")
+_PACK = f"""with {B.CASES}, {B.PACKS}, {B.CLAIMS}, audit as (select l_orderkey case_id, l_linenumber audit_event_id, (['compose','audit','publish'])[l_linenumber%3+1] stage, case when l_returnflag='R' then 'blocked' else 'approved' end policy_decision from lineitem),
+ p as (select case_id, arg_max(pack_id, (generated_at, pack_id)) pack_id, max(generated_at) generated_at from packs group by 1),
+ cl as (select claim_id case_id, list(concat_ws('|', claim_id, claim_type, statement)) claims, flatten(list(list_transform(citation_ids, lambda x: concat_ws('|', claim_id, x)))) citations from claims group by 1),
+ au as (select case_id, list_sort(list(concat_ws('|', audit_event_id, stage, policy_decision))) audit_events from audit group by 1)
+ select c.case_id, pack_id, generated_at, claims, list_sort(citations) citations, coalesce(audit_events, []) audit_events from cases c left join p using (case_id) join cl using (case_id) left join au using (case_id) where status in ('complete','auditing')"""
+
+
+@query("qry_pack", _PACK)
 def _(t):
-    return S.case_pack(B.cases(t), B.claims(t).select(F.col("claim_id").alias("case_id")), B.packs(t))
+    # each order is a case with the claim on it
+    claims = B.claims(t).withColumn("case_id", F.col("claim_id"))
+    citations = claims.select("case_id", "claim_id", F.explode("citation_ids").alias("artifact_id"))
+    out = S.case_pack(B.cases(t), claims.select("case_id", "claim_id", "claim_type", "statement"), citations, _audit_events(t), B.packs(t))
+    flat = lambda name, *fields: F.array_sort(F.transform(name, lambda x: F.concat_ws("|", *(x[f].cast("string") for f in fields)))).alias(name)
+    return out.select("case_id", "pack_id", "generated_at", flat("claims", "claim_id", "claim_type", "statement"), flat("citations", "claim_id", "artifact_id"), flat("audit_events", "audit_event_id", "stage", "policy_decision"))
 
 
-@query("qry_search_entities", f"with {B.ENTITIES} select * from entities where contains(lower(canonical_name), '00001') order by canonical_name, entity_id limit 20")
+@query("qry_search_entities", f"with {B.ENTITIES} select *, (select count(*) from entities where contains(lower(canonical_name), '00001')) total from entities where contains(lower(canonical_name), '00001') order by canonical_name, entity_id limit 20")
 def _(t):
     return S.search_entities(B.entities(t), "00001")
 
 
-@query("qry_search_artifacts", f"with {B.ARTIFACTS} select * from artifacts where contains(lower(source_url), 'example.gov/v1') order by retrieved_at desc, artifact_id limit 20")
+@query("qry_search_artifacts", f"with {B.ARTIFACTS} select *, (select count(*) from artifacts where contains(lower(source_url), 'example.gov/v1')) total from artifacts where contains(lower(source_url), 'example.gov/v1') order by retrieved_at desc, artifact_id limit 20")
 def _(t):
     return S.search_artifacts(B.artifacts(t), "Example.gov/V1")
 
@@ -291,12 +321,12 @@ _KPI = {
     "block_rate": "select (count(*) filter (event_type='click'))/count(*) block_rate from events",
     "median_latency": "select median(epoch(l_shipdate)::bigint-epoch(o_orderdate)::bigint) median_seconds from lineitem join orders on l_orderkey=o_orderkey where l_shipdate>=o_orderdate",
     "totals": "select (select count(*) from orders) cases, (select count(*) from lineitem) artifacts, (select count(*) from nation) sources",
-    "last_24h": "select count(*) filter (ts >= timestamp '2024-01-20' - interval 1 day) events from events",
+    "last_24h": "select (select count(*) from orders where o_orderdate >= timestamp '1998-06-30') cases, (select count(*) from orders where o_orderdate >= timestamp '1998-06-30') artifacts, (select count(*) from events where event_type='click' and ts >= timestamp '1998-06-30') blocks",
 }
 
 
 def _decisions(t):
-    return t("events").select(F.when(F.col("event_type") == "click", "blocked").otherwise("passed").alias("decision"))
+    return t("events").select(F.when(F.col("event_type") == "click", "blocked").otherwise("passed").alias("decision"), "ts")
 
 
 def _kpi(t):
@@ -305,7 +335,7 @@ def _kpi(t):
         "block_rate": S.block_rate(_decisions(t)),
         "median_latency": S.median_latency(B.cases(t), B.packs(t)),
         "totals": S.totals(B.cases(t), t("lineitem"), t("nation")),
-        "last_24h": S.last_24h({"events": (t("events"), "ts")}, F.lit("2024-01-20").cast("timestamp_ntz")),
+        "last_24h": S.last_24h({"cases": (B.cases(t), "created_at"), "artifacts": (B.artifacts(t), "retrieved_at"), "blocks": (_decisions(t).where("decision = 'blocked'"), "ts")}, F.lit("1998-07-01").cast("timestamp_ntz")),
     }
 
 
@@ -319,17 +349,25 @@ for _name in _KPI:
     _register(_name)
 
 
-@query("kpi_public", "select * from " + ", ".join(f"({q})" for q in _KPI.values()))
+@query("kpi_public", f"""select * from (select round(pass_rate, 4) pass_rate from ({_KPI['pass_rate']})), (select round(block_rate, 4) block_rate from ({_KPI['block_rate']})), (select round(median_seconds, 2) median_seconds from ({_KPI['median_latency']})),
+ (select round((count(*) filter (l_suppkey%7<>0))/count(*), 4) entity_coverage from lineitem), (select (select count(*) from orders) cases, (select count(*) from orders) artifacts, (select count(*) from nation) sources),
+ (select cases cases_24h, artifacts artifacts_24h, blocks blocks_24h from ({_KPI['last_24h']}))""")
 def _(t):
-    out = None
-    for df in _kpi(t).values():
-        out = df if out is None else out.crossJoin(df)  # one row each
-    return out
+    mentions = t("lineitem").select(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("resolved_entity_id"))
+    return S.public_kpis(B.packs(t), _decisions(t), B.cases(t), B.artifacts(t), t("nation"), mentions, F.lit("1998-07-01").cast("timestamp_ntz"))
+
+
+_STAGES = "audit as (select l_orderkey case_id, l_linenumber audit_event_id, (['compose','audit','publish'])[l_linenumber%3+1] stage, case when l_returnflag='R' then 'blocked' else 'approved' end policy_decision from lineitem)"
+
+
+def _audit_events(t):
+    stages = F.array(*(F.lit(x) for x in ("compose", "audit", "publish")))
+    return t("lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("audit_event_id"), stages[(F.col("l_linenumber") % 3).cast("int")].alias("stage"), F.when(F.col("l_returnflag") == "R", "blocked").otherwise("approved").alias("policy_decision"))
 
 
-@query("qry_demo_report", f"with {B.CLAIMS} select case_id, count(*) filter (claim_type in ('finding','factual')) findings, count(*) filter (claim_type='risk_signal') risk_signals, (count(*) filter (audit_passed))/count(*) audited_share from claims group by 1")
+@query("qry_demo_report", f"with {B.CLAIMS}, {_STAGES}, r as (select case_id, count(*) filter (claim_type in ('finding','factual')) findings, count(*) filter (claim_type='risk_signal') risk_signals, (count(*) filter (audit_passed))/count(*) audited_share from claims group by 1), s as (select case_id, count(distinct stage) stages from audit group by 1) select r.*, coalesce(stages, 0) stages from r left join s using (case_id)")
 def _(t):
-    return S.pack_report(B.claims(t))
+    return S.pack_report(B.claims(t), _audit_events(t))
 
 
 # ---- usage

@@ -92,9 +92,9 @@ def _(t):
     return N.create_entities(N.resolve(_seeds(t), B.entities(t)), _seeds(t))
 
 
-@query("ent_merge_hint", f"{_RESOLVED} select seed_id, entity_id, case when seed_id%2=0 and 0.93 > confidence then 0.9 else confidence end confidence, method from resolved")
+@query("ent_merge_hint", f"{_RESOLVED} select seed_id, entity_id, case when seed_id%2=0 and 0.93 > confidence then 0.9 else confidence end confidence, method, case when seed_id%2=0 and 0.93 > confidence then [concat('alias ', seed_id), 'shared'] else [] end aliases from resolved")
 def _(t):
-    hints = t("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("seed_id"), F.lit(0.93).alias("confidence"))
+    hints = t("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("seed_id"), F.lit(0.93).alias("confidence"), F.array(F.lit("shared"), F.concat(F.lit("alias "), "s_suppkey")).alias("aliases"))
     return N.apply_hints(N.resolve(_seeds(t), B.entities(t)), hints)
 
 

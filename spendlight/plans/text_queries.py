@@ -105,6 +105,15 @@ def _(t):
     return D.privacy_report(B.releases(t))
 
 
+def _masked(column):
+    return f"regexp_replace(regexp_replace(regexp_replace({column}, '{X.SSN}', '[SSN_REDACTED]', 'g'), '{X.PHONE}', '[PHONE_REDACTED]', 'g'), '{X.PERSONAL_EMAIL}', '[EMAIL_REDACTED]', 'g') as {column}"
+
+
+@query("job_masked_copy", f"{_R} select doc_id, source, {_masked('title')}, {_masked('body')} from releases")
+def _(t):
+    return D.masked_copy(B.releases(t))
+
+
 _REASONS = f"list_concat({_named('body', X.INJECTION)}, list_filter([case when {' or '.join(f'contains(lower(body), {chr(39)}{w}{chr(39)})' for w in X.BANNED)} then 'banned_phrase' end, case when {' or '.join(f'regexp_matches(body, {chr(39)}{p}{chr(39)})' for p in X.CERTAINTY)} then 'certainty' end], lambda x: x is not null))"
 
 
