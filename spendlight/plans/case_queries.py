@@ -84,7 +84,10 @@ def _(t):
     return t("orders").select("o_orderkey", C.claim_id(F.col("o_custkey").cast("string"), F.lit("k"), F.col("o_orderkey").cast("string")).alias("claim_id"))
 
 
-@query("cas_pack_hash")
+@query("cas_pack_hash", f"""with {B.CLAIMS}, c as (select case_id, to_json(list({{claim_id: claim_id, statement: statement, claim_type: claim_type, confidence: confidence::double, citation_ids: list_sort(citation_ids)}} order by claim_id)) j from claims group by 1),
+ g as (select o_custkey case_id, 'rapid_award' anomaly_type, case when o_orderkey%3=0 then 'high' else 'low' end severity, ((o_orderkey%10)/10.0)::double score from orders),
+ s as (select case_id, to_json(list({{anomaly_type: anomaly_type, severity: severity, score: score}} order by anomaly_type, severity, score)) j from g group by 1)
+ select case_id, sha256(concat(coalesce(c.j::varchar, '[]'), '|', coalesce(s.j::varchar, '[]'))) pack_hash from c full join s using (case_id)""")
 def _(t):
     return C.pack_hash(B.claims(t), _case_signals(t))
 
