@@ -179,10 +179,37 @@ def test_candidates_of_any_length_and_unquoted():
         assert found(f"see {token[:n]} end") == [(token[:n], "bare")]
         assert found(f'api_key = "{token[:n]}"') == [(token[:n], "assigned")]
     assert found("user=bob\npassword=hunter2abc\n") == [("hunter2abc", "unquoted")]
+    assert found('{"api_key":"abcd1234efgh5678"}') == [("abcd1234efgh5678", "assigned")]
+    assert found("Authorization: Bearer abcdefghijklmnop") == [("abcdefghijklmnop", "header")]
+    assert found('PASSWORD = "pass word 12345"') == [("pass word 12345", "assigned")]
+    assert found('title = "pass word 12345"') == [] and found("token=short12") == [("short12", "unquoted")]
+    assert found(f"{'a' * 300}_token = 'abcd1234efgh5678'") == [("abcd1234efgh5678", "assigned")]
+    assert found("mysql://user:Sup3rSecret@host/db") == [("Sup3rSecret", "address")]
     assert ("AKIA" + "A" * 16, "aws_key") in found("url=https://x/?key=AKIA" + "A" * 16)
     assert found("key=AKIA" + "A" * 16) == [("AKIA" + "A" * 16, "aws_key")]
 
 
+def test_forest_on_held_out_findings():
+    """Trained on one set of written findings and held against another, and on planted look-alikes of the kinds that scanners trip over."""
+    train = secret_scan.written_findings()
+    assert {label for label, _ in train} == {0, 1} and len(train) > 0.9 * secret_scan.TRAIN_FINDINGS
+    forest = secret_scan.Forest(np.array([x for _, x in train]), np.array([label for label, _ in train], float))
+    assert forest.constant is None
+    held = [(label, x) for text, source, start, label in secret_scan.labelled(1500, seed=99) for at, _, _, x in secret_scan.read(text, source) if at == start]
+    said, truth = forest.score(np.array([x for _, x in held])) >= 0.5, np.array([label for label, _ in held]) == 1
+    assert (said & truth).sum() / said.sum() >= 0.95 and (said & truth).sum() / truth.sum() >= 0.95
+    assert (~said & ~truth).sum() / (~truth).sum() >= 0.95
+
+
+def test_long_texts_of_candidates_take_linear_time():
+    import time
+
+    start = time.time()
+    for unit in ("a.", "a_", "a=", "x:", "a://", "a://b:", "'", "key='", "authorization: bearer ", "-----BEGIN PRIVATE KEY-----", "a1", "eyJ", "token = "):
+        list(secret_scan.find(unit * (200_000 // len(unit))))
+    assert time.time() - start < 60
+
+
 def test_secrets_on_odd_rows(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIE" * 40 + "\n-----END RSA PRIVATE KEY-----"
     assert [v for _, v, k, _ in secret_scan.find(f"a {key} b") if k == "pem"] == [key]
