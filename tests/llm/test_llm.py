@@ -87,6 +87,16 @@ def test_folds_follow_crc(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
+def test_long_texts_are_pooled_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    network = toxicity.Network()
+    docs = [["".join(rng.choices("abcdef", k=rng.randrange(1, 7))) for _ in range(n)] for n in (0, 1, 6, 7, 8, 9, 13, 14, 15, 50, 301)]
+    whole = network.logits(docs)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.allclose(network.logits(docs), whole, atol=1e-5)
+
+
 def test_network_learns_stems():
     rng = random.Random(1)
     words = ["w%d" % i for i in range(300)]
