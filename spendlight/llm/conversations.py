@@ -351,3 +351,28 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
         nothing = hashlib.sha256(b"").hexdigest()
         return store(out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256")))
+
+
+#: The query in DuckDB: crc32 from its table, then the cheapest edits by a recursive table of complete edits for every turn and state.
+ORACLE_SQL = r"""with recursive
+ crc_table as (select list(c order by i) as tab from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(i))),
+ fated as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda ch: ascii(ch)::bigint)),
+   lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1])), 4294967295) % 20 as fate from conversations, crc_table),
+ damaged as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+   from fated, range(2) copies(copy) where fate <> 0 and (copy = 0 or fate = 3)),
+ placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as rn, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from damaged),
+ marked as (select *, left(role, 1) as initial, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by rn) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+   lag(left(role, 1)) over (partition by conv_id order by rn) as before from placed),
+ follow(f, r, t) as (values ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+ inserted(f, t, cost, edits, lines) as (select s, s, 0, '', cast([] as varchar[]) from (values (''), ('s'), ('u'), ('a')) v(s) union all values ('', 'u', 2, 'I', ['user:']), ('', 'a', 4, 'II', ['user:', 'assistant:']), ('s', 'u', 2, 'I', ['user:']), ('s', 'a', 4, 'II', ['user:', 'assistant:']), ('u', 'a', 2, 'I', ['assistant:']), ('a', 'u', 2, 'I', ['user:'])),
+ ways as (select conv_id, rn, i.f, i.t as mid, i.t as t, i.cost + 3 as cost, i.edits || 'D' as edits, i.lines as lines from marked, inserted i
+   union all select conv_id, rn, i.f, i.t, w.t, i.cost + coalesce((fault = 'truncated')::int, 0), i.edits || 'K', list_append(i.lines, role || ':' || text) from marked join inserted i on true join follow w on w.f = i.t and w.r = initial where coalesce(fault, '') not in ('blank', 'duplicate')
+   union all select conv_id, rn, i.f, i.t, w.t, i.cost + 2 + coalesce((fault = 'truncated')::int, 0), i.edits || 'R', list_append(i.lines, case w.r when 'u' then 'user:' else 'assistant:' end || text) from marked join inserted i on true join follow w on w.f = i.t and w.r <> 's' where coalesce(fault, '') not in ('blank', 'duplicate')),
+ best(conv_id, rn, state, cost, edits, lines) as (select distinct conv_id, 0::bigint, '', 0, '', cast([] as varchar[]) from marked
+   union all select b.conv_id, b.rn + 1, w.t, min(b.cost + w.cost), arg_min(b.edits || w.edits, (b.cost + w.cost, b.edits || w.edits)), arg_min(list_concat(b.lines, w.lines), (b.cost + w.cost, b.edits || w.edits)) from best b join ways w on w.conv_id = b.conv_id and w.rn = b.rn + 1 and w.f = b.state group by b.conv_id, b.rn, w.t),
+ ended as (select b.conv_id, b.cost + i.cost as cost, b.edits || i.edits as edits, list_concat(b.lines, i.lines) as lines from best b join (select conv_id, max(rn) as last from marked group by 1) m on m.conv_id = b.conv_id and m.last = b.rn join inserted i on i.f = b.state where i.t = 'a' or (b.state = '' and i.t = '')),
+ chosen as (select conv_id, arg_min(struct_pack(cost := cost, edits := edits, lines := lines), (cost, edits)) as c from ended group by 1),
+ counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+   count(*) filter (rn > 1 and before || initial not in ('su', 'ua', 'au')) as illegal from marked group by 1)
+ select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(c.cost, 0)::bigint as cost, coalesce(c.edits, '') as audit, sha256(coalesce(array_to_string(c.lines, chr(10)), '')) as repaired_sha256
+ from (select distinct conv_id from conversations) left join counts using (conv_id) left join chosen using (conv_id)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spendlight.llm import conversations
 from spendlight.llm.alignment import op11_cross_tokenizer_alignment
 from spendlight.llm.ann import op3_collision_counting_ann
 from spendlight.llm.conversations import op13_conversation_repair
@@ -39,4 +40,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_conversation_repair": conversations.ORACLE_SQL}

@@ -111,6 +111,17 @@ def test_whole_table(spark):
     assert found(conversations.op13_conversation_repair(spark, DATA)) == expected(rows)
 
 
+def test_sql_gives_the_same(tmp_path, spark):
+    import duckdb
+
+    rows = [r for r in some_rows(5, 60, 9) if None not in r]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = {r[0]: tuple(r[1:]) for r in connection.execute(conversations.ORACLE_SQL).fetchall()}
+    assert got == expected(rows)
+
+
 def test_odd_conversations(spark, tmp_path):
     gone = next(c for c in range(1000) if zlib.crc32(f"{c}:1".encode()) % 20 == 0)
     rows = [(None, 1, "user", "Hi."), (None, None, None, None), (7000, None, "user", "Hi."), (7000, None, "user", "Hi."), (gone, 1, "user", "Gone."), (9000, 5, "system", "word. " * 200000)]
