@@ -126,4 +126,5 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
 
 
 def op3_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query (vec_id divisible by 100) its 10 nearest found: query_id, rank (from 1), vec_id, score (Euclidean distance)."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -267,4 +267,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text (the main text, blocks joined by newline), n_chars."""
     return extract(table(spark, sf_dir, "pages"))

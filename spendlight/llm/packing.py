@@ -209,4 +209,5 @@ def packed_shard(group: pa.Table, idf: np.ndarray, mean: float, window: int, bas
 
 
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return pack(table(spark, sf_dir, "documents"))

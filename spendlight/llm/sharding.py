@@ -59,4 +59,5 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS,
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, law, shard (of 16), slot (gapless from 0 in it), grown_shard (with one shard more)."""
     return shard_documents(table(spark, sf_dir, "documents"))

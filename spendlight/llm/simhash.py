@@ -153,4 +153,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable by links of two bits or fewer)."""
     return near_duplicates(table(spark, sf_dir, "documents"))
