@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from spendlight.functions.columns import blank_to_null
 from spendlight.operators.components import connected_components
-from spendlight.storage import cut
+from spendlight.storage import cut, store
 
 
 def _compatible(names: pd.Series) -> pd.Series:
@@ -76,8 +76,17 @@ def resolve_exact(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     return by("uei").unionByName(by("cage_code")).groupBy("seed_id").agg(F.min("entity_id").alias("entity_id")).select("seed_id", "entity_id", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"), F.lit(1).alias("tier"))
 
 
+def named(seeds: DataFrame) -> DataFrame:
+    """``(seed_id, canonical)``: the seeds' names in normal form."""
+    return with_normalized(seeds.select("seed_id", "name"), "name", "canonical").select("seed_id", "canonical")
+
+
 def resolve_name(seeds: DataFrame, entities: DataFrame) -> DataFrame:
-    own = with_normalized(seeds.select("seed_id", "name"), "name", "canonical_name").select("seed_id", "canonical_name").where("canonical_name <> ''")
+    return _by_name(named(seeds), entities)
+
+
+def _by_name(names: DataFrame, entities: DataFrame) -> DataFrame:
+    own = names.select("seed_id", F.col("canonical").alias("canonical_name")).where("canonical_name <> ''")
     met = own.hint("merge").join(entities.select("canonical_name", "entity_id").hint("merge"), "canonical_name")
     return met.groupBy("seed_id").agg(F.min("entity_id").alias("entity_id")).select("seed_id", "entity_id", F.lit(0.95).alias("confidence"), F.lit("canonical_name").alias("method"), F.lit(2).alias("tier"))
 
@@ -89,7 +98,11 @@ def resolve_partial(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     word first; other seeds meet on their first three letters at any place of a name. For seeds of one
     or two letters the best name is found for each such run of letters before they meet.
     """
-    own = with_normalized(seeds.select("seed_id", "name"), "name", "part").select("seed_id", "part").where(F.length("part") > 0)
+    return _by_part(named(seeds), entities)
+
+
+def _by_part(names_: DataFrame, entities: DataFrame) -> DataFrame:
+    own = names_.select("seed_id", F.col("canonical").alias("part")).where(F.length("part") > 0)
     words = lambda c: F.split(c, " ")
     inner = F.when(F.size(words("part")) > 2, F.element_at(words("part"), 2))
     names = entities.select("entity_id", "canonical_name")
@@ -107,10 +120,10 @@ def resolve_partial(seeds: DataFrame, entities: DataFrame) -> DataFrame:
 
 def resolve(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     """Each seed's best tier: exact, name, partial, or a new entity at 0.5 whose id hashes the name."""
-    tiers = resolve_exact(seeds, entities).unionByName(resolve_name(seeds, entities)).unionByName(resolve_partial(seeds, entities))
+    known = store(named(seeds))
+    tiers = resolve_exact(seeds, entities).unionByName(_by_name(known, entities)).unionByName(_by_part(known, entities))
     best = tiers.groupBy("seed_id").agg(F.min_by(F.struct("entity_id", "confidence", "method"), "tier").alias("r"))
-    named = with_normalized(seeds.select("seed_id", "name"), "name", "canonical")
-    return named.hint("merge").join(best.hint("merge"), "seed_id", "left").select(
+    return known.hint("merge").join(best.hint("merge"), "seed_id", "left").select(
         "seed_id", F.coalesce("r.entity_id", F.substring(F.sha2(F.concat(F.lit("vendor|"), "canonical"), 256), 1, 32)).alias("entity_id"), F.coalesce("r.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("r.method", F.lit("new_entity")).alias("method")
     )
 

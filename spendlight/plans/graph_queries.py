@@ -22,7 +22,7 @@ def _(t):
 
 @query("ent_normalize_unicode")
 def _(t):
-    return t("documents").select("doc_id", N.normalize_name(F.col("text")).alias("canonical"))
+    return N.with_normalized(t("documents").select("doc_id", "text"), "text", "canonical").select("doc_id", "canonical")
 
 
 @query("ent_vendor_names", "select distinct c_custkey, unnest(list_filter([c_name, c_mktsegment, case when c_custkey%2=0 then c_name else ' ' end], lambda x: trim(x)<>'')) as name from customer")
