@@ -279,10 +279,10 @@ def _(t):
     return G.motif_hub(_employment(t))
 
 
-@query("gra_common_owner", "select l_orderkey award_id, concat('n', s_nationkey) as owner, count(distinct l_suppkey) n from lineitem join supplier on l_suppkey=s_suppkey group by 1,2 having count(distinct l_suppkey)>=2")
+@query("gra_common_owner", "select l_orderkey award_id, concat('o', s_suppkey%7) as owner, count(distinct l_suppkey) n from lineitem join supplier on l_suppkey=s_suppkey group by 1,2 having count(distinct l_suppkey)>=2")
 def _(t):
     bids = t("lineitem").select(F.col("l_orderkey").alias("award_id"), F.col("l_suppkey").alias("firm"))
-    return G.common_owner(bids, t("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("owner"), F.col("s_suppkey").alias("firm")))
+    return G.common_owner(bids, t("supplier").select(F.concat(F.lit("o"), F.col("s_suppkey") % 7).alias("owner"), F.col("s_suppkey").alias("firm")))
 
 
 @query("gra_case_edges", f"with {_EMPLOY}, {B.ENTITIES}, n as (select source, target, a.canonical_name source_name, b.canonical_name target_name from employ join entities a on a.entity_id=source join entities b on b.entity_id=target), m as (select distinct s_suppkey case_id, source, target, 'owns' rel_type, source_name, target_name from supplier join n on upper(replace(s_name,'#',' ')) in (source_name, target_name)) select case_id, source, target, rel_type, source_name, target_name from (select *, row_number() over (partition by case_id order by source, target, rel_type) rn from m) where rn<=100")
