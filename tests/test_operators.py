@@ -275,3 +275,21 @@ def test_names_anywhere_in_a_text(spark):
     assert got == {(i, n) for i, t, b in texts for n in names if n and n.lower() in " ".join(x for x in (t, b) if x is not None).lower()}
     urls = spark.createDataFrame([("a", "s", 1, "https://x.gov/the-acme-co/1"), ("b", "s", 2, "https://x.gov/other"), ("c", "s", 3, None)], "artifact_id string, source string, retrieved_at int, source_url string")
     assert [r["artifact_id"] for r in match_artifacts(spark.createDataFrame([("e", "ACME"), ("f", "acme-c"), ("g", "zz")], "entity_id string, name string"), urls).collect()] == ["a", "a"]
+
+
+def test_texts_meet_only_names_they_contain(spark, monkeypatch):
+    from spendlight.operators import matching as M
+
+    stored = []
+    keep = M.store
+    monkeypatch.setattr(M, "store", lambda df: stored.append(keep(df)) or stored[-1])
+    names = spark.range(2000).selectExpr("concat('v', id, '/a') as name")
+    texts = spark.range(500).selectExpr("id", "concat('https://example.gov/v', id * 3, '/a', id + 70000) as text")
+    assert M.contained(texts, "text", names, "name").count() == 500
+    assert stored[-1].count() == 500
+
+    words = ["a", "é", "ab", "bab", "abba", "ba\U0001f600b", "\U0001f600", "aéab", "b" * 40, "", None, "abba"]
+    long = ["xabbab", "é", "", None, "ba\U0001f600ba", "b" * 90, "aéabé", "AB", "ba" * 30]
+    one, two = spark.createDataFrame([(x,) for x in long], "text string"), spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    got = {(r["text"], r["i"]) for r in M.contained(one, "text", two, "w").collect()}
+    assert got == {(x, i) for x in long for i, w in enumerate(words) if x and w and w in x}
