@@ -160,7 +160,7 @@ def fraud_topic(text: Column) -> Column:
 def mentions_entity(releases: DataFrame, names: DataFrame) -> DataFrame:
     """``(doc_id, name)``: names that title and body contain, in any case."""
     texts = releases.select("doc_id", F.lower(F.concat_ws(" ", "title", "body")).alias("body"))
-    return contained(texts, "body", names.select("name", F.lower("name").alias("lowered")), "lowered").select("doc_id", "name").distinct()
+    return contained(texts, "body", names.select("name", F.lower("name").alias("lowered")).distinct(), "lowered").select("doc_id", "name").distinct()
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None, mode: str = "append") -> None:
