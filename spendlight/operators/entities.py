@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from spendlight.functions.columns import blank_to_null
 from spendlight.operators.components import connected_components
+from spendlight.operators.matching import contained
 from spendlight.storage import cut, store
 
 
@@ -72,7 +73,8 @@ def mentions(names: DataFrame) -> DataFrame:
 
 def resolve_exact(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     """Seeds met by UEI or CAGE code, at 1.0: two equal joins instead of one with OR."""
-    by = lambda c: seeds.where(F.col(c).isNotNull()).join(entities.where(F.col(c).isNotNull()).select(c, "entity_id"), c).select("seed_id", "entity_id")
+    least = lambda c: entities.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("entity_id").alias("entity_id"))
+    by = lambda c: seeds.where(F.col(c).isNotNull()).join(least(c), c).select("seed_id", "entity_id")
     return by("uei").unionByName(by("cage_code")).groupBy("seed_id").agg(F.min("entity_id").alias("entity_id")).select("seed_id", "entity_id", F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"), F.lit(1).alias("tier"))
 
 
@@ -87,35 +89,22 @@ def resolve_name(seeds: DataFrame, entities: DataFrame) -> DataFrame:
 
 def _by_name(names: DataFrame, entities: DataFrame) -> DataFrame:
     own = names.select("seed_id", F.col("canonical").alias("canonical_name")).where("canonical_name <> ''")
-    met = own.hint("merge").join(entities.select("canonical_name", "entity_id").hint("merge"), "canonical_name")
+    least = entities.groupBy("canonical_name").agg(F.min("entity_id").alias("entity_id"))
+    met = own.hint("merge").join(least.hint("merge"), "canonical_name")
     return met.groupBy("seed_id").agg(F.min("entity_id").alias("entity_id")).select("seed_id", "entity_id", F.lit(0.95).alias("confidence"), F.lit("canonical_name").alias("method"), F.lit(2).alias("tier"))
 
 
 def resolve_partial(seeds: DataFrame, entities: DataFrame) -> DataFrame:
-    """The shortest entity name that contains the seed's name.
-
-    A seed of three words or more must hold its inner words whole, so seeds and names meet on such a
-    word first; other seeds meet on their first three letters at any place of a name. For seeds of one
-    or two letters the best name is found for each such run of letters before they meet.
-    """
+    """The shortest entity name that contains the seed's name: distinct names meet first, then their seeds."""
     return _by_part(named(seeds), entities)
 
 
 def _by_part(names_: DataFrame, entities: DataFrame) -> DataFrame:
     own = names_.select("seed_id", F.col("canonical").alias("part")).where(F.length("part") > 0)
-    words = lambda c: F.split(c, " ")
-    inner = F.when(F.size(words("part")) > 2, F.element_at(words("part"), 2))
-    names = entities.select("entity_id", "canonical_name")
-    best = F.min(F.struct(F.length("canonical_name").alias("n"), "canonical_name", "entity_id")).alias("best")
-    met = lambda few, many: few.hint("merge").join(many.hint("merge"), "key").where(F.contains("canonical_name", "part")).groupBy("seed_id").agg(best)
-    runs = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("canonical_name") - (n - 1), F.lit(1))), lambda i: F.substring("canonical_name", i, F.lit(n)))))
-    by_word = met(own.withColumn("key", inner).where(F.col("key").isNotNull()), names.withColumn("key", F.explode(F.array_distinct(words("canonical_name")))))
-    rest = own.where(inner.isNull())
-    by_run = met(rest.where(F.length("part") >= 3).withColumn("key", F.substring("part", 1, 3)), names.withColumn("key", runs(3)))
-    brief = names.withColumn("part", runs(1)).unionByName(names.withColumn("part", runs(2))).groupBy("part").agg(best)
-    by_letters = rest.where(F.length("part") < 3).hint("merge").join(brief.hint("merge"), "part").select("seed_id", "best")
-    found = by_word.unionByName(by_run).unionByName(by_letters)
-    return found.select("seed_id", "best.entity_id", F.lit(0.75).alias("confidence"), F.lit("partial_name").alias("method"), F.lit(3).alias("tier"))
+    names = entities.where(F.length("canonical_name") > 0).groupBy("canonical_name").agg(F.min("entity_id").alias("entity_id"))
+    met = contained(store(names), "canonical_name", store(own.select("part").distinct()), "part")
+    best = met.groupBy("part").agg(F.min(F.struct(F.length("canonical_name").alias("n"), "canonical_name", "entity_id")).alias("best"))
+    return own.hint("merge").join(best.hint("merge"), "part").select("seed_id", "best.entity_id", F.lit(0.75).alias("confidence"), F.lit("partial_name").alias("method"), F.lit(3).alias("tier"))
 
 
 def resolve(seeds: DataFrame, entities: DataFrame) -> DataFrame:
