@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spendlight.functions.text import mask_mention
 from spendlight.operators.ranking import ranked
-from spendlight.storage import cut, store
+from spendlight.storage import cut, spread, store
 
 
 def cooccurrence(mentions: DataFrame, max_entities: int | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def cooccurrence(mentions: DataFrame, max_entities: int | None = None) -> DataFr
 
     ``max_entities`` bounds an artifact's entities; ``crowded_artifacts`` lists what that leaves out.
     """
-    first = mentions.where(F.col("entity_id").isNotNull()).groupBy("artifact_id", "entity_id").agg(F.min_by("raw_text", "mention_id").alias("raw_text"))
+    first = spread(mentions.where(F.col("entity_id").isNotNull()), "artifact_id").groupBy("artifact_id", "entity_id").agg(F.min_by("raw_text", "mention_id").alias("raw_text"))
     if max_entities is not None:
         first = first.join(crowded_artifacts(mentions, max_entities), "artifact_id", "left_anti")
     one, two = first.select("artifact_id", F.col("entity_id").alias("a"), F.col("raw_text").alias("context")), first.select("artifact_id", F.col("entity_id").alias("b"))
@@ -147,13 +147,33 @@ def motif_hub(edges: DataFrame, least: int = 5) -> DataFrame:
 
 
 def case_edges(cases: DataFrame, edges: DataFrame, entities: DataFrame, cap: int = 100) -> DataFrame:
-    """Edges with both names where either name is the case's vendor; one equal join for each end."""
-    name = entities.select("entity_id", "canonical_name")
-    named = edges.join(name.select(F.col("entity_id").alias("source"), F.col("canonical_name").alias("source_name")), "source").join(name.select(F.col("entity_id").alias("target"), F.col("canonical_name").alias("target_name")), "target")
-    by = lambda end: cases.join(named, F.col("vendor_name") == F.col(end)).select("case_id", "source", "target", "rel_type", "source_name", "target_name")
-    order = Window.partitionBy("case_id").orderBy("source", "target", "rel_type")
-    met = by("source_name").union(by("target_name")).distinct()
-    return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap).drop("rn")
+    """Edges with both names where either name is the case's vendor, the first ``cap`` of each case.
+
+    They are found once for each name that some case asks for, so that cases of one vendor share them.
+    """
+    name = entities.select("entity_id", "canonical_name").distinct()
+    wanted = store(cases.where("vendor_name is not null").select("vendor_name").distinct())
+    # entities that a case asks for meet the edges first; the name of the other end is looked up for those that are kept
+    asked = store(name.hint("merge").join(wanted.select(F.col("vendor_name").alias("canonical_name")).hint("merge"), "canonical_name", "left_semi"))
+    order = Window.partitionBy("vendor_name").orderBy("source", "target", "rel_type", "source_name", "target_name")
+
+    def by(end: str, other: str) -> DataFrame:
+        mine = asked.select(F.col("entity_id").alias(end), F.col("canonical_name").alias(f"{end}_name"))
+        theirs = name.select(F.col("entity_id").alias(other), F.col("canonical_name").alias(f"{other}_name"))
+        own = edges.select("source", "target", "rel_type").hint("merge").join(mine.select(end).distinct().hint("merge"), end, "left_semi")
+        own = own.hint("merge").join(theirs.select(other).distinct().hint("merge"), other, "left_semi")
+        # no case has more edges than cap, so no entity needs more of its own; equal edges share a rank
+        first = own.withColumn("rn", F.dense_rank().over(Window.partitionBy(end).orderBy("source", "target", "rel_type"))).where(F.col("rn") <= cap).select("source", "target", "rel_type").distinct()
+        met = first.hint("merge").join(mine.hint("merge"), end).hint("merge").join(theirs.hint("merge"), other)
+        return met.select(F.col(f"{end}_name").alias("vendor_name"), "source", "target", "rel_type", "source_name", "target_name")
+
+    met = by("source", "target").union(by("target", "source")).distinct()
+    first = met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap).drop("rn")
+    columns = ["case_id", "source", "target", "rel_type", "source_name", "target_name"]
+    shared = cases.select("case_id", "vendor_name").distinct().hint("merge").join(store(first).hint("merge"), "vendor_name").select(columns)
+    again = Window.partitionBy("case_id").orderBy("source", "target", "rel_type", "source_name", "target_name")
+    # a case of several names has at most cap edges of each
+    return shared.distinct().withColumn("rn", F.row_number().over(again)).where(F.col("rn") <= cap).drop("rn")
 
 
 def weighted_degree(edges: DataFrame) -> DataFrame:

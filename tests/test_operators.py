@@ -293,3 +293,47 @@ def test_texts_meet_only_names_they_contain(spark, monkeypatch):
     one, two = spark.createDataFrame([(x,) for x in long], "text string"), spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
     got = {(r["text"], r["i"]) for r in M.contained(one, "text", two, "w").collect()}
     assert got == {(x, i) for x in long for i, w in enumerate(words) if x and w and w in x}
+
+
+def test_equal_names_meet_once(spark, monkeypatch):
+    from spendlight.operators import matching as M
+
+    stored = []
+    keep = M.store
+    monkeypatch.setattr(M, "store", lambda df: stored.append(keep(df)) or stored[-1])
+    entities = spark.range(3000).selectExpr("lpad(string(id), 6, '0') as entity_id", "concat('SUPPLIER 0000', lpad(string(id % 1000), 5, '0')) as canonical_name", "string(null) as uei", "string(null) as cage_code")
+    seeds = spark.range(600).selectExpr("id as seed_id", "concat('supplier#0000', lpad(string(id % 100), 4, '0')) as name", "string(null) as uei", "string(null) as cage_code")
+    got = {r["seed_id"]: r["entity_id"] for r in N.resolve_partial(seeds, entities).collect()}
+    assert got == {i: f"{i % 100 * 10:06d}" for i in range(600)}
+    assert stored and stored[-1].count() == 1000
+
+
+def test_cases_of_one_vendor_share_its_edges(spark):
+    entities = spark.createDataFrame([("s1", "ACME"), ("s2", "ACME"), ("c1", "ANN"), ("c2", "BOB"), ("c3", None)], "entity_id string, canonical_name string")
+    edges = spark.createDataFrame([("c1", "s1", "owns"), ("c2", "s1", "owns"), ("c2", "s1", "owns"), ("c3", "s2", "owns"), ("c1", "s2", "owns"), ("x", "s2", "owns"), ("s1", "s2", "owns")], "source string, target string, rel_type string")
+    cases = spark.createDataFrame([(1, "ACME"), (2, "ACME"), (3, "ANN"), (4, None), (5, "NOBODY")], "case_id int, vendor_name string")
+    got = sorted(tuple(r)[:3] for r in G.case_edges(cases, edges, entities, cap=3).collect())
+    assert got == [(i, s, t) for i in (1, 2) for s, t in (("c1", "s1"), ("c1", "s2"), ("c2", "s1"))] + [(3, "c1", "s1"), (3, "c1", "s2")]
+    everything = {tuple(r) for r in G.case_edges(cases, edges, entities).where("case_id = 2").collect()}
+    assert (2, "c3", "s2", "owns", None, "ACME") in everything and len(everything) == 5
+
+
+def test_edges_of_cases_are_met_by_name(spark, monkeypatch):
+    stored = []
+    keep = G.store
+    monkeypatch.setattr(G, "store", lambda df: stored.append(keep(df)) or stored[-1])
+    entities = spark.createDataFrame([("s1", "ACME"), ("c1", "ANN"), ("c2", "BOB")], "entity_id string, canonical_name string")
+    edges = spark.createDataFrame([("c1", "s1", "owns"), ("c2", "s1", "owns")], "source string, target string, rel_type string")
+    cases = spark.range(50).selectExpr("id as case_id", "'ACME' as vendor_name")
+    assert G.case_edges(cases, edges, entities, cap=1).count() == 50
+    assert stored[-1].count() == 1
+
+
+def test_tasks_of_pairs_stay_small(spark, monkeypatch):
+    from spendlight import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 10)
+    rows = spark.range(200).selectExpr("id div 4 as artifact_id", "id % 7 as entity_id", "id as mention_id", "'x' as raw_text")
+    pairs = G.cooccurrence(rows)
+    assert pairs.rdd.getNumPartitions() == 20
+    assert pairs.count() == len({(k // 4, *sorted((k % 7, j % 7))) for k in range(200) for j in range(200) if k // 4 == j // 4 and k % 7 < j % 7})
