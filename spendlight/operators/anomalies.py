@@ -107,23 +107,34 @@ def address_ring(entities: DataFrame, min_entities: int = 3) -> DataFrame:
     return rings.select(F.lit("shared_address").alias("anomaly_type"), F.col("address_key").alias("subject"), F.lit(True).alias("detected"), level.alias("severity"), F.least(F.col("n") / 5, F.lit(1.0)).alias("score"), "n")
 
 
+def _bits(members: str, shift: int) -> Column:
+    """A bit of 64 for each member, by its hash from bit ``shift`` on."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(F.xxhash64(x), shift), F.lit(64)).cast("int"))
+    return F.aggregate(members, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseOR(bit(x)))
+
+
 def officer_overlap(officers: DataFrame, min_overlap: int = 2) -> DataFrame:
     """Entity sets of two or more that several officers serve: for each distinct set, officers whose own set contains it.
 
-    A set meets only the officers of that member of it which the fewest officers have, and is compared whole there.
+    Equal sets are one row. A set meets only the larger sets that hold that member of it which the fewest sets have, and
+    there only those whose 128 bits, two of each member, hold its own; what is left is compared whole.
     """
-    own = store(officers.select(F.upper(F.trim("officer")).alias("officer"), "entity_id").where((F.coalesce("officer", F.lit("")) != "") & F.col("entity_id").isNotNull()).distinct())
-    served = store(own.groupBy("officer").agg(F.array_sort(F.collect_list("entity_id")).alias("members")).where(F.size("members") >= 2))
-    sets = store(served.groupBy(F.array_join("members", "|").alias("set_key")).agg(F.first("members").alias("wanted")))
-    # officers of one entity alone contain no set
-    placed = store(own.hint("merge").join(served.select("officer").hint("merge"), "officer"))
+    known = officers.where((F.coalesce("officer", F.lit("")) != "") & F.col("entity_id").isNotNull())
+    served = known.groupBy(F.upper(F.trim("officer")).alias("officer")).agg(F.array_sort(F.collect_set("entity_id")).alias("members")).where(F.size("members") >= 2)
+    counted = served.groupBy("members").agg(F.count(F.lit(1)).alias("own"))
+    sets = store(counted.select(F.monotonically_increasing_id().alias("id"), "members", "own", F.size("members").alias("size"), _bits("members", 0).alias("low"), _bits("members", 6).alias("high")))
+    placed = sets.select("id", "size", "low", "high", F.explode("members").alias("entity_id"))
     rarity = placed.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    each = sets.select("set_key", F.explode("wanted").alias("entity_id"))
-    rarest = store(each.hint("merge").join(rarity.hint("merge"), "entity_id").groupBy("set_key").agg(F.min(F.struct("n", "entity_id")).alias("r")).select("set_key", F.col("r.entity_id").alias("entity_id")))
-    met = store(rarest.hint("merge").join(placed.hint("merge"), "entity_id").select("set_key", "officer"))
-    both = met.hint("merge").join(sets.hint("merge"), "set_key").hint("merge").join(served.hint("merge"), "officer")
-    contains = F.size(F.array_except("wanted", "members")) == 0
-    counted = both.where(contains).groupBy("set_key").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("wanted")).alias("size")).where(F.col("n") >= min_overlap)
+    each = placed.select("id", "entity_id").hint("merge").join(rarity.hint("merge"), "entity_id")
+    rarest = store(each.groupBy("id").agg(F.min(F.struct("n", "entity_id")).alias("r")).select("id", F.col("r.entity_id").alias("entity_id")))
+    asked = rarest.hint("merge").join(sets.select("id", "size", "low", "high").hint("merge"), "id").select(F.col("id").alias("a"), "entity_id", *(F.col(c).alias(f"{c}_a") for c in ("size", "low", "high")))
+    held = (F.col("size") > F.col("size_a")) & (F.col("low_a").bitwiseAND(F.col("low")) == F.col("low_a")) & (F.col("high_a").bitwiseAND(F.col("high")) == F.col("high_a"))
+    met = store(asked.hint("merge").join(placed.hint("merge"), "entity_id").where(held).select("a", F.col("id").alias("b")))
+    wanted = met.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("members").alias("wanted")).hint("merge"), "a")
+    both = wanted.hint("merge").join(sets.select(F.col("id").alias("b"), "members", F.col("own").alias("theirs")).hint("merge"), "b")
+    more = both.where(F.size(F.array_except("wanted", "members")) == 0).groupBy(F.col("a").alias("id")).agg(F.sum("theirs").alias("more"))
+    total = F.col("own") + F.coalesce("more", F.lit(0).cast("long"))
+    counted = sets.select("id", "members", "own", "size").hint("merge").join(more.hint("merge"), "id", "left").select(F.array_join("members", "|").alias("set_key"), total.alias("n"), "size").where(F.col("n") >= min_overlap)
     return counted.select(F.lit("officer_overlap").alias("anomaly_type"), F.col("set_key").alias("subject"), F.lit(True).alias("detected"), severity(F.col("n"), (3, "high"), otherwise="medium").alias("severity"), F.least(F.col("n") / 3, F.lit(1.0)).alias("score"), "n", "size")
 
 

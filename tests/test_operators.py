@@ -337,3 +337,33 @@ def test_tasks_of_pairs_stay_small(spark, monkeypatch):
     pairs = G.cooccurrence(rows)
     assert pairs.rdd.getNumPartitions() == 20
     assert pairs.count() == len({(k // 4, *sorted((k % 7, j % 7))) for k in range(200) for j in range(200) if k // 4 == j // 4 and k % 7 < j % 7})
+
+
+def test_officers_by_distinct_sets(spark, monkeypatch):
+    import random
+
+    stored = []
+    keep = A.store
+    monkeypatch.setattr(A, "store", lambda df: stored.append(keep(df)) or stored[-1])
+    rng = random.Random(5)
+    served = {f"O{i}": {str(rng.randrange(12)) for _ in range(rng.randrange(1, 6))} for i in range(150)}
+    rows = [(o, e) for o, own in served.items() for e in own]
+    got = {r["subject"]: (r["n"], r["size"]) for r in A.officer_overlap(spark.createDataFrame(rows, "officer string, entity_id string")).collect()}
+    sets = {frozenset(own) for own in served.values() if len(own) > 1}
+    counts = {own: sum(own <= other for other in served.values()) for own in sets}
+    assert got == {"|".join(sorted(own)): (n, len(own)) for own, n in counts.items() if n > 1}
+    # copies of a set meet nothing by themselves
+    assert stored[-1].count() <= 1.2 * sum(own < other for own in sets for other in sets)
+
+
+def test_landed_pages_are_compressed(spark, tmp_path, monkeypatch):
+    from spendlight.plans import flow_queries as Q
+    from spendlight.plans.catalog import Tables
+    from spendlight.sources import landing as L
+
+    monkeypatch.setattr(Q, "place_for", lambda spark, kind: str(tmp_path / kind))
+    rows = spark.range(250).select(F.struct(F.col("id").cast("string").alias("Award ID")).alias("record"))
+    back = Q._landed(Tables(spark, ""), rows, L.USASPENDING_SCHEMA, F.col("record"), lambda r: F.struct(r.alias("results")))
+    assert L.flatten_usaspending(back).select("award_id").distinct().count() == 250
+    files = [p.name for p in (tmp_path / "landed").iterdir() if p.name.startswith("part")]
+    assert files and all(name.endswith(".gz") for name in files)
