@@ -33,7 +33,7 @@ def _pages(df, record):
 def _landed(t, df, schema, record, wrap):
     """``df`` landed as files of JSON responses in the shared folder, read back with ``schema``."""
     path = place_for(t.spark, "landed")
-    _pages(df, record).select(F.to_json(wrap(F.col("r"))).alias("value")).write.text(path)
+    _pages(df, record).select(F.to_json(wrap(F.col("r"))).alias("value")).write.option("compression", "gzip").text(path)
     return L.read_json(t.spark, path, schema, lines=True)
 
 
