@@ -295,6 +295,42 @@ def test_texts_meet_only_names_they_contain(spark, monkeypatch):
     assert got == {(x, i) for x in long for i, w in enumerate(words) if x and w and w in x}
 
 
+def test_names_met_by_rows_without_their_texts(spark):
+    from spendlight.operators import evidence as V
+    from spendlight.operators import matching as M
+
+    words = ["a", "é", "ab", "bab", "abba", "ba\U0001f600b", "\U0001f600", "aéab", "b" * 40, "", None, "abba", "\ufeffab", "zzz"]
+    long = ["xabbab", "é", "", None, "ba\U0001f600ba", "b" * 90, "aéabé", "AB", "ba" * 30, "xabbab", "x\ufeffab"]
+    texts = spark.createDataFrame(list(enumerate(long)), "k int, text string")
+    got = [(r["k"], r["i"]) for r in M.named(texts, "text", spark.createDataFrame(list(enumerate(words)), "i int, w string"), "w").collect()]
+    assert sorted(got) == [(k, i) for k, x in enumerate(long) for i, w in enumerate(words) if x and w and w in x]
+    entities = spark.range(2000).selectExpr("id as entity_id", "concat('V', id, '/A') as name")
+    artifacts = spark.range(500).selectExpr("id as artifact_id", "'s' as source", "id as retrieved_at", "concat('https://example.gov/v', id * 3, '/a', id + 70000) as source_url")
+    matches = V.match_artifacts(entities, artifacts)
+    assert matches.count() == 500
+    # each match is exchanged once, beside the names
+    assert matches._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_newest_matches_of_an_entity_of_two_names(spark):
+    from spendlight.operators.evidence import all_matches, manifest, match_artifacts
+
+    entities = spark.createDataFrame([(1, "acme"), (1, "holdings"), (2, "acme")], "entity_id int, name string")
+    artifacts = spark.createDataFrame([(i, "s", i, f"https://x.gov/{n}/{i}") for i in range(10) for n in ("ACME", "Holdings")], "artifact_id int, source string, retrieved_at int, source_url string")
+    got = sorted(tuple(r)[:2] for r in match_artifacts(entities, artifacts, cap=4).collect())
+    assert got == [(1, 8), (1, 8), (1, 9), (1, 9), (2, 6), (2, 7), (2, 8), (2, 9)]
+    assert {r["entity_id"]: r["n"] for r in manifest(all_matches(entities, artifacts)).collect()} == {1: 20, 2: 10}
+
+
+def test_manifest_counts_every_match(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.sql("select 7L as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(700).selectExpr("id as o_orderkey", "7L as o_custkey", "'5-LOW' as o_orderpriority", "timestamp_ntz'1998-01-01 00:00:00' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [(r["source"], r["n"]) for r in entry.queries()["evi_by_source"](spark, str(tmp_path)).collect()] == [("5-LOW", 700)]
+    assert entry.queries()["evi_match"](spark, str(tmp_path)).count() == 500
+
+
 def test_equal_names_meet_once(spark, monkeypatch):
     from spendlight.operators import matching as M
 
