@@ -11,8 +11,8 @@ their whole shingle sets (shingles as 64-bit hashes), verified links are joined
 each component's occurrences the first, by (doc_id, text hash, line number), stays.
 
 A larger group whose lines are then in one component has nothing left to find. In any other, those
-lines of different components are compared that can be alike by the number of shingles that no other
-component has. So no partner in a crowded group is left out.
+lines of different components are verified whose sketches, one parity bit for every residue of their
+shingles, differ in no more bits than the shingles of such lines can. So no partner in a crowded group is left out.
 
 A pair at similarity 0.8 shares one of eight bands of three rows with probability 0.997. Nulls: a null text has no lines; documents with a
 null doc_id stay as they are and take no part. Rows of one doc_id and different texts are different
@@ -33,6 +33,8 @@ BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 12, 0.8
 SMALL = 8
 #: Parts that a line's partners in a crowded group are dealt into.
 PARTS = 16
+#: Words of 64 bits in the sketch of a line's shingles.
+WORDS = 16
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -101,8 +103,9 @@ def verified(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
     """The ``pairs`` (a, b) whose shingle sets' Jaccard similarity reaches SIMILARITY; ``texts`` is (h, line)."""
     pairs = keep(pairs)
     # few lines have most pairs, always as b: their texts are a table of their own, whose join can be split
-    ends = keep(pairs.select(F.col("b").alias("h")).distinct().hint("merge").join(texts.hint("merge"), "h"))
-    both = pairs.hint("merge").join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+    # a line has few pairs as a: they are looked up by hash, so that the texts needn't be sorted
+    ends = keep(pairs.select(F.col("b").alias("h")).distinct().hint("shuffle_hash").join(texts, "h"))
+    both = pairs.hint("shuffle_hash").join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a")
     both = both.hint("merge").join(ends.select(F.col("h").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     enough = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda n: n >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - n))
     # one expression, in which each set is computed once, wherever the condition is pushed
@@ -127,24 +130,30 @@ def _open(members: DataFrame, joined: DataFrame, keep) -> DataFrame:
     return keep(named.hint("merge").join(several.hint("merge"), "key"))
 
 
+def _sketched(lines: DataFrame) -> DataFrame:
+    """``(h, component, size, s0, ...)``: bit i of the sketch tells whether an odd number of a line's shingles fall on it."""
+    each = lines.select("h", "component", F.explode("set").alias("x"))
+    word, bit = F.col("x").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 58) as int))")
+    return each.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)))
+
+
 def _rest(open_: DataFrame, texts: DataFrame, keep) -> DataFrame:
     """The pairs of a group's lines of different components that can be alike; one side is dealt into parts, the other sent to each.
 
-    Shingles that no other component has can't be shared across components: with ``own`` of ``all``
-    shingles of that kind, a line's overlap with any other is at most ``all - own``.
+    Each shingle that one of two lines has and the other hasn't changes one bit of their sketches' difference, so that
+    this has at most as many bits as there are such shingles; of lines that reach SIMILARITY, at most a share of both sizes.
     """
     lines = keep(open_.select("h", "component").distinct())
-    sets = keep(lines.hint("merge").join(texts.hint("merge"), "h").select("h", "component", shingle_set("line").alias("set")))
-    sets = sets.select("h", "component", F.explode("set").alias("x"))
-    spread = keep(sets.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high").select("x"))
-    shared = sets.hint("merge").join(spread.hint("merge").withColumn("own", F.lit(1)), "x", "left")
-    bounds = keep(shared.groupBy("h").agg(F.count(F.lit(1)).alias("all"), F.count("own").alias("own")).where(f"all - own >= {SIMILARITY} * all"))
-    members = keep(open_.select("key", "h", "component").hint("merge").join(bounds.hint("merge"), "h"))
+    # written out, lest the set be computed for every text to see whether it is empty
+    sets = keep(lines.hint("shuffle_hash").join(texts, "h").select("h", "component", shingle_set("line").alias("set")))
+    sketches = keep(_sketched(sets))
+    members = keep(open_.select("key", "h").hint("merge").join(sketches.hint("merge"), "h"))
     part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")
-    one = members.select("key", F.col("h").alias("a"), F.col("component").alias("ca"), F.col("all").alias("na"), (F.col("all") - F.col("own")).alias("sa"), part.alias("part"))
-    two = members.select("key", F.col("h").alias("b"), F.col("component").alias("cb"), F.col("all").alias("nb"), (F.col("all") - F.col("own")).alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    most = F.least("sa", "sb")
-    alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (most >= SIMILARITY * (F.col("na") + F.col("nb") - most))
+    side = lambda name, parts: members.select("key", F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("component", "size", *(f"s{w}" for w in range(WORDS)))), parts.alias("part"))
+    one, two = side("a", part), side("b", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    differing = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(1, WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    # a similarity of s leaves at most (1 - s) / (1 + s) of both sizes to differ; a hair more is let through
+    alike = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (differing <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("size_a") + F.col("size_b")) + 1e-6)
     return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where(alike).select("a", "b").distinct()
 
 

@@ -416,6 +416,21 @@ def test_links_beside_the_pivot(spark, monkeypatch):
     assert got == {n for n, root in roots.items() if n != root}
 
 
+def test_few_pairs_of_a_crowded_group_are_verified(spark):
+    """Lines with two places of their own beside a template: all are less than 0.8 alike but those that share a place."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    head, marks = letters(160), [letters(6) for _ in range(20)]
+    lines = sorted({head[: (at := rng.randrange(70))] + rng.choice(marks) + head[at : at + 60] + letters(3) + head[at + 63 :] for _ in range(150)})
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    open_ = texts.select(F.lit(1).alias("key"), "h", F.col("h").alias("component"))
+    with line_dedup.scratch(spark) as keep:
+        pairs = {(r["a"], r["b"]) for r in line_dedup._rest(open_, texts, keep).collect()}
+    links = {(b, a) for a, b in brute_links(lines)}
+    assert links <= pairs and len(pairs) <= 1.3 * len(links) + 20
+    assert len(lines) * (len(lines) - 1) // 2 > 8 * len(links)
+
+
 def test_lines_on_odd_rows(spark, odd, empty):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
