@@ -112,6 +112,43 @@ def test_network_learns_stems():
     assert scores[0] > 0.5 > max(scores[1:])
 
 
+def test_every_labelled_text_teaches_whole(spark, monkeypatch):
+    """Texts of any length and number are learned from, in one part or in several, whatever the order of the rows."""
+    rng = random.Random(3)
+    words = ["commonplace%d" % i for i in range(20)]
+    rows = [(i, " ".join([*rng.choices(words, k=800), *(["vile"] if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(240)]
+    assert min(len(text) for _, text, _ in rows) > 8000
+
+    def classified(rows):
+        table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        return {r["doc_id"]: r for r in toxicity.classify(table.select("doc_id", "text"), table.select("doc_id", "toxic")).collect()}
+
+    assert all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in classified(rows).values())
+    monkeypatch.setattr(toxicity, "VISITS", 0)
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    monkeypatch.setattr(toxicity, "TURN_DOCS", 40)
+    counted = []
+    monkeypatch.setattr(toxicity, "one_round", lambda net, texts, parts, epochs, real=toxicity.one_round: (counted.append((texts.count(), parts)), real(net, texts, parts, epochs)))
+    parts = classified(rows)
+    learned = sum(not r["held_out"] for r in parts.values())
+    assert sum(n for n, _ in counted) > 0.7 * learned and counted[0][1] > 1 and len(counted) == 2
+    assert {k: r["score"] for k, r in classified(rows[::-1]).items()} == {k: r["score"] for k, r in parts.items()}
+
+
+def test_thresholds_against_every_gap(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), round(rng.gauss(0, 2) + 2 * y, 1), y) for y in [0] * 300 + [1] * 100]
+    rows.append(("c", 1.0, 1))
+    with line_dedup.scratch(spark) as keep:
+        got = toxicity.thresholds(spark.createDataFrame(rows, "name string, logit double, label int"), keep)
+    assert set(got) == {"a", "b", "all"}
+    for name, edge in got.items():
+        own = [(x, y) for n, x, y in rows if name in (n, "all")]
+        ends = sorted({x for x, _ in own})
+        errors = lambda e, own=own: sum((x > e) != (y == 1) for x, y in own)
+        assert errors(edge) == min(errors((a + b) / 2) for a, b in zip(ends, ends[1:], strict=False))
+
+
 # ---- nearest neighbours
 
 
