@@ -6,7 +6,8 @@ its own shingle). Equal lines are counted as one. Distinct lines lie in a table
 64-bit hash, which names them, so that texts are fetched for signatures and checks without being
 shuffled again. Each gets BANDS x ROWS minima of its shingles' hashes; lines that agree on all rows
 of a band are candidates: in groups of up to SMALL lines all pairs, in larger ones each line with the
-group's pivot, its most frequent line. Candidates are verified by the exact Jaccard similarity of
+group's pivot, its most frequent line. Candidates whose sketches, one bit for every residue of their shingles, differ in
+more bits than such lines can are out; the others are verified by the exact Jaccard similarity of
 their whole shingle sets (shingles as 64-bit hashes), verified links are joined into components, and of
 each component's occurrences the first, by (doc_id, text hash, line number), stays.
 
@@ -21,7 +22,9 @@ documents; rows that repeat both share their decisions. Other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlight.llm.tables import column, fresh, table
@@ -35,6 +38,8 @@ SMALL = 8
 PARTS = 16
 #: Words of 64 bits in the sketch of a line's shingles.
 WORDS = 16
+#: Shingles in a row of hashes for the minima, and for sketches, whose code is longer (the JVM compiles no method of over 8,000 bytes).
+CHUNK, MARKED = 24, 16
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -43,31 +48,34 @@ def lines_of(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     parts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     parts = parts.select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return parts.where(F.trim("line", F.lit(WHITE)) != "")
+    return parts.where(F.ltrim("line", F.lit(WHITE)) != "")
 
 
-def _wide(line):
-    """A line, lower-cased, with four bytes for each character, so that any of its shingles is found at once."""
-    return F.encode(F.lower(line), "UTF-32")
+def _last(line):
+    """Number of a line's last shingle."""
+    return F.greatest(F.length(F.lower(line)) - SHINGLE, F.lit(0))
 
 
-def _at(wide, i):
-    return F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE))
+def _wide(line):
+    """A line, lower-cased, with four bytes for each character, so that any of its shingles is found at once; a shorter one than a shingle is that shingle."""
+    own = F.when(F.length(F.lower(line)) < SHINGLE, F.trim(F.lower(line), F.lit(WHITE)))
+    return F.coalesce(own.cast("binary"), F.encode(F.lower(line), "UTF-32"))
 
 
-def _last(line):
-    """Number of a line's last shingle."""
-    return F.greatest(F.length(F.lower(line)) - SHINGLE, F.lit(0))
+def _at(wide, byte):
+    """The 64-bit hash of the shingle that begins at ``byte``, counted from 1."""
+    return F.xxhash64(F.substring(wide, byte, F.lit(4 * SHINGLE)))
 
 
-def _own(line):
-    return F.when(F.length(F.lower(line)) < SHINGLE, F.trim(F.lower(line), F.lit(WHITE)))
+def _bytes(line, step: int):
+    """Where every ``step``-th shingle begins."""
+    return F.sequence(F.lit(1), _last(line) * 4 + 1, F.lit(4 * step))
 
 
-def shingle_set(line):
-    """The distinct 64-bit hashes of a line's shingles."""
-    every = F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda i: F.xxhash64(_at(wide, i)))))
-    return F.when(_own(line).isNotNull(), F.array(F.xxhash64(_own(line)))).otherwise(every[0])
+def shingles(line):
+    """The 64-bit hashes of a line's shingles, repeats included."""
+    # the line is widened once, for all of them
+    return F.transform(F.array(_wide(line)), lambda wide: F.transform(_bytes(line, 1), lambda byte: _at(wide, byte)))[0]
 
 
 def _top(x: int, shift: int) -> int:
@@ -76,21 +84,33 @@ def _top(x: int, shift: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _hashed(texts: DataFrame, chunk: int) -> DataFrame:
+    """``(h, n, x0, ...)``: the hashes of up to ``chunk`` shingles a row, n of them; past the line's end, its last shingle is taken again."""
+    # in steps: beside an explode, expressions are evaluated once for each row it makes
+    one = texts.select("h", _wide("line").alias("wide"), _bytes("line", chunk).alias("every"))
+    one = one.select("h", "wide", F.explode("every").alias("byte"))
+    one = one.select("h", F.substring("wide", F.col("byte"), F.lit(4 * (SHINGLE + chunk - 1))).alias("part"))
+    one = one.select("h", "part", F.greatest(F.length("part") - 4 * SHINGLE + 1, F.lit(1)).alias("last"))
+    places = (F.least(F.lit(4 * j + 1), "last") for j in range(chunk))
+    return one.select("h", F.shiftright(F.col("last") + 3, 2).alias("n"), *(_at("part", place).alias(f"x{j}") for j, place in enumerate(places)))
+
+
 def minima(texts: DataFrame, count: int) -> DataFrame:
-    """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes, a row per shingle in between.
+    """``(h, m0, ...)``: ``count`` minima of each line's shingle hashes, a row per CHUNK shingles in between.
 
     The orders differ by a mask of the hash's top five bits (up to 32 masks), so that each finds the hash
-    nearest to another place. The minima are taken under three of the bits in each quarter of
-    the hashes first: a row for every shingle has eight of them to update and not ``count``.
+    nearest to another place. The least of a row's hashes under each mask comes first: a line's minima
+    are then looked up and updated once a row and not once a shingle.
     """
-    # in two steps: beside an explode, expressions are evaluated once for each row it makes
-    one = texts.select("h", _wide("line").alias("wide"), _own("line").alias("own"), F.sequence(F.lit(0), _last("line")).alias("every"))
-    one = one.select("h", "wide", "own", F.explode("every").alias("i"))
-    x = F.when(F.col("own").isNull(), F.xxhash64(_at(F.col("wide"), F.col("i")))).otherwise(F.xxhash64("own"))
-    hashed = one.select("h", x.alias("x"))
-    quarters = hashed.groupBy("h", F.shiftright("x", 62).alias("quarter")).agg(*(F.min(F.col("x").bitwiseXOR(F.lit(_top(k, 59)))).alias(f"q{k}") for k in range(8)))
-    masks = [k * 11 % 32 for k in range(count)]
-    return quarters.groupBy("h").agg(*(F.min(F.col(f"q{mask % 8}").bitwiseXOR(F.lit(_top(mask // 8, 62)))).alias(f"m{k}") for k, mask in enumerate(masks)))
+    masks = [F.lit(_top(k * 11 % 32, 59)) for k in range(count)]
+    return _hashed(texts, CHUNK).groupBy("h").agg(*(F.min(F.least(*(F.col(f"x{j}").bitwiseXOR(mask) for j in range(CHUNK)))).alias(f"m{k}") for k, mask in enumerate(masks)))
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """``(h, n, s0, ...)``: bit i tells whether any of a line's n shingles falls on it."""
+    word, bit = (lambda x: x.bitwiseAND(F.lit(WORDS - 1))), (lambda j: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x{j}, 58) as int))"))
+    either = lambda w: reduce(lambda one, two: one.bitwiseOR(two), (F.when(word(F.col(f"x{j}")) == w, bit(j)).otherwise(F.lit(0).cast("long")) for j in range(MARKED)))
+    return _hashed(texts, MARKED).groupBy("h").agg(F.sum("n").alias("n"), *(F.bit_or(either(w)).alias(f"s{w}") for w in range(WORDS)))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -99,17 +119,37 @@ def signatures(texts: DataFrame) -> DataFrame:
     return minima(texts, BANDS * ROWS).select("h", F.array(*keys).alias("keys"))
 
 
+def _differing(a: str, b: str):
+    """Number of bits in which two sketches, of columns s0_a and so on, differ."""
+    return sum((F.bit_count(F.col(f"s{w}_{a}").bitwiseXOR(F.col(f"s{w}_{b}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"s0_{a}").bitwiseXOR(F.col(f"s0_{b}"))))
+
+
+def _within(differing, both):
+    """Whether sets of ``both`` shingles together can reach SIMILARITY if ``differing`` of them or more are in one alone."""
+    # a similarity of s leaves at most (1 - s) / (1 + s) of both sizes to differ; a hair more is let through
+    return differing <= (1 - SIMILARITY) / (1 + SIMILARITY) * both + 1e-6
+
+
+def sifted(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
+    """The ``pairs`` (a, b) that can reach SIMILARITY: a bit that one line's shingles mark and the other's don't stands for at least one shingle of its own."""
+    marks = keep(_marks(texts))
+    side = lambda name: marks.select(*(F.col(c).alias(name if c == "h" else f"{c}_{name}") for c in marks.columns)).hint("merge")
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    return both.where(_within(_differing("a", "b"), F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
     """The ``pairs`` (a, b) whose shingle sets' Jaccard similarity reaches SIMILARITY; ``texts`` is (h, line)."""
     pairs = keep(pairs)
-    # few lines have most pairs, always as b: their texts are a table of their own, whose join can be split
-    # a line has few pairs as a: they are looked up by hash, so that the texts needn't be sorted
-    ends = keep(pairs.select(F.col("b").alias("h")).distinct().hint("shuffle_hash").join(texts, "h"))
-    both = pairs.hint("shuffle_hash").join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a")
+    # the ends are looked up by hash, so that the texts needn't be sorted
+    ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().hint("shuffle_hash").join(texts, "h").select("h", "line"))
+    pairs = keep(sifted(pairs, ends, keep))
+    both = pairs.hint("merge").join(ends.select(F.col("h").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
     both = both.hint("merge").join(ends.select(F.col("h").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
-    enough = lambda s: F.exists(F.array(F.size(F.array_intersect(s["a"], s["b"]))), lambda n: n >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - n))
-    # one expression, in which each set is computed once, wherever the condition is pushed
-    return keep(both.where(F.exists(F.array(F.struct(shingle_set("la").alias("a"), shingle_set("lb").alias("b"))), enough)).select("a", "b"))
+    # generated, so that each list is computed once and the condition isn't pushed to where they are made
+    lists = both.select("a", "b", F.inline(F.array(F.struct(shingles("la").alias("sa"), shingles("lb").alias("sb")))))
+    sizes = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
+    return keep(lists.where(sizes[0] >= SIMILARITY * sizes[1]).select("a", "b"))
 
 
 def _candidates(members: DataFrame) -> DataFrame:
@@ -145,15 +185,13 @@ def _rest(open_: DataFrame, texts: DataFrame, keep) -> DataFrame:
     """
     lines = keep(open_.select("h", "component").distinct())
     # written out, lest the set be computed for every text to see whether it is empty
-    sets = keep(lines.hint("shuffle_hash").join(texts, "h").select("h", "component", shingle_set("line").alias("set")))
+    sets = keep(lines.hint("shuffle_hash").join(texts, "h").select("h", "component", F.array_distinct(shingles("line")).alias("set")))
     sketches = keep(_sketched(sets))
     members = keep(open_.select("key", "h").hint("merge").join(sketches.hint("merge"), "h"))
     part = F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")
     side = lambda name, parts: members.select("key", F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("component", "size", *(f"s{w}" for w in range(WORDS)))), parts.alias("part"))
     one, two = side("a", part), side("b", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    differing = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(1, WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    # a similarity of s leaves at most (1 - s) / (1 + s) of both sizes to differ; a hair more is let through
-    alike = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (differing <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("size_a") + F.col("size_b")) + 1e-6)
+    alike = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _within(_differing("a", "b"), F.col("size_a") + F.col("size_b"))
     return one.hint("merge").join(two.hint("merge"), ["key", "part"]).where(alike).select("a", "b").distinct()
 
 
@@ -174,16 +212,18 @@ def components_of(texts: DataFrame, keep) -> DataFrame:
     """``(h, component)`` for each of the distinct lines ``texts`` (h, n, line) that is linked to another; component is the least h."""
     signed = keep(signatures(texts))
     filed = signed.select("h", F.explode("keys").alias("key"))
+    # sized where they meet: most keys are of one line, and go at once
+    sized = keep(filed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"))
     # a group of two is its least and its greatest line
-    groups = keep(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h").alias("a"), F.max("h").alias("b")).where("size > 1"))
-    larger = keep(filed.hint("merge").join(groups.where("size > 2").select("key", "size").hint("merge"), "key"))
-    members = keep(larger.hint("merge").join(texts.select("h", "n").hint("merge"), "h"))
+    twos = sized.where("size = 2").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).select("a", "b")
+    members = keep(sized.where("size > 2").hint("merge").join(texts.select("h", "n").hint("merge"), "h"))
     texts = texts.select("h", "line")
-    joined = _components(verified(groups.where("size = 2").select("a", "b").union(_candidates(members)).distinct(), texts, keep))
+    joined = _components(verified(twos.union(_candidates(members)).distinct(), texts, keep))
     open_ = _open(members, joined, keep)
     if open_.isEmpty():
         return joined
-    return _joined_further(joined, verified(_rest(open_, texts, keep), texts, keep), keep)
+    few = keep(open_.select("h").distinct().hint("shuffle_hash").join(texts, "h"))
+    return _joined_further(joined, verified(_rest(open_, few, keep), few, keep), keep)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -219,7 +259,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (all lines), n_removed, removed (line numbers from 0, ascending)."""
     docs = table(spark, sf_dir, "documents")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     slim = docs.select("doc_id", F.xxhash64("text").alias("version"), n_lines.alias("n_lines"))
     removed = F.coalesce("places", F.array().cast("array<int>"))
     both = slim.hint("merge").join(removed_lines(docs).hint("merge"), ["doc_id", "version"], "left")

@@ -435,6 +435,26 @@ def test_minima_in_two_steps(spark):
             assert r[f"m{k}"] == (hashes[r["h"]] ^ np.uint64((k * 11 % 32) << 59).astype(np.int64)).min()
 
 
+def test_pairs_are_sifted_before_their_lists_are_made(spark):
+    """No link is lost, repeated shingles or short lines included, and few pairs that are none stay; shingles are hashed some in a row."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    base = letters(300)
+    lines = ["a b " * 500, "A b " * 400, "tiny", "tiny ", "\u00e9" * 30, "\u00e9" * 31, *(base[:at] + letters(k) + base[at + k :] for k in (3, 15, 25, 60, 90, 120) for at in (10, 90, 170))]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    one, two = texts.select(F.col("h").alias("a")), texts.select(F.col("h").alias("b"))
+    links = {(b, a) for a, b in brute_links(lines)}
+    with line_dedup.scratch(spark) as keep:
+        pairs = one.crossJoin(two).where("a < b")
+        stay = {(r["a"], r["b"]) for r in line_dedup.sifted(pairs, texts, keep).collect()}
+        assert {(r["a"], r["b"]) for r in line_dedup.verified(pairs, texts, keep).collect()} == links
+        assert {r["h"]: r["n"] for r in line_dedup._marks(texts).collect()} == {h: max(1, len(x) - 11) for h, x in enumerate(lines)}
+    # repeats, which count as sizes, let more stay
+    once = {(a, b) for a, b in stay if a > 5}
+    assert links <= stay and len(once) <= 2 * len(links) < len(lines) * (len(lines) - 1) // 8
+    assert line_dedup._hashed(texts, 24).count() == sum(-(-max(1, len(x) - 11) // 24) for x in lines)
+
+
 def test_links_beside_the_pivot(spark, monkeypatch):
     """Chains of drifting lines in crowded groups: most are like their neighbours alone, few like the pivot."""
     monkeypatch.setattr(line_dedup, "SMALL", 4)
