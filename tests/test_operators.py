@@ -331,6 +331,31 @@ def test_manifest_counts_every_match(spark, tmp_path):
     assert entry.queries()["evi_match"](spark, str(tmp_path)).count() == 500
 
 
+def test_manifest_lists_every_id_newest_first(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.sql("select explode(array(7L, 8L)) as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    day = "timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(int(id % 9))"
+    spark.range(25003).selectExpr("id as o_orderkey", "if(id < 25000, 7L, 8L) as o_custkey", "'5-LOW' as o_orderpriority", f"{day} as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["entity_id"], r["part"]): r for r in entry.queries()["evi_by_source"](spark, str(tmp_path)).collect()}
+    newest_first = sorted(range(25000), key=lambda i: (-(i % 9), i))
+    want = {(7, 0): newest_first[:10000], (7, 1): newest_first[10000:20000], (7, 2): newest_first[20000:], (8, 0): [25001, 25000, 25002]}
+    assert {k: r["artifact_ids"] for k, r in got.items()} == want
+    assert {(r["entity_id"], r["n"], r["newest"].day) for r in got.values()} == {(7, 25000, 9), (8, 3, 9)}
+
+
+def test_manifest_in_parts(spark):
+    from spendlight.operators.evidence import manifest
+
+    rows = [(e, s, None if i == 5 else i % 4, f"a{i:02d}") for e in (1, 2, None) for s, n in (("x", 3), ("y", 4), ("z", 11), (None, 9)) for i in range(n)]
+    got = manifest(spark.createDataFrame(rows, "entity_id int, source string, retrieved_at int, artifact_id string"), listed=4).collect()
+    want = []
+    for e, s in dict.fromkeys(r[:2] for r in rows):
+        own = sorted((r[2:] for r in rows if r[:2] == (e, s)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        want += [(e, s, i // 4, len(own), own[0][0], [a for _, a in own[i : i + 4]]) for i in range(0, len(own), 4)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_equal_names_meet_once(spark, monkeypatch):
     from spendlight.operators import matching as M
 
